@@ -1,0 +1,25 @@
+"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it holds at most this many rows.
+DIM_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1 of them."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint when the size is proven small; otherwise leave the choice to AQE
+    (sort-merge or shuffled hash join, with skew splitting)."""
+    return F.broadcast(df) if bounded_rows(df, max_rows) else df
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
+                   max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+    return fact.join(maybe_broadcast(dim, max_rows), on, how)
