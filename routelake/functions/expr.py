@@ -25,7 +25,7 @@ def _c(x) -> Column:
 def present(c) -> Column:
     """Python-falsy test of the reference: null or empty string is missing (Q1)."""
     c = _c(c)
-    return c.isNotNull() & (c != F.lit(""))
+    return c.isNotNull() & (c.cast("string") != F.lit(""))
 
 
 def all_present(*cols) -> Column:

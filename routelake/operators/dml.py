@@ -140,14 +140,22 @@ def _event_rows(df: DataFrame, action_col, as_of) -> DataFrame:
 def catalog_create_routes(tenants, services, environments, endpoints, requests: DataFrame, as_of):
     """create_route over a batch: validate -> 3x get-or-create -> upsert (always active,
     Q11) -> events. Returns a dict of DataFrames."""
+    from ..sources.lake import cut_lineage
+    spark = requests.sparkSession
     valid, rejects = validate_route_writes(requests, need_url=True)
-    t2 = get_or_create_tenant(tenants, valid)
-    s2 = get_or_create_service(services, t2, valid)
-    e2 = get_or_create_environment(environments, s2, t2, valid)
+    # each name table is written once to the shared folder: the next step reads it (and
+    # sizes its joins from it) instead of recomputing the whole chain
+    t2 = cut_lineage(spark, get_or_create_tenant(tenants, valid), "tenants")
+    s2 = cut_lineage(spark, get_or_create_service(services, t2, valid), "services")
+    e2 = cut_lineage(spark, get_or_create_environment(environments, s2, t2, valid), "environments")
     ids = _route_ids(t2, s2, e2).select("environment_id", *ROUTE[:3])
     v = valid.join(ids, ROUTE[:3])
-    existed = endpoints.select(*EP_KEY, F.lit(True).alias("was_update"))
-    v = v.join(existed, EP_KEY, "left").withColumn("was_update", F.coalesce("was_update", F.lit(False)))
+    # an update when the key existed before the batch or an earlier create of the batch made it
+    existed = endpoints.select(*EP_KEY, F.lit(True).alias("_existed"))
+    first = v.groupBy(*EP_KEY).agg(F.min("seq").alias("_first"))
+    v = (v.join(existed, EP_KEY, "left").join(first, EP_KEY)
+         .withColumn("was_update", F.coalesce("_existed", F.lit(False)) | (F.col("seq") > F.col("_first")))
+         .drop("_existed", "_first"))
     ts = F.lit(as_of).cast("timestamp")
     changes = v.select(*EP_KEY, "url", F.lit(True).alias("is_active"), ts.alias("updated_at"), "seq")
     ep2 = upsert_endpoint(endpoints, changes)
@@ -162,9 +170,10 @@ def set_active(tenants, services, environments, endpoints, requests: DataFrame,
     valid, rejects = validate_route_writes(requests, need_url=False)
     ids = _route_ids(tenants, services, environments).select("environment_id", *ROUTE[:3])
     keyed = valid.join(ids, ROUTE[:3], "left")
-    m = keyed.join(endpoints.select(*EP_KEY, "url"), EP_KEY, "left")
-    found = m.filter(F.col("url").isNotNull())
-    nf = m.filter(F.col("url").isNull()).select(*requests.columns).withColumn("reject_reason", F.lit("not_found"))
+    m = keyed.join(endpoints.select(*EP_KEY, F.col("url").alias("_ep_url")), EP_KEY, "left")
+    found = m.filter(F.col("_ep_url").isNotNull()).drop(*[c for c in ("url",) if c in m.columns]) \
+        .withColumnRenamed("_ep_url", "url")
+    nf = m.filter(F.col("_ep_url").isNull()).select(*requests.columns).withColumn("reject_reason", F.lit("not_found"))
     ts = F.lit(as_of).cast("timestamp")
     changes = found.select(*EP_KEY, "url", F.lit(active).alias("is_active"), ts.alias("updated_at"), "seq")
     ep2 = upsert_endpoint(endpoints, changes)

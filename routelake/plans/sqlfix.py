@@ -88,6 +88,17 @@ SELECT ts, 'i-' || CAST(user_id % 3 AS VARCHAR) AS instance, 'db_pool_size' AS m
     "operation_spans": f"""SELECT 'i-' || CAST(user_id % 2 AS VARCHAR) AS instance,
        CASE user_id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'audit' END AS class,
        event_id AS span_id, ts AS start_ts, {plus_seconds("ts", "value")} AS end_ts FROM events""",
+    "change_log": """SELECT event_seq AS seq,
+       CASE action WHEN 'created' THEN 'create' WHEN 'activated' THEN 'activate' ELSE 'deactivate' END AS op,
+       tenant, service, env, version, CASE WHEN action = 'created' THEN url END AS url
+  FROM event_rows WHERE action IN ('created', 'activated', 'deactivated')
+UNION ALL
+SELECT r.request_id + 1000000000 AS seq,
+       CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'deactivate' ELSE 'create' END AS op,
+       r.tenant, r.service, r.env, r.version,
+       CASE WHEN o.o_orderpriority = '2-HIGH' THEN 'https://new.example.com/' || CAST(r.request_id AS VARCHAR) END AS url
+  FROM route_requests r JOIN orders o ON r.request_id = o.o_orderkey
+ WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH')""",
     "outages": """SELECT event_id AS outage_id, ts AS start_ts, ts + INTERVAL 1 HOUR AS end_ts
   FROM events WHERE event_type = 'error' AND value > 250""",
 }

@@ -1,0 +1,65 @@
+"""Route generator: unique routes from the fixed word lists, seeded by a key column.
+
+The reference draws at random; here every seed id picks its words through an integer
+mixing rule, so the same seeds always give the same routes (and SQL can reproduce them).
+Duplicate route keys keep the lowest seed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import expr as X
+
+# multipliers / offsets of the mixing rule: h_k(id) = (id * A_k + B_k) mod 2147483647
+MIX = ((40503, 17), (69069, 1), (48271, 11), (16807, 7), (39373, 3), (31337, 5))
+MOD = 2147483647
+
+
+def pick(seed: Column, k: int, n: int) -> Column:
+    a, b = MIX[k]
+    return F.pmod(F.pmod(seed * F.lit(a) + F.lit(b), F.lit(MOD)), F.lit(n))
+
+
+def _elem(values, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def generate_routes(seeds: DataFrame, id_col: str) -> DataFrame:
+    s = F.col(id_col).cast("long")
+    tenant = F.concat(_elem(X.TENANT_PREFIXES, pick(s, 0, len(X.TENANT_PREFIXES))), F.lit("-"),
+                      _elem(X.TENANT_SUFFIXES, pick(s, 1, len(X.TENANT_SUFFIXES))))
+    d = seeds.select(
+        s.alias("seed"), tenant.alias("tenant"),
+        _elem(X.SERVICES, pick(s, 2, len(X.SERVICES))).alias("service"),
+        _elem(X.ENVIRONMENTS, pick(s, 3, len(X.ENVIRONMENTS))).alias("env"),
+        F.concat(F.lit("v"), (pick(s, 4, X.MAX_VERSION) + 1).cast("string")).alias("version"),
+        (pick(s, 5, 6) + 1).alias("_t"))
+    d = d.withColumn("url", X.route_url_template(F.col("_t"))).drop("_t")
+    g = d.groupBy(*X.ROUTE_COLS).agg(F.min(F.struct("seed", "url")).alias("m"))
+    return g.select(F.col("m.seed").alias("seed"), *X.ROUTE_COLS, F.col("m.url").alias("url"))
+
+
+def generate_routes_sql(seed_sql: str) -> str:
+    """DuckDB twin; ``seed_sql`` yields one column ``seed``."""
+    def pk(k, n):
+        a, b = MIX[k]
+        return f"(((seed * {a} + {b}) % {MOD}) % {n})"
+
+    def lst(vals):
+        return "[" + ", ".join("'" + v + "'" for v in vals) + "]"
+    tenant = (f"{lst(X.TENANT_PREFIXES)}[{pk(0, len(X.TENANT_PREFIXES))} + 1] || '-' || "
+              f"{lst(X.TENANT_SUFFIXES)}[{pk(1, len(X.TENANT_SUFFIXES))} + 1]")
+    t = ["https://' || service || '.' || tenant || '.example.com/' || version || '",
+         "https://' || service || '-' || env || '.' || tenant || '.example.com/' || version || '",
+         "https://' || tenant || '-' || service || '.example.com/' || version || '",
+         "https://api.' || tenant || '.example.com/' || service || '/' || version || '",
+         "https://' || service || '.api.' || tenant || '.example.com/' || version || '",
+         "https://' || env || '.' || service || '.' || tenant || '.example.com/' || version || '"]
+    url = "CASE tpl " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(t)) + " END"
+    return f"""SELECT seed, tenant, service, env, version, url FROM (
+  SELECT *, {url} AS url, row_number() OVER (PARTITION BY tenant, service, env, version ORDER BY seed) AS rn FROM (
+    SELECT seed, {tenant} AS tenant, {lst(X.SERVICES)}[{pk(2, len(X.SERVICES))} + 1] AS service,
+           {lst(X.ENVIRONMENTS)}[{pk(3, len(X.ENVIRONMENTS))} + 1] AS env,
+           'v' || CAST({pk(4, X.MAX_VERSION)} + 1 AS VARCHAR) AS version, {pk(5, 6)} AS tpl
+      FROM ({seed_sql}) s0) s1) s2 WHERE rn = 1"""

@@ -22,6 +22,7 @@ from ..session import configure
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 CATALOG_AS_OF = "2001-09-01 00:00:00"
 
+CATALOG_SEQ_OFFSET = 1_000_000_000
 ACTION_OF_EVENT = {"signup": "created", "purchase": "activated", "error": "deactivated"}
 # stream values: "view" carries an action outside the enum, "click" none at all
 STREAM_ACTION_OF_EVENT = {**ACTION_OF_EVENT, "view": "viewed"}
@@ -131,6 +132,26 @@ class Tables:
             F.concat(F.lit("v"), ((F.col("o_orderkey") + shift) % 20 + 1).cast("string")).alias("version"),
         )
 
+    @cached_property
+    def change_log(self) -> DataFrame:
+        """Mixed ordered write batch: the change events of ``events`` (new team-* routes) and,
+        for urgent / high-priority orders, a deactivate / create of the order's catalog route."""
+        ev = self.event_rows.filter(F.col("action").isin(*X.ACTIONS)).select(
+            F.col("event_seq").alias("seq"),
+            _case(F.col("action"), {v: k for k, v in {"create": "created", "activate": "activated",
+                                                          "deactivate": "deactivated"}.items()}).alias("op"),
+            "tenant", "service", "env", "version",
+            F.when(F.col("action") == "created", F.col("url")).alias("url"))
+        o = self.raw("orders").select(F.col("o_orderkey").alias("request_id"), "o_orderpriority")
+        rq = self.route_requests.join(o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), "request_id")
+        cat = rq.select(
+            (F.col("request_id") + F.lit(CATALOG_SEQ_OFFSET)).alias("seq"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("deactivate")).otherwise(F.lit("create")).alias("op"),
+            "tenant", "service", "env", "version",
+            F.when(F.col("o_orderpriority") == "2-HIGH",
+                   F.concat(F.lit("https://new.example.com/"), F.col("request_id").cast("string"))).alias("url"))
+        return ev.unionByName(cat)
+
     # ---------------------------------------------------------------- events
     @cached_property
     def events(self) -> DataFrame:
