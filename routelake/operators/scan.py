@@ -39,12 +39,13 @@ def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str =
     d = d.withColumn("_rn", F.row_number().over(w))
     for c in cols:
         d = d.withColumn(prefix + c, F.lag(c).over(w))
-    last = d.groupBy(*keys, "_b").agg(F.max(F.struct(ts, tiebreak, *cols)).alias("_l"))
+    fields = [F.col(ts).alias("_o1"), F.col(tiebreak).alias("_o2")] + [F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)]
+    last = d.groupBy(*keys, "_b").agg(F.max(F.struct(*fields)).alias("_l"))
     w2 = Window.partitionBy(*keys).orderBy("_b")
     last = last.select(*keys, "_b", F.lag("_l").over(w2).alias("_pl"))
     d = d.join(last, keys + ["_b"], "left")
-    for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_pl.{c}")).otherwise(F.col(prefix + c)))
+    for i, c in enumerate(cols):
+        d = d.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_pl._c{i}")).otherwise(F.col(prefix + c)))
     return d.drop("_b", "_rn", "_pl")
 
 
@@ -101,3 +102,49 @@ def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int =
     w2 = Window.partitionBy(*keys).orderBy(*order_cols)
     d = d.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= n)
     return d.drop("_salt", "_r1")
+
+
+def halo_window(df: DataFrame, keys, ts: str, width_seconds: int, build, include_lower: bool = False) -> DataFrame:
+    """Generic trailing range frame ``(t - width, t]`` per key via bucket + halo.
+
+    ``build(w)`` gets the range WindowSpec (ordered by ``_us``, the ts in microseconds) and
+    returns {name: window column}; those columns are kept on the original rows only."""
+    keys = list(keys)
+    W = int(width_seconds) * 1_000_000
+    base = df.withColumn("_us", _micros(ts))
+    b = F.floor(F.col("_us") / F.lit(W)).cast("long")
+    u = (base.withColumn("_b", b).withColumn("_tgt", F.lit(True))
+         .unionByName(base.withColumn("_b", b + 1).withColumn("_tgt", F.lit(False))))
+    lo = -W if include_lower else -W + 1
+    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(lo, 0)
+    for name, col in build(w).items():
+        u = u.withColumn(name, col)
+    return u.filter("_tgt").drop("_us", "_b", "_tgt")
+
+
+def asof_last(left: DataFrame, right: DataFrame, keys, ts: str, value: str, out: str,
+              chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """As-of join: for every left row, ``value`` of the newest right row of the same key with
+    right.ts <= left.ts. Union + running last-non-null, chunked so a hot key spreads out."""
+    keys = list(keys)
+    L = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast("double"))
+    R = right.select(*keys, F.col(ts), F.col(value).cast("double").alias("_rv")).withColumn("_side", F.lit(0))
+    for c in L.columns:
+        if c not in R.columns:
+            R = R.withColumn(c, F.lit(None).cast(L.schema[c].dataType))
+    u = L.unionByName(R.select(*L.columns)).withColumn("_b", chunk_id(ts, chunk_seconds))
+    # right rows sort before left rows at the same ts (<= semantics)
+    w = (Window.partitionBy(*keys, "_b").orderBy(ts, "_side")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("_loc", F.last("_rv", ignorenulls=True).over(w))
+    lastr = (R.withColumn("_b", chunk_id(ts, chunk_seconds)).groupBy(*keys, "_b")
+             .agg(F.max(F.struct(ts, "_rv")).alias("_m")))
+    # carry-in per chunk: the newest right value of all earlier chunks (chunks holding only
+    # left rows need it too, so the chunk table covers both sides)
+    lch = L.select(*keys, chunk_id(ts, chunk_seconds).alias("_b")).distinct()
+    allc = lch.join(lastr.select(*keys, "_b", F.lit(True).alias("_has")), keys + ["_b"], "full")
+    w3 = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (allc.join(lastr, keys + ["_b"], "left")
+             .select(*keys, "_b", F.last("_m._rv", ignorenulls=True).over(w3).alias("_carry")))
+    res = u.filter(F.col("_side") == 1).join(carry, keys + ["_b"], "left")
+    return res.withColumn(out, F.coalesce("_loc", "_carry")).drop("_side", "_rv", "_b", "_loc", "_carry")
