@@ -1,0 +1,131 @@
+"""Circuit-breaker timeline: the breaker's state machine replayed over a call log.
+
+The fold is sequential per (instance, dependency), but no key's whole history goes to one
+task. The log is cut into chunks (a day by default) and every chunk is folded in parallel
+(``applyInPandas`` per (key, chunk)) from a *guessed* opening state: closed, no recent
+failures. The true opening state of a chunk is the closing state of the chunk before it;
+where guess and truth differ, only those chunks are folded again with the true state, and
+this repeats until nothing changes. A breaker forgets its past within one window plus one
+timeout, so a wrong guess rarely survives past the first minutes of a chunk and the loop
+ends after one or two rounds; each round is one distributed job over the affected chunks
+and a tiny state table. Intermediate results go to the shared checkpoint folder.
+
+State: mode (closed / open / half_open), failure times inside the window, executed calls
+(capped at min_calls, the only use of the count), time the breaker last opened.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.lake import cut_lineage
+
+KEY = ["instance", "dependency"]
+STATE_COLS = ["in_mode", "in_fails", "in_calls", "in_open"]
+OUT_SCHEMA = ("instance string, dependency string, chunk long, call_id long, ts timestamp, is_failure boolean, "
+              "outcome string, state string, out_mode string, out_fails string, out_calls long, out_open long, "
+              "is_last boolean")
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["_us", "call_id"], kind="stable")
+    thr, timeout, window, min_calls = (int(pdf[c].iloc[0]) for c in
+                                       ("failure_threshold", "timeout_seconds", "window_seconds", "min_calls"))
+    timeout_us, window_us = timeout * 1_000_000, window * 1_000_000
+    mode = pdf["in_mode"].iloc[0]
+    fails = [int(x) for x in str(pdf["in_fails"].iloc[0]).split(",") if x]
+    calls = int(pdf["in_calls"].iloc[0])
+    last_open = pdf["in_open"].iloc[0]
+    last_open = None if pd.isna(last_open) else int(last_open)
+    outcome, state = [], []
+    for t, f in zip(pdf["_us"].to_numpy(np.int64), pdf["is_failure"].to_numpy(bool)):
+        cutoff = t - window_us
+        fails = [x for x in fails if x > cutoff]
+        if mode == "open" and last_open is not None and t - last_open >= timeout_us:
+            mode, fails = "half_open", []
+        if mode == "open":
+            outcome.append("rejected")
+            state.append(mode)
+            continue
+        calls = min(calls + 1, min_calls)
+        if not f:
+            if mode == "half_open":
+                mode, fails, last_open = "closed", [], None
+        else:
+            fails.append(int(t))
+            if mode == "half_open":
+                mode, last_open = "open", int(t)
+            elif calls >= min_calls and len(fails) >= thr:
+                mode, last_open = "open", int(t)
+        outcome.append("executed")
+        state.append(mode)
+    n = len(pdf)
+    out = pd.DataFrame({
+        "instance": pdf["instance"].to_numpy(), "dependency": pdf["dependency"].to_numpy(),
+        "chunk": pdf["chunk"].to_numpy(), "call_id": pdf["call_id"].to_numpy(), "ts": pdf["ts"].to_numpy(),
+        "is_failure": pdf["is_failure"].to_numpy(), "outcome": outcome, "state": state,
+        "out_mode": [mode] * n, "out_fails": [",".join(map(str, fails))] * n, "out_calls": [calls] * n,
+        "out_open": [last_open] * n, "is_last": [False] * (n - 1) + [True]})
+    out["out_open"] = out["out_open"].astype("Int64")
+    return out
+
+
+def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 86400,
+                     max_rounds: int = 50) -> DataFrame:
+    """Per call: executed or rejected, and the breaker state right after it."""
+    spark = calls.sparkSession
+    chunk = F.floor(F.unix_micros("ts") / F.lit(chunk_seconds * 1_000_000)).cast("long")
+    base = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("chunk", chunk)
+            .withColumn("_us", F.unix_micros("ts"))
+            .join(F.broadcast(limits), "dependency"))
+    base = cut_lineage(spark, base, "breaker-calls")
+    # guessed opening state per chunk: closed, no failures, calls seen so far (capped)
+    sizes = base.groupBy(*KEY, "chunk").agg(F.count(F.lit(1)).alias("n"), F.first("min_calls").alias("min_calls"))
+    w = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    guess = sizes.select(*KEY, "chunk", F.lit("closed").alias("in_mode"), F.lit("").alias("in_fails"),
+                         F.least(F.coalesce(F.sum("n").over(w), F.lit(0)), F.col("min_calls")).alias("in_calls"),
+                         F.lit(None).cast("long").alias("in_open"))
+    guess = cut_lineage(spark, guess, "breaker-guess")
+
+    def run(states: DataFrame) -> DataFrame:
+        rows = base.join(states, KEY + ["chunk"])
+        return cut_lineage(spark, rows.groupBy(*KEY, "chunk").applyInPandas(_fold, OUT_SCHEMA), "breaker-fold")
+
+    results = run(guess).withColumn("round", F.lit(0))
+    used = guess
+    for r in range(1, max_rounds + 1):
+        outs = results.filter("is_last").select(*KEY, "chunk", "round", "out_mode", "out_fails", "out_calls", "out_open")
+        latest = outs.withColumn("_rk", F.row_number().over(Window.partitionBy(*KEY, "chunk").orderBy(F.col("round").desc()))) \
+            .filter("_rk = 1").drop("_rk", "round")
+        wprev = Window.partitionBy(*KEY).orderBy("chunk")
+        truth = latest.select(*KEY, "chunk",
+                              *[F.lag(c).over(wprev).alias(n) for c, n in
+                                zip(["out_mode", "out_fails", "out_calls", "out_open"], STATE_COLS)])
+        cmp = used.alias("u").join(truth.alias("t"), KEY + ["chunk"])
+        differs = ~(F.col("t.in_mode").isNull()
+                    | ((F.col("u.in_mode") == F.col("t.in_mode")) & (F.col("u.in_fails") == F.col("t.in_fails"))
+                       & (F.col("u.in_calls") == F.col("t.in_calls"))
+                       & F.col("u.in_open").eqNullSafe(F.col("t.in_open"))))
+        redo = cut_lineage(spark, cmp.filter(differs).select(*KEY, "chunk", *[F.col(f"t.{c}").alias(c) for c in STATE_COLS]),
+                           "breaker-redo")
+        if redo.limit(1).count() == 0:
+            break
+        results = results.unionByName(run(redo).withColumn("round", F.lit(r)))
+        used = (used.join(redo.select(*KEY, "chunk"), KEY + ["chunk"], "left_anti").unionByName(redo))
+        used = cut_lineage(spark, used, "breaker-used")
+    final_round = results.groupBy(*KEY, "chunk").agg(F.max("round").alias("round"))
+    out = results.join(final_round, KEY + ["chunk", "round"])
+    return out.select(*KEY, "call_id", "ts", "is_failure", "outcome", "state")
+
+
+def breaker_intervals(timeline: DataFrame) -> DataFrame:
+    """closed / open / half_open intervals per key from the per-call states. The previous
+    state comes from the chunked lag; only the transition rows (few) are windowed per key."""
+    from . import scan
+    d = scan.lag_within(timeline, KEY, "ts", "call_id", ["state"], prefix="prev_")
+    starts = d.filter(F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state")))
+    w = Window.partitionBy(*KEY).orderBy("ts", "call_id")
+    return starts.select(*KEY, "state", F.col("ts").alias("start_ts"), F.lead("ts").over(w).alias("end_ts"))

@@ -39,7 +39,7 @@ def get_session(master: str | None = None, app: str = "routelake",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     b = b.config("spark.driver.memory", os.environ.get("ROUTELAKE_DRIVER_MEMORY", "16g"))
     for k, v in SQL_CONF.items():
         b = b.config(k, v)
