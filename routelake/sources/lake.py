@@ -47,3 +47,13 @@ def cut_lineage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def add_event_date(df: DataFrame, ts: str = "occurred_at") -> DataFrame:
     return df.withColumn("event_date", F.to_date(ts))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a readable parquet table."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.parquet(path).schema  # noqa: B018  (resolves the files, reads no data)
+        return True
+    except AnalysisException:
+        return False
