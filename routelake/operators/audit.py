@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from . import scan
 
-NEWEST = [F.col("occurred_at").desc(), F.col("event_id").desc()]
+
+
+def newest():
+    """Newest first, event_id as the tie-break (Q7)."""
+    return [F.col("occurred_at").desc(), F.col("event_id").desc()]
 MAX_LIMIT = 1000
 
 
@@ -145,31 +149,31 @@ def _limit(n: int) -> int:
 
 def route_history(audit: DataFrame, tenant, service, env, version, limit: int = 100) -> DataFrame:
     return project_history(filter_route_path(audit, tenant, service, env, version)
-                           .orderBy(*NEWEST).limit(_limit(limit)))
+                           .orderBy(*newest()).limit(_limit(limit)))
 
 
 def recent_events(audit: DataFrame, as_of, days: int = 30, tenant=None, service=None, env=None,
                   limit: int = 100) -> DataFrame:
     d = filter_optional(filter_recent(audit, as_of, days=days), tenant, service, env)
-    return project_event(d.orderBy(*NEWEST).limit(_limit(limit)))
+    return project_event(d.orderBy(*newest()).limit(_limit(limit)))
 
 
 def events_by_action(audit: DataFrame, action: str, as_of, hours: int | None = None, tenant=None,
                      service=None, env=None, limit: int = 100) -> DataFrame:
     d = filter_optional(filter_recent(audit.filter(F.col("action") == action), as_of, hours=hours),
                         tenant, service, env)
-    return project_event(d.orderBy(*NEWEST).limit(_limit(limit)))
+    return project_event(d.orderBy(*newest()).limit(_limit(limit)))
 
 
 def events_in_time_range(audit: DataFrame, start, end, tenant=None, service=None, env=None, action=None,
                          limit: int = 100) -> DataFrame:
     d = filter_optional(between(audit, start, end), tenant, service, env, action)
-    return project_event(d.orderBy(*NEWEST).limit(_limit(limit)))
+    return project_event(d.orderBy(*newest()).limit(_limit(limit)))
 
 
 def latest_audit_events(audit: DataFrame, n: int = 5) -> DataFrame:
     """Last n events with 'unknown' defaults and an HH:MM:SS clock."""
-    d = audit.orderBy(*NEWEST).limit(n)
+    d = audit.orderBy(*newest()).limit(n)
     return d.select(X.display_or_unknown("action").alias("action"),
                     X.display_or_unknown("route.tenant").alias("tenant"),
                     X.display_or_unknown("route.service").alias("service"),
@@ -182,9 +186,9 @@ def history_page(audit: DataFrame, tenant, service, env, version, limit: int = 1
     """``limit`` newest rows plus ``has_more``: take limit+1 (at most 1001 rows, so the
     un-partitioned window below is bounded), flag, drop the extra row."""
     from pyspark.sql import Window
-    d = filter_route_path(audit, tenant, service, env, version).orderBy(*NEWEST).limit(_limit(limit) + 1)
+    d = filter_route_path(audit, tenant, service, env, version).orderBy(*newest()).limit(_limit(limit) + 1)
     d = (d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-         .withColumn("_pos", F.row_number().over(Window.orderBy(*NEWEST))))
+         .withColumn("_pos", F.row_number().over(Window.orderBy(*newest()))))
     h = project_history(d)
     return (d.filter(F.col("_pos") <= limit)
             .select(*[F.col(c) for c in ("event_id", "action", "url", "previous_url", "previous_state", "changed_by")],
@@ -197,7 +201,7 @@ def history_page(audit: DataFrame, tenant, service, env, version, limit: int = 1
 def history_top_n_per_route(audit: DataFrame, n: int = 10) -> DataFrame:
     """Newest n changes of every route at once (salted two-pass top-k)."""
     flat = audit.select("*", *[F.col(f"route.{c}").alias(c) for c in X.ROUTE_COLS])
-    top = scan.top_n_per_group(flat, list(X.ROUTE_COLS), NEWEST, n, salt_col="event_id")
+    top = scan.top_n_per_group(flat, list(X.ROUTE_COLS), newest(), n, salt_col="event_id")
     return top.select(*X.ROUTE_COLS, "rank", "event_id", "action", "url", "occurred_at")
 
 
