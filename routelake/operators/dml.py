@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .joins import maybe_broadcast
+from .joins import bounded_rows, maybe_broadcast
+
+# at most this many rows are numbered in a single sorted task; larger sets use the
+# range-partitioned numbering
+SMALL_INDEX_ROWS = 200_000
 
 ROUTE = list(X.ROUTE_COLS)
 EP_KEY = ["environment_id", "version"]
@@ -35,12 +39,17 @@ def fold_endpoint_writes(writes: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row in the global order of ``order_cols`` (ties broken by
-    the full column list), computed without a single-partition window: range-partition, number
-    rows inside each partition, add the row count of all earlier partitions. The offsets table
-    has one row per partition, so its broadcast is bounded by the partition count."""
+    the full column list). A set proven to hold at most SMALL_INDEX_ROWS rows is numbered in
+    one task; anything larger without a single-partition window: range-partition, number rows
+    inside each partition, add the row count of all earlier partitions. The offsets table has
+    one row per partition, so its broadcast is bounded by the partition count."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order_cols) + [c for c in df.columns if c not in order_cols]
+    if num_partitions is None and bounded_rows(df, SMALL_INDEX_ROWS):
+        # proven small (new names of one batch, typically): one bounded sorted task
+        w = Window.orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an explicit partition count is never coalesced by AQE, so partition ids are stable
     parted = df.repartitionByRange(n, *order)
     counts = parted.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
@@ -143,8 +152,9 @@ def catalog_create_routes(tenants, services, environments, endpoints, requests:
     from ..sources.lake import cut_lineage
     spark = requests.sparkSession
     valid, rejects = validate_route_writes(requests, need_url=True)
-    # each name table is written once to the shared folder: the next step reads it (and
-    # sizes its joins from it) instead of recomputing the whole chain
+    # the batch and each name table are written once to the shared folder: the next step
+    # reads them (and sizes its joins from them) instead of recomputing the whole chain
+    valid = cut_lineage(spark, valid, "create-batch")
     t2 = cut_lineage(spark, get_or_create_tenant(tenants, valid), "tenants")
     s2 = cut_lineage(spark, get_or_create_service(services, t2, valid), "services")
     e2 = cut_lineage(spark, get_or_create_environment(environments, s2, t2, valid), "environments")

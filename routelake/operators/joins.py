@@ -9,9 +9,23 @@ from pyspark.sql import functions as F
 DIM_BROADCAST_MAX_ROWS = 1_000_000
 
 
+_CHECKED: dict = {}
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1 of them."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1 of them.
+    The answer is remembered per (plan, bound) for the session, so a dimension used by
+    many queries is counted once."""
+    try:
+        key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    except Exception:  # noqa: BLE001  (plans without a semantic hash)
+        key = None
+    if key is not None and key in _CHECKED:
+        return _CHECKED[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _CHECKED[key] = ok
+    return ok
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
