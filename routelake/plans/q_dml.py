@@ -175,6 +175,16 @@ def q_write_error_pct(spark, d):
                     (F.col("writes_success") / F.col("writes_total")).alias("write_success_ratio"))
 
 
+@register("write_success_ratio", APPLY_CTES + """SELECT count(*) FILTER (WHERE applied) AS writes_success, count(*) AS writes_total,
+       CAST(count(*) FILTER (WHERE applied) AS DOUBLE) / count(*) AS write_success_ratio FROM tg""")
+def q_write_success_ratio(spark, d):
+    t = Tables(spark, d)
+    r = D.apply_change_log(t.route_table, t.change_log, CATALOG_AS_OF)
+    c = D.write_counters(r["events"], r["rejects"])
+    return c.select("writes_success", "writes_total",
+                    (F.col("writes_success") / F.col("writes_total")).alias("write_success_ratio"))
+
+
 @register("dq_unique_violations", """SELECT 'tenants' AS table_name, name AS dup_key, count(*) AS n_rows FROM tenants
  GROUP BY name HAVING count(*) > 1
 UNION ALL SELECT 'services', CAST(tenant_id AS VARCHAR) || '|' || name, count(*) FROM services

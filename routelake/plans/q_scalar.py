@@ -167,3 +167,20 @@ def q_status_of_resolve(spark, d):
     r = C.resolve_cache_aside(t.route_requests, t.cache_snapshot, t.route_table, CATALOG_AS_OF)
     o = F.when((F.col("outcome") == "miss") & F.col("url").isNull(), F.lit("not_found")).otherwise(F.col("outcome"))
     return r.select("request_id", "outcome", X.status_of_resolve(o).alias("status_code"))
+
+
+@register("format_day", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def q_format_day(spark, d):
+    return Tables(spark, d).events.select("event_id", X.format_day("ts").alias("day"))
+
+
+@register("format_clock", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def q_format_clock(spark, d):
+    return Tables(spark, d).events.select("event_id", X.format_clock("ts").alias("clock"))
+
+
+@register("new_correlation_id", """SELECT request_id, 'req-' || substr(sha256(CAST(request_id AS VARCHAR)), 1, 16) AS correlation_id
+  FROM request_log""")
+def q_new_correlation_id(spark, d):
+    r = Tables(spark, d).request_log
+    return r.select("request_id", X.new_correlation_id(F.col("request_id")).alias("correlation_id"))
