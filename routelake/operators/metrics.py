@@ -36,10 +36,12 @@ def request_summary(log: DataFrame, groups=()) -> DataFrame:
 
 
 def _attach(a: DataFrame, b: DataFrame, g) -> DataFrame:
-    """Join two per-group aggregates; with no groups both have one row (joined on a constant key)."""
+    """Join two per-group aggregates. With no groups ``b`` is one row: it comes in as one
+    scalar subquery (a struct), not as a join."""
     if g:
         return a.join(b, g)
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    packed = b.select(F.struct(*b.columns).alias("_b")).scalar()
+    return a.select("*", packed.alias("_b")).select(*a.columns, *[F.col(f"_b.{c}").alias(c) for c in b.columns])
 
 
 def latency_quantile_exclusive(log: DataFrame, groups=()) -> DataFrame:
@@ -170,6 +172,6 @@ def cache_key_counts(cache: DataFrame) -> DataFrame:
 
 def sample_first_n(cache: DataFrame, n: int = 10) -> DataFrame:
     """First n keys (in key order) and how many more there are."""
-    total = cache.agg(F.count(F.lit(1)).alias("_t"))
+    total = cache.select(F.count(F.lit(1))).scalar()
     first = cache.select("route_key").orderBy("route_key").limit(n)
-    return _attach(first, total, []).select("route_key", F.greatest(F.col("_t") - n, F.lit(0)).alias("n_more"))
+    return first.select("route_key", F.greatest(total - n, F.lit(0)).alias("n_more"))

@@ -87,8 +87,11 @@ def quantile_report(df: DataFrame, groups, value: str, specs) -> DataFrame:
     """One row per group with one column per spec. ``specs``: list of
     ('median', name) or ('exclusive', name, i, n, threshold)."""
     g = list(groups)
-    if not g:  # one global group: a constant key (the bucket tables stay small either way)
-        return quantile_report(df.withColumn("_g", F.lit(0)), ["_g"], value, specs).drop("_g")
+    if not g:
+        # one global group. The key must not be a literal: Catalyst would fold the equi-join
+        # on it into a nested-loop join. isnull(value) * 0 is always 0 but not foldable.
+        k = F.isnull(F.col(value)).cast("int") * 0
+        return quantile_report(df.withColumn("_g", k), ["_g"], value, specs).drop("_g")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     parts = []
     for s in specs:
