@@ -99,18 +99,18 @@ def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
     """INSERT ... ON CONFLICT (environment_id, version) DO UPDATE as a new snapshot.
 
     ``changes``: environment_id, version, url, is_active, updated_at, seq. Repeated keys in
-    the change set: the highest ``seq`` wins. Existing rows keep id and created_at."""
+    the change set: the highest ``seq`` wins. Existing rows keep id and created_at.
+    A change set proven small is broadcast, so the (large) snapshot is only streamed
+    through hash probes and never shuffled; a large one falls back to shuffle joins."""
     last = (changes.groupBy(*EP_KEY)
             .agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c"))
             .select(*EP_KEY, "c.url", "c.is_active", "c.updated_at"))
     old = endpoints.select(*EP_COLS)
-    touched = last.join(old.select(*EP_KEY, F.col("id").alias("old_id"),
-                                   F.col("created_at").alias("old_created")), EP_KEY, "left")
-    kept = old.join(last.select(*EP_KEY), EP_KEY, "left_anti")
-    upd = touched.filter(F.col("old_id").isNotNull()).select(
-        F.col("old_id").alias("id"), *EP_KEY, "url", "is_active",
-        F.col("old_created").alias("created_at"), "updated_at")
-    ins = touched.filter(F.col("old_id").isNull()).drop("old_id", "old_created")
+    small = maybe_broadcast(last)
+    upd = old.select(*EP_KEY, "id", "created_at").join(small, EP_KEY).select(
+        "id", *EP_KEY, "url", "is_active", "created_at", "updated_at")
+    kept = old.join(small.select(*EP_KEY), EP_KEY, "left_anti")
+    ins = last.join(upd.select(*EP_KEY), EP_KEY, "left_anti")
     max_id = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     ins = dense_index(ins, EP_KEY).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url",
                                           "is_active", F.col("updated_at").alias("created_at"), "updated_at")
@@ -180,10 +180,12 @@ def set_active(tenants, services, environments, endpoints, requests: DataFrame,
     valid, rejects = validate_route_writes(requests, need_url=False)
     ids = _route_ids(tenants, services, environments).select("environment_id", *ROUTE[:3])
     keyed = valid.join(ids, ROUTE[:3], "left")
-    m = keyed.join(endpoints.select(*EP_KEY, F.col("url").alias("_ep_url")), EP_KEY, "left")
-    found = m.filter(F.col("_ep_url").isNotNull()).drop(*[c for c in ("url",) if c in m.columns]) \
+    # probe the endpoints with the (checked-small) request batch instead of shuffling them
+    ep = endpoints.select(*EP_KEY, F.col("url").alias("_ep_url"))
+    found = ep.join(maybe_broadcast(keyed.drop(*[c for c in ("url",) if c in keyed.columns])), EP_KEY) \
         .withColumnRenamed("_ep_url", "url")
-    nf = m.filter(F.col("_ep_url").isNull()).select(*requests.columns).withColumn("reject_reason", F.lit("not_found"))
+    nf = (keyed.join(found.select("seq"), "seq", "left_anti").select(*requests.columns)
+          .withColumn("reject_reason", F.lit("not_found")))
     ts = F.lit(as_of).cast("timestamp")
     changes = found.select(*EP_KEY, "url", F.lit(active).alias("is_active"), ts.alias("updated_at"), "seq")
     ep2 = upsert_endpoint(endpoints, changes)
@@ -211,7 +213,11 @@ def apply_change_log(routes: DataFrame, change_log: DataFrame, as_of):
     rejects. Result per key from partial aggregates (no per-key sort)."""
     cl = change_log.filter(X.all_present(*ROUTE))
     bad = change_log.filter(~X.all_present(*ROUTE)).withColumn("reject_reason", F.lit("missing_field"))
-    cur = routes.select(*ROUTE, F.col("url").alias("cur_url"), F.col("is_active").alias("cur_active"))
+    # only the routes the batch touches are read from the (large) route table: a semi join
+    # against the batch's distinct keys, broadcast when that key set is proven small
+    keys = cl.select(*ROUTE).distinct()
+    cur = (routes.select(*ROUTE, F.col("url").alias("cur_url"), F.col("is_active").alias("cur_active"))
+           .join(maybe_broadcast(keys), ROUTE, "left_semi"))
     first_create = (cl.filter(F.col("op") == "create").groupBy(*ROUTE)
                     .agg(F.min("seq").alias("first_create")))
     tagged = (cl.join(first_create, ROUTE, "left")
