@@ -38,8 +38,8 @@ def failure_window(calls: DataFrame, limits: DataFrame, window_seconds: int = 60
     k = ["instance", "dependency"]
     d = calls.withColumn("_tb", F.col("call_id"))
     fail = F.when(F.col("is_failure"), 1).otherwise(0)
-    d = scan.trailing_count(d, k, "ts", "_tb", window_seconds, fail, "failures_in_window", include_lower=False)
-    d = scan.trailing_count(d, k, "ts", "_tb", window_seconds, F.lit(1), "calls_in_window", include_lower=False)
+    d = scan.trailing_sums(d, k, "ts", "_tb", window_seconds,
+                           {"failures_in_window": fail, "calls_in_window": F.lit(1)}, include_lower=False)
     d = scan.running_sum(d, k, "ts", "_tb", F.lit(1), "lifetime_calls")
     d = d.join(F.broadcast(limits.select("dependency", "failure_threshold", "min_calls")), "dependency", "left")
     return d.select(

@@ -7,7 +7,7 @@ per-(key, chunk) table whose size is (#keys x #chunks), independent of the row c
 
 * ``lag_within``      previous row's values per key (order: ts, tie-break)
 * ``running_sum``     inclusive running sum per key (rows frame, exact with ties)
-* ``trailing_count``  sum over the trailing time range per key (bucket + halo)
+* ``trailing_sums``   sums over the trailing time range per key (bucket + halo)
 
 ``chunk_seconds`` bounds the work of one task: pick it so one key's busiest chunk fits a
 task (1 h default; 1 min for very hot keys).
@@ -64,10 +64,11 @@ def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out:
     return d.withColumn(out, F.col("_loc") + F.col("_off")).drop("_b", "_v", "_loc", "_off")
 
 
-def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: Column,
-                   out: str, include_lower: bool) -> DataFrame:
-    """``out`` = sum of ``value`` over earlier-or-same rows of the key whose ts lies in
-    ``(t - width, t]`` (``include_lower=False``) or ``[t - width, t]`` (True).
+def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
+                  include_lower: bool) -> DataFrame:
+    """For each ``name: value`` in ``values``: the sum of ``value`` over earlier-or-same rows
+    of the key whose ts lies in ``(t - width, t]`` (``include_lower=False``) or
+    ``[t - width, t]`` (True), all in one pass.
 
     Bucket + halo: every row is also copied into the next bucket of width ``width``, so a
     bucket holds everything its rows can see; the range frame then runs per (key, bucket).
@@ -75,7 +76,9 @@ def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: i
     count is what a one-at-a-time recorder sees."""
     keys = list(keys)
     W = int(width_seconds) * 1_000_000
-    base = df.withColumn("_us", _micros(ts)).withColumn("_v", value)
+    base = df.withColumn("_us", _micros(ts))
+    for i, v in enumerate(values.values()):
+        base = base.withColumn(f"_v{i}", v)
     b = F.floor(F.col("_us") / F.lit(W)).cast("long")
     tgt = base.withColumn("_b", b).withColumn("_tgt", F.lit(True))
     halo = base.withColumn("_b", b + 1).withColumn("_tgt", F.lit(False))
@@ -84,9 +87,16 @@ def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: i
     wr = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(lo, 0)
     wp = (Window.partitionBy(*keys, "_b", "_us").orderBy(tiebreak)
           .rowsBetween(1, Window.unboundedFollowing))
-    u = u.withColumn("_all", F.sum("_v").over(wr)).withColumn("_later", F.sum("_v").over(wp))
-    res = u.filter("_tgt").withColumn(out, F.col("_all") - F.coalesce(F.col("_later"), F.lit(0)))
-    return res.drop("_us", "_v", "_b", "_tgt", "_all", "_later")
+    for i, name in enumerate(values):
+        u = u.withColumn(name, F.sum(f"_v{i}").over(wr) - F.coalesce(F.sum(f"_v{i}").over(wp), F.lit(0)))
+    res = u.filter("_tgt")
+    return res.drop("_us", "_b", "_tgt", *[f"_v{i}" for i in range(len(values))])
+
+
+def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: Column,
+                   out: str, include_lower: bool) -> DataFrame:
+    """One trailing sum (see ``trailing_sums``)."""
+    return trailing_sums(df, keys, ts, tiebreak, width_seconds, {out: value}, include_lower)
 
 
 def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 16,
