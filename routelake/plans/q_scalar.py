@@ -117,7 +117,7 @@ def q_default_correlation_id(spark, d):
                     X.log_correlation_id(cid).alias("log_correlation_id"))
 
 
-@register("event_to_json", """SELECT event_id, to_json({'event_id': event_id, 'action': action, 'tenant': tenant, 'url': url}) AS value
+@register("event_to_json", """SELECT event_id, CAST(to_json({'event_id': event_id, 'action': action, 'tenant': tenant, 'url': url}) AS VARCHAR) AS value
   FROM event_rows""")
 def q_event_to_json(spark, d):
     return rows(spark, d).select("event_id", X.event_to_json("event_id", "action", "tenant", "url").alias("value"))
@@ -153,8 +153,8 @@ def q_route_url_template(spark, d):
     return r.select("event_id", X.route_url_template(F.col("user_id") % 6 + 1).alias("url"))
 
 
-@register("cache_ttl_remaining", f"""SELECT route_key, greatest(floor((epoch_us(expires_at) - epoch_us(TIMESTAMP '{CATALOG_AS_OF}')) / 1000000), 0)
-         AS ttl_seconds FROM cache_snapshot""")
+@register("cache_ttl_remaining", f"""SELECT route_key, CAST(greatest(floor((epoch_us(expires_at) - epoch_us(TIMESTAMP '{CATALOG_AS_OF}')) / 1000000), 0)
+         AS BIGINT) AS ttl_seconds FROM cache_snapshot""")
 def q_cache_ttl_remaining(spark, d):
     c = Tables(spark, d).cache_snapshot
     return c.select("route_key", X.cache_ttl_remaining("expires_at", F.lit(CATALOG_AS_OF).cast("timestamp")).alias("ttl_seconds"))

@@ -63,9 +63,9 @@ def shape_route_event(rows):
 ISO_Z = ("CASE WHEN microsecond(occurred_at) % 1000000 = 0 THEN strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') "
          "ELSE strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') END || 'Z'")
 SHAPE_SQL = f"""SELECT tenant || ':' || service || ':' || env || ':' || version AS key,
-       to_json({{'event_id': event_id, 'event_type': 'route_changed', 'action': action, 'tenant': tenant,
+       CAST(to_json({{'event_id': event_id, 'event_type': 'route_changed', 'action': action, 'tenant': tenant,
                  'service': service, 'env': env, 'version': version, 'url': url, 'occurred_at': {ISO_Z},
-                 'correlation_id': correlation_id}}) AS value
+                 'correlation_id': correlation_id}}) AS VARCHAR) AS value
   FROM audit"""
 
 
