@@ -80,8 +80,8 @@ def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str,
 
 
 def key_order_query(stream: DataFrame, state_path: str, checkpoint: str, **kw):
-    """Latest state per route: per batch the newest event by (partition, offset) per key,
-    merged with the stored state (newer offset wins)."""
+    """Latest state per route: per batch the newest event by (partition, offset) per key is
+    written under ``batch=<id>``; readers merge by (partition, offset) (``read_key_state``)."""
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         valid, _ = H.split_valid(H.parse_envelope(batch))
@@ -95,9 +95,11 @@ def key_order_query(stream: DataFrame, state_path: str, checkpoint: str, **kw):
 
 
 def read_key_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """Newest per route by (partition, offset), not by batch: a key lives in one partition,
+    whose offsets order its events even when a later batch carries older records."""
     k = list(X.ROUTE_COLS)
     d = spark.read.parquet(state_path)
-    g = d.groupBy(*k).agg(F.max(F.struct("batch_id", "offset", "action", "url", "event_id")).alias("l"))
+    g = d.groupBy(*k).agg(F.max(F.struct("partition", "offset", "action", "url", "event_id")).alias("l"))
     return g.select(*k, F.col("l.action").alias("action"), F.col("l.url").alias("url"),
                     F.col("l.event_id").alias("event_id"))
 
