@@ -16,6 +16,8 @@ State: mode (closed / open / half_open), failure times inside the window, execut
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..sources.lake import cut_lineage
 
+log = logging.getLogger(__name__)
+
 KEY = ["instance", "dependency"]
 STATE_COLS = ["in_mode", "in_fails", "in_calls", "in_open"]
 OUT_SCHEMA = ("instance string, dependency string, chunk long, call_id long, ts timestamp, is_failure boolean, "
@@ -81,46 +85,52 @@ def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 8
     base = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("chunk", chunk)
             .withColumn("_us", F.unix_micros("ts"))
             .join(F.broadcast(limits), "dependency"))
-    base = cut_lineage(spark, base, "breaker-calls")
     # guessed opening state per chunk: closed, no failures, calls seen so far (capped)
     sizes = base.groupBy(*KEY, "chunk").agg(F.count(F.lit(1)).alias("n"), F.first("min_calls").alias("min_calls"))
     w = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    guess = sizes.select(*KEY, "chunk", F.lit("closed").alias("in_mode"), F.lit("").alias("in_fails"),
-                         F.least(F.coalesce(F.sum("n").over(w), F.lit(0)), F.col("min_calls")).alias("in_calls"),
-                         F.lit(None).cast("long").alias("in_open"))
-    guess = cut_lineage(spark, guess, "breaker-guess")
+    used = sizes.select(*KEY, "chunk", F.lit("closed").alias("in_mode"), F.lit("").alias("in_fails"),
+                        F.least(F.coalesce(F.sum("n").over(w), F.lit(0)), F.col("min_calls")).alias("in_calls"),
+                        F.lit(None).cast("long").alias("in_open"))
 
-    def run(states: DataFrame) -> DataFrame:
+    def run(states: DataFrame, r: int) -> DataFrame:
+        # the fold output is the one thing worth writing: it is read by the check and the result
         rows = base.join(states, KEY + ["chunk"])
-        return cut_lineage(spark, rows.groupBy(*KEY, "chunk").applyInPandas(_fold, OUT_SCHEMA), "breaker-fold")
+        folded = rows.groupBy(*KEY, "chunk").applyInPandas(_fold, OUT_SCHEMA).withColumn("round", F.lit(r))
+        return cut_lineage(spark, folded, "breaker-fold")
 
-    results = run(guess).withColumn("round", F.lit(0))
-    used = guess
+    parts = [run(used, 0)]
     for r in range(1, max_rounds + 1):
-        outs = results.filter("is_last").select(*KEY, "chunk", "round", "out_mode", "out_fails", "out_calls", "out_open")
-        latest = outs.withColumn("_rk", F.row_number().over(Window.partitionBy(*KEY, "chunk").orderBy(F.col("round").desc()))) \
-            .filter("_rk = 1").drop("_rk", "round")
+        outs = parts[0].filter("is_last") if len(parts) == 1 else \
+            _latest(parts).filter("is_last")
         wprev = Window.partitionBy(*KEY).orderBy("chunk")
-        truth = latest.select(*KEY, "chunk",
-                              *[F.lag(c).over(wprev).alias(n) for c, n in
-                                zip(["out_mode", "out_fails", "out_calls", "out_open"], STATE_COLS)])
+        truth = outs.select(*KEY, "chunk", *[F.lag(c).over(wprev).alias(n) for c, n in
+                                             zip(["out_mode", "out_fails", "out_calls", "out_open"], STATE_COLS)])
         cmp = used.alias("u").join(truth.alias("t"), KEY + ["chunk"])
         differs = ~(F.col("t.in_mode").isNull()
                     | ((F.col("u.in_mode") == F.col("t.in_mode")) & (F.col("u.in_fails") == F.col("t.in_fails"))
                        & (F.col("u.in_calls") == F.col("t.in_calls"))
                        & F.col("u.in_open").eqNullSafe(F.col("t.in_open"))))
-        redo = cut_lineage(spark, cmp.filter(differs).select(*KEY, "chunk", *[F.col(f"t.{c}").alias(c) for c in STATE_COLS]),
-                           "breaker-redo")
+        redo = cmp.filter(differs).select(*KEY, "chunk", *[F.col(f"t.{c}").alias(c) for c in STATE_COLS])
         if redo.limit(1).count() == 0:
             break
-        results = results.unionByName(run(redo).withColumn("round", F.lit(r)))
-        used = (used.join(redo.select(*KEY, "chunk"), KEY + ["chunk"], "left_anti").unionByName(redo))
-        used = cut_lineage(spark, used, "breaker-used")
-    final_round = results.groupBy(*KEY, "chunk").agg(F.max("round").alias("round"))
-    out = results.join(final_round, KEY + ["chunk", "round"])
+        log.info("breaker fold: round %d re-folds chunks whose opening state was wrong", r)
+        redo = cut_lineage(spark, redo, "breaker-redo")
+        parts.append(run(redo, r))
+        used = cut_lineage(spark, used.join(redo.select(*KEY, "chunk"), KEY + ["chunk"], "left_anti")
+                           .unionByName(redo), "breaker-used")
+    out = parts[0] if len(parts) == 1 else _latest(parts)
     return out.select(*KEY, "call_id", "ts", "is_failure", "outcome", "state")
 
 
+def _latest(parts) -> DataFrame:
+    """Rows of every chunk from the last round that folded it."""
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    last = res.groupBy(*KEY, "chunk").agg(F.max("round").alias("round"))
+    return res.join(last, KEY + ["chunk", "round"])
+
+
 def breaker_intervals(timeline: DataFrame) -> DataFrame:
     """closed / open / half_open intervals per key from the per-call states. The previous
     state comes from the chunked lag; only the transition rows (few) are windowed per key."""

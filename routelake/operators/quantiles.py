@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import maybe_broadcast
-
 K1 = 64            # level-1 buckets per octave
 OFF = 1_000_000    # keeps level-1 ids of positive and negative values apart
 K2 = 65536         # level-2 linear sub-buckets
@@ -51,10 +49,12 @@ def order_statistics(df: DataFrame, groups, value: str, wanted: DataFrame) -> Da
     d = d.withColumn("_b1", _b1(F.col("_x")))
     want = wanted.select(*g, "rank").distinct().withColumn("_r", F.col("rank"))
     c1 = d.groupBy(*g, "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
-    t1 = maybe_broadcast(_locate(c1, g, "_b1", want, "_r"))
+    # t1/t2 hold (#groups x #ranks) rows; AQE turns their joins into broadcasts from the
+    # measured size at run time, and keeps shuffle joins if #groups is large
+    t1 = _locate(c1, g, "_b1", want, "_r")
     d2 = d.join(t1.select(*g, "_b1").distinct(), g + ["_b1"], "left_semi").withColumn("_b2", _b2(F.col("_x"), F.col("_b1")))
     c2 = d2.groupBy(*g, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt"))
-    t2 = maybe_broadcast(_locate(c2, g + ["_b1"], "_b2", t1, "_r"))
+    t2 = _locate(c2, g + ["_b1"], "_b2", t1, "_r")
     d3 = d2.join(t2.select(*g, "_b1", "_b2").distinct(), g + ["_b1", "_b2"], "left_semi")
     w = Window.partitionBy(*g, "_b1", "_b2").orderBy("_x")
     d3 = d3.withColumn("_r", F.row_number().over(w))
