@@ -221,3 +221,33 @@ def q_stream_ttl_lookup(spark, d):
          .trigger(availableNow=True).start())
     S.run(q)
     return spark.read.schema(S.TTL_OUT).parquet(out)
+
+
+def ttl_fold_sql() -> str:
+    """Keyed TTL cache replayed request by request with a recursive CTE."""
+    return f"""WITH RECURSIVE st AS (
+  SELECT tenant, service, env, version, url, action FROM audit
+  QUALIFY row_number() OVER (PARTITION BY tenant, service, env, version ORDER BY occurred_at DESC, event_id DESC) = 1),
+r0 AS (SELECT 'route:' || e.tenant || ':' || e.service || ':' || e.env || ':' || e.version AS route_key,
+              e.event_seq AS request_id, e.occurred_at AS ts, epoch_us(e.occurred_at) AS us,
+              CASE WHEN st.action <> 'deactivated' THEN st.url END AS catalog_url,
+              row_number() OVER (PARTITION BY e.tenant, e.service, e.env, e.version ORDER BY e.occurred_at, e.event_seq) AS rn
+         FROM event_rows e LEFT JOIN st ON e.tenant = st.tenant AND e.service = st.service AND e.env = st.env
+                                       AND e.version = st.version),
+f AS (
+  SELECT DISTINCT route_key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS TIMESTAMP) AS ts,
+         CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS s_url,
+         CAST(NULL AS BOOLEAN) AS s_neg, CAST(NULL AS BIGINT) AS s_exp FROM r0
+  UNION ALL
+  SELECT r.route_key, r.rn, r.request_id, r.ts,
+         CASE WHEN f.s_exp > r.us THEN (CASE WHEN f.s_neg THEN 'negative_hit' ELSE 'hit' END) ELSE 'miss' END,
+         CASE WHEN f.s_exp > r.us THEN (CASE WHEN f.s_neg THEN NULL ELSE f.s_url END) ELSE r.catalog_url END,
+         CASE WHEN f.s_exp > r.us THEN f.s_url ELSE r.catalog_url END,
+         CASE WHEN f.s_exp > r.us THEN f.s_neg ELSE r.catalog_url IS NULL END,
+         CASE WHEN f.s_exp > r.us THEN f.s_exp
+              ELSE r.us + (CASE WHEN r.catalog_url IS NULL THEN 10 ELSE 60 END) * 1000000 END
+    FROM f JOIN r0 r ON r.route_key = f.route_key AND r.rn = f.rn + 1)
+SELECT route_key, request_id, ts, outcome, url FROM f WHERE rn > 0"""
+
+
+QUERIES_TO_SQL = {"stream_ttl_lookup": ttl_fold_sql()}

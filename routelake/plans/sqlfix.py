@@ -125,6 +125,9 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS (\n{FIXTURES[n]}\n)" for n in order)
     body = sql.lstrip()
+    m = re.match(r"(?is)with\s+recursive\s+", body)
+    if m:
+        return f"WITH RECURSIVE {ctes},\n{body[m.end():]}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
