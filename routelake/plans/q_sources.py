@@ -13,7 +13,7 @@ from ..operators import ingest as I
 from ..session import scratch_path
 from ..sources import lake
 from ..sources.tables import CATALOG_AS_OF, Tables, flat_route
-from .q_audit import AUDIT_COLS, AUDIT_SQL, flat
+from .q_audit import AUDIT_SQL, flat
 from .registry import register
 
 
