@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from . import scan
+from .joins import maybe_broadcast
 
 # Exposition line and log line formats of the reference.
 EXPO_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(.*)\})?\s+(\S+)(\s+(-?[0-9]+))?\s*$"
@@ -49,7 +50,7 @@ def parse_exposition(lines: DataFrame) -> DataFrame:
         F.map_from_arrays(F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 1),
                           F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 2)).alias("labels"),
         num.try_cast("double").alias("value"))
-    return parsed.join(F.broadcast(types), "metric", "left")
+    return parsed.join(maybe_broadcast(types), "metric", "left")
 
 
 # ------------------------------------------------------------------ application log

@@ -16,6 +16,7 @@ from .. import schemas
 from ..functions import expr as X
 from ..operators import audit as A
 from ..operators import catalog as C
+from ..operators.joins import maybe_broadcast
 from ..sources import lake
 
 REQUIRED = ["action", *X.ROUTE_COLS]
@@ -64,7 +65,7 @@ def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str) -> DataF
     if lake.path_exists(spark, path):
         days = rows.select("event_date").distinct()
         # semi join on the partition column: dynamic partition pruning reads only those days
-        stored = (lake.read_audit(spark, path).join(F.broadcast(days), "event_date", "left_semi")
+        stored = (lake.read_audit(spark, path).join(maybe_broadcast(days), "event_date", "left_semi")
                   .select("event_id"))
         rows = rows.join(stored, "event_id", "left_anti")
     rows.write.mode("append").partitionBy("event_date").parquet(path)
