@@ -35,3 +35,5 @@ CACHE = T.StructType([
     T.StructField("route_key", S), T.StructField("url", S), T.StructField("is_negative", T.BooleanType()),
     T.StructField("expires_at", T.TimestampType()),
 ])
+
+CACHE_BUCKETED = T.StructType(CACHE.fields + [T.StructField("bucket", T.IntegerType())])

@@ -73,27 +73,52 @@ def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str) -> DataF
 
 
 class CacheStore:
-    """Versioned cache snapshot: ``<path>/v=<batch id>``; the highest version is current."""
+    """Cache snapshot as a table hash-bucketed on ``route_key`` (``<path>/bucket=<b>``).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A micro-batch reads only the buckets its changed keys fall into (partition pruning),
+    computes their new content, stages it in the shared folder and swaps just those
+    buckets in with dynamic partition overwrite, so the work per batch follows the batch,
+    not the cache size. Every written bucket carries one marker row (route_key null) so a
+    bucket emptied by invalidation is still replaced. Replays recompute the same buckets
+    from the same inputs (invalidate / warm are idempotent)."""
 
-    def current_version(self):
-        """Highest committed version from the small ``_versions`` log (None when empty)."""
-        if not lake.path_exists(self.spark, f"{self.path}/_versions"):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), int(buckets)
+
+    def bucket_of(self, key) -> F.Column:
+        k = F.col(key) if isinstance(key, str) else key
+        return F.pmod(F.xxhash64(k), F.lit(self.buckets)).cast("int")
+
+    def _table(self) -> DataFrame | None:
+        if not lake.path_exists(self.spark, self.path):
             return None
-        return self.spark.read.schema("v long").parquet(f"{self.path}/_versions").agg(F.max("v")).first()[0]
+        return self.spark.read.schema(schemas.CACHE_BUCKETED).parquet(self.path)
 
     def current(self) -> DataFrame:
-        v = self.current_version()
-        if v is None:
+        t = self._table()
+        if t is None:
             return self.spark.createDataFrame([], schemas.CACHE)
-        return self.spark.read.schema(schemas.CACHE).parquet(f"{self.path}/v={v}")
+        return t.filter(F.col("route_key").isNotNull()).drop("bucket")
+
+    def read_buckets(self, buckets: DataFrame) -> DataFrame:
+        """Entries of the given buckets only (``buckets``: one int column ``bucket``)."""
+        t = self._table()
+        if t is None:
+            return self.spark.createDataFrame([], schemas.CACHE)
+        return (t.join(maybe_broadcast(buckets), "bucket", "left_semi")
+                .filter(F.col("route_key").isNotNull()).drop("bucket"))
+
+    def replace_buckets(self, rows: DataFrame, buckets: DataFrame, batch_id: int) -> None:
+        marker = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CACHE.fields], "bucket")
+        out = rows.withColumn("bucket", self.bucket_of("route_key")).unionByName(marker)
+        staged = lake.cut_lineage(self.spark, out, f"cache-stage-{int(batch_id)}")  # never read and overwrite one path
+        (staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(self.path))
 
     def commit(self, df: DataFrame, batch_id: int) -> None:
-        """Write the snapshot first, then record it; a replay rewrites the same version."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v={int(batch_id)}")
-        self.spark.createDataFrame([(int(batch_id),)], "v long").write.mode("append").parquet(f"{self.path}/_versions")
+        """Write a whole snapshot (the starting state)."""
+        all_buckets = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket"))
+        self.replace_buckets(df, all_buckets, batch_id)
 
 
 def changed_keys(valid: DataFrame) -> DataFrame:

@@ -70,12 +70,14 @@ def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str,
         spark = batch.sparkSession
         store = H.CacheStore(spark, cache_path)
         valid, _ = H.split_valid(H.parse_envelope(batch))
-        cache = store.current()
+        keys = H.changed_keys(valid).select(X.route_cache_key().alias("route_key"))
+        touched = keys.select(store.bucket_of("route_key").alias("bucket")).distinct()
+        cache = store.read_buckets(touched)
         if invalidate:
             cache = H.invalidate(cache, valid)
         if warm:
             cache = H.warm(cache, valid, routes_fn(spark))
-        store.commit(cache, batch_id)
+        store.replace_buckets(cache, touched, batch_id)
     return _start(stream, handle, checkpoint, **kw)
 
 

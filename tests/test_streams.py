@@ -99,3 +99,25 @@ def test_ttl_state(spark):
     S.run(q)
     got = {r.request_id: r.outcome for r in spark.read.schema(S.TTL_OUT).parquet(out).collect()}
     assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 5: "negative_hit", 6: "miss"}
+
+
+def test_cache_batch_rewrites_only_touched_buckets(spark):
+    import glob
+    import os
+    src, cache_path, ck = (scratch_path(spark, n) for n in ("src", "cache", "ck"))
+    store = H.CacheStore(spark, cache_path, buckets=16)
+    keys = [f"route:t:s:e:v{i}" for i in range(200)]
+    store.commit(spark.createDataFrame([(k, "http://x", False, T0) for k in keys], schemas.CACHE), -1)
+
+    def snapshot():
+        return {d: sorted(os.listdir(d)) for d in glob.glob(f"{cache_path}/bucket=*")}
+    before = snapshot()
+    write_batch(spark, src, [env_row("1", "created", 0, 0, 1, route=("t", "s", "e", "v7"))])
+    routes = spark.createDataFrame([("t", "s", "e", "v7", "http://new", True)],
+                                   "tenant string, service string, env string, version string, url string, is_active boolean")
+    S.run(S.cache_query(S.read_route_stream(spark, src), cache_path, lambda s: routes, ck))
+    after = snapshot()
+    changed = [d for d in before if before[d] != after.get(d)]
+    assert len(changed) == 1
+    cur = {r.route_key: r.url for r in store.current().collect()}
+    assert len(cur) == 200 and cur["route:t:s:e:v7"] == "http://new" and cur["route:t:s:e:v8"] == "http://x"
