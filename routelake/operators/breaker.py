@@ -80,7 +80,8 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 86400,
                      max_rounds: int = 50) -> DataFrame:
     """Per call: executed or rejected, and the breaker state right after it."""
-    spark = calls.sparkSession
+    from ..session import configure
+    spark = configure(calls.sparkSession)
     chunk = F.floor(F.unix_micros("ts") / F.lit(chunk_seconds * 1_000_000)).cast("long")
     base = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("chunk", chunk)
             .withColumn("_us", F.unix_micros("ts"))

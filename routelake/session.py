@@ -23,6 +23,31 @@ SQL_CONF = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``routelake`` importable in Python workers (grouped-map pandas functions are
+    pickled by reference): zip the package once per SparkContext and add it with
+    ``addPyFile``, the programmatic form of ``--py-files``."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="routelake-pyfiles-"), "routelake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         if spark.conf.get(k, None) != v:
@@ -30,6 +55,7 @@ def configure(spark: SparkSession) -> SparkSession:
                 spark.conf.set(k, v)
             except Exception:  # static conf on a shared session: leave as is
                 pass
+    ship_package(spark)
     return spark
 
 

@@ -156,6 +156,9 @@ def ttl_lookup(requests_with_catalog: DataFrame, watermark: str = "1 minute") ->
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    from ..session import configure
+    configure(requests_with_catalog.sparkSession)
+
     def step(key, pdfs, state):
         if state.hasTimedOut:  # the entry expired and no request came since: drop it
             state.remove()
