@@ -92,7 +92,10 @@ def _valid_cache(cache: DataFrame, as_of) -> DataFrame:
 def resolve_cache_aside(requests: DataFrame, cache: DataFrame, routes: DataFrame, as_of) -> DataFrame:
     """Cache-aside resolve for a batch: hit / negative_hit from the snapshot; a miss falls
     through to the catalog and yields the entry that would be written (60 s / 10 s TTL).
-    Only misses are joined with the catalog."""
+
+    Both joins are on ``route_key``: the request side comes out of the cache join already
+    hash-partitioned on it, so the catalog join shuffles only the catalog side, and its
+    extra condition lets only misses match."""
     as_of = X.lit_ts(as_of) if isinstance(as_of, str) else as_of
     r = requests.withColumn("route_key", X.route_cache_key())
     c = r.join(_valid_cache(cache, as_of), "route_key", "left")
@@ -100,25 +103,17 @@ def resolve_cache_aside(requests: DataFrame, cache: DataFrame, routes: DataFrame
     outcome = (F.when(F.col("is_negative") == True, F.lit("negative_hit"))  # noqa: E712
                .when(positive, F.lit("hit")).otherwise(F.lit("miss")))
     c = c.withColumn("outcome", outcome)
-    base = ["request_id", *ROUTE, "route_key", "outcome"]
-    hits = c.filter(F.col("outcome") != "miss").select(
-        *base,
-        F.when(F.col("outcome") == "hit", F.col("cached_url")).alias("url"),
-        F.lit("cache").alias("source"),
-        F.lit(False).alias("db_queried"),
-        F.lit(None).cast("string").alias("cache_write"),
-        F.lit(None).cast("timestamp").alias("cache_expires_at"))
-    miss = c.filter(F.col("outcome") == "miss").drop("cached_url", "is_negative")
-    m = miss.join(active_routes(routes), ROUTE, "left")
-    found = F.col("url").isNotNull()
-    misses = m.select(
-        *base, "url",
-        F.when(found, F.lit("database")).otherwise(F.lit("none")).alias("source"),
-        F.lit(True).alias("db_queried"),
-        F.when(found, F.lit("positive")).otherwise(F.lit("negative")).alias("cache_write"),
-        F.when(found, X.ts_plus_seconds(as_of, X.POSITIVE_TTL_SECONDS))
-        .otherwise(X.ts_plus_seconds(as_of, X.NEGATIVE_TTL_SECONDS)).alias("cache_expires_at"))
-    out = hits.unionByName(misses)
+    act = active_routes(routes).select(X.route_cache_key().alias("_rk"), F.col("url").alias("_db_url"))
+    m = c.join(act, (c["route_key"] == act["_rk"]) & (c["outcome"] == "miss"), "left")
+    miss, found = F.col("outcome") == "miss", F.col("_db_url").isNotNull()
+    url = F.when(F.col("outcome") == "hit", F.col("cached_url")).when(miss, F.col("_db_url"))
+    out = m.select(
+        "request_id", *ROUTE, "route_key", "outcome", url.alias("url"),
+        F.when(~miss, F.lit("cache")).when(found, F.lit("database")).otherwise(F.lit("none")).alias("source"),
+        miss.alias("db_queried"),
+        F.when(miss, F.when(found, F.lit("positive")).otherwise(F.lit("negative"))).alias("cache_write"),
+        F.when(miss, F.when(found, X.ts_plus_seconds(as_of, X.POSITIVE_TTL_SECONDS))
+               .otherwise(X.ts_plus_seconds(as_of, X.NEGATIVE_TTL_SECONDS))).alias("cache_expires_at"))
     return out.withColumn("status_code", F.when(F.col("url").isNull(), 404).otherwise(200))
 
 
