@@ -211,6 +211,9 @@ def apply_change_log(routes: DataFrame, change_log: DataFrame, as_of):
     ``routes``: the current route table (names, url, is_active). An op is applied when the
     route exists before the batch, or a create came earlier in the batch; other ops are
     rejects. Result per key from partial aggregates (no per-key sort)."""
+    from ..sources.lake import cut_lineage
+    # the batch is read by five branches below: write it once to the shared folder
+    change_log = cut_lineage(change_log.sparkSession, change_log, "change-batch")
     cl = change_log.filter(X.all_present(*ROUTE))
     bad = change_log.filter(~X.all_present(*ROUTE)).withColumn("reject_reason", F.lit("missing_field"))
     # only the routes the batch touches are read from the (large) route table: a semi join
