@@ -77,8 +77,9 @@ def q_shape_route_event(spark, d):
 @register("sink_route_stream", SHAPE_SQL)
 def q_sink_route_stream(spark, d):
     """Publish: key/value rows appended to the topic folder (JSON lines), read back."""
+    from ..streaming.streams import publish_route_events
     path = scratch_path(spark, "route-events-topic")
-    shape_route_event(flat_route(Tables(spark, d).audit)).write.json(path)
+    publish_route_events(shape_route_event(flat_route(Tables(spark, d).audit)), path=path)
     return spark.read.schema("key string, value string").json(path)
 
 

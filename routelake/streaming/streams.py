@@ -185,3 +185,14 @@ def ttl_lookup(requests_with_catalog: DataFrame, watermark: str = "1 minute") ->
 
     return (requests_with_catalog.withWatermark("ts", watermark).groupBy("route_key")
             .applyInPandasWithState(step, TTL_OUT, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def publish_route_events(events_kv: DataFrame, path: str | None = None, kafka_servers: str | None = None) -> None:
+    """Publish (key, value) rows: to the ``route-events`` topic when Kafka is given (key =
+    route, so one route's events stay in one partition and in order), else appended as
+    JSON lines to ``path`` (same two columns)."""
+    if kafka_servers:
+        (events_kv.select(F.col("key").cast("binary"), F.col("value").cast("binary")).write.format("kafka")
+         .option("kafka.bootstrap.servers", kafka_servers).option("topic", TOPIC).save())
+        return
+    events_kv.select("key", "value").write.mode("append").json(path)

@@ -292,3 +292,28 @@ def test_dense_index_and_chunked_windows_match_plain_windows(spark):
     assert bad == 0
     idx = D.dense_index(df.select("id"), ["id"], num_partitions=5).collect()
     assert sorted((r.id, r.idx) for r in idx) == [(i, i) for i in range(3000)]
+
+
+def test_chunked_asof_halo_and_trailing_match_plain_windows(spark):
+    """Hot key 'a' holds most rows; chunks of 5 minutes force many chunk boundaries."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["a"] * 8 + ["b", "c"]), ts(rnd.randint(0, 20000)), k, float(rnd.randint(0, 9)))
+            for k in range(2500)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, v double").dropDuplicates(["key", "ts"])
+    # as-of: value of the newest row at or before ts - 600 s
+    right = df.select("key", (F.col("ts") + F.expr("INTERVAL 600 SECONDS")).alias("ts"), "v")
+    got = scan.asof_last(df.select("key", "ts", "id"), right, ["key"], "ts", "v", "before", chunk_seconds=300)
+    u = (df.select("key", "ts", "id", F.lit(None).cast("double").alias("rv"), F.lit(1).alias("side"))
+         .unionByName(right.select("key", "ts", F.lit(None).cast("long").alias("id"), F.col("v").alias("rv"),
+                                   F.lit(0).alias("side"))))
+    w = Window.partitionBy("key").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
+    ref = u.withColumn("before", F.last("rv", ignorenulls=True).over(w)).filter("side = 1")
+    j = got.select("id", "before").join(ref.select("id", F.col("before").alias("ref")), "id")
+    assert j.filter(~F.col("before").eqNullSafe(F.col("ref"))).count() == 0
+    # trailing sums (t - 900 s, t] and a halo window avg vs plain range frames
+    wr = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-900 * 1_000_000 + 1, 0)
+    ref2 = df.select("id", F.sum("v").over(wr).alias("s_ref"), F.avg("v").over(wr).alias("a_ref"))
+    ts_ = scan.trailing_sums(df, ["key"], "ts", "id", 900, {"s": F.col("v")}, include_lower=False)
+    hw = scan.halo_window(df, ["key"], "ts", 900, lambda w_: {"a": F.avg("v").over(w_)})
+    j2 = ref2.join(ts_.select("id", "s"), "id").join(hw.select("id", "a"), "id")
+    assert j2.filter((F.col("s") != F.col("s_ref")) | (F.abs(F.col("a") - F.col("a_ref")) > 1e-9)).count() == 0
