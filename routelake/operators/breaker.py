@@ -2,13 +2,16 @@
 
 The fold is sequential per (instance, dependency), but no key's whole history goes to one
 task. The log is cut into chunks (a day by default) and every chunk is folded in parallel
-(``applyInPandas`` per (key, chunk)) from a *guessed* opening state: closed, no recent
-failures. The true opening state of a chunk is the closing state of the chunk before it;
-where guess and truth differ, only those chunks are folded again with the true state, and
-this repeats until nothing changes. A breaker forgets its past within one window plus one
-timeout, so a wrong guess rarely survives past the first minutes of a chunk and the loop
-ends after one or two rounds; each round is one distributed job over the affected chunks
-and a tiny state table. Intermediate results go to the shared checkpoint folder.
+(``applyInPandas`` per (key, chunk)). Each chunk first replays, without emitting them, the
+calls of the (window + timeout) before it, starting from a *guessed* state (closed, no
+failures); a breaker mostly forgets older history, so the opening state this yields is
+usually right. The true opening state of a chunk is the closing state of the chunk before
+it; where the two differ, the chunk is folded again from the true state (no replay), and
+the state is carried through up to ``run_chunks`` following chunks in the same task, so a
+long chain of dependent chunks is settled ``run_chunks`` at a time. This repeats until
+nothing changes. Each round is one distributed job over the affected chunks and a tiny
+state table (work per task: at most ``run_chunks`` chunks of one key); fold outputs go to
+the shared checkpoint folder.
 
 State: mode (closed / open / half_open), failure times inside the window, executed calls
 (capped at min_calls, the only use of the count), time the breaker last opened.
@@ -30,12 +33,17 @@ log = logging.getLogger(__name__)
 KEY = ["instance", "dependency"]
 STATE_COLS = ["in_mode", "in_fails", "in_calls", "in_open"]
 OUT_SCHEMA = ("instance string, dependency string, chunk long, call_id long, ts timestamp, is_failure boolean, "
-              "outcome string, state string, out_mode string, out_fails string, out_calls long, out_open long, "
-              "is_last boolean")
+              "outcome string, state string, st_mode string, st_fails string, st_calls long, st_open long, "
+              "out_mode string, out_fails string, out_calls long, out_open long, is_last boolean")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Replay the state machine over one group's calls in time order. The group is one chunk
+    (first pass, with replayed prefix rows) or a run of consecutive chunks (fix-up, exact
+    opening state). Emits the group's own rows with each chunk's opening and closing state."""
     pdf = pdf.sort_values(["_us", "call_id"], kind="stable")
+    if bool(pdf["in_exact"].iloc[0]):  # the true opening state is known: no replay needed
+        pdf = pdf[~pdf["_pre"].to_numpy(bool)]
     thr, timeout, window, min_calls = (int(pdf[c].iloc[0]) for c in
                                        ("failure_threshold", "timeout_seconds", "window_seconds", "min_calls"))
     timeout_us, window_us = timeout * 1_000_000, window * 1_000_000
@@ -44,54 +52,80 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     calls = int(pdf["in_calls"].iloc[0])
     last_open = pdf["in_open"].iloc[0]
     last_open = None if pd.isna(last_open) else int(last_open)
-    outcome, state = [], []
-    for t, f in zip(pdf["_us"].to_numpy(np.int64), pdf["is_failure"].to_numpy(bool)):
+    pre = pdf["_pre"].to_numpy(bool)
+    chunks = pdf["chunk"].to_numpy(np.int64)
+    outcome, state, opening, closing = [], [], {}, {}
+    for i, (t, f) in enumerate(zip(pdf["_us"].to_numpy(np.int64), pdf["is_failure"].to_numpy(bool))):
+        if not pre[i] and chunks[i] not in opening:
+            opening[chunks[i]] = (mode, ",".join(map(str, fails)), calls, last_open)
         cutoff = t - window_us
         fails = [x for x in fails if x > cutoff]
         if mode == "open" and last_open is not None and t - last_open >= timeout_us:
             mode, fails = "half_open", []
         if mode == "open":
             outcome.append("rejected")
-            state.append(mode)
-            continue
-        calls = min(calls + 1, min_calls)
-        if not f:
-            if mode == "half_open":
-                mode, fails, last_open = "closed", [], None
         else:
-            fails.append(int(t))
-            if mode == "half_open":
-                mode, last_open = "open", int(t)
-            elif calls >= min_calls and len(fails) >= thr:
-                mode, last_open = "open", int(t)
-        outcome.append("executed")
+            calls = min(calls + 1, min_calls)
+            if not f:
+                if mode == "half_open":
+                    mode, fails, last_open = "closed", [], None
+            else:
+                fails.append(int(t))
+                if mode == "half_open":
+                    mode, last_open = "open", int(t)
+                elif calls >= min_calls and len(fails) >= thr:
+                    mode, last_open = "open", int(t)
+            outcome.append("executed")
         state.append(mode)
-    n = len(pdf)
+        if not pre[i]:
+            closing[chunks[i]] = (mode, ",".join(map(str, fails)), calls, last_open)
+    own = ~pre
+    if not own.any():
+        return pd.DataFrame(columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
+    ch = chunks[own]
+    st = [opening[c] for c in ch]
+    cl = [closing[c] for c in ch]
+    last = np.append(ch[1:] != ch[:-1], True)
     out = pd.DataFrame({
-        "instance": pdf["instance"].to_numpy(), "dependency": pdf["dependency"].to_numpy(),
-        "chunk": pdf["chunk"].to_numpy(), "call_id": pdf["call_id"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-        "is_failure": pdf["is_failure"].to_numpy(), "outcome": outcome, "state": state,
-        "out_mode": [mode] * n, "out_fails": [",".join(map(str, fails))] * n, "out_calls": [calls] * n,
-        "out_open": [last_open] * n, "is_last": [False] * (n - 1) + [True]})
+        "instance": pdf["instance"].to_numpy()[own], "dependency": pdf["dependency"].to_numpy()[own],
+        "chunk": ch, "call_id": pdf["call_id"].to_numpy()[own],
+        "ts": pdf["ts"].to_numpy()[own], "is_failure": pdf["is_failure"].to_numpy()[own],
+        "outcome": np.asarray(outcome, dtype=object)[own], "state": np.asarray(state, dtype=object)[own],
+        "st_mode": [x[0] for x in st], "st_fails": [x[1] for x in st], "st_calls": [x[2] for x in st],
+        "st_open": [x[3] for x in st],
+        "out_mode": [x[0] for x in cl], "out_fails": [x[1] for x in cl], "out_calls": [x[2] for x in cl],
+        "out_open": [x[3] for x in cl], "is_last": last})
     out["out_open"] = out["out_open"].astype("Int64")
+    out["st_open"] = out["st_open"].astype("Int64")
     return out
 
 
 def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 86400,
-                     max_rounds: int = 50) -> DataFrame:
-    """Per call: executed or rejected, and the breaker state right after it."""
+                     run_chunks: int = 8) -> DataFrame:
+    """Per call: executed or rejected, and the breaker state right after it. Always exact:
+    fix-up rounds run until every chunk's opening state is the closing state before it."""
     from ..session import configure
     spark = configure(calls.sparkSession)
-    chunk = F.floor(F.unix_micros("ts") / F.lit(chunk_seconds * 1_000_000)).cast("long")
-    base = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("chunk", chunk)
-            .withColumn("_us", F.unix_micros("ts"))
-            .join(F.broadcast(limits), "dependency"))
-    # guessed opening state per chunk: closed, no failures, calls seen so far (capped)
-    sizes = base.groupBy(*KEY, "chunk").agg(F.count(F.lit(1)).alias("n"), F.first("min_calls").alias("min_calls"))
+    C = chunk_seconds * 1_000_000
+    us = F.unix_micros("ts")
+    own = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("_us", us)
+           .withColumn("chunk", F.floor(F.col("_us") / F.lit(C)).cast("long")).withColumn("_pre", F.lit(False)))
+    own = own.join(F.broadcast(limits), "dependency")
+    # prefix: the calls of the last (window + timeout) before a chunk are replayed (not
+    # emitted) ahead of it, so a guessed opening state is usually right
+    horizon = (F.col("window_seconds") + F.col("timeout_seconds")) * 1_000_000
+    first_next = F.floor(F.col("_us") / F.lit(C)).cast("long") + 1
+    last_next = F.floor((F.col("_us") + horizon) / F.lit(C)).cast("long")
+    pre = (own.filter(last_next >= first_next)
+           .withColumn("chunk", F.explode(F.sequence(first_next, last_next))).withColumn("_pre", F.lit(True)))
+    chunks = own.select(*KEY, "chunk").distinct()
+    base = own.unionByName(pre.join(chunks, KEY + ["chunk"], "left_semi"))
+    # guessed opening state at the start of the prefix: closed, no failures, calls so far
+    sizes = own.groupBy(*KEY, "chunk").agg(F.count(F.lit(1)).alias("n"), F.first("min_calls").alias("min_calls"))
     w = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    used = sizes.select(*KEY, "chunk", F.lit("closed").alias("in_mode"), F.lit("").alias("in_fails"),
-                        F.least(F.coalesce(F.sum("n").over(w), F.lit(0)), F.col("min_calls")).alias("in_calls"),
-                        F.lit(None).cast("long").alias("in_open"))
+    guess = sizes.select(*KEY, "chunk", F.lit("closed").alias("in_mode"), F.lit("").alias("in_fails"),
+                         F.least(F.coalesce(F.sum("n").over(w), F.lit(0)), F.col("min_calls")).alias("in_calls"),
+                         F.lit(None).cast("long").alias("in_open"), F.lit(False).alias("in_exact"))
 
     def run(states: DataFrame, r: int) -> DataFrame:
         # the fold output is the one thing worth writing: it is read by the check and the result
@@ -99,26 +133,34 @@ def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 8
         folded = rows.groupBy(*KEY, "chunk").applyInPandas(_fold, OUT_SCHEMA).withColumn("round", F.lit(r))
         return cut_lineage(spark, folded, "breaker-fold")
 
-    parts = [run(used, 0)]
-    for r in range(1, max_rounds + 1):
-        outs = parts[0].filter("is_last") if len(parts) == 1 else \
-            _latest(parts).filter("is_last")
+    parts = [run(guess, 0)]
+    r = 0
+    while True:
+        r += 1
+        outs = (parts[0] if len(parts) == 1 else _latest(parts)).filter("is_last")
         wprev = Window.partitionBy(*KEY).orderBy("chunk")
-        truth = outs.select(*KEY, "chunk", *[F.lag(c).over(wprev).alias(n) for c, n in
-                                             zip(["out_mode", "out_fails", "out_calls", "out_open"], STATE_COLS)])
-        cmp = used.alias("u").join(truth.alias("t"), KEY + ["chunk"])
-        differs = ~(F.col("t.in_mode").isNull()
-                    | ((F.col("u.in_mode") == F.col("t.in_mode")) & (F.col("u.in_fails") == F.col("t.in_fails"))
-                       & (F.col("u.in_calls") == F.col("t.in_calls"))
-                       & F.col("u.in_open").eqNullSafe(F.col("t.in_open"))))
-        redo = cmp.filter(differs).select(*KEY, "chunk", *[F.col(f"t.{c}").alias(c) for c in STATE_COLS])
-        if redo.limit(1).count() == 0:
+        truth = outs.select(*KEY, "chunk", "st_mode", "st_fails", "st_calls", "st_open",
+                            *[F.lag(c).over(wprev).alias(n) for c, n in
+                              zip(["out_mode", "out_fails", "out_calls", "out_open"], STATE_COLS)])
+        differs = ~(F.col("in_mode").isNull()
+                    | ((F.col("st_mode") == F.col("in_mode")) & (F.col("st_fails") == F.col("in_fails"))
+                       & (F.col("st_calls") == F.col("in_calls")) & F.col("st_open").eqNullSafe(F.col("in_open"))))
+        wrong = truth.filter(differs).withColumn("run", F.floor(F.col("chunk") / run_chunks).cast("long"))
+        # per run of ``run_chunks`` chunks: start at its first wrong chunk with the true state
+        # and carry the state through the rest of the run in the same task
+        starts = (wrong.groupBy(*KEY, "run").agg(F.min(F.struct("chunk", *STATE_COLS)).alias("s"))
+                  .select(*KEY, "run", F.col("s.chunk").alias("from_chunk"),
+                          *[F.col(f"s.{c}").alias(c) for c in STATE_COLS], F.lit(True).alias("in_exact")))
+        starts = cut_lineage(spark, starts, "breaker-redo")
+        if starts.limit(1).count() == 0:
             break
-        log.info("breaker fold: round %d re-folds chunks whose opening state was wrong", r)
-        redo = cut_lineage(spark, redo, "breaker-redo")
-        parts.append(run(redo, r))
-        used = cut_lineage(spark, used.join(redo.select(*KEY, "chunk"), KEY + ["chunk"], "left_anti")
-                           .unionByName(redo), "breaker-used")
+        if r in (10, 100, 1000):
+            log.warning("breaker fold: %d fix-up rounds so far (long chains of dependent chunks)", r)
+        log.info("breaker fold: round %d re-folds runs that start with a wrong opening state", r)
+        rows = (own.withColumn("run", F.floor(F.col("chunk") / run_chunks).cast("long"))
+                .join(starts, KEY + ["run"]).filter(F.col("chunk") >= F.col("from_chunk")))
+        folded = (rows.groupBy(*KEY, "run").applyInPandas(_fold, OUT_SCHEMA).withColumn("round", F.lit(r)))
+        parts.append(cut_lineage(spark, folded, "breaker-fold"))
     out = parts[0] if len(parts) == 1 else _latest(parts)
     return out.select(*KEY, "call_id", "ts", "is_failure", "outcome", "state")
 

@@ -317,3 +317,21 @@ def test_chunked_asof_halo_and_trailing_match_plain_windows(spark):
     hw = scan.halo_window(df, ["key"], "ts", 900, lambda w_: {"a": F.avg("v").over(w_)})
     j2 = ref2.join(ts_.select("id", "s"), "id").join(hw.select("id", "a"), "id")
     assert j2.filter((F.col("s") != F.col("s_ref")) | (F.abs(F.col("a") - F.col("a_ref")) > 1e-9)).count() == 0
+
+
+def test_breaker_fixup_rounds_with_long_timeout(spark, caplog):
+    """Timeout much longer than a chunk: replay cannot settle the opening state, the
+    fix-up rounds must, and the result still equals the sequential fold."""
+    import logging
+    rnd = random.Random(5)
+    rows, t = [], 0.0
+    for _ in range(1200):
+        t += rnd.choice([1, 3, 8, 20, 60])
+        rows.append((t, rnd.random() < 0.5))
+    calls = spark.createDataFrame([("i", "database", ts(x), k, f) for k, (x, f) in enumerate(rows)],
+                                  "instance string, dependency string, ts timestamp, call_id long, is_failure boolean")
+    lim = RS.breaker_limits(spark, [("database", 3, 1500, 60, 5)])
+    with caplog.at_level(logging.INFO, logger="routelake.operators.breaker"):
+        got = B.breaker_timeline(calls, lim, chunk_seconds=300).orderBy("call_id").collect()
+    assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 3, 1500, 60, 5)
+    assert any("round" in m for m in caplog.messages)
