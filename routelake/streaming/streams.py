@@ -53,12 +53,15 @@ def audit_log_query(stream: DataFrame, audit_path: str, rejects_path: str, check
     """Write each change once to the audit table; rejects (malformed / missing fields) kept."""
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        parsed = H.parse_envelope(batch)
-        valid, rejects = H.split_valid(parsed)
-        rejects.select("key", "value", "partition", "offset", "timestamp", "reject_reason") \
-            .write.mode("append").parquet(rejects_path)
-        rows = H.to_audit_rows(H.first_per_event_id(valid.filter(F.col("event_id").isNotNull())))
-        H.append_audit(spark, rows, audit_path)
+        parsed = H.parse_envelope(batch).persist()  # read by both writes below
+        try:
+            valid, rejects = H.split_valid(parsed)
+            rejects.select("key", "value", "partition", "offset", "timestamp", "reject_reason") \
+                .write.mode("append").parquet(rejects_path)
+            rows = H.to_audit_rows(H.first_per_event_id(valid.filter(F.col("event_id").isNotNull())))
+            H.append_audit(spark, rows, audit_path)
+        finally:
+            parsed.unpersist()
     return _start(stream, handle, checkpoint, **kw)
 
 
@@ -70,14 +73,18 @@ def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str,
         spark = batch.sparkSession
         store = H.CacheStore(spark, cache_path)
         valid, _ = H.split_valid(H.parse_envelope(batch))
-        keys = H.changed_keys(valid).select(X.route_cache_key().alias("route_key"))
-        touched = keys.select(store.bucket_of("route_key").alias("bucket")).distinct()
-        cache = store.read_buckets(touched)
-        if invalidate:
-            cache = H.invalidate(cache, valid)
-        if warm:
-            cache = H.warm(cache, valid, routes_fn(spark))
-        store.replace_buckets(cache, touched, batch_id)
+        valid = valid.persist()  # read for the bucket set, the invalidation and the warming
+        try:
+            keys = H.changed_keys(valid).select(X.route_cache_key().alias("route_key"))
+            touched = keys.select(store.bucket_of("route_key").alias("bucket")).distinct()
+            cache = store.read_buckets(touched)
+            if invalidate:
+                cache = H.invalidate(cache, valid)
+            if warm:
+                cache = H.warm(cache, valid, routes_fn(spark))
+            store.replace_buckets(cache, touched, batch_id)
+        finally:
+            valid.unpersist()
     return _start(stream, handle, checkpoint, **kw)
 
 
