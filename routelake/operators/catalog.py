@@ -21,8 +21,8 @@ def route_table(tenants: DataFrame, services: DataFrame, environments: DataFrame
     ep = endpoints.select(F.col("id").alias("endpoint_id"), "environment_id", "version", "url",
                           "is_active", "created_at", "updated_at")
     j = ep.join(env, "environment_id")
-    j = join_dimension(j, svc, "service_id")
-    j = join_dimension(j, ten, "tenant_id")
+    j = join_dimension(j, svc, "service_id", size_of=services)
+    j = join_dimension(j, ten, "tenant_id", size_of=tenants)
     return j.select("tenant_id", "tenant", "service_id", "service", "environment_id", "env",
                     "endpoint_id", "version", "url", "is_active", "created_at", "updated_at")
 

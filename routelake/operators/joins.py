@@ -28,12 +28,13 @@ def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     return ok
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS, size_of: DataFrame | None = None) -> DataFrame:
     """Broadcast hint when the size is proven small; otherwise leave the choice to AQE
-    (sort-merge or shuffled hash join, with skew splitting)."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
+    (sort-merge or shuffled hash join, with skew splitting). ``size_of``: a table that
+    ``df`` is a projection/filter of, checked instead (one check serves every projection)."""
+    return F.broadcast(df) if bounded_rows(size_of if size_of is not None else df, max_rows) else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    return fact.join(maybe_broadcast(dim, max_rows), on, how)
+                   max_rows: int = DIM_BROADCAST_MAX_ROWS, size_of: DataFrame | None = None) -> DataFrame:
+    return fact.join(maybe_broadcast(dim, max_rows, size_of), on, how)

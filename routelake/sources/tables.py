@@ -123,8 +123,8 @@ class Tables:
         ten = self.tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant"))
         from ..operators.joins import join_dimension
         j = o.join(env, "o_custkey")
-        j = join_dimension(j, svc, "service_id")
-        j = join_dimension(j, ten, "tenant_id")
+        j = join_dimension(j, svc, "service_id", size_of=self.services)
+        j = join_dimension(j, ten, "tenant_id", size_of=self.tenants)
         return j.select(
             F.col("o_orderkey").alias("request_id"),
             F.col("o_orderdate").alias("ts"),
