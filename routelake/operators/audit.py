@@ -140,6 +140,19 @@ def shape_audit_doc(events: DataFrame, processed_at) -> DataFrame:
         F.to_date("occurred_at").alias("event_date"))
 
 
+EVENT_JSON_COLS = ["event_id", "event_type", "action", "tenant", "service", "env", "version", "url",
+                   "occurred_at", "correlation_id"]
+
+
+def shape_route_event(rows: DataFrame) -> DataFrame:
+    """Applied writes (flat route columns) -> the published payload: key ``t:s:e:v`` (one
+    route, one partition) and the JSON value with an ISO-Z timestamp; nulls are kept."""
+    ev = rows.select("event_id", F.lit(X.DEFAULT_EVENT_TYPE).alias("event_type"), "action", "tenant", "service",
+                     "env", "version", "url", X.format_iso_timestamp("occurred_at", zulu=True).alias("occurred_at"),
+                     "correlation_id")
+    return ev.select(X.route_partition_key().alias("key"), X.event_to_json(*EVENT_JSON_COLS).alias("value"))
+
+
 # ------------------------------------------------------------------ newest-first reports
 def _limit(n: int) -> int:
     if not 1 <= n <= MAX_LIMIT:

@@ -48,16 +48,7 @@ def q_scan_route_events(spark, d):
     return spark.read.schema(ROUTE_EVENTS_SCHEMA).parquet(path)
 
 
-EVENT_JSON_COLS = ["event_id", "event_type", "action", "tenant", "service", "env", "version", "url",
-                   "occurred_at", "correlation_id"]
-
-
-def shape_route_event(rows):
-    """Write result rows -> event payload (key, JSON value) with ISO-Z timestamps."""
-    ev = rows.select("event_id", F.lit(X.DEFAULT_EVENT_TYPE).alias("event_type"), "action", "tenant", "service",
-                     "env", "version", "url", X.format_iso_timestamp("occurred_at", zulu=True).alias("occurred_at"),
-                     "correlation_id")
-    return ev.select(X.route_partition_key().alias("key"), X.event_to_json(*EVENT_JSON_COLS).alias("value"))
+shape_route_event = A.shape_route_event
 
 
 ISO_Z = ("CASE WHEN microsecond(occurred_at) % 1000000 = 0 THEN strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') "
