@@ -22,14 +22,19 @@ UNION ALL SELECT 'services', id, tenant_id, name FROM services
 UNION ALL SELECT 'environments', id, service_id, name FROM environments
 UNION ALL SELECT 'endpoints', id, environment_id, version FROM endpoints""")
 def q_scan_catalog(spark, d):
+    """The four tables written as a catalog snapshot and read back with their schemas."""
+    from ..sources.catalog_io import read_catalog, write_catalog
     t = Tables(spark, d)
+    c = read_catalog(spark, write_catalog(spark, {"tenants": t.tenants, "services": t.services,
+                                                  "environments": t.environments, "endpoints": t.endpoints}))
     return D.union_all([
-        t.tenants.select(F.lit("tenants").alias("table_name"), "id", F.lit(None).cast("long").alias("parent_id"), "name"),
-        t.services.select(F.lit("services").alias("table_name"), "id", F.col("tenant_id").alias("parent_id"), "name"),
-        t.environments.select(F.lit("environments").alias("table_name"), "id",
-                              F.col("service_id").alias("parent_id"), "name"),
-        t.endpoints.select(F.lit("endpoints").alias("table_name"), "id", F.col("environment_id").alias("parent_id"),
-                           F.col("version").alias("name"))])
+        c["tenants"].select(F.lit("tenants").alias("table_name"), "id", F.lit(None).cast("long").alias("parent_id"),
+                            "name"),
+        c["services"].select(F.lit("services").alias("table_name"), "id", F.col("tenant_id").alias("parent_id"), "name"),
+        c["environments"].select(F.lit("environments").alias("table_name"), "id",
+                                 F.col("service_id").alias("parent_id"), "name"),
+        c["endpoints"].select(F.lit("endpoints").alias("table_name"), "id", F.col("environment_id").alias("parent_id"),
+                              F.col("version").alias("name"))])
 
 
 ROUTE_EVENTS_SCHEMA = ("id long, tenant string, service string, env string, version string, action string, "

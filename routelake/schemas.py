@@ -37,3 +37,12 @@ CACHE = T.StructType([
 ])
 
 CACHE_BUCKETED = T.StructType(CACHE.fields + [T.StructField("bucket", T.IntegerType())])
+
+L, TS, B = T.LongType(), T.TimestampType(), T.BooleanType()
+TENANTS = T.StructType([T.StructField("id", L), T.StructField("name", S)])
+SERVICES = T.StructType([T.StructField("id", L), T.StructField("tenant_id", L), T.StructField("name", S)])
+ENVIRONMENTS = T.StructType([T.StructField("id", L), T.StructField("service_id", L), T.StructField("name", S)])
+ENDPOINTS = T.StructType([T.StructField("id", L), T.StructField("environment_id", L), T.StructField("version", S),
+                          T.StructField("url", S), T.StructField("is_active", B), T.StructField("created_at", TS),
+                          T.StructField("updated_at", TS)])
+CATALOG = {"tenants": TENANTS, "services": SERVICES, "environments": ENVIRONMENTS, "endpoints": ENDPOINTS}
