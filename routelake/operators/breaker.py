@@ -37,6 +37,27 @@ OUT_SCHEMA = ("instance string, dependency string, chunk long, call_id long, ts
               "out_mode string, out_fails string, out_calls long, out_open long, is_last boolean")
 
 
+def transition(st, t: int, failed: bool, thr: int, timeout_us: int, window_us: int, min_calls: int):
+    """One call at time ``t`` (microseconds) through the breaker: returns (new state,
+    'executed' | 'rejected'). State: (mode, failure times in the window, calls capped at
+    min_calls, last open time)."""
+    mode, fails, calls, last_open = st
+    fails = [x for x in fails if x > t - window_us]          # failures older than the window leave
+    if mode == "open" and last_open is not None and t - last_open >= timeout_us:
+        mode, fails = "half_open", []                           # timeout over: let a probe through
+    if mode == "open":
+        return (mode, fails, calls, last_open), "rejected"
+    calls = min(calls + 1, min_calls)
+    if not failed:
+        if mode == "half_open":
+            mode, fails, last_open = "closed", [], None
+    else:
+        fails = fails + [t]
+        if mode == "half_open" or (calls >= min_calls and len(fails) >= thr):
+            mode, last_open = "open", t
+    return (mode, fails, calls, last_open), "executed"
+
+
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """Replay the state machine over one group's calls in time order. The group is one chunk
     (first pass, with replayed prefix rows) or a run of consecutive chunks (fix-up, exact
@@ -58,24 +79,9 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, (t, f) in enumerate(zip(pdf["_us"].to_numpy(np.int64), pdf["is_failure"].to_numpy(bool))):
         if not pre[i] and chunks[i] not in opening:
             opening[chunks[i]] = (mode, ",".join(map(str, fails)), calls, last_open)
-        cutoff = t - window_us
-        fails = [x for x in fails if x > cutoff]
-        if mode == "open" and last_open is not None and t - last_open >= timeout_us:
-            mode, fails = "half_open", []
-        if mode == "open":
-            outcome.append("rejected")
-        else:
-            calls = min(calls + 1, min_calls)
-            if not f:
-                if mode == "half_open":
-                    mode, fails, last_open = "closed", [], None
-            else:
-                fails.append(int(t))
-                if mode == "half_open":
-                    mode, last_open = "open", int(t)
-                elif calls >= min_calls and len(fails) >= thr:
-                    mode, last_open = "open", int(t)
-            outcome.append("executed")
+        (mode, fails, calls, last_open), res = transition((mode, fails, calls, last_open), int(t), bool(f),
+                                                          thr, timeout_us, window_us, min_calls)
+        outcome.append(res)
         state.append(mode)
         if not pre[i]:
             closing[chunks[i]] = (mode, ",".join(map(str, fails)), calls, last_open)
@@ -182,3 +188,39 @@ def breaker_intervals(timeline: DataFrame) -> DataFrame:
     starts = d.filter(F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state")))
     w = Window.partitionBy(*KEY).orderBy("ts", "call_id")
     return starts.select(*KEY, "state", F.col("ts").alias("start_ts"), F.lead("ts").over(w).alias("end_ts"))
+
+
+STREAM_OUT = "instance string, dependency string, call_id long, ts timestamp, is_failure boolean, outcome string, state string"
+STREAM_STATE = "mode string, fails string, calls long, last_open long"
+
+
+def breaker_stream(calls: DataFrame, limits: DataFrame) -> DataFrame:
+    """The breaker replayed over a call stream with keyed state per (instance, dependency):
+    per micro-batch a key's calls are applied in (ts, call_id) order on top of the stored
+    state (records of one key are assumed to arrive in time order, as in one partition)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..session import configure
+    configure(calls.sparkSession)
+    d = calls.join(F.broadcast(limits), "dependency")  # stream-static join with the fixed limits
+
+    def step(key, pdfs, state):
+        if state.exists:
+            m, fs, c, lo = state.get
+            st = (m, [int(x) for x in fs.split(",") if x], int(c), None if lo is None else int(lo))
+        else:
+            st = ("closed", [], 0, None)
+        rows = []
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts", "call_id"], kind="stable")
+            thr, tmo, win, mc = (int(pdf[c].iloc[0]) for c in
+                                 ("failure_threshold", "timeout_seconds", "window_seconds", "min_calls"))
+            for cid, ts, f in zip(pdf["call_id"], pdf["ts"], pdf["is_failure"]):
+                st, res = transition(st, int(pd.Timestamp(ts).value // 1000), bool(f), thr, tmo * 1_000_000,
+                                     win * 1_000_000, mc)
+                rows.append((key[0], key[1], int(cid), ts, bool(f), res, st[0]))
+        state.update((st[0], ",".join(map(str, st[1])), st[2], st[3]))
+        yield pd.DataFrame(rows, columns=["instance", "dependency", "call_id", "ts", "is_failure", "outcome", "state"])
+
+    return d.groupBy(*KEY).applyInPandasWithState(step, STREAM_OUT, STREAM_STATE, "append",
+                                                   GroupStateTimeout.NoTimeout)

@@ -121,3 +121,27 @@ def test_cache_batch_rewrites_only_touched_buckets(spark):
     assert len(changed) == 1
     cur = {r.route_key: r.url for r in store.current().collect()}
     assert len(cur) == 200 and cur["route:t:s:e:v7"] == "http://new" and cur["route:t:s:e:v8"] == "http://x"
+
+
+def test_breaker_stream_matches_sequential_fold(spark):
+    import random
+
+    from routelake.operators import breaker as B
+    from routelake.operators import resilience as RS
+    from test_quirks import brute_breaker
+    rnd = random.Random(9)
+    rows, t = [], 0.0
+    for _ in range(900):
+        t += rnd.choice([1, 2, 5, 30, 90])
+        rows.append((t, rnd.random() < 0.45))
+    src, out, ck = (scratch_path(spark, n) for n in ("calls", "bout", "ck"))
+    data = [("i", "redis", T0 + dt.timedelta(seconds=x), k, f) for k, (x, f) in enumerate(rows)]
+    schema = "instance string, dependency string, ts timestamp, call_id long, is_failure boolean"
+    for part in (data[:300], data[300:600], data[600:]):  # three files, in time order
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (B.breaker_stream(stream, RS.breaker_limits(spark)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    S.run(q)
+    got = spark.read.schema(B.STREAM_OUT).parquet(out).orderBy("call_id").collect()
+    assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 10, 30, 60, 20)
