@@ -263,3 +263,19 @@ def route_state_as_of(audit: DataFrame, at) -> DataFrame:
     if "event_date" in audit.columns:
         cond = cond & (F.col("event_date") <= F.to_date(_ts(at)))
     return route_state_latest(audit.filter(cond))
+
+
+def route_state_at(audit: DataFrame, probes: DataFrame, at: str = "at") -> DataFrame:
+    """State of each probed route at its own time ``at`` (many T at once): an as-of join of
+    the probes (route columns + ``at``) with the route's changes, newest at or before ``at``.
+    Probes come from data (e.g. the routes changed during an outage), never a cross product."""
+    keys = list(X.ROUTE_COLS)
+    ch = audit.select(*[F.col(f"route.{c}").alias(c) for c in keys], F.col("occurred_at").alias("ts"),
+                      F.struct("occurred_at", "event_id", "action", "url").alias("st"))
+    # ties at one instant: the change with the highest event_id is the state (as in route_state_latest)
+    ch = ch.groupBy(*keys, "ts").agg(F.max("st").alias("st"))
+    p = probes.withColumn("ts", F.col(at))
+    j = scan.asof_last(p, ch, keys, "ts", "st", "_st")
+    return j.drop("ts").select("*", F.col("_st.action").alias("action_then"), F.col("_st.url").alias("url_then"),
+                               (F.col("_st.action").isNotNull() & (F.col("_st.action") != "deactivated")).alias("active_then"),
+                               F.col("_st.occurred_at").alias("changed_at")).drop("_st")

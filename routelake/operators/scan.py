@@ -134,11 +134,13 @@ def halo_window(df: DataFrame, keys, ts: str, width_seconds: int, build, include
 
 def asof_last(left: DataFrame, right: DataFrame, keys, ts: str, value: str, out: str,
               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """As-of join: for every left row, ``value`` of the newest right row of the same key with
-    right.ts <= left.ts. Union + running last-non-null, chunked so a hot key spreads out."""
+    """As-of join: for every left row, ``value`` (any type; a struct carries several fields)
+    of the newest right row of the same key with right.ts <= left.ts. Union + running
+    last-non-null, chunked so a hot key spreads out."""
     keys = list(keys)
-    L = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast("double"))
-    R = right.select(*keys, F.col(ts), F.col(value).cast("double").alias("_rv")).withColumn("_side", F.lit(0))
+    vtype = right.schema[value].dataType
+    L = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast(vtype))
+    R = right.select(*keys, F.col(ts), F.col(value).alias("_rv")).withColumn("_side", F.lit(0))
     for c in L.columns:
         if c not in R.columns:
             R = R.withColumn(c, F.lit(None).cast(L.schema[c].dataType))

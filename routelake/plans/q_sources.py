@@ -175,3 +175,22 @@ def q_shape_audit_doc(spark, d):
                                         "correlation_id"),
                                processed_at=X.ts_plus_seconds(F.col("occurred_at"), 1))
     return flat(shaped)
+
+
+@register("route_state_at_outage_start", """WITH p AS (
+  SELECT DISTINCT o.outage_id, a.tenant, a.service, a.env, a.version, o.start_ts AS at
+    FROM audit a JOIN outages o ON a.occurred_at BETWEEN o.start_ts AND o.end_ts),
+c AS (SELECT tenant, service, env, version, occurred_at, action, url FROM audit
+      QUALIFY row_number() OVER (PARTITION BY tenant, service, env, version, occurred_at ORDER BY event_id DESC) = 1)
+SELECT p.outage_id, p.tenant, p.service, p.env, p.version, p.at, c.action AS action_then, c.url AS url_then,
+       coalesce(c.action <> 'deactivated', FALSE) AS active_then, c.occurred_at AS changed_at
+  FROM p ASOF LEFT JOIN c ON p.tenant = c.tenant AND p.service = c.service AND p.env = c.env
+                         AND p.version = c.version AND p.at >= c.occurred_at""")
+def q_route_state_at_outage_start(spark, d):
+    """Every route changed during an outage, with its state when the outage began (as-of
+    join for many T: one T per outage)."""
+    t = Tables(spark, d)
+    ch = flat_route(t.audit).select("event_id", "action", "tenant", "service", "env", "version", "occurred_at")
+    probes = (I.outage_changes(ch, t.outages).select("outage_id", "tenant", "service", "env", "version",
+                                                     F.col("start_ts").alias("at")).distinct())
+    return A.route_state_at(t.audit, probes, "at")
