@@ -136,11 +136,20 @@ def q_scan_app_log(spark, d):
 @register("trace_by_correlation", """SELECT correlation_id, ts, source, detail,
        row_number() OVER (PARTITION BY correlation_id ORDER BY ts, source) AS step
   FROM (SELECT correlation_id, ts, 'request' AS source, CAST(status_code AS VARCHAR) AS detail FROM request_log
+        UNION ALL SELECT correlation_id, date_trunc('millisecond', ts), 'log',
+                         CASE WHEN status_code >= 500 OR status_code = 0 THEN 'ERROR'
+                              WHEN status_code >= 400 THEN 'WARNING' ELSE 'INFO' END FROM request_log
         UNION ALL SELECT correlation_id, occurred_at, 'audit', action FROM audit) u""")
 def q_trace_by_correlation(spark, d):
+    """One timeline per request id across the request log, the application log lines
+    (written as text and parsed back) and the audit rows."""
     t = Tables(spark, d)
+    path = scratch_path(spark, "app-log")
+    I.render_app_log(t.request_log).write.text(path)
+    logs = I.parse_app_log(I.read_text(spark, path))
     return I.trace_by_correlation({
         "request": t.request_log.select("correlation_id", "ts", F.col("status_code").alias("detail")),
+        "log": logs.select("correlation_id", "ts", F.col("level").alias("detail")),
         "audit": t.audit.select("correlation_id", F.col("occurred_at").alias("ts"), F.col("action").alias("detail"))})
 
 
