@@ -100,7 +100,7 @@ def resolve_cache_aside(requests: DataFrame, cache: DataFrame, routes: DataFrame
     r = requests.withColumn("route_key", X.route_cache_key())
     c = r.join(_valid_cache(cache, as_of), "route_key", "left")
     positive = (~F.col("is_negative")) & X.present("cached_url")   # '' counts as a miss (Q19)
-    outcome = (F.when(F.col("is_negative") == True, F.lit("negative_hit"))  # noqa: E712
+    outcome = (F.when(F.coalesce(F.col("is_negative"), F.lit(False)), F.lit("negative_hit"))
                .when(positive, F.lit("hit")).otherwise(F.lit("miss")))
     c = c.withColumn("outcome", outcome)
     act = active_routes(routes).select(X.route_cache_key().alias("_rk"), F.col("url").alias("_db_url"))

@@ -131,14 +131,15 @@ def q_event_from_json(spark, d):
     return p.select("e.event_id", "e.action", "e.tenant", "e.url")
 
 
-@register("default_fields", """SELECT event_id, coalesce(action, 'unknown') AS action_or_unknown,
-       'route_changed' AS event_type FROM event_rows""")
+@register("default_fields", """SELECT event_id, coalesce(nullif(action, ''), 'unknown') AS action_or_unknown,
+       'route_changed' AS event_type, CAST(0 AS BIGINT) AS metadata_size FROM event_rows""")
 def q_default_fields(spark, d):
     """A missing event_type becomes 'route_changed' (metadata {}); display fields 'unknown'."""
-    r = rows(spark, d).withColumn("event_type", F.lit(None).cast("string"))
-    r = r.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-    et, _md = X.default_fields("event_type", "metadata")
-    return r.select("event_id", X.display_or_unknown("action").alias("action_or_unknown"), et.alias("event_type"))
+    r = (rows(spark, d).withColumn("event_type", F.lit(None).cast("string"))
+         .withColumn("metadata", F.lit(None).cast("map<string,string>")))
+    event_type, metadata = X.default_fields("event_type", "metadata")
+    return r.select("event_id", X.display_or_unknown("action").alias("action_or_unknown"),
+                    event_type.alias("event_type"), F.size(metadata).cast("long").alias("metadata_size"))
 
 
 @register("route_url_template", """SELECT event_id, CASE user_id % 6

@@ -201,8 +201,10 @@ def q_peek_events(spark, d):
     t = Tables(spark, d)
     src = envelope_files(spark, t)
     e = spark.read.schema(schemas.ENVELOPE).parquet(src).orderBy("partition", "offset").limit(5)
-    g = lambda f: F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("unknown")).alias(f)
-    return e.select(F.col("partition").cast("long").alias("partition"), "offset", g("event_id"), g("action"), g("tenant"))
+    def field(f):
+        return F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("unknown")).alias(f)
+    return e.select(F.col("partition").cast("long").alias("partition"), "offset", field("event_id"), field("action"),
+                    field("tenant"))
 
 
 @register("stream_ttl_lookup")
