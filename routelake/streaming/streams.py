@@ -49,20 +49,26 @@ def run(q) -> None:
 
 
 # ------------------------------------------------------------------ consumers (foreachBatch)
-def audit_log_query(stream: DataFrame, audit_path: str, rejects_path: str, checkpoint: str, **kw):
-    """Write each change once to the audit table; rejects (malformed / missing fields) kept."""
+def audit_batch_handler(audit_path: str, rejects_path: str):
+    """The audit consumer's micro-batch function (idempotent: safe to replay)."""
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         parsed = H.parse_envelope(batch).persist()  # read by both writes below
         try:
             valid, rejects = H.split_valid(parsed)
+            # per batch id, overwritten on replay: a re-run batch leaves no duplicate rejects
             rejects.select("key", "value", "partition", "offset", "timestamp", "reject_reason") \
-                .write.mode("append").parquet(rejects_path)
+                .write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
             rows = H.to_audit_rows(H.first_per_event_id(valid.filter(F.col("event_id").isNotNull())))
             H.append_audit(spark, rows, audit_path)
         finally:
             parsed.unpersist()
-    return _start(stream, handle, checkpoint, **kw)
+    return handle
+
+
+def audit_log_query(stream: DataFrame, audit_path: str, rejects_path: str, checkpoint: str, **kw):
+    """Write each change once to the audit table; rejects (malformed / missing fields) kept."""
+    return _start(stream, audit_batch_handler(audit_path, rejects_path), checkpoint, **kw)
 
 
 def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str, invalidate: bool = True,

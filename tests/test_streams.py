@@ -145,3 +145,14 @@ def test_breaker_stream_matches_sequential_fold(spark):
     S.run(q)
     got = spark.read.schema(B.STREAM_OUT).parquet(out).orderBy("call_id").collect()
     assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 10, 30, 60, 20)
+
+
+def test_audit_batch_replay_is_idempotent(spark):
+    audit, rej = scratch_path(spark, "audit"), scratch_path(spark, "rej")
+    batch = spark.createDataFrame([env_row("1", "created", 0, 0, 1), ("k", "{bad", 0, 2, T0),
+                                   env_row("2", "activated", 5, 0, 3)], schemas.ENVELOPE)
+    handle = S.audit_batch_handler(audit, rej)
+    handle(batch, 7)
+    handle(batch, 7)  # the same micro-batch again, as after a failure before the commit
+    assert sorted(r.event_id for r in lake.read_audit(spark, audit).collect()) == ["1", "2"]
+    assert spark.read.parquet(rej).count() == 1
