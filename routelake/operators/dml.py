@@ -136,6 +136,13 @@ def _route_ids(tenants, services, environments) -> DataFrame:
     return e.join(maybe_broadcast(s), "service_id").join(maybe_broadcast(t), "tenant_id")
 
 
+def _ids_for(batch: DataFrame, ids: DataFrame) -> DataFrame:
+    """Only the environment ids a write batch names: a semi join that broadcasts the batch's
+    (checked-small) name set and streams the (large) id table without shuffling it."""
+    names = batch.select(*ROUTE[:3]).distinct()
+    return ids.join(maybe_broadcast(names), ROUTE[:3], "left_semi")
+
+
 def _event_rows(df: DataFrame, action_col, as_of) -> DataFrame:
     """Change events of applied writes; ids repeatable from (seq, action)."""
     seed = F.concat_ws("|", F.col("seq").cast("string"), action_col)
@@ -158,7 +165,7 @@ def catalog_create_routes(tenants, services, environments, endpoints, requests:
     t2 = cut_lineage(spark, get_or_create_tenant(tenants, valid), "tenants")
     s2 = cut_lineage(spark, get_or_create_service(services, t2, valid), "services")
     e2 = cut_lineage(spark, get_or_create_environment(environments, s2, t2, valid), "environments")
-    ids = _route_ids(t2, s2, e2).select("environment_id", *ROUTE[:3])
+    ids = _ids_for(valid, _route_ids(t2, s2, e2).select("environment_id", *ROUTE[:3]))
     v = valid.join(ids, ROUTE[:3])
     # an update when the key existed before the batch or an earlier create of the batch made it
     existed = endpoints.select(*EP_KEY, F.lit(True).alias("_existed"))
@@ -178,7 +185,7 @@ def set_active(tenants, services, environments, endpoints, requests: DataFrame,
     """activate_route / deactivate_route over a batch. Missing routes go to rejects (Q12);
     a no-op change still bumps updated_at."""
     valid, rejects = validate_route_writes(requests, need_url=False)
-    ids = _route_ids(tenants, services, environments).select("environment_id", *ROUTE[:3])
+    ids = _ids_for(valid, _route_ids(tenants, services, environments).select("environment_id", *ROUTE[:3]))
     keyed = valid.join(ids, ROUTE[:3], "left")
     # probe the endpoints with the (checked-small) request batch instead of shuffling them
     ep = endpoints.select(*EP_KEY, F.col("url").alias("_ep_url"))
