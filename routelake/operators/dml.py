@@ -68,7 +68,10 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, keys, name_col: str =
     rows with ids ``max(id) + 1 ...`` in key order (repeatable)."""
     keys = list(keys)
     w = wanted.select(*keys).filter(X.all_present(*keys)).dropDuplicates(keys)
-    new = w.join(existing.select(*keys), keys, "left_anti")
+    # probe the (large) existing table with the (checked-small) wanted names, then diff the
+    # two small sets: the existing table is streamed, never shuffled
+    found = existing.select(*keys).join(maybe_broadcast(w), keys, "left_semi")
+    new = w.join(found, keys, "left_anti")
     max_id = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     idx = dense_index(new, keys)
     new_rows = idx.select((max_id + F.col("idx") + 1).alias("id"), *keys)
