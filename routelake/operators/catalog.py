@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .joins import join_dimension
+from .joins import join_dimension, maybe_broadcast
 
 ROUTE = list(X.ROUTE_COLS)
 
@@ -133,7 +133,9 @@ def warm_join(changed: DataFrame, routes: DataFrame, as_of) -> DataFrame:
     """Changed route keys re-resolved against the catalog -> cache rows to write."""
     as_of = X.lit_ts(as_of) if isinstance(as_of, str) else as_of
     keys = changed.select(*ROUTE).filter(X.all_present(*ROUTE)).dropDuplicates(ROUTE)
-    j = keys.join(active_routes(routes), ROUTE, "left")
+    # the catalog is probed with the (checked-small) changed keys instead of being shuffled
+    found = active_routes(routes).join(maybe_broadcast(keys), ROUTE, "left_semi")
+    j = keys.join(found, ROUTE, "left")
     found = F.col("url").isNotNull()
     return j.select(
         X.route_cache_key().alias("route_key"), "url", (~found).alias("is_negative"),
@@ -144,7 +146,7 @@ def warm_join(changed: DataFrame, routes: DataFrame, as_of) -> DataFrame:
 def invalidate_cache(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """Cache minus the keys of changed routes (``DEL key``)."""
     keys = changed.select(X.route_cache_key().alias("route_key")).filter(F.col("route_key").isNotNull())
-    return cache.join(keys.dropDuplicates(["route_key"]), "route_key", "left_anti")
+    return cache.join(maybe_broadcast(keys.dropDuplicates(["route_key"])), "route_key", "left_anti")
 
 
 def label_active_mark(routes: DataFrame) -> DataFrame:
