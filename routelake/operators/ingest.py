@@ -50,7 +50,13 @@ def parse_exposition(lines: DataFrame) -> DataFrame:
         F.map_from_arrays(F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 1),
                           F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 2)).alias("labels"),
         num.try_cast("double").alias("value"))
-    return parsed.join(maybe_broadcast(types), "metric", "left")
+    # histogram / summary series (_bucket, _sum, _count) take the type of their family
+    family = F.regexp_replace(F.col("metric"), r"_(bucket|sum|count)$", "")
+    t = maybe_broadcast(types)
+    exact = parsed.join(t, "metric", "left")
+    fam = t.select(F.col("metric").alias("_family"), F.col("type").alias("_ftype"))
+    return (exact.withColumn("_family", family).join(fam, "_family", "left")
+            .withColumn("type", F.coalesce("type", "_ftype")).drop("_family", "_ftype"))
 
 
 # ------------------------------------------------------------------ application log
