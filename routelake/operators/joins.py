@@ -10,21 +10,24 @@ DIM_BROADCAST_MAX_ROWS = 1_000_000
 
 
 _CHECKED: dict = {}
+CHECK_TTL_SECONDS = 600
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1 of them.
-    The answer is remembered per (plan, bound) for the session, so a dimension used by
-    many queries is counted once."""
+    The answer is remembered per (plan, bound) for CHECK_TTL_SECONDS, so a dimension used by
+    many queries is counted once, while a table that grows on disk is checked again."""
+    import time
     try:
         key = (id(df.sparkSession), df.semanticHash(), max_rows)
     except Exception:  # noqa: BLE001  (plans without a semantic hash)
         key = None
-    if key is not None and key in _CHECKED:
-        return _CHECKED[key]
+    now = time.monotonic()
+    if key is not None and key in _CHECKED and now - _CHECKED[key][1] < CHECK_TTL_SECONDS:
+        return _CHECKED[key][0]
     ok = df.limit(max_rows + 1).count() <= max_rows
     if key is not None:
-        _CHECKED[key] = ok
+        _CHECKED[key] = (ok, now)
     return ok
 
 
