@@ -37,15 +37,19 @@ def fold_endpoint_writes(writes: DataFrame) -> DataFrame:
                     F.col("l.updated_at").alias("updated_at"))
 
 
-def dense_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None,
+                small: bool | None = None) -> DataFrame:
     """0-based position of every row in the global order of ``order_cols`` (ties broken by
     the full column list). A set proven to hold at most SMALL_INDEX_ROWS rows is numbered in
     one task; anything larger without a single-partition window: range-partition, number rows
     inside each partition, add the row count of all earlier partitions. The offsets table has
-    one row per partition, so its broadcast is bounded by the partition count."""
+    one row per partition, so its broadcast is bounded by the partition count. ``small``: the
+    caller already proved the bound (e.g. ``df`` is a subset of a checked set)."""
     spark = df.sparkSession
     order = list(order_cols) + [c for c in df.columns if c not in order_cols]
-    if num_partitions is None and bounded_rows(df, SMALL_INDEX_ROWS):
+    if small is None and num_partitions is None:
+        small = bounded_rows(df, SMALL_INDEX_ROWS)
+    if small and num_partitions is None:
         # proven small (new names of one batch, typically): one bounded sorted task
         w = Window.orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
@@ -70,10 +74,11 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, keys, name_col: str =
     w = wanted.select(*keys).filter(X.all_present(*keys)).dropDuplicates(keys)
     # probe the (large) existing table with the (checked-small) wanted names, then diff the
     # two small sets: the existing table is streamed, never shuffled
-    found = existing.select(*keys).join(maybe_broadcast(w), keys, "left_semi")
+    w_small = bounded_rows(w, SMALL_INDEX_ROWS)  # one check covers the broadcast and, as new ⊆ w, the numbering
+    found = existing.select(*keys).join(F.broadcast(w) if w_small else maybe_broadcast(w), keys, "left_semi")
     new = w.join(found, keys, "left_anti")
     max_id = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    idx = dense_index(new, keys)
+    idx = dense_index(new, keys, small=True if w_small else None)
     new_rows = idx.select((max_id + F.col("idx") + 1).alias("id"), *keys)
     cols = ["id", *keys]
     return existing.select(*cols).unionByName(new_rows)
@@ -109,13 +114,14 @@ def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c"))
             .select(*EP_KEY, "c.url", "c.is_active", "c.updated_at"))
     old = endpoints.select(*EP_COLS)
-    small = maybe_broadcast(last)
+    last_small = bounded_rows(last, SMALL_INDEX_ROWS)  # inserts are a subset of ``last``
+    small = F.broadcast(last) if last_small else maybe_broadcast(last)
     upd = old.select(*EP_KEY, "id", "created_at").join(small, EP_KEY).select(
         "id", *EP_KEY, "url", "is_active", "created_at", "updated_at")
     kept = old.join(small.select(*EP_KEY), EP_KEY, "left_anti")
     ins = last.join(upd.select(*EP_KEY), EP_KEY, "left_anti")
     max_id = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    ins = dense_index(ins, EP_KEY).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url",
+    ins = dense_index(ins, EP_KEY, small=True if last_small else None).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url",
                                           "is_active", F.col("updated_at").alias("created_at"), "updated_at")
     return kept.unionByName(upd).unionByName(ins)
 
