@@ -1,0 +1 @@
+"""Scalar column expressions (JVM-side, no Python UDFs)."""

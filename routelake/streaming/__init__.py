@@ -1,0 +1 @@
+"""Structured Streaming: idempotent micro-batch handlers and the consumer queries."""
