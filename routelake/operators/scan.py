@@ -99,18 +99,25 @@ def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: i
     return trailing_sums(df, keys, ts, tiebreak, width_seconds, {out: value}, include_lower)
 
 
-def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 16,
+def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 64,
                     salt_col: str | None = None) -> DataFrame:
-    """Newest-n style top-k per group without sending a hot group to one task: a salted
-    first pass keeps n rows per (group, salt), the second pass ranks at most n*salts rows.
-    ``order_cols`` must give a total order (add a unique tie-break)."""
+    """Newest-n style top-k per group without sending a hot group to one task.
+
+    For n up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) the plain
+    ``row_number() <= n`` is planned with a map-side WindowGroupLimit: every input partition
+    forwards at most n rows per group, so a hot group's task receives n x #partitions rows,
+    not the group. Above it: a salted first pass keeps n rows per (group, salt), the second
+    ranks at most n * salts. ``order_cols`` must give a total order (add a unique tie-break)."""
     keys = list(keys)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    if n <= limit:
+        return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
     salt = F.pmod(F.xxhash64(F.col(salt_col) if salt_col else F.struct(*df.columns)), F.lit(salt_buckets))
     d = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_cols)
     d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(*order_cols)
-    d = d.withColumn("rank", F.row_number().over(w2).cast("long")).filter(F.col("rank") <= n)
+    d = d.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
     return d.drop("_salt", "_r1")
 
 
