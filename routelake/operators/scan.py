@@ -9,8 +9,9 @@ per-(key, chunk) table whose size is (#keys x #chunks), independent of the row c
 * ``running_sum``     inclusive running sum per key (rows frame, exact with ties)
 * ``trailing_sums``   sums over the trailing time range per key (bucket + halo)
 
-``chunk_seconds`` bounds the work of one task: pick it so one key's busiest chunk fits a
-task (1 h default; 1 min for very hot keys).
+``chunk_seconds`` bounds the work of one task: an int (1 h default) or ``"auto"``, which
+measures the busiest (key, hour) once and shrinks the chunk so that no task holds more than
+CHUNK_TARGET_ROWS rows of one key. Results do not depend on the chunk size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_SECONDS = 3600
+CHUNK_TARGET_ROWS = 4_000_000   # rows of one key that one task may hold ("auto" chunks)
 
 
 def _micros(ts) -> Column:
@@ -29,11 +31,28 @@ def chunk_id(ts, seconds: int) -> Column:
     return F.floor(_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
+def auto_chunk_seconds(df: DataFrame, keys, ts: str, base: int = DEFAULT_CHUNK_SECONDS,
+                       target_rows: int | None = None) -> int:
+    """Chunk length such that the densest (key, chunk) holds about ``target_rows`` at most:
+    one partial aggregate over the key and time columns finds the busiest (key, hour)."""
+    target_rows = target_rows or CHUNK_TARGET_ROWS
+    busiest = (df.groupBy(*keys, chunk_id(ts, base).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0]) or 0
+    if busiest <= target_rows:
+        return base
+    return max(1, int(base * target_rows // busiest))
+
+
+def _resolve_chunk(df: DataFrame, keys, ts: str, chunk_seconds) -> int:
+    return auto_chunk_seconds(df, keys, ts) if chunk_seconds == "auto" else int(chunk_seconds)
+
+
 def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str = "prev_",
-               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+               chunk_seconds="auto") -> DataFrame:
     """Adds ``prev_<c>`` for every c in ``cols``: the value on the previous row of the same
     key in (ts, tiebreak) order; null on the key's first row."""
     keys, cols = list(keys), list(cols)
+    chunk_seconds = _resolve_chunk(df, keys, ts, chunk_seconds)
     d = df.withColumn("_b", chunk_id(ts, chunk_seconds))
     w = Window.partitionBy(*keys, "_b").orderBy(ts, tiebreak)
     d = d.withColumn("_rn", F.row_number().over(w))
@@ -50,9 +69,10 @@ def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str =
 
 
 def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out: str,
-                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                chunk_seconds="auto") -> DataFrame:
     """``out`` = sum of ``value`` over all rows of the key up to and including this one."""
     keys = list(keys)
+    chunk_seconds = _resolve_chunk(df, keys, ts, chunk_seconds)
     d = df.withColumn("_b", chunk_id(ts, chunk_seconds)).withColumn("_v", value)
     w = (Window.partitionBy(*keys, "_b").orderBy(ts, tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -140,11 +160,12 @@ def halo_window(df: DataFrame, keys, ts: str, width_seconds: int, build, include
 
 
 def asof_last(left: DataFrame, right: DataFrame, keys, ts: str, value: str, out: str,
-              chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+              chunk_seconds="auto") -> DataFrame:
     """As-of join: for every left row, ``value`` (any type; a struct carries several fields)
     of the newest right row of the same key with right.ts <= left.ts. Union + running
     last-non-null, chunked so a hot key spreads out."""
     keys = list(keys)
+    chunk_seconds = _resolve_chunk(left, keys, ts, chunk_seconds)
     vtype = right.schema[value].dataType
     L = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast(vtype))
     R = right.select(*keys, F.col(ts), F.col(value).alias("_rv")).withColumn("_side", F.lit(0))

@@ -335,3 +335,18 @@ def test_breaker_fixup_rounds_with_long_timeout(spark, caplog):
         got = B.breaker_timeline(calls, lim, chunk_seconds=300).orderBy("call_id").collect()
     assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 3, 1500, 60, 5)
     assert any("round" in m for m in caplog.messages)
+
+
+def test_auto_chunks_shrink_for_a_hot_key_and_keep_results(spark, monkeypatch):
+    rnd = random.Random(21)
+    rows = [("hot" if rnd.random() < 0.7 else rnd.choice(["a", "b"]), ts(rnd.randint(0, 7200)), k, 1.0)
+            for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, v double")
+    monkeypatch.setattr(scan, "CHUNK_TARGET_ROWS", 200)
+    assert scan.auto_chunk_seconds(df, ["key"], "ts") < 3600  # the busy key gets shorter chunks
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    ref = df.select("id", F.lag("v").over(w).alias("p"), F.count(F.lit(1)).over(w).alias("n"))
+    got = scan.lag_within(df, ["key"], "ts", "id", ["v"]).join(
+        scan.running_sum(df, ["key"], "ts", "id", F.lit(1), "n2").select("id", "n2"), "id")
+    j = ref.join(got, "id")
+    assert j.filter(~F.col("p").eqNullSafe(F.col("prev_v")) | (F.col("n") != F.col("n2"))).count() == 0
