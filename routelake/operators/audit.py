@@ -137,6 +137,8 @@ def shape_audit_doc(events: DataFrame, processed_at) -> DataFrame:
         opt("previous_url").alias("previous_url"), opt("previous_state").alias("previous_state"),
         opt("changed_by").alias("changed_by"), F.col("occurred_at"), _ts(processed_at).alias("processed_at"),
         meta.alias("metadata"), opt("correlation_id").alias("correlation_id"),
+        (F.col("occurred_at_defaulted") if "occurred_at_defaulted" in events.columns else F.lit(False))
+        .alias("occurred_at_defaulted"),
         F.to_date("occurred_at").alias("event_date"))
 
 

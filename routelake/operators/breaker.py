@@ -107,11 +107,13 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def breaker_timeline(calls: DataFrame, limits: DataFrame, chunk_seconds: int = 86400,
-                     run_chunks: int = 8) -> DataFrame:
+                     run_chunks: int = 8, failure_predicate=None) -> DataFrame:
     """Per call: executed or rejected, and the breaker state right after it. Always exact:
     fix-up rounds run until every chunk's opening state is the closing state before it."""
     from ..session import configure
     spark = configure(calls.sparkSession)
+    if failure_predicate is not None:  # Q13: e.g. exclude 404s; default: the log's is_failure
+        calls = calls.withColumn("is_failure", failure_predicate)
     C = chunk_seconds * 1_000_000
     us = F.unix_micros("ts")
     own = (calls.select(*KEY, "call_id", "ts", "is_failure").withColumn("_us", us)

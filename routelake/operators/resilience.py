@@ -31,11 +31,14 @@ def bulkhead_limits(spark: SparkSession, rows=BULKHEADS) -> DataFrame:
     return spark.createDataFrame(rows, "class string, max_concurrent long")
 
 
-def failure_window(calls: DataFrame, limits: DataFrame, window_seconds: int = 60) -> DataFrame:
+def failure_window(calls: DataFrame, limits: DataFrame, window_seconds: int = 60,
+                   failure_predicate=None) -> DataFrame:
     """At every call: failures in ``(t - 60 s, t]`` (strict, Q14), lifetime calls, the
     reference's failure rate (window failures / lifetime calls, Q15), a windowed-denominator
     rate, and whether a closed breaker would trip (>= threshold and >= min_calls)."""
     k = ["instance", "dependency"]
+    if failure_predicate is not None:  # Q13: what counts as a failure (default: any error)
+        calls = calls.withColumn("is_failure", failure_predicate)
     d = calls.withColumn("_tb", F.col("call_id"))
     fail = F.when(F.col("is_failure"), 1).otherwise(0)
     d = scan.trailing_sums(d, k, "ts", "_tb", window_seconds,

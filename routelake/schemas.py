@@ -28,6 +28,7 @@ AUDIT = T.StructType([
     T.StructField("previous_state", S), T.StructField("changed_by", S),
     T.StructField("occurred_at", T.TimestampType()), T.StructField("processed_at", T.TimestampType()),
     T.StructField("metadata", T.MapType(S, S)), T.StructField("correlation_id", S),
+    T.StructField("occurred_at_defaulted", T.BooleanType()),
     T.StructField("event_date", T.DateType()),
 ])
 

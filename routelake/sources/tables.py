@@ -205,6 +205,7 @@ class Tables:
             X.ts_plus_seconds(F.col("occurred_at"), 1).alias("processed_at"),
             F.from_json("props", "map<string,string>").alias("metadata"),
             "correlation_id",
+            F.lit(False).alias("occurred_at_defaulted"),
             F.to_date("occurred_at").alias("event_date"),
         )
 

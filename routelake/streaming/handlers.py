@@ -51,9 +51,10 @@ def first_per_event_id(events: DataFrame) -> DataFrame:
 
 
 def to_audit_rows(events: DataFrame) -> DataFrame:
-    """Parsed events -> audit rows (Q4/Q5: ISO parse to UTC, fallback to ingest time)."""
-    occurred = X.parse_iso_timestamp(F.col("occurred_at"), F.col("timestamp"))
-    d = events.withColumn("occurred_at", occurred)
+    """Parsed events -> audit rows (Q4/Q5: ISO parse to UTC; junk or missing -> ingest time,
+    flagged in ``occurred_at_defaulted``)."""
+    d = (events.withColumn("occurred_at_defaulted", X.parse_iso_timestamp(F.col("occurred_at")).isNull())
+         .withColumn("occurred_at", X.parse_iso_timestamp(F.col("occurred_at"), F.col("timestamp"))))
     return A.shape_audit_doc(d, processed_at=F.col("timestamp"))
 
 
@@ -126,10 +127,16 @@ def invalidate(cache: DataFrame, valid: DataFrame) -> DataFrame:
     return C.invalidate_cache(cache, changed_keys(valid))
 
 
-def warm(cache: DataFrame, valid: DataFrame, routes: DataFrame) -> DataFrame:
+def warm(cache: DataFrame, valid: DataFrame, routes: DataFrame, only_missing: bool = False) -> DataFrame:
     """Re-resolve every changed key against the catalog; the entry's clock is the key's
-    newest event time in the batch (repeatable), TTL 60 s / 10 s (Q20)."""
+    newest event time in the batch (repeatable), TTL 60 s / 10 s (Q20). ``only_missing``
+    keeps a still-valid cached entry as it is, as the reference's read path does."""
     k = changed_keys(valid).groupBy(*X.ROUTE_COLS).agg(F.max("timestamp").alias("as_of"))
+    if only_missing:
+        live = cache.select("route_key", "expires_at")
+        k = (k.withColumn("route_key", X.route_cache_key()).join(live, "route_key", "left")
+             .filter(F.col("expires_at").isNull() | (F.col("expires_at") <= F.col("as_of")))
+             .drop("route_key", "expires_at"))
     act = C.active_routes(routes)
     j = k.join(act, list(X.ROUTE_COLS), "left")
     found = F.col("url").isNotNull()

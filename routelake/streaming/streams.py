@@ -72,7 +72,7 @@ def audit_log_query(stream: DataFrame, audit_path: str, rejects_path: str, check
 
 
 def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str, invalidate: bool = True,
-                warm: bool = True, **kw):
+                warm: bool = True, only_missing: bool = False, **kw):
     """Invalidation and/or warming. Doing both in one handler orders them (Q20b):
     invalidate, then refill from the catalog."""
     def handle(batch: DataFrame, batch_id: int):
@@ -87,7 +87,7 @@ def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str,
             if invalidate:
                 cache = H.invalidate(cache, valid)
             if warm:
-                cache = H.warm(cache, valid, routes_fn(spark))
+                cache = H.warm(cache, valid, routes_fn(spark), only_missing=only_missing)
             store.replace_buckets(cache, touched, batch_id)
         finally:
             valid.unpersist()

@@ -350,3 +350,11 @@ def test_auto_chunks_shrink_for_a_hot_key_and_keep_results(spark, monkeypatch):
         scan.running_sum(df, ["key"], "ts", "id", F.lit(1), "n2").select("id", "n2"), "id")
     j = ref.join(got, "id")
     assert j.filter(~F.col("p").eqNullSafe(F.col("prev_v")) | (F.col("n") != F.col("n2"))).count() == 0
+
+
+def test_failure_predicate_excludes_not_found(spark):  # Q13
+    calls = spark.createDataFrame([("i", "database", ts(0), 1, True, 404), ("i", "database", ts(1), 2, True, 500)],
+                                  "instance string, dependency string, ts timestamp, call_id long, is_failure boolean, "
+                                  "status int")
+    fw = RS.failure_window(calls, RS.breaker_limits(spark), failure_predicate=F.col("status") >= 500)
+    assert [r.failures_in_window for r in fw.orderBy("call_id").collect()] == [0, 1]

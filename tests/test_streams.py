@@ -156,3 +156,25 @@ def test_audit_batch_replay_is_idempotent(spark):
     handle(batch, 7)  # the same micro-batch again, as after a failure before the commit
     assert sorted(r.event_id for r in lake.read_audit(spark, audit).collect()) == ["1", "2"]
     assert spark.read.parquet(rej).count() == 1
+
+
+def test_defaulted_time_flag_and_only_missing_warming(spark):
+    # Q5: junk occurred_at -> ingest time, flagged
+    batch = spark.createDataFrame([
+        ("t:s:e:v1", json.dumps({"event_id": "1", "action": "created", "tenant": "t", "service": "s", "env": "e",
+                                 "version": "v1", "occurred_at": "yesterday"}), 0, 1, T0)], schemas.ENVELOPE)
+    rows = H.to_audit_rows(H.split_valid(H.parse_envelope(batch))[0]).collect()
+    assert rows[0].occurred_at == T0 and rows[0].occurred_at_defaulted is True
+    # Q20: only_missing keeps a live entry, refills an expired one
+    cache = spark.createDataFrame([("route:t:s:e:v1", "http://cached", False, T0 + dt.timedelta(seconds=30)),
+                                   ("route:t:s:e:v2", "http://old", False, T0 - dt.timedelta(seconds=1))],
+                                  schemas.CACHE)
+    ev = H.split_valid(H.parse_envelope(spark.createDataFrame(
+        [env_row("1", "created", 0, 0, 1), env_row("2", "created", 0, 0, 2, route=("t", "s", "e", "v2"))],
+        schemas.ENVELOPE)))[0]
+    routes = spark.createDataFrame([("t", "s", "e", "v1", "http://fresh1", True), ("t", "s", "e", "v2", "http://fresh2", True)],
+                                   "tenant string, service string, env string, version string, url string, is_active boolean")
+    got = {r.route_key: r.url for r in H.warm(cache, ev, routes, only_missing=True).collect()}
+    assert got == {"route:t:s:e:v1": "http://cached", "route:t:s:e:v2": "http://fresh2"}
+    full = {r.route_key: r.url for r in H.warm(cache, ev, routes).collect()}
+    assert full == {"route:t:s:e:v1": "http://fresh1", "route:t:s:e:v2": "http://fresh2"}
