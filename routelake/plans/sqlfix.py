@@ -13,6 +13,16 @@ ROUTE_OF_USER = """'team-' || CAST(user_id % 5 AS VARCHAR) AS tenant,
        'v' || CAST(user_id % 20 + 1 AS VARCHAR) AS version"""
 
 
+def open_range(seconds: int) -> str:
+    """DuckDB frame for the left-open range (t - seconds, t]."""
+    return f"RANGE BETWEEN INTERVAL '{seconds * 1_000_000 - 1} microseconds' PRECEDING AND CURRENT ROW"
+
+
+def closed_range(seconds: int) -> str:
+    """DuckDB frame for the closed range [t - seconds, t]."""
+    return f"RANGE BETWEEN INTERVAL '{seconds * 1_000_000} microseconds' PRECEDING AND CURRENT ROW"
+
+
 def plus_seconds(ts: str, secs: str) -> str:
     return f"make_timestamp(epoch_us({ts}) + CAST(round(CAST({secs} AS DOUBLE) * 1000000) AS BIGINT))"
 
