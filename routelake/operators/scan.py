@@ -85,16 +85,25 @@ def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out:
 
 
 def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
-                  include_lower: bool) -> DataFrame:
+                  include_lower: bool, method: str = "auto") -> DataFrame:
     """For each ``name: value`` in ``values``: the sum of ``value`` over earlier-or-same rows
     of the key whose ts lies in ``(t - width, t]`` (``include_lower=False``) or
-    ``[t - width, t]`` (True), all in one pass.
-
-    Bucket + halo: every row is also copied into the next bucket of width ``width``, so a
-    bucket holds everything its rows can see; the range frame then runs per (key, bucket).
-    Rows with the same ts that come later in tie-break order are taken out again, so the
-    count is what a one-at-a-time recorder sees."""
+    ``[t - width, t]`` (True). Rows with the same ts that come later in tie-break order are
+    not counted, so the sum is what a one-at-a-time recorder sees.
+
+    ``method="halo"``: every row is also copied into the next bucket of width ``width``, so a
+    bucket holds everything its rows can see, and the range frame runs per (key, bucket);
+    one task holds one frame width of one key. ``"prefix"``: running sum minus the running
+    sum as of ``t - width`` (both chunked to bounded tasks), for frames so wide that one
+    frame of a hot key is too big for a task. ``"auto"`` measures the busiest (key, frame)
+    once and picks prefix only above CHUNK_TARGET_ROWS."""
     keys = list(keys)
+    if method == "auto":
+        busiest = (df.groupBy(*keys, chunk_id(ts, width_seconds).alias("_w"))
+                   .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
+        method = "prefix" if busiest > CHUNK_TARGET_ROWS else "halo"
+    if method == "prefix":
+        return _trailing_sums_prefix(df, keys, ts, tiebreak, width_seconds, values, include_lower)
     W = int(width_seconds) * 1_000_000
     base = df.withColumn("_us", _micros(ts))
     for i, v in enumerate(values.values()):
@@ -113,6 +122,27 @@ def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: in
     return res.drop("_us", "_b", "_tgt", *[f"_v{i}" for i in range(len(values))])
 
 
+def _trailing_sums_prefix(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
+                          include_lower: bool) -> DataFrame:
+    """sum over the frame = P(row) - P(as of the frame's lower edge), P = running sum in
+    (ts, tiebreak) order. The as-of side keeps, per (key, ts), the P of the last row at that
+    instant, so ties resolve exactly as the one-at-a-time count."""
+    names = list(values)
+    d = df
+    for i, v in enumerate(values.values()):
+        d = running_sum(d, keys, ts, tiebreak, v, f"_p{i}")
+    packed = F.struct(*[F.col(f"_p{i}").alias(f"p{i}") for i in range(len(names))])
+    at_ts = (d.groupBy(*keys, ts).agg(F.max_by(packed, F.col(tiebreak)).alias("_P")))
+    shift = int(width_seconds) * 1_000_000 + (1 if include_lower else 0)
+    probes = d.withColumn("_edge", F.timestamp_micros(_micros(ts) - F.lit(shift)))
+    looked = asof_last(probes.withColumnRenamed(ts, "_orig_ts").withColumnRenamed("_edge", ts),
+                       at_ts, keys, ts, "_P", "_Pe")
+    out = looked.withColumnRenamed(ts, "_edge").withColumnRenamed("_orig_ts", ts)
+    for i, name in enumerate(names):
+        out = out.withColumn(name, F.col(f"_p{i}") - F.coalesce(F.col(f"_Pe.p{i}"), F.lit(0)))
+    return out.drop("_edge", "_Pe", *[f"_p{i}" for i in range(len(names))])
+
+
 def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: Column,
                    out: str, include_lower: bool) -> DataFrame:
     """One trailing sum (see ``trailing_sums``)."""

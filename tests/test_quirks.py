@@ -358,3 +358,22 @@ def test_failure_predicate_excludes_not_found(spark):  # Q13
                                   "status int")
     fw = RS.failure_window(calls, RS.breaker_limits(spark), failure_predicate=F.col("status") >= 500)
     assert [r.failures_in_window for r in fw.orderBy("call_id").collect()] == [0, 1]
+
+
+def test_trailing_sums_prefix_method_matches_plain_windows(spark):
+    rnd = random.Random(13)
+    rows = [(rnd.choice(["a"] * 8 + ["b"]), ts(rnd.randint(0, 20000)), k, float(rnd.randint(-2, 9)))
+            for k in range(2000)]
+    rows += [("a", ts(500), 5000 + k, 1.0) for k in range(5)]  # ties at one instant
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, v double")
+    for lower in (False, True):
+        lo = -900 * 1_000_000 + (0 if lower else 1)
+        wr = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(lo, 0)
+        wl = Window.partitionBy("key", "ts").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
+        ref = df.select("id", (F.sum("v").over(wr) - F.coalesce(F.sum("v").over(wl), F.lit(0.0))).alias("r"),
+                        (F.count(F.lit(1)).over(wr) - F.coalesce(F.count(F.lit(1)).over(wl), F.lit(0))).alias("c"))
+        for method in ("prefix", "halo"):
+            got = scan.trailing_sums(df, ["key"], "ts", "id", 900, {"s": F.col("v"), "n": F.lit(1)}, lower, method)
+            j = ref.join(got.select("id", "s", "n"), "id")
+            assert j.count() == len(rows)
+            assert j.filter((F.col("s") != F.col("r")) | (F.col("n") != F.col("c"))).count() == 0, (method, lower)
