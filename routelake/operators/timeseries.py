@@ -62,8 +62,12 @@ def counter_compare(samples: DataFrame, offset_seconds: int = 3600, series=SERIE
 
 
 def avg_over_time(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
-    return scan.halo_window(samples, list(series), "ts", range_seconds,
-                            lambda w: {"avg_over_time": F.avg("value").over(w)})
+    """Mean of the series' samples in (t - range, t] (sum / count through ``trailing_sums``,
+    which switches to prefix sums for a series too dense for one task per frame)."""
+    d = samples.withColumn("_tb", F.unix_micros("ts"))
+    d = scan.trailing_sums(d, list(series), "ts", "_tb", range_seconds,
+                           {"_s": F.col("value"), "_n": F.lit(1)}, include_lower=False)
+    return d.withColumn("avg_over_time", F.col("_s") / F.col("_n")).drop("_s", "_n", "_tb")
 
 
 def gauge_delta(samples: DataFrame, range_seconds: int = 3600, series=("instance", "metric")) -> DataFrame:
