@@ -99,9 +99,7 @@ def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: in
     once and picks prefix only above CHUNK_TARGET_ROWS."""
     keys = list(keys)
     if method == "auto":
-        busiest = (df.groupBy(*keys, chunk_id(ts, width_seconds).alias("_w"))
-                   .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
-        method = "prefix" if busiest > CHUNK_TARGET_ROWS else "halo"
+        method = frame_method(df, keys, ts, width_seconds)
     if method == "prefix":
         return _trailing_sums_prefix(df, keys, ts, tiebreak, width_seconds, values, include_lower)
     W = int(width_seconds) * 1_000_000
@@ -122,6 +120,30 @@ def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: in
     return res.drop("_us", "_b", "_tgt", *[f"_v{i}" for i in range(len(values))])
 
 
+def frame_method(df: DataFrame, keys, ts: str, width_seconds: int) -> str:
+    """'halo' when one frame width of the busiest key fits a task, else 'prefix'."""
+    busiest = (df.groupBy(*keys, chunk_id(ts, width_seconds).alias("_w"))
+               .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
+    return "prefix" if busiest > CHUNK_TARGET_ROWS else "halo"
+
+
+def frame_first(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: str, out: str) -> DataFrame:
+    """``out`` = ``value`` of the earliest row of the key with ts in (t - width, t] (the row
+    itself when nothing earlier is in range): an as-of lookup in reversed time, chunked like
+    every as-of here, so no task holds a whole frame of a hot key."""
+    keys = list(keys)
+    neg = lambda c: F.timestamp_micros(-_micros(c))
+    # per (key, instant) the first row in tie-break order
+    # the value travels inside a struct: a null value is still a hit (the as-of skips nulls)
+    right = (df.groupBy(*keys, ts).agg(F.min_by(F.struct(F.col(value).alias("v")), F.col(tiebreak)).alias("_fv"))
+             .select(*keys, neg(ts).alias("_rts"), "_fv"))
+    W = int(width_seconds) * 1_000_000
+    # earliest ts > t - W  <=>  newest reversed ts <= -(t - W) - 1
+    probe = df.withColumn("_rts", F.timestamp_micros(-(_micros(ts) - F.lit(W)) - F.lit(1)))
+    j = asof_last(probe, right, keys, "_rts", "_fv", "_fst")
+    return j.withColumn(out, F.col("_fst.v")).drop("_rts", "_fst")
+
+
 def _trailing_sums_prefix(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
                           include_lower: bool) -> DataFrame:
     """sum over the frame = P(row) - P(as of the frame's lower edge), P = running sum in

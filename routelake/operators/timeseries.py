@@ -26,8 +26,17 @@ def counter_deltas(samples: DataFrame, series=SERIES) -> DataFrame:
 
 
 def counter_increase(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
-    """increase(m[range]) at each sample: the deltas between samples inside the range."""
+    """increase(m[range]) at each sample: the deltas between samples inside the range.
+    A series too dense for one task per range uses running sums and a first-in-range
+    lookup instead of the bucket + halo frame."""
     d = counter_deltas(samples, series)
+    if scan.frame_method(d, list(series), "ts", range_seconds) == "prefix":
+        d = d.withColumn("_tb", F.unix_micros("ts"))
+        d = scan.trailing_sums(d, list(series), "ts", "_tb", range_seconds,
+                               {"_sum": F.coalesce(F.col("delta"), F.lit(0.0))}, include_lower=False, method="prefix")
+        d = scan.frame_first(d, list(series), "ts", "_tb", range_seconds, "delta", "_first")
+        return d.select("ts", *series, "value",
+                        (F.col("_sum") - F.coalesce(F.col("_first"), F.lit(0.0))).alias("increase"))
 
     def build(w):
         return {"increase": F.coalesce(F.sum("delta").over(w), F.lit(0.0))
@@ -71,6 +80,11 @@ def avg_over_time(samples: DataFrame, range_seconds: int = 3600, series=SERIES)
 
 
 def gauge_delta(samples: DataFrame, range_seconds: int = 3600, series=("instance", "metric")) -> DataFrame:
+    """delta(): newest minus oldest sample in (t - range, t]."""
+    if scan.frame_method(samples, list(series), "ts", range_seconds) == "prefix":
+        d = scan.frame_first(samples.withColumn("_tb", F.unix_micros("ts")), list(series), "ts", "_tb",
+                             range_seconds, "value", "_first")
+        return d.withColumn("delta", F.col("value") - F.col("_first")).drop("_first", "_tb")
     return scan.halo_window(samples, list(series), "ts", range_seconds,
                             lambda w: {"delta": F.last("value").over(w) - F.first("value").over(w)})
 

@@ -377,3 +377,20 @@ def test_trailing_sums_prefix_method_matches_plain_windows(spark):
             j = ref.join(got.select("id", "s", "n"), "id")
             assert j.count() == len(rows)
             assert j.filter((F.col("s") != F.col("r")) | (F.col("n") != F.col("c"))).count() == 0, (method, lower)
+
+
+def test_increase_and_delta_dense_series_path_matches(spark, monkeypatch):
+    """Force the prefix path (as for a series too dense for one task per range)."""
+    rnd = random.Random(17)
+    rows, v = [], 0.0
+    for k in range(600):
+        v = v + rnd.randint(0, 5) if rnd.random() > 0.05 else float(rnd.randint(0, 3))  # occasional resets
+        rows.append((ts(k * 37 + rnd.randint(0, 20)), "i", "m", "e", v))
+    s = spark.createDataFrame(rows, "ts timestamp, instance string, metric string, endpoint string, value double")
+    halo_inc = {r.ts: r.increase for r in TS.counter_increase(s, 900).collect()}
+    halo_del = {r.ts: r.delta for r in TS.gauge_delta(s, 900, ["instance", "metric"]).collect()}
+    monkeypatch.setattr(scan, "CHUNK_TARGET_ROWS", 3)
+    assert scan.frame_method(s, ["instance", "metric", "endpoint"], "ts", 900) == "prefix"
+    pre_inc = {r.ts: r.increase for r in TS.counter_increase(s, 900).collect()}
+    pre_del = {r.ts: r.delta for r in TS.gauge_delta(s, 900, ["instance", "metric"]).collect()}
+    assert pre_inc == halo_inc and pre_del == halo_del
