@@ -7,11 +7,16 @@ per-(key, chunk) table whose size is (#keys x #chunks), independent of the row c
 
 * ``lag_within``      previous row's values per key (order: ts, tie-break)
 * ``running_sum``     inclusive running sum per key (rows frame, exact with ties)
-* ``trailing_sums``   sums over the trailing time range per key (bucket + halo)
-
-``chunk_seconds`` bounds the work of one task: an int (1 h default) or ``"auto"``, which
+* ``asof_last``       newest right-side value at or before each left row's time
+* ``trailing_sums``   sums over a trailing time range: bucket + halo, or running-sum
+                      differences for keys too dense for one task per range
+* ``frame_first``     earliest value inside a trailing range (as-of in reversed time)
+* ``halo_window``     any window function over a trailing range (bucket + halo)
+* ``top_n_per_group`` newest n per group (map-side group limit, salted above the limit)
+
+``chunk_seconds`` bounds the work of one task: an int or ``"auto"`` (default), which
 measures the busiest (key, hour) once and shrinks the chunk so that no task holds more than
-CHUNK_TARGET_ROWS rows of one key. Results do not depend on the chunk size.
+CHUNK_TARGET_ROWS rows of one key. Results never depend on the chunk size.
 """
 
 from __future__ import annotations
