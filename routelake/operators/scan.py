@@ -36,13 +36,34 @@ def chunk_id(ts, seconds: int) -> Column:
     return F.floor(_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
+_BUSIEST: dict = {}
+MEASURE_TTL_SECONDS = 600
+
+
+def busiest_bucket(df: DataFrame, keys, ts: str, seconds: int) -> int:
+    """Rows in the busiest (key, time bucket of ``seconds``): one partial aggregate over the
+    key and time columns. Remembered per (plan, bucket) for MEASURE_TTL_SECONDS."""
+    import time
+    sub = df.select(*keys, ts)
+    try:
+        key = (id(df.sparkSession), sub.semanticHash(), int(seconds))
+    except Exception:  # noqa: BLE001  (plans without a semantic hash)
+        key = None
+    now = time.monotonic()
+    if key is not None and key in _BUSIEST and now - _BUSIEST[key][1] < MEASURE_TTL_SECONDS:
+        return _BUSIEST[key][0]
+    n = (sub.groupBy(*keys, chunk_id(ts, seconds).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+         .agg(F.max("_n")).first()[0]) or 0
+    if key is not None:
+        _BUSIEST[key] = (n, now)
+    return n
+
+
 def auto_chunk_seconds(df: DataFrame, keys, ts: str, base: int = DEFAULT_CHUNK_SECONDS,
                        target_rows: int | None = None) -> int:
-    """Chunk length such that the densest (key, chunk) holds about ``target_rows`` at most:
-    one partial aggregate over the key and time columns finds the busiest (key, hour)."""
+    """Chunk length such that the densest (key, chunk) holds about ``target_rows`` at most."""
     target_rows = target_rows or CHUNK_TARGET_ROWS
-    busiest = (df.groupBy(*keys, chunk_id(ts, base).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0]) or 0
+    busiest = busiest_bucket(df, keys, ts, base)
     if busiest <= target_rows:
         return base
     return max(1, int(base * target_rows // busiest))
@@ -127,9 +148,7 @@ def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: in
 
 def frame_method(df: DataFrame, keys, ts: str, width_seconds: int) -> str:
     """'halo' when one frame width of the busiest key fits a task, else 'prefix'."""
-    busiest = (df.groupBy(*keys, chunk_id(ts, width_seconds).alias("_w"))
-               .agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]) or 0
-    return "prefix" if busiest > CHUNK_TARGET_ROWS else "halo"
+    return "prefix" if busiest_bucket(df, keys, ts, width_seconds) > CHUNK_TARGET_ROWS else "halo"
 
 
 def frame_first(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: str, out: str) -> DataFrame:
