@@ -119,7 +119,8 @@ def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
     upd = old.select(*EP_KEY, "id", "created_at").join(small, EP_KEY).select(
         "id", *EP_KEY, "url", "is_active", "created_at", "updated_at")
     kept = old.join(small.select(*EP_KEY), EP_KEY, "left_anti")
-    ins = last.join(upd.select(*EP_KEY), EP_KEY, "left_anti")
+    matched = upd.select(*EP_KEY)  # a subset of ``last``: proven small when ``last`` is
+    ins = last.join(F.broadcast(matched) if last_small else matched, EP_KEY, "left_anti")
     max_id = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     ins = dense_index(ins, EP_KEY, small=True if last_small else None).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url",
                                           "is_active", F.col("updated_at").alias("created_at"), "updated_at")
