@@ -92,7 +92,12 @@ def _cache_run(spark, d, invalidate: bool, warm: bool):
     src = envelope_files(spark, t)
     cache, ck = scratch_path(spark, "cache"), scratch_path(spark, "ckpt-cache")
     store = H.CacheStore(spark, cache)
-    store.commit(t.cache_snapshot, -1)  # the starting snapshot
+    # starting snapshot: the catalog's cache plus stale entries for every route the stream
+    # changes (all of them must be invalidated / refilled)
+    stale = (t.event_rows.select(X.route_cache_key().alias("route_key")).distinct()
+             .select("route_key", F.lit("https://stale.example.com/").alias("url"), F.lit(False).alias("is_negative"),
+                     F.lit("2100-01-01 00:00:00").cast("timestamp").alias("expires_at")))
+    store.commit(t.cache_snapshot.unionByName(stale), -1)
     cat = stream_catalog(t)
     S.run(S.cache_query(S.read_route_stream(spark, src), cache, lambda s: cat, ck, invalidate=invalidate, warm=warm))
     return store.current()
@@ -100,8 +105,7 @@ def _cache_run(spark, d, invalidate: bool, warm: bool):
 
 @register("stream_cache_invalidation", "SELECT * FROM cache_snapshot")
 def q_stream_cache_invalidation(spark, d):
-    """Event routes are not in the starting snapshot, which therefore comes back whole;
-    the tests cover removal of cached keys."""
+    """Every stale entry of a changed route is removed; the catalog's entries stay."""
     return _cache_run(spark, d, invalidate=True, warm=False)
 
 
