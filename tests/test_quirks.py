@@ -394,3 +394,24 @@ def test_increase_and_delta_dense_series_path_matches(spark, monkeypatch):
     pre_inc = {r.ts: r.increase for r in TS.counter_increase(s, 900).collect()}
     pre_del = {r.ts: r.delta for r in TS.gauge_delta(s, 900, ["instance", "metric"]).collect()}
     assert pre_inc == halo_inc and pre_del == halo_del
+
+
+def test_history_page_has_more_edges(spark):
+    from routelake.operators import audit as A
+    a3 = _audit(spark, [("1", "created", 1), ("2", "activated", 2), ("3", "deactivated", 3)])
+    p = A.history_page(a3, "t", "s", "e", "v", limit=3).collect()
+    assert len(p) == 3 and not any(r.has_more for r in p)
+    p = A.history_page(a3, "t", "s", "e", "v", limit=2).collect()
+    assert [r.event_id for r in p] == ["3", "2"] and all(r.has_more for r in p)
+
+
+def test_route_state_at_with_changes_at_one_instant(spark):
+    from routelake.operators import audit as A
+    a = _audit(spark, [("1", "created", 0), ("2", "deactivated", 10), ("3", "activated", 10), ("4", "deactivated", 20)])
+    probes = spark.createDataFrame([("t", "s", "e", "v", ts(5)), ("t", "s", "e", "v", ts(10)), ("t", "s", "e", "v", ts(15)),
+                                    ("t", "s", "e", "v", ts(-1))],
+                                   "tenant string, service string, env string, version string, at timestamp")
+    got = {r.at: (r.action_then, r.active_then) for r in A.route_state_at(a, probes).collect()}
+    assert got[ts(5)] == ("created", True)
+    assert got[ts(10)] == ("activated", True) and got[ts(15)] == ("activated", True)  # tie: highest event_id
+    assert got[ts(-1)] == (None, False)
