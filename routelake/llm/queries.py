@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, token_count, unigram
+from . import exact_dedup, near_dedup, sharding, token_count, unigram
 from .util import table
 
 
@@ -38,11 +38,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {
