@@ -28,7 +28,7 @@ from .util import normalised
 #: Most texts that can be hot at once: the size bound of what is broadcast.
 MAX_HOT = 4096
 #: Bytes of copies of one text that a single task sorts and compares.
-HOT_BYTES = 8 << 20
+HOT_BYTES = 1 << 20
 #: Leading characters that take part in the splitters.
 LEADING = 32
 
