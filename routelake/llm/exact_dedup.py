@@ -66,3 +66,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _hot_limit(sizes: DataFrame, hot_bytes: int) -> int:
     total = sizes.agg(F.sum(F.col("n") + F.lit(16).cast("long"))).first()[0] or 0
     return max(hot_bytes, total // MAX_HOT)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns; of rows with equal id and text, one."""
+    def key(id_, digest):
+        return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("-")), digest)
+
+    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("stays"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)).alias("stays"))
+    return rows.join(stay, "stays", "left_semi").dropDuplicates(["stays"]).select("row.*")

@@ -294,3 +294,13 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("member"), F.col("v").alias("root"))
         before = now
+
+
+def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are kept, one of each group, with all their columns."""
+    def key(id_):
+        return F.coalesce(id_.cast("string"), F.lit("-"))
+
+    stay = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(key(F.col("doc_id")).alias("stays"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key(F.col(id_col)).alias("stays"))
+    return rows.join(stay, "stays", "left_semi").select("row.*")

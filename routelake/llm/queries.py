@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, sharding, token_count, topk, unigram, warc
+from . import exact_dedup, html_text, language, near_dedup, packing, sharding, token_count, topk, unigram, warc
 from .util import normalised, table
 
 
@@ -31,6 +31,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -48,6 +52,11 @@ FROM f
 """
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_pages(pages, html_text.train(pages))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -85,7 +94,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_topk": op2_topk,
+    "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
