@@ -48,18 +48,20 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     spark = pages.sparkSession
     python_ready(spark)
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
+    digest = F.sha2(payload, 256)
+    key = F.concat_ws("/", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), digest)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                        payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    narrow = rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n"))
+                        payload.alias("payload"), digest.alias("digest"), key.alias("key"))
+    narrow = rows.select("page_id", "digest", "key", F.octet_length("payload").cast("long").alias("n"))
     total = narrow.agg(F.sum("n")).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
     groups = (narrow.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest")
               .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
               .filter((F.col("copies") > 1) & F.col("refers_to").isNotNull()).drop("copies"))
     revisits = (narrow.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-                .select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to").distinct())
-    records = (rows.repartition(archives, "page_id", "digest")
-               .join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
+                .select("key", "refers_to").distinct())
+    # one shuffle of the payloads; the join keeps its partitions, which become the archives
+    records = (rows.repartition(archives, "key").join(revisits, "key", "left")
                .select("page_id", "url", "payload", "digest", "refers_to"))
 
     def run(batches):
