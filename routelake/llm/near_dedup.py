@@ -18,10 +18,13 @@ Steps, all narrow but for the texts of documents that share a node with another:
    that still is too large after ``MAX_DEPTH`` levels (thousands of near-copies of one text) is
    cut into blocks and compared block by block, so no task holds more than two blocks and no
    pair is left out;
-4. the exhaustive comparison in a node counts intersections on full sets. Within a node a link
+4. members of a node that agree with no other member in enough minwise tokens leave it: a pair at
+   the threshold has fewer agreements with probability below ``1 - RECALL`` (``agreements``). Most
+   nodes that only share a passage end here, before any set is built;
+5. the exhaustive comparison in a node counts intersections on full sets. Within a node a link
    between documents that are already connected adds nothing to the components, so it yields a
    spanning forest of verified links, never all pairs;
-5. connected components by alternating large-star and small-star steps, written after each.
+6. connected components by alternating large-star and small-star steps, written after each.
 
 Word rule: A-Z lower-cased, words are runs of ``[^\\x20\\x09-\\x0D]+``; a document with fewer
 than ``WORDS`` words has its whole sequence as one shingle. Shingles are 64-bit hashes.
@@ -51,8 +54,9 @@ DEEP_BRANCH = 3
 #: Coordinates from which nodes below the first level choose.
 POOL = 16
 MAX_DEPTH = 6
-#: Shingles (all sets together) that one task compares at once.
-NODE_SHINGLES = 1 << 20
+#: Load (shingles of all sets, and MEMBER_LOAD for each set) that one task compares at once.
+NODE_SHINGLES = 1 << 21
+MEMBER_LOAD = 256
 MEMO_WORDS = 400_000
 
 _U = np.uint64
@@ -181,6 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionByName(more)
+    nodes = _similar(nodes, reps, agreements(recall, percent, first + POOL))
+    nodes = written(_distinct_nodes(nodes.withColumn("n_shingles", F.lit(0))).select("node", "rep"), "similar")
     links = written(_compare(nodes, rows, words, percent), "links")
     roots = components(links)
 
@@ -213,7 +219,7 @@ def _fingerprints(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
 def _distinct_nodes(level: DataFrame) -> DataFrame:
     """(node, rep, n_shingles, weight) of nodes with two members at least; of nodes with equal members, one."""
     nodes = (level.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") + MEMBER_LOAD).alias("weight"),
         F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("y"))
         .filter("n > 1").groupBy("n", "weight", "x", "y").agg(F.min("node").alias("node")).select("node", "weight"))
     return level.join(nodes, "node").select("node", "rep", "n_shingles", "weight")
@@ -236,6 +242,59 @@ def _blocks(large: DataFrame, node_shingles: int) -> DataFrame:
     return pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
+def agreements(recall: float, percent: int, tokens: int) -> int:
+    """The most agreements, of ``tokens`` independent ones, that a pair at the threshold misses with probability below 1 - recall."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < tokens:
+        below += math.comb(tokens, k) * p ** k * (1 - p) ** (tokens - k)
+        if below > 1 - recall:
+            break
+        k += 1
+    return k
+
+
+def with_partner(tokens: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of ``tokens`` agree with another row in ``least`` columns or more."""
+    out = np.zeros(len(tokens), bool)
+    for x in range(len(tokens) - 1):
+        near = (tokens[x + 1:] == tokens[x]).sum(axis=1) >= least
+        if near.any():
+            out[x] = True
+            out[x + 1:] |= near
+    return out
+
+
+def _similar(nodes: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """(node, rep) of the members that agree with another member of their node in ``least`` tokens."""
+    def run(batches):
+        import pyarrow as pa
+        node, ids, rows = None, [], []
+
+        def kept():
+            if len(ids) < 2:
+                return []
+            return [(node, i) for i, k in zip(ids, with_partner(np.stack(rows), least), strict=True) if k]
+
+        def batch(found):
+            columns = list(zip(*found, strict=True)) if found else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "rep"])
+
+        for part in slices(batches, 4096):
+            tokens = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            out = []
+            for key, rep, row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens, strict=True):
+                if key != node:
+                    out += kept()
+                    node, ids, rows = key, [], []
+                ids.append(rep)
+                rows.append(row)
+            yield batch(out)
+        yield batch(kept())
+
+    return (nodes.join(reps.select("rep", "tokens"), "rep").select("node", "rep", "tokens")
+            .repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "node long, rep long"))
+
+
 def _compare(nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) of every node, on the full sets of its members."""
     def sets(batches):

@@ -53,7 +53,7 @@ def corpus(rng):
     return texts
 
 
-@pytest.mark.parametrize("node,depth", [(N.NODE_SHINGLES, N.MAX_DEPTH), (2500, 1), (4000, 3)])
+@pytest.mark.parametrize("node,depth", [(N.NODE_SHINGLES, N.MAX_DEPTH), (12_000, 1), (20_000, 3)])
 def test_near_duplicates_match_brute_force(spark, node, depth):
     texts = corpus(random.Random(8))
     got = N.near_duplicates(documents(spark, texts), node_shingles=node, max_depth=depth).collect()
@@ -68,6 +68,15 @@ def test_near_duplicates_odd_ids(spark):
     assert N.near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_agreements_bound_the_loss():
+    import math
+    for percent, tokens in ((85, 24), (80, 26), (85, 8)):
+        k = N.agreements(N.RECALL, percent, tokens)
+        p = percent / 100
+        lost = sum(math.comb(tokens, j) * p ** j * (1 - p) ** (tokens - j) for j in range(k))
+        assert lost <= 1 - N.RECALL
+
+
 def test_link_node_is_a_spanning_forest():
     import numpy as np
     rng = np.random.RandomState(1)
