@@ -11,7 +11,7 @@ another one stays alone. All machines are L2-regularised squared-hinge machines,
 dual coordinate descent on the driver.
 
 Training rows: at most ``SAMPLE_ROWS`` labelled rows of every language, those with the
-smallest hash of (id, text); that sample is the documented bound of what reaches the driver.
+smallest hash of (id, text) among a cut by hash; that sample is the documented bound of what reaches the driver.
 Prediction uses the text alone.
 
 Score: probability of the family (softmax of its margins) times the smallest logistic margin
@@ -161,7 +161,10 @@ def train(docs: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     best = Window.partitionBy("lang").orderBy("key")
-    keys = (rows.select("lang", "key").distinct().withColumn("place", F.row_number().over(best))
+    # keys are hashes, so about four times the sample passes a cut by their number, however many rows there are
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.pmod("key", F.lit(1 << 40)) < F.lit(float(1 << 42) * sample_rows) / F.col("n")
+    keys = (rows.select("lang", "key").join(sizes, "lang").filter(low).select("lang", "key").distinct().withColumn("place", F.row_number().over(best))
             .filter(F.col("place") <= sample_rows).select("lang", "key"))
     # languages * sample_rows keys at most
     sample = rows.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
