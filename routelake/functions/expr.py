@@ -62,9 +62,13 @@ def split_route_key(key="route_key") -> Column:
     return F.struct(*[F.element_at(parts, i + 1).alias(n) for i, n in enumerate(ROUTE_COLS)])
 
 
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?$"
+
+
 def parse_iso_timestamp(s, fallback=None) -> Column:
-    """ISO-8601 with ``Z``, an offset (-> UTC) or no zone; junk/missing -> fallback (Q4, Q5)."""
-    parsed = F.try_to_timestamp(_c(s))
+    """ISO-8601 with ``Z``, an offset (-> UTC) or no zone; junk/missing -> fallback (Q4, Q5). The
+    text must be a whole date, or a date and a time: a year or a time alone is junk."""
+    parsed = F.when(F.trim(_c(s)).rlike(ISO_PATTERN), F.try_to_timestamp(_c(s)))
     return parsed if fallback is None else F.coalesce(parsed, _c(fallback))
 
 

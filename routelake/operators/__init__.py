@@ -7,8 +7,6 @@ metrics      request, cache and metric aggregations
 quantiles    exact order statistics by counting
 timeseries   counters, gauges, histograms, SLIs, alerts
 resilience   failure windows, retry budget, concurrency
-breaker      circuit-breaker timeline (batch fold and stream)
 ingest       text sources, correlation trace, outage range join
 scan         skew-safe window primitives (chunked lag / running sum / as-of, halo frames, top-k)
-joins        size-checked broadcast helpers
 """

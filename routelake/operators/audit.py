@@ -235,7 +235,7 @@ def changes_per_day(audit: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ state over time
-def audit_previous_value(audit: DataFrame, chunk_seconds="auto") -> DataFrame:
+def audit_previous_value(audit: DataFrame, chunk_seconds: int = scan.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Fill previous_url / previous_state from the route's previous change when the
     publisher left them empty (Q8). Chunked lag: a hot route is spread over its days."""
     flat = audit.select("*", *[F.col(f"route.{c}").alias(f"_{c}") for c in X.ROUTE_COLS])

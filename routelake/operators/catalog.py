@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .joins import join_dimension, maybe_broadcast
 
 ROUTE = list(X.ROUTE_COLS)
 
@@ -21,8 +20,8 @@ def route_table(tenants: DataFrame, services: DataFrame, environments: DataFrame
     ep = endpoints.select(F.col("id").alias("endpoint_id"), "environment_id", "version", "url",
                           "is_active", "created_at", "updated_at")
     j = ep.join(env, "environment_id")
-    j = join_dimension(j, svc, "service_id", size_of=services)
-    j = join_dimension(j, ten, "tenant_id", size_of=tenants)
+    j = j.join(svc, "service_id")
+    j = j.join(ten, "tenant_id")
     return j.select("tenant_id", "tenant", "service_id", "service", "environment_id", "env",
                     "endpoint_id", "version", "url", "is_active", "created_at", "updated_at")
 
@@ -134,7 +133,7 @@ def warm_join(changed: DataFrame, routes: DataFrame, as_of) -> DataFrame:
     as_of = X.lit_ts(as_of) if isinstance(as_of, str) else as_of
     keys = changed.select(*ROUTE).filter(X.all_present(*ROUTE)).dropDuplicates(ROUTE)
     # the catalog is probed with the (checked-small) changed keys instead of being shuffled
-    found = active_routes(routes).join(maybe_broadcast(keys), ROUTE, "left_semi")
+    found = active_routes(routes).join(keys, ROUTE, "left_semi")
     j = keys.join(found, ROUTE, "left")
     found = F.col("url").isNotNull()
     return j.select(
@@ -146,7 +145,7 @@ def warm_join(changed: DataFrame, routes: DataFrame, as_of) -> DataFrame:
 def invalidate_cache(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """Cache minus the keys of changed routes (``DEL key``)."""
     keys = changed.select(X.route_cache_key().alias("route_key")).filter(F.col("route_key").isNotNull())
-    return cache.join(maybe_broadcast(keys.dropDuplicates(["route_key"])), "route_key", "left_anti")
+    return cache.join(keys, "route_key", "left_anti")
 
 
 def label_active_mark(routes: DataFrame) -> DataFrame:

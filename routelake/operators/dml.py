@@ -13,11 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .joins import bounded_rows, maybe_broadcast
-
-# at most this many rows are numbered in a single sorted task; larger sets use the
-# range-partitioned numbering
-SMALL_INDEX_ROWS = 200_000
 
 ROUTE = list(X.ROUTE_COLS)
 EP_KEY = ["environment_id", "version"]
@@ -37,34 +32,25 @@ def fold_endpoint_writes(writes: DataFrame) -> DataFrame:
                     F.col("l.updated_at").alias("updated_at"))
 
 
-def dense_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None,
-                small: bool | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_cols, out: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row in the global order of ``order_cols`` (ties broken by
-    the full column list). A set proven to hold at most SMALL_INDEX_ROWS rows is numbered in
-    one task; anything larger without a single-partition window: range-partition, number rows
-    inside each partition, add the row count of all earlier partitions. The offsets table has
-    one row per partition, so its broadcast is bounded by the partition count. ``small``: the
-    caller already proved the bound (e.g. ``df`` is a subset of a checked set)."""
+    the full column list), without a single-partition window: the rows are range-partitioned,
+    sorted and written once with their partition and position, then every partition adds the
+    row count of all earlier ones. Both steps read the written copy, so they see the same
+    partitions. The offsets have one row per partition."""
+    from ..sources.lake import cut_lineage
     spark = df.sparkSession
     order = list(order_cols) + [c for c in df.columns if c not in order_cols]
-    if small is None and num_partitions is None:
-        small = bounded_rows(df, SMALL_INDEX_ROWS)
-    if small and num_partitions is None:
-        # proven small (new names of one batch, typically): one bounded sorted task
-        w = Window.orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an explicit partition count is never coalesced by AQE, so partition ids are stable
-    parted = df.repartitionByRange(n, *order)
-    counts = parted.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+    local = cut_lineage(spark, local, "numbered")
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    local = (parted.sortWithinPartitions(*order)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_mono", F.monotonically_increasing_id()))
-    j = local.join(F.broadcast(offs), "_pid")
     # monotonically_increasing_id = (partition id << 33) + position inside the partition
     pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return j.withColumn(out, F.col("_off") + pos).drop("_pid", "_mono", "_off")
+    return local.join(offs, "_pid").withColumn(out, F.col("_off") + pos).drop("_pid", "_mono", "_off")
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame, keys, name_col: str = "name") -> DataFrame:
@@ -72,16 +58,10 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, keys, name_col: str =
     rows with ids ``max(id) + 1 ...`` in key order (repeatable)."""
     keys = list(keys)
     w = wanted.select(*keys).filter(X.all_present(*keys)).dropDuplicates(keys)
-    # probe the (large) existing table with the (checked-small) wanted names, then diff the
-    # two small sets: the existing table is streamed, never shuffled
-    w_small = bounded_rows(w, SMALL_INDEX_ROWS)  # one check covers the broadcast and, as new ⊆ w, the numbering
-    found = existing.select(*keys).join(F.broadcast(w) if w_small else maybe_broadcast(w), keys, "left_semi")
-    new = w.join(found, keys, "left_anti")
+    new = w.join(existing.select(*keys), keys, "left_anti")
     max_id = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    idx = dense_index(new, keys, small=True if w_small else None)
-    new_rows = idx.select((max_id + F.col("idx") + 1).alias("id"), *keys)
-    cols = ["id", *keys]
-    return existing.select(*cols).unionByName(new_rows)
+    new_rows = dense_index(new, keys).select((max_id + F.col("idx") + 1).alias("id"), *keys)
+    return existing.select("id", *keys).unionByName(new_rows)
 
 
 def get_or_create_tenant(tenants: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -107,24 +87,20 @@ def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
     """INSERT ... ON CONFLICT (environment_id, version) DO UPDATE as a new snapshot.
 
     ``changes``: environment_id, version, url, is_active, updated_at, seq. Repeated keys in
-    the change set: the highest ``seq`` wins. Existing rows keep id and created_at.
-    A change set proven small is broadcast, so the (large) snapshot is only streamed
-    through hash probes and never shuffled; a large one falls back to shuffle joins."""
+    the change set: the highest ``seq`` wins. Existing rows keep id and created_at. One left
+    join gives kept and updated rows; only rows that are new are numbered."""
     last = (changes.groupBy(*EP_KEY)
-            .agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c"))
-            .select(*EP_KEY, "c.url", "c.is_active", "c.updated_at"))
+            .agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c")))
     old = endpoints.select(*EP_COLS)
-    last_small = bounded_rows(last, SMALL_INDEX_ROWS)  # inserts are a subset of ``last``
-    small = F.broadcast(last) if last_small else maybe_broadcast(last)
-    upd = old.select(*EP_KEY, "id", "created_at").join(small, EP_KEY).select(
-        "id", *EP_KEY, "url", "is_active", "created_at", "updated_at")
-    kept = old.join(small.select(*EP_KEY), EP_KEY, "left_anti")
-    matched = upd.select(*EP_KEY)  # a subset of ``last``: proven small when ``last`` is
-    ins = last.join(F.broadcast(matched) if last_small else matched, EP_KEY, "left_anti")
+    hit = F.col("c").isNotNull()
+    kept = old.join(last, EP_KEY, "left").select(
+        "id", *EP_KEY, *[F.when(hit, F.col(f"c.{c}")).otherwise(F.col(c)).alias(c) for c in ("url", "is_active")], "created_at",
+        F.when(hit, F.col("c.updated_at")).otherwise(F.col("updated_at")).alias("updated_at"))
+    ins = last.join(old.select(*EP_KEY), EP_KEY, "left_anti").select(*EP_KEY, "c.url", "c.is_active", "c.updated_at")
     max_id = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    ins = dense_index(ins, EP_KEY, small=True if last_small else None).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url",
-                                          "is_active", F.col("updated_at").alias("created_at"), "updated_at")
-    return kept.unionByName(upd).unionByName(ins)
+    ins = dense_index(ins, EP_KEY).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url", "is_active",
+                                          F.col("updated_at").alias("created_at"), "updated_at")
+    return kept.unionByName(ins)
 
 
 def validate_route_writes(df: DataFrame, need_url: bool):
@@ -143,14 +119,13 @@ def _route_ids(tenants, services, environments) -> DataFrame:
     t = tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant"))
     s = services.select(F.col("id").alias("service_id"), "tenant_id", F.col("name").alias("service"))
     e = environments.select(F.col("id").alias("environment_id"), "service_id", F.col("name").alias("env"))
-    return e.join(maybe_broadcast(s), "service_id").join(maybe_broadcast(t), "tenant_id")
+    return e.join(s, "service_id").join(t, "tenant_id")
 
 
 def _ids_for(batch: DataFrame, ids: DataFrame) -> DataFrame:
-    """Only the environment ids a write batch names: a semi join that broadcasts the batch's
-    (checked-small) name set and streams the (large) id table without shuffling it."""
+    """Only the environment ids a write batch names."""
     names = batch.select(*ROUTE[:3]).distinct()
-    return ids.join(maybe_broadcast(names), ROUTE[:3], "left_semi")
+    return ids.join(names, ROUTE[:3], "left_semi")
 
 
 def _event_rows(df: DataFrame, action_col, as_of) -> DataFrame:
@@ -197,9 +172,8 @@ def set_active(tenants, services, environments, endpoints, requests: DataFrame,
     valid, rejects = validate_route_writes(requests, need_url=False)
     ids = _ids_for(valid, _route_ids(tenants, services, environments).select("environment_id", *ROUTE[:3]))
     keyed = valid.join(ids, ROUTE[:3], "left")
-    # probe the endpoints with the (checked-small) request batch instead of shuffling them
     ep = endpoints.select(*EP_KEY, F.col("url").alias("_ep_url"))
-    found = ep.join(maybe_broadcast(keyed.drop(*[c for c in ("url",) if c in keyed.columns])), EP_KEY) \
+    found = ep.join(keyed.drop(*[c for c in ("url",) if c in keyed.columns]), EP_KEY) \
         .withColumnRenamed("_ep_url", "url")
     nf = (keyed.join(found.select("seq"), "seq", "left_anti").select(*requests.columns)
           .withColumn("reject_reason", F.lit("not_found")))
@@ -225,19 +199,21 @@ OP_ACTION = {"create": "created", "activate": "activated", "deactivate": "deacti
 def apply_change_log(routes: DataFrame, change_log: DataFrame, as_of):
     """Apply an ordered mixed batch of create/activate/deactivate per route key.
 
-    ``routes``: the current route table (names, url, is_active). An op is applied when the
-    route exists before the batch, or a create came earlier in the batch; other ops are
-    rejects. Result per key from partial aggregates (no per-key sort)."""
+    ``routes``: the current route table (names, url, is_active). Rejects: a missing name, an
+    op that is none of the three, a create without URL, and an activate or deactivate of a
+    route that neither exists before the batch nor was created earlier in it. Result per key from partial aggregates (no per-key sort)."""
     from ..sources.lake import cut_lineage
     # the batch is read by five branches below: write it once to the shared folder
     change_log = cut_lineage(change_log.sparkSession, change_log, "change-batch")
-    cl = change_log.filter(X.all_present(*ROUTE))
-    bad = change_log.filter(~X.all_present(*ROUTE)).withColumn("reject_reason", F.lit("missing_field"))
-    # only the routes the batch touches are read from the (large) route table: a semi join
-    # against the batch's distinct keys, broadcast when that key set is proven small
+    known = F.coalesce(F.col("op").isin(*OP_ACTION), F.lit(False))
+    cl, no_url = validate_route_writes(change_log.filter(known & (F.col("op") == "create")), need_url=True)
+    others, no_name = validate_route_writes(change_log.filter(known & (F.col("op") != "create")), need_url=False)
+    cl = cl.unionByName(others)
+    bad = no_url.unionByName(no_name).unionByName(change_log.filter(~known).withColumn("reject_reason", F.lit("unknown_op")))
+    # only the routes that the batch touches
     keys = cl.select(*ROUTE).distinct()
     cur = (routes.select(*ROUTE, F.col("url").alias("cur_url"), F.col("is_active").alias("cur_active"))
-           .join(maybe_broadcast(keys), ROUTE, "left_semi"))
+           .join(keys, ROUTE, "left_semi"))
     first_create = (cl.filter(F.col("op") == "create").groupBy(*ROUTE)
                     .agg(F.min("seq").alias("first_create")))
     tagged = (cl.join(first_create, ROUTE, "left")

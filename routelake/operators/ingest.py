@@ -3,12 +3,10 @@ trace across sources, and the outage range join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from . import scan
-from .joins import maybe_broadcast
 
 # Exposition line and log line formats of the reference.
 EXPO_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(.*)\})?\s+(\S+)(\s+(-?[0-9]+))?\s*$"
@@ -33,28 +31,42 @@ def render_exposition(samples: DataFrame, labels=("instance", "endpoint"), kind:
     return head.unionByName(body)
 
 
+def _unescaped(text) -> F.Column:
+    """Label value without its escapes: backslash, quote, line end."""
+    held = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    held = F.replace(F.replace(held, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return F.replace(held, F.lit("\x00"), F.lit("\\"))
+
+
 def parse_exposition(lines: DataFrame) -> DataFrame:
-    """``value`` text lines -> (metric, labels map, value, type). HELP/TYPE give the type."""
+    """``value`` text lines -> (metric, labels map, value, ts, type, line, reject_reason). HELP/TYPE
+    give the type (of several TYPE lines of a metric the smallest text); ``ts`` is the sample's own
+    time if it has one. Lines that are neither sample, comment nor blank are kept with a reason."""
     v = F.col("value")
     meta = lines.filter(v.rlike(EXPO_META)).select(
         F.regexp_extract(v, EXPO_META, 1).alias("kw"), F.regexp_extract(v, EXPO_META, 2).alias("metric"),
         F.regexp_extract(v, EXPO_META, 3).alias("arg"))
-    types = meta.filter(F.col("kw") == "TYPE").groupBy("metric").agg(F.first("arg").alias("type"))
-    s = lines.filter(~v.startswith("#") & (F.trim(v) != "") & v.rlike(EXPO_LINE))
+    types = meta.filter(F.col("kw") == "TYPE").groupBy("metric").agg(F.min("arg").alias("type"))
+    s = lines.filter(v.isNotNull() & ~v.startswith("#") & (F.trim(v) != ""))
     raw_labels = F.regexp_extract(v, EXPO_LINE, 3)
     num = F.regexp_extract(v, EXPO_LINE, 4)
     num = (F.when(num.isin("+Inf", "Inf"), F.lit("Infinity")).when(num == "-Inf", F.lit("-Infinity"))
            .otherwise(num))
+    good = v.rlike(EXPO_LINE) & num.try_cast("double").isNotNull()
+    names, texts = (F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), i) for i in (1, 2))
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    reason = F.when(~good, F.lit("not_a_sample")).when(~unique, F.lit("repeated_label"))
+    ok = reason.isNull()
     parsed = s.select(
-        F.regexp_extract(v, EXPO_LINE, 1).alias("metric"),
-        F.map_from_arrays(F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 1),
-                          F.regexp_extract_all(raw_labels, F.lit(EXPO_LABEL), 2)).alias("labels"),
-        num.try_cast("double").alias("value"))
+        F.when(ok, F.regexp_extract(v, EXPO_LINE, 1)).alias("metric"),
+        F.when(ok, F.map_from_arrays(names, F.transform(texts, _unescaped))).alias("labels"),
+        F.when(ok, num.try_cast("double")).alias("value"),
+        F.when(ok, F.timestamp_millis(F.regexp_extract(v, EXPO_LINE, 6).try_cast("long"))).alias("ts"),
+        v.alias("line"), reason.alias("reject_reason"))
     # histogram / summary series (_bucket, _sum, _count) take the type of their family
     family = F.regexp_replace(F.col("metric"), r"_(bucket|sum|count)$", "")
-    t = maybe_broadcast(types)
-    exact = parsed.join(t, "metric", "left")
-    fam = t.select(F.col("metric").alias("_family"), F.col("type").alias("_ftype"))
+    exact = parsed.join(types, "metric", "left")
+    fam = types.select(F.col("metric").alias("_family"), F.col("type").alias("_ftype"))
     return (exact.withColumn("_family", family).join(fam, "_family", "left")
             .withColumn("type", F.coalesce("type", "_ftype")).drop("_family", "_ftype"))
 
@@ -65,7 +77,7 @@ def log_level(status) -> F.Column:
     return F.when((s >= 500) | (s == 0), F.lit("ERROR")).when(s >= 400, F.lit("WARNING")).otherwise(F.lit("INFO"))
 
 
-def render_app_log(log: DataFrame, logger: str = "src.api.app") -> DataFrame:
+def render_app_log(log: DataFrame, logger: str = "api.app") -> DataFrame:
     msg = F.concat(F.col("method"), F.lit(" /api/"), F.col("endpoint"), F.lit(" -> "),
                    F.col("status_code").cast("string"))
     return log.select(F.concat_ws(" - ", F.date_format("ts", LOG_TS_FORMAT),
@@ -74,14 +86,17 @@ def render_app_log(log: DataFrame, logger: str = "src.api.app") -> DataFrame:
 
 
 def parse_app_log(lines: DataFrame) -> DataFrame:
+    """(ts, correlation_id, logger, level, message, reject_reason). A line that is no log line (part
+    of a stack trace, say) is kept whole as its message, with a reason."""
     v = F.col("value")
-    m = lines.filter(v.rlike(LOG_LINE))
-    cid = F.regexp_extract(v, LOG_LINE, 2)
-    return m.select(F.to_timestamp(F.regexp_extract(v, LOG_LINE, 1), LOG_TS_FORMAT).alias("ts"),
-                    F.when(cid != "-", cid).alias("correlation_id"),
-                    F.regexp_extract(v, LOG_LINE, 3).alias("logger"),
-                    F.regexp_extract(v, LOG_LINE, 4).alias("level"),
-                    F.regexp_extract(v, LOG_LINE, 5).alias("message"))
+    ok = v.rlike(LOG_LINE)
+
+    def part(i: int):
+        return F.when(ok, F.regexp_extract(v, LOG_LINE, i))
+    return lines.filter(v.isNotNull()).select(
+        F.try_to_timestamp(part(1), F.lit(LOG_TS_FORMAT)).alias("ts"), F.when(part(2) != "-", part(2)).alias("correlation_id"),
+        part(3).alias("logger"), part(4).alias("level"), F.when(ok, part(5)).otherwise(v).alias("message"),
+        F.when(~ok, F.lit("not_a_log_line")).alias("reject_reason"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -91,15 +106,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ joins over time
 def trace_by_correlation(parts: dict) -> DataFrame:
     """One timeline per correlation id over several sources. ``parts``: source name ->
-    DataFrame(correlation_id, ts, detail). ``step`` numbers the rows of an id in time
-    order (chunked running count, so a reused id cannot pile up in one task)."""
+    DataFrame(correlation_id, ts, detail). ``step`` numbers the rows of an id in time order;
+    rows at one instant by source, then detail. An id belongs to one request, so one window
+    over the ids is the only shuffle."""
     u = None
     for name, df in parts.items():
         d = df.select("correlation_id", "ts", F.lit(name).alias("source"), F.col("detail").cast("string"))
         u = d if u is None else u.unionByName(d)
     u = u.filter(F.col("correlation_id").isNotNull())
-    u = scan.running_sum(u, ["correlation_id"], "ts", "source", F.lit(1), "step")
-    return u.withColumn("step", F.col("step").cast("long"))
+    w = Window.partitionBy("correlation_id").orderBy("ts", "source", "detail")
+    return u.withColumn("step", F.row_number().over(w).cast("long"))
 
 
 def outage_changes(changes: DataFrame, outages: DataFrame, ts: str = "occurred_at",

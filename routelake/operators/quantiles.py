@@ -1,11 +1,13 @@
 """Exact order statistics without sorting a group in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, and a window
-``partitionBy(group).orderBy(value)`` sorts the whole group in one task. Here a rank is
-found by counting: a log-scale bucket per value (64 per octave), cumulative counts per
-group, the bucket that holds the wanted rank, then 65,536 linear sub-buckets of that bucket,
-and only the rows of the chosen sub-bucket are sorted. Every step is a partial aggregate or
-a join with a table of (#groups x #ranks) rows.
+``partitionBy(group).orderBy(value)`` sorts the whole group in one task. Here rows are first
+counted per (group, value), combined on the map side, so that a value that most rows share is
+one row from then on. A rank is found by cumulating counts: a log-scale bucket per value (64
+per octave), the bucket that holds the wanted rank, then 65,536 linear sub-buckets of that
+bucket, and only the distinct values of the chosen sub-bucket are sorted.
+
+Order: -Infinity, finite values, Infinity, NaN (as Spark sorts doubles). Nulls do not count.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ from pyspark.sql import functions as F
 K1 = 64            # level-1 buckets per octave
 OFF = 1_000_000    # keeps level-1 ids of positive and negative values apart
 K2 = 65536         # level-2 linear sub-buckets
+INF = 2_000_000    # level-1 id of infinity; NaN follows it
 
 
 def _b1(v: Column) -> Column:
     """Order-preserving log bucket (java.lang.Math.log is semi-monotonic)."""
     pos = F.floor(F.log2(v) * K1) + OFF
     neg = -(F.floor(F.log2(-v) * K1) + OFF)
-    return F.when(v > 0, pos).when(v < 0, neg).otherwise(F.lit(0)).cast("long")
+    inf = F.lit(float("inf"))
+    return (F.when(F.isnan(v), F.lit(INF + 1)).when(v == inf, F.lit(INF)).when(v == -inf, F.lit(-INF))
+            .when(v > 0, pos).when(v < 0, neg).otherwise(F.lit(0)).cast("long"))
 
 
 def _b2(v: Column, b1: Column) -> Column:
@@ -31,7 +36,7 @@ def _b2(v: Column, b1: Column) -> Column:
     lo = F.when(b1 > 0, F.pow(F.lit(2.0), e_pos)).otherwise(-F.pow(F.lit(2.0), e_neg + 1.0 / K1))
     hi = F.when(b1 > 0, F.pow(F.lit(2.0), e_pos + 1.0 / K1)).otherwise(-F.pow(F.lit(2.0), e_neg))
     raw = F.floor((v - lo) / (hi - lo) * K2)
-    return F.when(b1 == 0, F.lit(0)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(K2 - 1))).cast("long")
+    return F.when((b1 == 0) | (F.abs(b1) >= INF), F.lit(0)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(K2 - 1))).cast("long")
 
 
 def _locate(counts: DataFrame, keys, bucket: str, want: DataFrame, want_rank: str) -> DataFrame:
@@ -45,20 +50,19 @@ def _locate(counts: DataFrame, keys, bucket: str, want: DataFrame, want_rank: st
 def order_statistics(df: DataFrame, groups, value: str, wanted: DataFrame) -> DataFrame:
     """``wanted``: (groups..., rank) with 1-based ranks. Returns (groups..., rank, value)."""
     g = list(groups)
-    d = df.select(*g, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    d = (df.select(*g, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+         .groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_cnt")))
     d = d.withColumn("_b1", _b1(F.col("_x")))
     want = wanted.select(*g, "rank").distinct().withColumn("_r", F.col("rank"))
-    c1 = d.groupBy(*g, "_b1").agg(F.count(F.lit(1)).alias("_cnt"))
-    # t1/t2 hold (#groups x #ranks) rows; AQE turns their joins into broadcasts from the
+    c1 = d.groupBy(*g, "_b1").agg(F.sum("_cnt").alias("_cnt"))
+    # t1/t2/t3 hold (#groups x #ranks) rows; AQE turns their joins into broadcasts from the
     # measured size at run time, and keeps shuffle joins if #groups is large
     t1 = _locate(c1, g, "_b1", want, "_r")
     d2 = d.join(t1.select(*g, "_b1").distinct(), g + ["_b1"], "left_semi").withColumn("_b2", _b2(F.col("_x"), F.col("_b1")))
-    c2 = d2.groupBy(*g, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt"))
+    c2 = d2.groupBy(*g, "_b1", "_b2").agg(F.sum("_cnt").alias("_cnt"))
     t2 = _locate(c2, g + ["_b1"], "_b2", t1, "_r")
     d3 = d2.join(t2.select(*g, "_b1", "_b2").distinct(), g + ["_b1", "_b2"], "left_semi")
-    w = Window.partitionBy(*g, "_b1", "_b2").orderBy("_x")
-    d3 = d3.withColumn("_r", F.row_number().over(w))
-    return d3.join(t2, g + ["_b1", "_b2", "_r"]).select(*g, "rank", F.col("_x").alias("value"))
+    return _locate(d3, g + ["_b1", "_b2"], "_x", t2, "_r").select(*g, "rank", F.col("_x").alias("value"))
 
 
 def _weights_exclusive(i: int, n: int, threshold: int, name: str) -> list:

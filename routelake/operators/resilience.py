@@ -1,5 +1,4 @@
-"""Resilience analytics over logs (2.6): failure windows, breaker timeline, retry budget,
-concurrency. Keys are (instance, dependency|budget|class); limits are fixed small tables.
+"""Resilience analytics over logs (2.6): failure windows, retry budget, concurrency. Keys are (instance, dependency|budget|class); limits are fixed small tables.
 """
 
 from __future__ import annotations
@@ -44,7 +43,7 @@ def failure_window(calls: DataFrame, limits: DataFrame, window_seconds: int = 60
     d = scan.trailing_sums(d, k, "ts", "_tb", window_seconds,
                            {"failures_in_window": fail, "calls_in_window": F.lit(1)}, include_lower=False)
     d = scan.running_sum(d, k, "ts", "_tb", F.lit(1), "lifetime_calls")
-    d = d.join(F.broadcast(limits.select("dependency", "failure_threshold", "min_calls")), "dependency", "left")
+    d = d.join(limits.select("dependency", "failure_threshold", "min_calls"), "dependency", "left")
     return d.select(
         "instance", "dependency", "call_id", "ts", "is_failure",
         F.col("failures_in_window").cast("long").alias("failures_in_window"),
@@ -62,7 +61,7 @@ def retry_budget_usage(retries: DataFrame, limits: DataFrame, window_seconds: in
     k = ["instance", "budget"]
     d = retries.withColumn("_tb", F.col("retry_id"))
     d = scan.trailing_count(d, k, "ts", "_tb", window_seconds, F.lit(1), "retries_in_window", include_lower=True)
-    d = d.join(F.broadcast(limits.select("budget", "max_retries")), "budget", "left")
+    d = d.join(limits.select("budget", "max_retries"), "budget", "left")
     n, m = F.col("retries_in_window").cast("long"), F.col("max_retries")
     return d.select("instance", "budget", "retry_id", "ts", n.alias("retries_in_window"),
                     (n - 1 < m).alias("allowed"), (n / m * 100).alias("budget_used_pct"),
@@ -78,7 +77,7 @@ def concurrency_profile(spans: DataFrame, limits: DataFrame) -> DataFrame:
     # tie-break: at equal ts the -1 rows first, then by span id
     ev = ev.withColumn("_tb", F.col("delta") * F.lit(1 << 40) + F.col("span_id"))
     d = scan.running_sum(ev, k, "ts", "_tb", F.col("delta"), "in_flight")
-    d = d.join(F.broadcast(limits), "class", "left")
+    d = d.join(limits, "class", "left")
     f, m = F.col("in_flight").cast("long"), F.col("max_concurrent")
     return d.select(*k, "span_id", "ts", "delta", f.alias("in_flight"), m.alias("limit"),
                     (f / m * 100).alias("utilisation_pct"), (m - f).alias("slots_left"), (f > m).alias("over_limit"))

@@ -8,15 +8,14 @@ per-(key, chunk) table whose size is (#keys x #chunks), independent of the row c
 * ``lag_within``      previous row's values per key (order: ts, tie-break)
 * ``running_sum``     inclusive running sum per key (rows frame, exact with ties)
 * ``asof_last``       newest right-side value at or before each left row's time
-* ``trailing_sums``   sums over a trailing time range: bucket + halo, or running-sum
-                      differences for keys too dense for one task per range
-* ``frame_first``     earliest value inside a trailing range (as-of in reversed time)
+* ``trailing_sums``   sums over a trailing time range (bucket + halo)
 * ``halo_window``     any window function over a trailing range (bucket + halo)
 * ``top_n_per_group`` newest n per group (map-side group limit, salted above the limit)
 
-``chunk_seconds`` bounds the work of one task: an int or ``"auto"`` (default), which
-measures the busiest (key, hour) once and shrinks the chunk so that no task holds more than
-CHUNK_TARGET_ROWS rows of one key. Results never depend on the chunk size.
+``chunk_seconds`` bounds the work of one task: it holds the rows of one key in that time. It
+is a plain parameter; nothing is measured and no plan depends on the size of the data, so
+results never depend on it. Range frames use one method at every size: a task holds two frame
+widths of one key.
 """
 
 from __future__ import annotations
@@ -24,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_SECONDS = 3600
-CHUNK_TARGET_ROWS = 4_000_000   # rows of one key that one task may hold ("auto" chunks)
+DEFAULT_CHUNK_SECONDS = 900
 
 
 def _micros(ts) -> Column:
@@ -36,49 +34,11 @@ def chunk_id(ts, seconds: int) -> Column:
     return F.floor(_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
-_BUSIEST: dict = {}
-MEASURE_TTL_SECONDS = 600
-
-
-def busiest_bucket(df: DataFrame, keys, ts: str, seconds: int) -> int:
-    """Rows in the busiest (key, time bucket of ``seconds``): one partial aggregate over the
-    key and time columns. Remembered per (plan, bucket) for MEASURE_TTL_SECONDS."""
-    import time
-    sub = df.select(*keys, ts)
-    try:
-        key = (id(df.sparkSession), sub.semanticHash(), int(seconds))
-    except Exception:  # noqa: BLE001  (plans without a semantic hash)
-        key = None
-    now = time.monotonic()
-    if key is not None and key in _BUSIEST and now - _BUSIEST[key][1] < MEASURE_TTL_SECONDS:
-        return _BUSIEST[key][0]
-    n = (sub.groupBy(*keys, chunk_id(ts, seconds).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-         .agg(F.max("_n")).first()[0]) or 0
-    if key is not None:
-        _BUSIEST[key] = (n, now)
-    return n
-
-
-def auto_chunk_seconds(df: DataFrame, keys, ts: str, base: int = DEFAULT_CHUNK_SECONDS,
-                       target_rows: int | None = None) -> int:
-    """Chunk length such that the densest (key, chunk) holds about ``target_rows`` at most."""
-    target_rows = target_rows or CHUNK_TARGET_ROWS
-    busiest = busiest_bucket(df, keys, ts, base)
-    if busiest <= target_rows:
-        return base
-    return max(1, int(base * target_rows // busiest))
-
-
-def _resolve_chunk(df: DataFrame, keys, ts: str, chunk_seconds) -> int:
-    return auto_chunk_seconds(df, keys, ts) if chunk_seconds == "auto" else int(chunk_seconds)
-
-
 def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str = "prev_",
-               chunk_seconds="auto") -> DataFrame:
+               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Adds ``prev_<c>`` for every c in ``cols``: the value on the previous row of the same
     key in (ts, tiebreak) order; null on the key's first row."""
     keys, cols = list(keys), list(cols)
-    chunk_seconds = _resolve_chunk(df, keys, ts, chunk_seconds)
     d = df.withColumn("_b", chunk_id(ts, chunk_seconds))
     w = Window.partitionBy(*keys, "_b").orderBy(ts, tiebreak)
     d = d.withColumn("_rn", F.row_number().over(w))
@@ -95,10 +55,9 @@ def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str =
 
 
 def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out: str,
-                chunk_seconds="auto") -> DataFrame:
+                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """``out`` = sum of ``value`` over all rows of the key up to and including this one."""
     keys = list(keys)
-    chunk_seconds = _resolve_chunk(df, keys, ts, chunk_seconds)
     d = df.withColumn("_b", chunk_id(ts, chunk_seconds)).withColumn("_v", value)
     w = (Window.partitionBy(*keys, "_b").orderBy(ts, tiebreak)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -111,23 +70,15 @@ def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out:
 
 
 def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
-                  include_lower: bool, method: str = "auto") -> DataFrame:
+                  include_lower: bool) -> DataFrame:
     """For each ``name: value`` in ``values``: the sum of ``value`` over earlier-or-same rows
     of the key whose ts lies in ``(t - width, t]`` (``include_lower=False``) or
     ``[t - width, t]`` (True). Rows with the same ts that come later in tie-break order are
     not counted, so the sum is what a one-at-a-time recorder sees.
 
-    ``method="halo"``: every row is also copied into the next bucket of width ``width``, so a
-    bucket holds everything its rows can see, and the range frame runs per (key, bucket);
-    one task holds one frame width of one key. ``"prefix"``: running sum minus the running
-    sum as of ``t - width`` (both chunked to bounded tasks), for frames so wide that one
-    frame of a hot key is too big for a task. ``"auto"`` measures the busiest (key, frame)
-    once and picks prefix only above CHUNK_TARGET_ROWS."""
+    Every row is also copied into the next bucket of width ``width``, so a bucket holds
+    everything its rows can see, and the range frame runs per (key, bucket)."""
     keys = list(keys)
-    if method == "auto":
-        method = frame_method(df, keys, ts, width_seconds)
-    if method == "prefix":
-        return _trailing_sums_prefix(df, keys, ts, tiebreak, width_seconds, values, include_lower)
     W = int(width_seconds) * 1_000_000
     base = df.withColumn("_us", _micros(ts))
     for i, v in enumerate(values.values()):
@@ -146,49 +97,6 @@ def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: in
     return res.drop("_us", "_b", "_tgt", *[f"_v{i}" for i in range(len(values))])
 
 
-def frame_method(df: DataFrame, keys, ts: str, width_seconds: int) -> str:
-    """'halo' when one frame width of the busiest key fits a task, else 'prefix'."""
-    return "prefix" if busiest_bucket(df, keys, ts, width_seconds) > CHUNK_TARGET_ROWS else "halo"
-
-
-def frame_first(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: str, out: str) -> DataFrame:
-    """``out`` = ``value`` of the earliest row of the key with ts in (t - width, t] (the row
-    itself when nothing earlier is in range): an as-of lookup in reversed time, chunked like
-    every as-of here, so no task holds a whole frame of a hot key."""
-    keys = list(keys)
-    neg = lambda c: F.timestamp_micros(-_micros(c))
-    # per (key, instant) the first row in tie-break order
-    # the value travels inside a struct: a null value is still a hit (the as-of skips nulls)
-    right = (df.groupBy(*keys, ts).agg(F.min_by(F.struct(F.col(value).alias("v")), F.col(tiebreak)).alias("_fv"))
-             .select(*keys, neg(ts).alias("_rts"), "_fv"))
-    W = int(width_seconds) * 1_000_000
-    # earliest ts > t - W  <=>  newest reversed ts <= -(t - W) - 1
-    probe = df.withColumn("_rts", F.timestamp_micros(-(_micros(ts) - F.lit(W)) - F.lit(1)))
-    j = asof_last(probe, right, keys, "_rts", "_fv", "_fst")
-    return j.withColumn(out, F.col("_fst.v")).drop("_rts", "_fst")
-
-
-def _trailing_sums_prefix(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
-                          include_lower: bool) -> DataFrame:
-    """sum over the frame = P(row) - P(as of the frame's lower edge), P = running sum in
-    (ts, tiebreak) order. The as-of side keeps, per (key, ts), the P of the last row at that
-    instant, so ties resolve exactly as the one-at-a-time count."""
-    names = list(values)
-    d = df
-    for i, v in enumerate(values.values()):
-        d = running_sum(d, keys, ts, tiebreak, v, f"_p{i}")
-    packed = F.struct(*[F.col(f"_p{i}").alias(f"p{i}") for i in range(len(names))])
-    at_ts = (d.groupBy(*keys, ts).agg(F.max_by(packed, F.col(tiebreak)).alias("_P")))
-    shift = int(width_seconds) * 1_000_000 + (1 if include_lower else 0)
-    probes = d.withColumn("_edge", F.timestamp_micros(_micros(ts) - F.lit(shift)))
-    looked = asof_last(probes.withColumnRenamed(ts, "_orig_ts").withColumnRenamed("_edge", ts),
-                       at_ts, keys, ts, "_P", "_Pe")
-    out = looked.withColumnRenamed(ts, "_edge").withColumnRenamed("_orig_ts", ts)
-    for i, name in enumerate(names):
-        out = out.withColumn(name, F.col(f"_p{i}") - F.coalesce(F.col(f"_Pe.p{i}"), F.lit(0)))
-    return out.drop("_edge", "_Pe", *[f"_p{i}" for i in range(len(names))])
-
-
 def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: Column,
                    out: str, include_lower: bool) -> DataFrame:
     """One trailing sum (see ``trailing_sums``)."""
@@ -236,12 +144,13 @@ def halo_window(df: DataFrame, keys, ts: str, width_seconds: int, build, include
 
 
 def asof_last(left: DataFrame, right: DataFrame, keys, ts: str, value: str, out: str,
-              chunk_seconds="auto") -> DataFrame:
+              chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """As-of join: for every left row, ``value`` (any type; a struct carries several fields)
-    of the newest right row of the same key with right.ts <= left.ts. Union + running
-    last-non-null, chunked so a hot key spreads out."""
+    of the newest right row of the same key with right.ts <= left.ts; of right rows at the same
+    instant the largest value counts, whatever the input order. Union + running last-non-null,
+    chunked so a hot key spreads out."""
     keys = list(keys)
-    chunk_seconds = _resolve_chunk(left, keys, ts, chunk_seconds)
+    right = right.groupBy(*keys, ts).agg(F.max(value).alias(value))
     vtype = right.schema[value].dataType
     L = left.withColumn("_side", F.lit(1)).withColumn("_rv", F.lit(None).cast(vtype))
     R = right.select(*keys, F.col(ts), F.col(value).alias("_rv")).withColumn("_side", F.lit(0))

@@ -14,10 +14,18 @@ from . import scan
 SERIES = ("instance", "metric", "endpoint")
 
 
+def one_per_instant(samples: DataFrame, series=SERIES, id_col: str | None = None) -> DataFrame:
+    """A series has one value per instant: of samples at the same time, that with the largest id
+    (the largest value where samples have no id), whatever the input order."""
+    order = ([F.col(id_col).alias("i")] if id_col else []) + [F.col("value").alias("v")]
+    return (samples.groupBy("ts", *series).agg(F.max(F.struct(*order)).alias("_m"))
+            .select("ts", *series, F.col("_m.v").alias("value")))
+
+
 def counter_deltas(samples: DataFrame, series=SERIES) -> DataFrame:
-    """Per sample: increase since the previous sample of the series; a drop is a reset, so
+    """Per instant: increase since the previous sample of the series; a drop is a reset, so
     the new value itself is the increase. Null on the first sample."""
-    d = samples.withColumn("_tb", F.unix_micros("ts"))
+    d = one_per_instant(samples, series).withColumn("_tb", F.lit(0))
     d = scan.lag_within(d, list(series), "ts", "_tb", ["value", "ts"], prefix="prev_")
     delta = (F.when(F.col("prev_value").isNull(), F.lit(None).cast("double"))
              .when(F.col("value") >= F.col("prev_value"), F.col("value") - F.col("prev_value"))
@@ -26,17 +34,8 @@ def counter_deltas(samples: DataFrame, series=SERIES) -> DataFrame:
 
 
 def counter_increase(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
-    """increase(m[range]) at each sample: the deltas between samples inside the range.
-    A series too dense for one task per range uses running sums and a first-in-range
-    lookup instead of the bucket + halo frame."""
+    """increase(m[range]) at each instant: the deltas between samples inside the range."""
     d = counter_deltas(samples, series)
-    if scan.frame_method(d, list(series), "ts", range_seconds) == "prefix":
-        d = d.withColumn("_tb", F.unix_micros("ts"))
-        d = scan.trailing_sums(d, list(series), "ts", "_tb", range_seconds,
-                               {"_sum": F.coalesce(F.col("delta"), F.lit(0.0))}, include_lower=False, method="prefix")
-        d = scan.frame_first(d, list(series), "ts", "_tb", range_seconds, "delta", "_first")
-        return d.select("ts", *series, "value",
-                        (F.col("_sum") - F.coalesce(F.col("_first"), F.lit(0.0))).alias("increase"))
 
     def build(w):
         return {"increase": F.coalesce(F.sum("delta").over(w), F.lit(0.0))
@@ -64,6 +63,7 @@ def rate_sum_by(samples: DataFrame, by=("endpoint",), step_seconds: int = 300, s
 
 def counter_compare(samples: DataFrame, offset_seconds: int = 3600, series=SERIES) -> DataFrame:
     """m - m offset 1h: every sample against the newest sample at or before t - offset."""
+    samples = one_per_instant(samples, series)
     shifted = samples.select(*series, (F.col("ts") + F.expr(f"INTERVAL {int(offset_seconds)} SECONDS")).alias("ts"),
                              "value")
     j = scan.asof_last(samples.select("ts", *series, "value"), shifted, list(series), "ts", "value", "value_before")
@@ -71,21 +71,14 @@ def counter_compare(samples: DataFrame, offset_seconds: int = 3600, series=SERIE
 
 
 def avg_over_time(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
-    """Mean of the series' samples in (t - range, t] (sum / count through ``trailing_sums``,
-    which switches to prefix sums for a series too dense for one task per frame)."""
-    d = samples.withColumn("_tb", F.unix_micros("ts"))
-    d = scan.trailing_sums(d, list(series), "ts", "_tb", range_seconds,
-                           {"_s": F.col("value"), "_n": F.lit(1)}, include_lower=False)
-    return d.withColumn("avg_over_time", F.col("_s") / F.col("_n")).drop("_s", "_n", "_tb")
+    """Mean of the series' samples in (t - range, t]."""
+    return scan.halo_window(one_per_instant(samples, series), list(series), "ts", range_seconds,
+                            lambda w: {"avg_over_time": F.sum("value").over(w) / F.count("value").over(w)})
 
 
 def gauge_delta(samples: DataFrame, range_seconds: int = 3600, series=("instance", "metric")) -> DataFrame:
     """delta(): newest minus oldest sample in (t - range, t]."""
-    if scan.frame_method(samples, list(series), "ts", range_seconds) == "prefix":
-        d = scan.frame_first(samples.withColumn("_tb", F.unix_micros("ts")), list(series), "ts", "_tb",
-                             range_seconds, "value", "_first")
-        return d.withColumn("delta", F.col("value") - F.col("_first")).drop("_first", "_tb")
-    return scan.halo_window(samples, list(series), "ts", range_seconds,
+    return scan.halo_window(one_per_instant(samples, series), list(series), "ts", range_seconds,
                             lambda w: {"delta": F.last("value").over(w) - F.first("value").over(w)})
 
 
@@ -94,27 +87,32 @@ def window_start(ts: str, step_seconds: int):
                               * step_seconds * 1_000_000)
 
 
-def histogram_quantile(buckets: DataFrame, q: float, groups) -> DataFrame:
+def histogram_quantile(buckets: DataFrame, q, groups) -> DataFrame:
     """Prometheus histogram_quantile over cumulative buckets (le, bucket_count) per group:
     first bucket whose count reaches q * total, linear inside it, lower bound 0 for the
     first bucket, the highest finite bound when the rank falls in +Inf, null with no data.
-    The window runs over the bucket table (#groups x #bounds rows), never over samples."""
+    ``q``: a number or a list of numbers, all answered in one pass over the buckets. The window
+    runs over the bucket table (#groups x #bounds rows), never over samples."""
     g = list(groups)
+    wanted = [float(x) for x in (q if isinstance(q, (list, tuple)) else [q])]
     w = Window.partitionBy(*g).orderBy("le")
     b = (buckets.withColumn("prev_le", F.lag("le").over(w)).withColumn("prev_cnt", F.lag("bucket_count").over(w))
          .withColumn("total", F.max("bucket_count").over(Window.partitionBy(*g))))
-    b = b.withColumn("rank", F.lit(float(q)) * F.col("total"))
-    hit = b.filter(F.col("bucket_count") >= F.col("rank"))
-    first = hit.groupBy(*g).agg(F.min(F.struct("le", "prev_le", "prev_cnt", "bucket_count", "rank", "total")).alias("h"))
-    le, ple = F.col("h.le"), F.coalesce(F.col("h.prev_le"), F.lit(0.0))
-    pc = F.coalesce(F.col("h.prev_cnt"), F.lit(0)).cast("double")
-    cnt = F.col("h.bucket_count").cast("double")
-    interp = ple + (le - ple) * (F.col("h.rank") - pc) / (cnt - pc)
-    val = (F.when(F.col("h.total") == 0, F.lit(None).cast("double"))
-           .when(F.isnan(le) | (le == float("inf")), F.col("h.prev_le"))
-           .when(F.col("h.prev_le").isNull() & (le <= 0), le)
-           .otherwise(interp))
-    return first.select(*g, val.alias(f"q{int(round(q * 100)):02d}"))
+    hit = F.struct("le", "prev_le", "prev_cnt", "bucket_count", "total")
+    first = b.groupBy(*g).agg(*[F.min(F.when(F.col("bucket_count") >= F.lit(x) * F.col("total"), hit)).alias(f"h{i}")
+                                for i, x in enumerate(wanted)])
+
+    def value(h: str, x: float):
+        le, ple = F.col(f"{h}.le"), F.coalesce(F.col(f"{h}.prev_le"), F.lit(0.0))
+        pc = F.coalesce(F.col(f"{h}.prev_cnt"), F.lit(0)).cast("double")
+        cnt = F.col(f"{h}.bucket_count").cast("double")
+        interp = ple + (le - ple) * (F.lit(x) * F.col(f"{h}.total") - pc) / (cnt - pc)
+        return (F.when(F.col(f"{h}.total") == 0, F.lit(None).cast("double"))
+                .when(F.isnan(le) | (le == float("inf")), F.col(f"{h}.prev_le"))
+                .when(F.col(f"{h}.prev_le").isNull() & (le <= 0), le)
+                .otherwise(interp)).alias(f"q{int(round(x * 100)):02d}")
+    return (first.filter(F.coalesce(*[F.col(f"h{i}") for i in range(len(wanted))]).isNotNull())
+            .select(*g, *[value(f"h{i}", x) for i, x in enumerate(wanted)]))
 
 
 def histogram_avg(hist: DataFrame, groups) -> DataFrame:
@@ -153,9 +151,12 @@ def rules_frame(spark, rules=ALERT_RULES) -> DataFrame:
 
 
 def alert_threshold(evals: DataFrame, rules: DataFrame) -> DataFrame:
-    """evals: (metric, series, ts, value). One row per rule and evaluation with its condition.
-    The rule table is a fixed handful of rows, so it is broadcast."""
-    j = evals.join(F.broadcast(rules), "metric")
+    """evals: (metric, series, ts, value). One row per rule and evaluation with its condition; a
+    rule whose metric has no evaluation at all has one row without series, time and value
+    (``no_data`` in ``alert_firing``). Evaluations of metrics without a rule have no row."""
+    j = evals.join(rules, "metric")
+    silent = rules.join(evals.select("metric").distinct(), "metric", "left_anti")
+    j = j.unionByName(silent, allowMissingColumns=True)
     op, v, t = F.col("op"), F.col("value"), F.col("threshold")
     cond = (F.when(op == ">", v > t).when(op == "<", v < t).when(op == "==", v == t)
             .when(op == ">=", v >= t).when(op == "<=", v <= t).otherwise(F.lit(False)))
@@ -166,11 +167,15 @@ def alert_firing(conds: DataFrame, keys=("alert", "series")) -> DataFrame:
     """Gaps and islands: island = running count of false evaluations; firing once the
     condition has held without a break for ``for_seconds``."""
     k = list(keys)
-    d = conds.withColumn("_tb", F.unix_micros("ts"))
+    d = conds.withColumn("_tb", F.lit(0))
     d = scan.running_sum(d, k, "ts", "_tb", F.when(F.col("condition"), 0).otherwise(1), "island")
     start = d.filter("condition").groupBy(*k, "island").agg(F.min("ts").alias("since"))
-    d = d.join(start, k + ["island"], "left")
+    same = F.col("s.island") == F.col("d.island")
+    for c in k:
+        same &= F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}"))
+    d = d.alias("d").join(start.alias("s"), same, "left").select("d.*", "s.since")
     held = F.unix_micros("ts") - F.unix_micros("since")
-    state = (F.when(~F.col("condition"), F.lit("inactive"))
+    state = (F.when(F.col("ts").isNull(), F.lit("no_data"))
+             .when(~F.col("condition"), F.lit("inactive"))
              .when(held >= F.col("for_seconds") * 1_000_000, F.lit("firing")).otherwise(F.lit("pending")))
     return d.withColumn("state", state).drop("_tb", "island")

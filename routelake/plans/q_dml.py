@@ -1,11 +1,10 @@
-"""2.4 catalog writes and data quality, 2.1 generator and bulk load."""
+"""2.4 catalog writes and data quality, 2.1 bulk load."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import dml as D
-from ..sources import generate as G
 from ..sources.tables import CATALOG_AS_OF, Tables
 from .registry import register
 
@@ -133,7 +132,8 @@ def q_deactivate_routes(spark, d):
     return D.deactivate_routes(t.tenants, t.services, t.environments, t.endpoints, req, CATALOG_AS_OF)["endpoints"]
 
 
-APPLY_CTES = f"""WITH cl AS (SELECT * FROM change_log WHERE {VALID}),
+APPLY_CTES = f"""WITH cl AS (SELECT * FROM change_log WHERE (op = 'create' AND {VALID_URL})
+             OR (op IN ('activate', 'deactivate') AND {VALID})),
 fc AS (SELECT tenant, service, env, version, min(seq) AS first_create FROM cl WHERE op = 'create'
         GROUP BY tenant, service, env, version),
 cur AS (SELECT tenant, service, env, version, url AS cur_url FROM route_table),
@@ -157,16 +157,16 @@ def q_apply_change_log(spark, d):
     return D.apply_change_log(t.route_table, t.change_log, CATALOG_AS_OF)["state"]
 
 
-@register("write_counters", APPLY_CTES + """SELECT count(*) AS writes_total, count(*) FILTER (WHERE applied) AS writes_success,
-       count(*) FILTER (WHERE NOT applied) AS writes_failure FROM tg""")
+@register("write_counters", APPLY_CTES + """SELECT count(*) AS writes_total, (SELECT count(*) FROM a) AS writes_success,
+       count(*) - (SELECT count(*) FROM a) AS writes_failure FROM change_log""")
 def q_write_counters(spark, d):
     t = Tables(spark, d)
     r = D.apply_change_log(t.route_table, t.change_log, CATALOG_AS_OF)
     return D.write_counters(r["events"], r["rejects"])
 
 
-@register("write_error_pct", APPLY_CTES + """SELECT CAST(count(*) FILTER (WHERE NOT applied) AS DOUBLE) / count(*) * 100 AS write_error_pct,
-       CAST(count(*) FILTER (WHERE applied) AS DOUBLE) / count(*) AS write_success_ratio FROM tg""")
+@register("write_error_pct", APPLY_CTES + """SELECT CAST(count(*) - (SELECT count(*) FROM a) AS DOUBLE) / count(*) * 100 AS write_error_pct,
+       CAST((SELECT count(*) FROM a) AS DOUBLE) / count(*) AS write_success_ratio FROM change_log""")
 def q_write_error_pct(spark, d):
     t = Tables(spark, d)
     r = D.apply_change_log(t.route_table, t.change_log, CATALOG_AS_OF)
@@ -175,8 +175,8 @@ def q_write_error_pct(spark, d):
                     (F.col("writes_success") / F.col("writes_total")).alias("write_success_ratio"))
 
 
-@register("write_success_ratio", APPLY_CTES + """SELECT count(*) FILTER (WHERE applied) AS writes_success, count(*) AS writes_total,
-       CAST(count(*) FILTER (WHERE applied) AS DOUBLE) / count(*) AS write_success_ratio FROM tg""")
+@register("write_success_ratio", APPLY_CTES + """SELECT (SELECT count(*) FROM a) AS writes_success, count(*) AS writes_total,
+       CAST((SELECT count(*) FROM a) AS DOUBLE) / count(*) AS write_success_ratio FROM change_log""")
 def q_write_success_ratio(spark, d):
     t = Tables(spark, d)
     r = D.apply_change_log(t.route_table, t.change_log, CATALOG_AS_OF)
@@ -232,19 +232,18 @@ def q_dq_check_violations(spark, d):
                                  enums={"action": ["created", "activated", "deactivated"]})
 
 
-@register("generate_routes", G.generate_routes_sql("SELECT c_custkey AS seed FROM customer"))
-def q_generate_routes(spark, d):
-    t = Tables(spark, d)
-    return G.generate_routes(t.raw("customer"), "c_custkey")
-
-
-@register("load_routes_bulk", f"""SELECT count(*) AS ok, CAST(0 AS BIGINT) AS errors, count(*) AS created, CAST(0 AS BIGINT) AS updated
-  FROM ({G.generate_routes_sql("SELECT c_custkey AS seed FROM customer")}) g""")
+@register("load_routes_bulk", CREATE_CTES + """, fc AS (SELECT environment_id, version, min(seq) AS first_seq FROM ch
+  GROUP BY environment_id, version),
+ev AS (SELECT EXISTS (SELECT 1 FROM endpoints ep WHERE ep.environment_id = ch.environment_id AND ep.version = ch.version)
+                OR ch.seq > fc.first_seq AS was_update
+         FROM ch JOIN fc ON ch.environment_id = fc.environment_id AND ch.version = fc.version)
+SELECT count(*) AS ok, (SELECT count(*) FROM change_log WHERE op = 'create') - count(*) AS errors,
+       count(*) FILTER (WHERE NOT was_update) AS created, count(*) FILTER (WHERE was_update) AS updated FROM ev""")
 def q_load_routes_bulk(spark, d):
-    """Generated routes through the create path on top of the catalog; ok / error counts."""
+    """Every create of the change log through the create path; ok / error counts."""
     t = Tables(spark, d)
-    gen = G.generate_routes(t.raw("customer"), "c_custkey").withColumnRenamed("seed", "seq")
-    r = D.catalog_create_routes(t.tenants, t.services, t.environments, t.endpoints, gen, CATALOG_AS_OF)
+    r = D.catalog_create_routes(t.tenants, t.services, t.environments, t.endpoints, t.change_log.filter(F.col("op") == "create"),
+                                CATALOG_AS_OF)
     ev = r["events"].select(F.lit(1).alias("ok"), F.lit(0).alias("err"), F.col("was_update"))
     rj = r["rejects"].select(F.lit(0).alias("ok"), F.lit(1).alias("err"), F.lit(False).alias("was_update"))
     u = ev.unionByName(rj)

@@ -121,10 +121,11 @@ def q_scan_exposition_text(spark, d):
                     F.col("labels")["endpoint"].alias("endpoint"), "value", "type")
 
 
-@register("scan_app_log", """SELECT date_trunc('millisecond', ts) AS ts, correlation_id, 'src.api.app' AS logger,
+@register("scan_app_log", """SELECT date_trunc('millisecond', ts) AS ts, correlation_id, 'api.app' AS logger,
        CASE WHEN status_code >= 500 OR status_code = 0 THEN 'ERROR' WHEN status_code >= 400 THEN 'WARNING' ELSE 'INFO' END
          AS level,
-       method || ' /api/' || endpoint || ' -> ' || CAST(status_code AS VARCHAR) AS message
+       method || ' /api/' || endpoint || ' -> ' || CAST(status_code AS VARCHAR) AS message,
+       CAST(NULL AS VARCHAR) AS reject_reason
   FROM request_log""")
 def q_scan_app_log(spark, d):
     t = Tables(spark, d)
@@ -134,7 +135,7 @@ def q_scan_app_log(spark, d):
 
 
 @register("trace_by_correlation", """SELECT correlation_id, ts, source, detail,
-       row_number() OVER (PARTITION BY correlation_id ORDER BY ts, source) AS step
+       row_number() OVER (PARTITION BY correlation_id ORDER BY ts, source, detail) AS step
   FROM (SELECT correlation_id, ts, 'request' AS source, CAST(status_code AS VARCHAR) AS detail FROM request_log
         UNION ALL SELECT correlation_id, date_trunc('millisecond', ts), 'log',
                          CASE WHEN status_code >= 500 OR status_code = 0 THEN 'ERROR'

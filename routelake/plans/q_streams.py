@@ -62,9 +62,10 @@ def q_stream_parse_validate(spark, d):
     out, ck = scratch_path(spark, "parsed"), scratch_path(spark, "ckpt-parse")
 
     def handle(batch, batch_id):
-        H.parse_envelope(batch).select("event_id", "reject_reason").write.mode("append").parquet(out)
+        # by batch id, overwritten on replay: a re-run batch leaves no row twice
+        H.parse_envelope(batch).select("event_id", "reject_reason").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     S.run(S._start(S.read_route_stream(spark, src), handle, ck))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @register("source_route_stream", """SELECT key, event_id, action, tenant, service, env, version, url, correlation_id
@@ -77,9 +78,12 @@ def q_source_route_stream(spark, d):
 
     def handle(batch, batch_id):
         H.parse_envelope(batch).select("key", "event_id", "action", *X.ROUTE_COLS, "url", "correlation_id") \
-            .write.mode("append").parquet(out)
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     S.run(S._start(S.read_route_stream(spark, src), handle, ck))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
+
+
+STALE_URL = "https://stale.example.com/"
 
 
 def stream_catalog(t: Tables):
@@ -95,7 +99,7 @@ def _cache_run(spark, d, invalidate: bool, warm: bool):
     # starting snapshot: the catalog's cache plus stale entries for every route the stream
     # changes (all of them must be invalidated / refilled)
     stale = (t.event_rows.select(X.route_cache_key().alias("route_key")).distinct()
-             .select("route_key", F.lit("https://stale.example.com/").alias("url"), F.lit(False).alias("is_negative"),
+             .select("route_key", F.lit(STALE_URL).alias("url"), F.lit(False).alias("is_negative"),
                      F.lit("2100-01-01 00:00:00").cast("timestamp").alias("expires_at")))
     store.commit(t.cache_snapshot.unionByName(stale), -1)
     cat = stream_catalog(t)
@@ -176,24 +180,26 @@ def q_stream_request_metrics(spark, d):
                     F.col(f"le_{i25}").alias("le_0_25"), F.col(f"le_{i1}").alias("le_1"))
 
 
-@register("stream_group_isolation", """SELECT consumer, count(*) AS processed FROM (
-  SELECT 'audit_log' AS consumer FROM event_rows UNION ALL SELECT 'cache_invalidation' FROM event_rows
-  UNION ALL SELECT 'cache_warming' FROM event_rows) c GROUP BY consumer""")
+@register("stream_group_isolation", """SELECT 'audit_log' AS consumer, count(*) AS processed FROM event_rows
+UNION ALL SELECT c.consumer, (SELECT count(DISTINCT tenant || ':' || service || ':' || env || ':' || version) FROM event_rows
+                               WHERE action IS NOT NULL AND action <> '')
+  FROM (SELECT 'cache_invalidation' AS consumer UNION ALL SELECT 'cache_warming') c""")
 def q_stream_group_isolation(spark, d):
-    """Three consumers of one source, one checkpoint each: every one sees every record."""
+    """The three consumers of one topic, one checkpoint each: the records that the audit stored or
+    rejected, the stale routes that invalidation removed, and those that warming refilled."""
+    from ..sources import lake
     t = Tables(spark, d)
-    src = envelope_files(spark, t)
-    outs = {}
-    for c in S.CONSUMER_TYPES:
-        out, ck = scratch_path(spark, f"seen-{c}"), scratch_path(spark, f"ckpt-{c}")
+    audit, rejects = _audit_run(spark, d)
+    stored = lake.read_audit(spark, audit).select("event_id").unionByName(spark.read.parquet(rejects).select(F.lit("-").alias("event_id")))
+    stale = t.event_rows.select(X.route_cache_key().alias("route_key")).distinct()
 
-        def handle(batch, batch_id, out=out):
-            batch.select("partition", "offset").write.mode("append").parquet(out)
-        S.run(S._start(S.read_route_stream(spark, src), handle, ck))
-        outs[c] = out
-    parts = [spark.read.parquet(p).select(F.lit(c).alias("consumer")) for c, p in outs.items()]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("consumer").agg(F.count(F.lit(1)).alias("processed"))
+    def changed(cache):
+        left = cache.filter(F.col("url") == STALE_URL).select("route_key")
+        return stale.join(left, "route_key", "left_anti")
+    parts = [("audit_log", stored), ("cache_invalidation", changed(_cache_run(spark, d, invalidate=True, warm=False))),
+             ("cache_warming", changed(_cache_run(spark, d, invalidate=False, warm=True)))]
+    out = [df.agg(F.count(F.lit(1)).alias("processed")).select(F.lit(c).alias("consumer"), "processed") for c, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @register("peek_events", """SELECT "partition", "offset", coalesce(event_id, 'unknown') AS event_id,
@@ -209,51 +215,3 @@ def q_peek_events(spark, d):
         return F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("unknown")).alias(f)
     return e.select(F.col("partition").cast("long").alias("partition"), "offset", field("event_id"), field("action"),
                     field("tenant"))
-
-
-@register("stream_ttl_lookup")
-def q_stream_ttl_lookup(spark, d):
-    """Requests (the change events' routes at event time) against keyed TTL state."""
-    t = Tables(spark, d)
-    cat = stream_catalog(t).filter("is_active").select(*X.ROUTE_COLS, F.col("url").alias("catalog_url"))
-    req = (t.event_rows.select(F.col("event_seq").alias("request_id"), F.col("occurred_at").alias("ts"), *X.ROUTE_COLS)
-           .join(cat, list(X.ROUTE_COLS), "left").select(X.route_cache_key().alias("route_key"), "request_id", "ts",
-                                                         "catalog_url"))
-    path = scratch_path(spark, "ttl-requests")
-    req.write.parquet(path)
-    stream = spark.readStream.schema(req.schema).parquet(path)
-    out, ck = scratch_path(spark, "ttl-out"), scratch_path(spark, "ckpt-ttl")
-    q = (S.ttl_lookup(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    S.run(q)
-    return spark.read.schema(S.TTL_OUT).parquet(out)
-
-
-def ttl_fold_sql() -> str:
-    """Keyed TTL cache replayed request by request with a recursive CTE."""
-    return f"""WITH RECURSIVE st AS (
-  SELECT tenant, service, env, version, url, action FROM audit
-  QUALIFY row_number() OVER (PARTITION BY tenant, service, env, version ORDER BY occurred_at DESC, event_id DESC) = 1),
-r0 AS (SELECT 'route:' || e.tenant || ':' || e.service || ':' || e.env || ':' || e.version AS route_key,
-              e.event_seq AS request_id, e.occurred_at AS ts, epoch_us(e.occurred_at) AS us,
-              CASE WHEN st.action <> 'deactivated' THEN st.url END AS catalog_url,
-              row_number() OVER (PARTITION BY e.tenant, e.service, e.env, e.version ORDER BY e.occurred_at, e.event_seq) AS rn
-         FROM event_rows e LEFT JOIN st ON e.tenant = st.tenant AND e.service = st.service AND e.env = st.env
-                                       AND e.version = st.version),
-f AS (
-  SELECT DISTINCT route_key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS TIMESTAMP) AS ts,
-         CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS s_url,
-         CAST(NULL AS BOOLEAN) AS s_neg, CAST(NULL AS BIGINT) AS s_exp FROM r0
-  UNION ALL
-  SELECT r.route_key, r.rn, r.request_id, r.ts,
-         CASE WHEN f.s_exp > r.us THEN (CASE WHEN f.s_neg THEN 'negative_hit' ELSE 'hit' END) ELSE 'miss' END,
-         CASE WHEN f.s_exp > r.us THEN (CASE WHEN f.s_neg THEN NULL ELSE f.s_url END) ELSE r.catalog_url END,
-         CASE WHEN f.s_exp > r.us THEN f.s_url ELSE r.catalog_url END,
-         CASE WHEN f.s_exp > r.us THEN f.s_neg ELSE r.catalog_url IS NULL END,
-         CASE WHEN f.s_exp > r.us THEN f.s_exp
-              ELSE r.us + (CASE WHEN r.catalog_url IS NULL THEN 10 ELSE 60 END) * 1000000 END
-    FROM f JOIN r0 r ON r.route_key = f.route_key AND r.rn = f.rn + 1)
-SELECT route_key, request_id, ts, outcome, url FROM f WHERE rn > 0"""
-
-
-QUERIES_TO_SQL = {"stream_ttl_lookup": ttl_fold_sql()}

@@ -23,20 +23,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def attach_sql(name: str, sql: str) -> None:
-    """Give a query registered earlier its SQL twin (twins that need helpers defined later)."""
-    if name not in QUERIES:
-        raise KeyError(name)
-    SQL[name] = with_fixtures(sql)
-
-
 def load_all():
     # importing the modules fills the registry
     from . import q_catalog, q_audit, q_dml, q_metrics, q_windows, q_resilience, q_scalar, q_sources, q_streams  # noqa: F401
-    for name, sql in q_resilience.QUERIES_TO_SQL.items():
-        if name not in SQL:
-            attach_sql(name, sql)
-    for name, sql in q_streams.QUERIES_TO_SQL.items():
-        if name not in SQL:
-            attach_sql(name, sql)
     return QUERIES, SQL

@@ -104,11 +104,13 @@ SELECT ts, 'i-' || CAST(user_id % 3 AS VARCHAR) AS instance, 'db_pool_size' AS m
   FROM event_rows WHERE action IN ('created', 'activated', 'deactivated')
 UNION ALL
 SELECT r.request_id + 1000000000 AS seq,
-       CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'deactivate' ELSE 'create' END AS op,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'deactivate' WHEN '3-MEDIUM' THEN 'activate'
+            WHEN '4-NOT SPECIFIED' THEN 'purge' ELSE 'create' END AS op,
        r.tenant, r.service, r.env, r.version,
-       CASE WHEN o.o_orderpriority = '2-HIGH' THEN 'https://new.example.com/' || CAST(r.request_id AS VARCHAR) END AS url
-  FROM route_requests r JOIN orders o ON r.request_id = o.o_orderkey
- WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH')""",
+       CASE WHEN o.o_orderpriority = '2-HIGH' OR (o.o_orderpriority = '5-LOW' AND r.request_id % 2 = 0)
+            THEN 'https://new.example.com/' || CAST(r.request_id AS VARCHAR)
+            WHEN o.o_orderpriority = '5-LOW' THEN '  ' END AS url
+  FROM route_requests r JOIN orders o ON r.request_id = o.o_orderkey""",
     "outages": """SELECT event_id AS outage_id, ts AS start_ts, ts + INTERVAL 1 HOUR AS end_ts
   FROM events WHERE event_type = 'error' AND value > 250""",
 }

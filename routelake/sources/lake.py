@@ -30,24 +30,6 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AUDIT).parquet(path)
 
 
-def read_audit_days(spark: SparkSession, path: str, dates: DataFrame) -> DataFrame | None:
-    """The stored audit rows of the given ``event_date`` values only. The folder names come
-    from the distinct dates (a few strings per batch) and go in as one path glob, so Spark
-    lists just those folders instead of every file of the table. None when nothing is stored."""
-    from pyspark.errors import AnalysisException
-    days = sorted(r[0] for r in dates.select(F.date_format("event_date", "yyyy-MM-dd")).distinct().collect()
-                  if r[0] is not None)
-    if not days:
-        return None
-    glob = f"{path.rstrip('/')}/event_date={{{','.join(days)}}}"
-    try:
-        df = spark.read.schema(schemas.AUDIT).option("basePath", path).parquet(glob)
-        df.schema  # noqa: B018  (resolves the glob now)
-        return df
-    except AnalysisException:  # no folder of these dates yet (or no table at all)
-        return None
-
-
 def write_snapshot(spark: SparkSession, df: DataFrame, name: str) -> str:
     path = scratch_path(spark, name)
     df.write.parquet(path)

@@ -114,42 +114,47 @@ class Tables:
 
     @cached_property
     def route_requests(self) -> DataFrame:
-        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        return self._orders_with_route.drop("o_orderpriority")
+
+    @cached_property
+    def _orders_with_route(self) -> DataFrame:
+        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         shift = F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(0)
         env = self.environments.select(F.col("id").alias("o_custkey"), "service_id",
                                        F.col("name").alias("env"))
         svc = self.services.select(F.col("id").alias("service_id"), "tenant_id",
                                    F.col("name").alias("service"))
         ten = self.tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant"))
-        from ..operators.joins import join_dimension
         j = o.join(env, "o_custkey")
-        j = join_dimension(j, svc, "service_id", size_of=self.services)
-        j = join_dimension(j, ten, "tenant_id", size_of=self.tenants)
+        j = j.join(svc, "service_id")
+        j = j.join(ten, "tenant_id")
         return j.select(
             F.col("o_orderkey").alias("request_id"),
             F.col("o_orderdate").alias("ts"),
             "tenant", "service", "env",
             F.concat(F.lit("v"), ((F.col("o_orderkey") + shift) % 20 + 1).cast("string")).alias("version"),
+            "o_orderpriority",
         )
 
     @cached_property
     def change_log(self) -> DataFrame:
         """Mixed ordered write batch: the change events of ``events`` (new team-* routes) and,
-        for urgent / high-priority orders, a deactivate / create of the order's catalog route."""
+        for every order, by its priority, a deactivate / create / activate of its catalog route, an
+        unknown op, or a create whose URL is blank for odd orders."""
         ev = self.event_rows.filter(F.col("action").isin(*X.ACTIONS)).select(
             F.col("event_seq").alias("seq"),
             _case(F.col("action"), {v: k for k, v in {"create": "created", "activate": "activated",
                                                           "deactivate": "deactivated"}.items()}).alias("op"),
             "tenant", "service", "env", "version",
             F.when(F.col("action") == "created", F.col("url")).alias("url"))
-        o = self.raw("orders").select(F.col("o_orderkey").alias("request_id"), "o_orderpriority")
-        rq = self.route_requests.join(o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), "request_id")
-        cat = rq.select(
+        priority, url = F.col("o_orderpriority"), F.concat(F.lit("https://new.example.com/"), F.col("request_id").cast("string"))
+        cat = self._orders_with_route.select(
             (F.col("request_id") + F.lit(CATALOG_SEQ_OFFSET)).alias("seq"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("deactivate")).otherwise(F.lit("create")).alias("op"),
+            F.when(priority == "1-URGENT", F.lit("deactivate")).when(priority == "3-MEDIUM", F.lit("activate"))
+            .when(priority == "4-NOT SPECIFIED", F.lit("purge")).otherwise(F.lit("create")).alias("op"),
             "tenant", "service", "env", "version",
-            F.when(F.col("o_orderpriority") == "2-HIGH",
-                   F.concat(F.lit("https://new.example.com/"), F.col("request_id").cast("string"))).alias("url"))
+            F.when((priority == "2-HIGH") | ((priority == "5-LOW") & (F.col("request_id") % 2 == 0)), url)
+            .when(priority == "5-LOW", F.lit("  ")).alias("url"))
         return ev.unionByName(cat)
 
     # ---------------------------------------------------------------- events

@@ -16,10 +16,11 @@ from .. import schemas
 from ..functions import expr as X
 from ..operators import audit as A
 from ..operators import catalog as C
-from ..operators.joins import maybe_broadcast
 from ..sources import lake
 
 REQUIRED = ["action", *X.ROUTE_COLS]
+#: Folders of the table of stored event ids.
+ID_BUCKETS = 64
 
 
 def parse_envelope(df: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def parse_envelope(df: DataFrame) -> DataFrame:
     d = d.select("key", "value", "partition", "offset", "timestamp", *[F.col(f"e.{f}").alias(f) for f in fields],
                  F.col("e").isNull().alias("_null"), all_null.alias("_empty"))
     reason = (F.when(F.col("_null") | F.col("_empty"), F.lit("malformed"))
-              .when(~X.all_present(*REQUIRED), F.lit("missing_field")))
+              .when(~X.all_present(*REQUIRED), F.lit("missing_field"))
+              .when(~X.all_present("event_id"), F.lit("missing_event_id")))
     return d.withColumn("reject_reason", reason).drop("_null", "_empty")
 
 
@@ -59,15 +61,32 @@ def to_audit_rows(events: DataFrame) -> DataFrame:
 
 
 def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str) -> DataFrame:
-    """Append rows whose event_id is not stored yet. Stored ids are read only from the date
-    folders the batch touches (neither those days' data nor the rest of the table is listed
-    or scanned otherwise). Late events are kept (no watermark, Q22). Null ids go nowhere."""
-    rows = audit_rows.filter(F.col("event_id").isNotNull())
-    stored = lake.read_audit_days(spark, path, rows.select("event_date"))
-    if stored is not None:
-        rows = rows.join(stored.select("event_id"), "event_id", "left_anti")
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
-    return rows
+    """Append rows whose event_id is not stored yet, whatever their date; of copies inside the
+    batch the first processed one counts. Late events are kept (no watermark, Q22).
+
+    Stored ids are kept in a narrow table beside the audit, ``<path>-ids``, in folders by a hash
+    of the id; a batch reads the folders of its own ids. The ids are written after the rows: a
+    batch that fails in between finds its rows again in the date folders it touches (a replay
+    has the same dates), so it stores no row twice. Rows without id must be rejected before
+    (``parse_envelope`` does)."""
+    cols = [c for c in audit_rows.columns if c != "event_id"]
+    rows = (audit_rows.filter(X.all_present("event_id")).groupBy("event_id")
+            .agg(F.min_by(F.struct(*cols), F.struct("processed_at", "occurred_at", "action")).alias("m")).select("event_id", "m.*"))
+    rows = rows.select(*audit_rows.columns).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(ID_BUCKETS)).cast("int"))
+    rows = lake.cut_lineage(spark, rows, "audit-batch")
+    ids, new = rows.select("event_id", "bucket"), rows
+    if lake.path_exists(spark, f"{path.rstrip('/')}-ids"):
+        known = (spark.read.schema("event_id string, bucket int").parquet(f"{path.rstrip('/')}-ids")
+                 .join(rows.select("bucket").distinct(), "bucket", "left_semi"))
+        ids = ids.join(known, ["bucket", "event_id"], "left_anti")
+        new = new.join(known, ["bucket", "event_id"], "left_anti")
+    if lake.path_exists(spark, path):
+        near = lake.read_audit(spark, path).join(rows.select("event_date").distinct(), "event_date", "left_semi")
+        new = new.join(near.select("event_id"), "event_id", "left_anti")
+    new = new.select(*audit_rows.columns)
+    new.write.mode("append").partitionBy("event_date").parquet(path)
+    ids.write.mode("append").partitionBy("bucket").parquet(f"{path.rstrip('/')}-ids")
+    return new
 
 
 class CacheStore:
@@ -75,8 +94,9 @@ class CacheStore:
 
     A micro-batch reads only the buckets its changed keys fall into (partition pruning),
     computes their new content, stages it in the shared folder and swaps just those
-    buckets in with dynamic partition overwrite, so the work per batch follows the batch,
-    not the cache size. Every written bucket carries one marker row (route_key null) so a
+    buckets in with dynamic partition overwrite. A batch that changes more keys than there are
+    buckets rewrites the whole cache, so ``buckets`` should exceed the keys of a usual batch; a
+    reader may see a swap half done. Every written bucket carries one marker row (route_key null) so a
     bucket emptied by invalidation is still replaced. Replays recompute the same buckets
     from the same inputs (invalidate / warm are idempotent)."""
 
@@ -103,7 +123,7 @@ class CacheStore:
         t = self._table()
         if t is None:
             return self.spark.createDataFrame([], schemas.CACHE)
-        return (t.join(maybe_broadcast(buckets), "bucket", "left_semi")
+        return (t.join(buckets, "bucket", "left_semi")
                 .filter(F.col("route_key").isNotNull()).drop("bucket"))
 
     def replace_buckets(self, rows: DataFrame, buckets: DataFrame, batch_id: int) -> None:

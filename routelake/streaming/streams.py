@@ -59,7 +59,7 @@ def audit_batch_handler(audit_path: str, rejects_path: str):
             # per batch id, overwritten on replay: a re-run batch leaves no duplicate rejects
             rejects.select("key", "value", "partition", "offset", "timestamp", "reject_reason") \
                 .write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-            rows = H.to_audit_rows(H.first_per_event_id(valid.filter(F.col("event_id").isNotNull())))
+            rows = H.to_audit_rows(H.first_per_event_id(valid))
             H.append_audit(spark, rows, audit_path)
         finally:
             parsed.unpersist()
@@ -156,50 +156,6 @@ def read_upserts(spark: SparkSession, path: str, keys) -> DataFrame:
     return g.select(*keys, *[F.col(f"l.{c}").alias(c) for c in vals])
 
 
-# ------------------------------------------------------------------ keyed TTL state
-TTL_OUT = "route_key string, request_id long, ts timestamp, outcome string, url string"
-TTL_STATE = "url string, is_negative boolean, expires_us long"
-
-
-def ttl_lookup(requests_with_catalog: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """Cache-aside with keyed state: per route key an entry (url / negative) that expires
-    60 s / 10 s after it was written, in event time. Input rows: route_key, request_id, ts,
-    catalog_url (null = not found). Output: hit / negative_hit / miss per request.
-    Entries time out in event time, so state holds only keys with a live entry."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from ..session import configure
-    configure(requests_with_catalog.sparkSession)
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:  # the entry expired and no request came since: drop it
-            state.remove()
-            return
-        entry = state.get if state.exists else (None, None, None)
-        url, neg, exp = entry
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "request_id"])
-            for rid, ts, cat in zip(pdf["request_id"], pdf["ts"], pdf["catalog_url"]):
-                t = int(pd.Timestamp(ts).value // 1000)
-                if exp is not None and exp > t:
-                    outcome = "negative_hit" if neg else "hit"
-                    res = None if neg else url
-                else:
-                    outcome, res = "miss", (None if pd.isna(cat) else cat)
-                    neg = res is None
-                    url = res
-                    exp = t + (X.NEGATIVE_TTL_SECONDS if neg else X.POSITIVE_TTL_SECONDS) * 1_000_000
-                out.append((key[0], int(rid), ts, outcome, res))
-        state.update((url, neg, exp))
-        state.setTimeoutTimestamp(max(exp // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["route_key", "request_id", "ts", "outcome", "url"])
-
-    return (requests_with_catalog.withWatermark("ts", watermark).groupBy("route_key")
-            .applyInPandasWithState(step, TTL_OUT, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
-
-
 def publish_route_events(events_kv: DataFrame, path: str | None = None, kafka_servers: str | None = None) -> None:
     """Publish (key, value) rows: to the ``route-events`` topic when Kafka is given (key =
     route, so one route's events stay in one partition and in order), else appended as

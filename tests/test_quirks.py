@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from routelake.functions import expr as X
-from routelake.operators import breaker as B
 from routelake.operators import catalog as C
 from routelake.operators import dml as D
 from routelake.operators import metrics as M
@@ -143,51 +142,6 @@ def test_failure_and_retry_window_bounds(spark):  # Q14
     assert [r.retries_in_window for r in rb] == [1, 2]  # closed: the retry 60 s ago still counts
 
 
-def brute_breaker(rows, thr, timeout, window, min_calls):
-    state, fails, calls, last_open, out = "closed", [], 0, None, []
-    for t, f in rows:
-        fails = [x for x in fails if x > t - window]
-        if state == "open" and last_open is not None and t - last_open >= timeout:
-            state, fails = "half_open", []
-        if state == "open":
-            out.append(("rejected", state))
-            continue
-        calls += 1
-        if not f:
-            if state == "half_open":
-                state, fails, last_open = "closed", [], None
-        else:
-            fails.append(t)
-            if state == "half_open":
-                state, last_open = "open", t
-            elif calls >= min_calls and len(fails) >= thr:
-                state, last_open = "open", t
-        out.append(("executed", state))
-    return out
-
-
-def test_breaker_small_sequence(spark):
-    seq = [(i, False) for i in range(5)] + [(10 + i, True) for i in range(5)] + [(20, False), (80, False), (81, True),
-                                                                                  (200, True), (400, False)]
-    calls = spark.createDataFrame([("i", "database", ts(t), k, f) for k, (t, f) in enumerate(seq)],
-                                  "instance string, dependency string, ts timestamp, call_id long, is_failure boolean")
-    got = [(r.outcome, r.state) for r in B.breaker_timeline(calls, RS.breaker_limits(spark)).orderBy("call_id").collect()]
-    assert got == brute_breaker(seq, 5, 60, 60, 10)
-    assert got[9] == ("executed", "open") and got[10] == ("rejected", "open") and got[11][1] == "closed"
-
-
-def test_breaker_matches_brute_force_across_chunks(spark):
-    rnd = random.Random(7)
-    rows, t = [], 0.0
-    for _ in range(1500):  # bursts of failures around chunk boundaries (chunk = 600 s here)
-        t += rnd.choice([1, 2, 5, 30, 90])
-        rows.append((t, rnd.random() < 0.45))
-    calls = spark.createDataFrame([("i", "redis", ts(x), k, f) for k, (x, f) in enumerate(rows)],
-                                  "instance string, dependency string, ts timestamp, call_id long, is_failure boolean")
-    got = B.breaker_timeline(calls, RS.breaker_limits(spark), chunk_seconds=600).orderBy("call_id").collect()
-    assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 10, 30, 60, 20)
-
-
 @pytest.mark.parametrize("n", [20, 21, 100, 101, 997])
 def test_exclusive_quantiles(spark, n):  # Q16
     rnd = random.Random(n)
@@ -271,11 +225,12 @@ def test_touching_spans(spark):
 
 def test_stream_parsing_rejects(spark):
     env = spark.createDataFrame([("k", "{not json", 0, 1, ts(0)),
-                                 ("k", '{"action":"created","tenant":"t","service":"s","env":"e","version":"v","x":1}', 0, 2, ts(0)),
+                                 ("k", '{"event_id":"7","action":"created","tenant":"t","service":"s","env":"e","version":"v","x":1}', 0, 2, ts(0)),
+                                 ("k", '{"action":"created","tenant":"t","service":"s","env":"e","version":"v"}', 0, 4, ts(0)),
                                  ("k", '{"action":"created","tenant":"t","service":"s","env":"e"}', 0, 3, ts(0))],
                                 "key string, value string, partition int, offset long, timestamp timestamp")
     r = {x.offset: x.reject_reason for x in H.parse_envelope(env).collect()}
-    assert r == {1: "malformed", 2: None, 3: "missing_field"}
+    assert r == {1: "malformed", 2: None, 3: "missing_field", 4: "missing_event_id"}
 
 
 def test_dense_index_and_chunked_windows_match_plain_windows(spark):
@@ -319,39 +274,6 @@ def test_chunked_asof_halo_and_trailing_match_plain_windows(spark):
     assert j2.filter((F.col("s") != F.col("s_ref")) | (F.abs(F.col("a") - F.col("a_ref")) > 1e-9)).count() == 0
 
 
-def test_breaker_fixup_rounds_with_long_timeout(spark, caplog):
-    """Timeout much longer than a chunk: replay cannot settle the opening state, the
-    fix-up rounds must, and the result still equals the sequential fold."""
-    import logging
-    rnd = random.Random(5)
-    rows, t = [], 0.0
-    for _ in range(1200):
-        t += rnd.choice([1, 3, 8, 20, 60])
-        rows.append((t, rnd.random() < 0.5))
-    calls = spark.createDataFrame([("i", "database", ts(x), k, f) for k, (x, f) in enumerate(rows)],
-                                  "instance string, dependency string, ts timestamp, call_id long, is_failure boolean")
-    lim = RS.breaker_limits(spark, [("database", 3, 1500, 60, 5)])
-    with caplog.at_level(logging.INFO, logger="routelake.operators.breaker"):
-        got = B.breaker_timeline(calls, lim, chunk_seconds=300).orderBy("call_id").collect()
-    assert [(r.outcome, r.state) for r in got] == brute_breaker(rows, 3, 1500, 60, 5)
-    assert any("round" in m for m in caplog.messages)
-
-
-def test_auto_chunks_shrink_for_a_hot_key_and_keep_results(spark, monkeypatch):
-    rnd = random.Random(21)
-    rows = [("hot" if rnd.random() < 0.7 else rnd.choice(["a", "b"]), ts(rnd.randint(0, 7200)), k, 1.0)
-            for k in range(3000)]
-    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, v double")
-    monkeypatch.setattr(scan, "CHUNK_TARGET_ROWS", 200)
-    assert scan.auto_chunk_seconds(df, ["key"], "ts") < 3600  # the busy key gets shorter chunks
-    w = Window.partitionBy("key").orderBy("ts", "id")
-    ref = df.select("id", F.lag("v").over(w).alias("p"), F.count(F.lit(1)).over(w).alias("n"))
-    got = scan.lag_within(df, ["key"], "ts", "id", ["v"]).join(
-        scan.running_sum(df, ["key"], "ts", "id", F.lit(1), "n2").select("id", "n2"), "id")
-    j = ref.join(got, "id")
-    assert j.filter(~F.col("p").eqNullSafe(F.col("prev_v")) | (F.col("n") != F.col("n2"))).count() == 0
-
-
 def test_failure_predicate_excludes_not_found(spark):  # Q13
     calls = spark.createDataFrame([("i", "database", ts(0), 1, True, 404), ("i", "database", ts(1), 2, True, 500)],
                                   "instance string, dependency string, ts timestamp, call_id long, is_failure boolean, "
@@ -360,7 +282,7 @@ def test_failure_predicate_excludes_not_found(spark):  # Q13
     assert [r.failures_in_window for r in fw.orderBy("call_id").collect()] == [0, 1]
 
 
-def test_trailing_sums_prefix_method_matches_plain_windows(spark):
+def test_trailing_sums_match_plain_windows(spark):
     rnd = random.Random(13)
     rows = [(rnd.choice(["a"] * 8 + ["b"]), ts(rnd.randint(0, 20000)), k, float(rnd.randint(-2, 9)))
             for k in range(2000)]
@@ -372,28 +294,10 @@ def test_trailing_sums_prefix_method_matches_plain_windows(spark):
         wl = Window.partitionBy("key", "ts").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
         ref = df.select("id", (F.sum("v").over(wr) - F.coalesce(F.sum("v").over(wl), F.lit(0.0))).alias("r"),
                         (F.count(F.lit(1)).over(wr) - F.coalesce(F.count(F.lit(1)).over(wl), F.lit(0))).alias("c"))
-        for method in ("prefix", "halo"):
-            got = scan.trailing_sums(df, ["key"], "ts", "id", 900, {"s": F.col("v"), "n": F.lit(1)}, lower, method)
-            j = ref.join(got.select("id", "s", "n"), "id")
-            assert j.count() == len(rows)
-            assert j.filter((F.col("s") != F.col("r")) | (F.col("n") != F.col("c"))).count() == 0, (method, lower)
-
-
-def test_increase_and_delta_dense_series_path_matches(spark, monkeypatch):
-    """Force the prefix path (as for a series too dense for one task per range)."""
-    rnd = random.Random(17)
-    rows, v = [], 0.0
-    for k in range(600):
-        v = v + rnd.randint(0, 5) if rnd.random() > 0.05 else float(rnd.randint(0, 3))  # occasional resets
-        rows.append((ts(k * 37 + rnd.randint(0, 20)), "i", "m", "e", v))
-    s = spark.createDataFrame(rows, "ts timestamp, instance string, metric string, endpoint string, value double")
-    halo_inc = {r.ts: r.increase for r in TS.counter_increase(s, 900).collect()}
-    halo_del = {r.ts: r.delta for r in TS.gauge_delta(s, 900, ["instance", "metric"]).collect()}
-    monkeypatch.setattr(scan, "CHUNK_TARGET_ROWS", 3)
-    assert scan.frame_method(s, ["instance", "metric", "endpoint"], "ts", 900) == "prefix"
-    pre_inc = {r.ts: r.increase for r in TS.counter_increase(s, 900).collect()}
-    pre_del = {r.ts: r.delta for r in TS.gauge_delta(s, 900, ["instance", "metric"]).collect()}
-    assert pre_inc == halo_inc and pre_del == halo_del
+        got = scan.trailing_sums(df, ["key"], "ts", "id", 900, {"s": F.col("v"), "n": F.lit(1)}, lower)
+        j = ref.join(got.select("id", "s", "n"), "id")
+        assert j.count() == len(rows)
+        assert j.filter((F.col("s") != F.col("r")) | (F.col("n") != F.col("c"))).count() == 0, lower
 
 
 def test_history_page_has_more_edges(spark):
@@ -415,3 +319,59 @@ def test_route_state_at_with_changes_at_one_instant(spark):
     assert got[ts(5)] == ("created", True)
     assert got[ts(10)] == ("activated", True) and got[ts(15)] == ("activated", True)  # tie: highest event_id
     assert got[ts(-1)] == (None, False)
+
+
+def test_counters_do_not_depend_on_input_order_or_chunks(spark, monkeypatch):
+    """Two samples at one instant count as one (the larger), whatever the order and the chunk size."""
+    rnd = random.Random(3)
+    rows = [(ts(10 * (k // 2)), "i", "m", "e", float(k % 37)) for k in range(200)] + [(ts(10), "i", "m", "e", 1.0), (ts(10), "i", "m", "e", 3.0)]
+    schema = "ts timestamp, instance string, metric string, endpoint string, value double"
+    want = None
+    for chunk in (30, 900, 10**7):
+        for part in (rows, rows[::-1], rnd.sample(rows, len(rows))):
+            monkeypatch.setattr(TS.scan.lag_within, "__defaults__", ("prev_", chunk))
+            monkeypatch.setattr(TS.scan.asof_last, "__defaults__", (chunk,))
+            s = spark.createDataFrame(part, schema).repartition(3)
+            got = [sorted(map(tuple, q.collect())) for q in (TS.counter_increase(s, 300), TS.gauge_delta(s, 300), TS.avg_over_time(s, 300), TS.counter_compare(s, 60))]
+            assert want is None or got == want
+            want = got
+    assert len(want[0]) == 100
+
+
+def test_quantiles_of_a_shared_value_infinity_and_nan(spark):
+    rows = [(1.0,)] * 5000 + [(2.0,)] * 3 + [(float("inf"),)]
+    df = spark.createDataFrame(rows, "v double")
+    spec = [("median", "p50"), ("exclusive", "p99", 99, 100, 100)]
+    r = Q.quantile_report(df, [], "v", spec).first()
+    assert (r.p50, r.p99) == (1.0, 1.0)
+    r = Q.quantile_report(spark.createDataFrame([(float("-inf"),), (float("inf"),), (float("inf"),)], "v double"), [], "v", spec[:1]).first()
+    assert r.p50 == float("inf")
+    r = Q.quantile_report(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),)], "v double"), [], "v", spec[:1]).first()
+    assert r.p50 == 2.5
+
+
+def test_change_log_rejects_blank_urls_and_unknown_ops(spark):
+    from routelake.operators import dml as D
+    routes = spark.createDataFrame([("t", "s", "e", "v1", "http://a", True)], "tenant string, service string, env string, version string, url string, is_active boolean")
+    log = spark.createDataFrame([(1, "create", "t", "s", "e", "v2", "  "), (2, "create", "t", "s", "e", "v3", None), (3, "purge", "t", "s", "e", "v1", None),
+                                 (4, None, "t", "s", "e", "v1", None), (5, "activate", "t", "s", "e", "v2", None), (6, "deactivate", "t", "s", "e", "v1", None)],
+                                "seq long, op string, tenant string, service string, env string, version string, url string")
+    r = D.apply_change_log(routes, log, "2024-01-01 00:00:00")
+    assert [(x.version, x.is_active) for x in r["state"].collect()] == [("v1", False)]
+    assert sorted((x.seq, x.reject_reason) for x in r["rejects"].collect()) == [(1, "missing_url"), (2, "missing_url"), (3, "unknown_op"), (4, "unknown_op"), (5, "not_found")]
+
+
+def test_iso_timestamps_need_a_date(spark):
+    rows = ["12:30:00", "2024", "2024-01", "2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123456+02:00", "junk", "", None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, s string")
+    got = {r.k: r.t for r in df.select("k", X.parse_iso_timestamp("s").alias("t")).collect()}
+    assert [k for k, v in got.items() if v is not None] == [3, 4, 5]
+    assert got[5] == dt.datetime(2024, 1, 2, 1, 4, 5, 123456)
+
+
+def test_audit_append_stores_an_id_once(spark):
+    path = scratch_path(spark, "t-audit-ids")
+    batch = _audit(spark, [("1", "created", 0), ("1", "created", 0), ("2", "created", 5)])
+    H.append_audit(spark, batch, path)
+    H.append_audit(spark, _audit(spark, [("1", "created", 86400 * 9), ("3", "created", 86400 * 9)]), path)
+    assert sorted(r.event_id for r in lake.read_audit(spark, path).collect()) == ["1", "2", "3"]
