@@ -68,7 +68,10 @@ def filter_optional(audit: DataFrame, tenant=None, service=None, env=None, actio
 
 
 def filter_recent(audit: DataFrame, as_of, days: int | None = None, hours: int | None = None) -> DataFrame:
-    """``occurred_at >= as_of - N days/hours``; 0 or None means no time filter (Q2, Q3)."""
+    """``occurred_at >= as_of - N days/hours``; 0 or None means no time filter (Q2, Q3), other
+    values than 1 to 365 days or 1 hour and more are refused."""
+    if (days and not 1 <= int(days) <= 365) or (hours and int(hours) < 1):
+        raise ValueError("days must be 1 to 365, hours 1 or more")
     if days:
         return since(audit, _ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
     if hours:
@@ -77,6 +80,8 @@ def filter_recent(audit: DataFrame, as_of, days: int | None = None, hours: int |
 
 
 def filter_time_range(audit: DataFrame, start, end) -> DataFrame:
+    if type(start) is type(end) and not isinstance(start, Column) and start >= end:
+        raise ValueError("start must be before end")
     return between(audit, start, end)
 
 

@@ -220,7 +220,10 @@ RETENTION_AS_OF = "2025-01-15 00:00:00"
 @register("audit_retention", f"""SELECT {AUDIT_SQL} FROM audit
  WHERE occurred_at >= TIMESTAMP '{RETENTION_AS_OF}' - INTERVAL 365 DAY""")
 def q_audit_retention(spark, d):
-    return flat(D.audit_retention(audit(spark, d), RETENTION_AS_OF, 365))
+    """The stored audit, its next snapshot without expired rows, read back."""
+    from ..sources import lake
+    stored = lake.write_audit(spark, audit(spark, d))
+    return flat(lake.read_audit(spark, lake.retain_audit(spark, stored, RETENTION_AS_OF, 365)))
 
 
 @register("scan_audit", f"SELECT {AUDIT_SQL} FROM audit")

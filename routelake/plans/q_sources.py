@@ -72,11 +72,16 @@ def q_shape_route_event(spark, d):
 
 @register("sink_route_stream", SHAPE_SQL)
 def q_sink_route_stream(spark, d):
-    """Publish: key/value rows appended to the topic folder (JSON lines), read back."""
-    from ..streaming.streams import publish_route_events
+    """Publish: rows appended to the topic folder, and consumed from it by the stream reader."""
+    from ..streaming import streams as S
     path = scratch_path(spark, "route-events-topic")
-    publish_route_events(shape_route_event(flat_route(Tables(spark, d).audit)), path=path)
-    return spark.read.schema("key string, value string").json(path)
+    S.publish_route_events(shape_route_event(flat_route(Tables(spark, d).audit)), path=path)
+    out, ck = scratch_path(spark, "route-events-read"), scratch_path(spark, "ckpt-route-events")
+
+    def handle(batch, batch_id):
+        batch.select("key", "value").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    S.run(S._start(S.read_route_stream(spark, path), handle, ck))
+    return spark.read.parquet(out).drop("batch")
 
 
 @register("sink_audit", f"SELECT {AUDIT_SQL} FROM audit")

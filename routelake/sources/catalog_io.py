@@ -25,13 +25,15 @@ def write_catalog(spark: SparkSession, tables: dict, path: str | None = None) ->
 
 
 def read_catalog(spark: SparkSession, path: str | None = None, jdbc_url: str | None = None,
-                 jdbc_properties: dict | None = None) -> dict:
-    """The four tables, parquet by default; from a database when ``jdbc_url`` is given
-    (each table read in parallel slices of its id range)."""
+                 jdbc_properties: dict | None = None, slices: int = 16, slice_ids: int = 1_000_000) -> dict:
+    """The four tables, parquet by default; from a database when ``jdbc_url`` is given: each
+    table is read in ``slices`` parallel ranges of ``slice_ids`` ids (rows beyond the last range
+    belong to it, so no row is left out; choose slices * slice_ids near the largest id)."""
     out = {}
     for name, schema in schemas.CATALOG.items():
         if jdbc_url:
-            df = spark.read.jdbc(jdbc_url, name, properties=jdbc_properties or {})
+            df = spark.read.jdbc(jdbc_url, name, column="id", lowerBound=0, upperBound=slices * slice_ids, numPartitions=slices,
+                                 properties=jdbc_properties or {})
             out[name] = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
         else:
             out[name] = spark.read.schema(schema).parquet(f"{path}/{name}")

@@ -30,6 +30,13 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AUDIT).parquet(path)
 
 
+def retain_audit(spark: SparkSession, path: str, as_of, days: int = 365, to: str | None = None) -> str:
+    """The next snapshot of a stored audit without expired rows; folders that have expired as a
+    whole are pruned by their date and never read."""
+    from ..operators.dml import audit_retention
+    return write_audit(spark, audit_retention(read_audit(spark, path), as_of, days), to)
+
+
 def write_snapshot(spark: SparkSession, df: DataFrame, name: str) -> str:
     path = scratch_path(spark, name)
     df.write.parquet(path)

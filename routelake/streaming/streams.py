@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import expr as X
 from ..operators import metrics as M
+from ..sources.lake import path_exists
 from . import handlers as H
 
 TOPIC = "route-events"
@@ -156,12 +157,20 @@ def read_upserts(spark: SparkSession, path: str, keys) -> DataFrame:
     return g.select(*keys, *[F.col(f"l.{c}").alias(c) for c in vals])
 
 
-def publish_route_events(events_kv: DataFrame, path: str | None = None, kafka_servers: str | None = None) -> None:
+def publish_route_events(events_kv: DataFrame, path: str | None = None, kafka_servers: str | None = None,
+                         partitions: int = 4) -> None:
     """Publish (key, value) rows: to the ``route-events`` topic when Kafka is given (key =
-    route, so one route's events stay in one partition and in order), else appended as
-    JSON lines to ``path`` (same two columns)."""
+    route, so one route's events stay in one partition and in order), else appended to the
+    topic folder ``path`` as the envelope that ``read_route_stream`` reads: a key belongs to one
+    partition, offsets follow the largest stored one and grow within this call (with gaps)."""
     if kafka_servers:
         (events_kv.select(F.col("key").cast("binary"), F.col("value").cast("binary")).write.format("kafka")
          .option("kafka.bootstrap.servers", kafka_servers).option("topic", TOPIC).save())
         return
-    events_kv.select("key", "value").write.mode("append").json(path)
+    spark = events_kv.sparkSession
+    base = 0
+    if path_exists(spark, path):
+        base = (spark.read.schema(schemas.ENVELOPE).parquet(path).agg(F.max("offset")).first()[0] or 0) + 1
+    (events_kv.select("key", "value", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"),
+                      (F.lit(base) + F.monotonically_increasing_id()).alias("offset"), F.current_timestamp().alias("timestamp"))
+     .write.mode("append").parquet(path))

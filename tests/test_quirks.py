@@ -375,3 +375,13 @@ def test_audit_append_stores_an_id_once(spark):
     H.append_audit(spark, batch, path)
     H.append_audit(spark, _audit(spark, [("1", "created", 86400 * 9), ("3", "created", 86400 * 9)]), path)
     assert sorted(r.event_id for r in lake.read_audit(spark, path).collect()) == ["1", "2", "3"]
+
+
+def test_audit_arguments_are_checked(spark):
+    from routelake.operators import audit as A
+    a = _audit(spark, [("1", "created", 0)])
+    for bad in (lambda: A.filter_recent(a, "2024-01-01", days=366), lambda: A.filter_recent(a, "2024-01-01", days=-1),
+                lambda: A.filter_time_range(a, "2024-02-01", "2024-01-01")):
+        with pytest.raises(ValueError):
+            bad()
+    assert A.filter_recent(a, "2024-01-02", days=0).count() == 1

@@ -139,3 +139,14 @@ def test_defaulted_time_flag_and_only_missing_warming(spark):
     assert got == {"route:t:s:e:v1": "http://cached", "route:t:s:e:v2": "http://fresh2"}
     full = {r.route_key: r.url for r in H.warm(cache, ev, routes).collect()}
     assert full == {"route:t:s:e:v1": "http://fresh1", "route:t:s:e:v2": "http://fresh2"}
+
+
+def test_published_events_are_consumed_in_order(spark):
+    topic, audit, rej, ck = (scratch_path(spark, n) for n in ("topic", "audit", "rej", "ck"))
+    for k, action in enumerate(("created", "deactivated")):
+        key, value, *_ = env_row(str(k), action, k, 0, 0)
+        S.publish_route_events(spark.createDataFrame([(key, value)], "key string, value string"), path=topic)
+    rows = spark.read.schema(schemas.ENVELOPE).parquet(topic).orderBy("offset").collect()
+    assert [json.loads(r.value)["action"] for r in rows] == ["created", "deactivated"] and len({r.partition for r in rows}) == 1
+    S.run(S.audit_log_query(S.read_route_stream(spark, topic), audit, rej, ck))
+    assert sorted(r.event_id for r in lake.read_audit(spark, audit).collect()) == ["0", "1"]
