@@ -134,26 +134,6 @@ def display_or_unknown(c) -> Column:
     return F.coalesce(F.nullif(_c(c), F.lit("")), F.lit(UNKNOWN))
 
 
-# Fixed values of the reference's sample-data generator (must match), in order.
-TENANT_PREFIXES = ["team", "org", "company", "corp", "group", "squad"]
-# tenant suffixes: the letters a..z, then the numbers 1..99 (a rule, 125 entries)
-TENANT_SUFFIXES = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [str(i) for i in range(1, 100)]
-SERVICES = [
-    "payments", "orders", "users", "analytics", "notifications", "auth",
-    "billing", "inventory", "shipping", "catalog", "search", "recommendations",
-    "reviews", "ratings", "messaging", "chat", "email", "sms", "push",
-    "reports", "dashboard", "admin", "api", "gateway", "proxy", "cdn",
-    "storage", "compute", "monitoring", "logging", "metrics", "tracing",
-]
-ENVIRONMENTS = ["prod", "staging", "dev", "test", "qa", "preprod", "canary"]
-MAX_VERSION = 20
-# URL templates, in order:
-#   https://{service}.{tenant}.example.com/{version}
-#   https://{service}-{env}.{tenant}.example.com/{version}
-#   https://{tenant}-{service}.example.com/{version}
-#   https://api.{tenant}.example.com/{service}/{version}
-#   https://{service}.api.{tenant}.example.com/{version}
-#   https://{env}.{service}.{tenant}.example.com/{version}
 def route_url_template(index, t="tenant", s="service", e="env", v="version") -> Column:
     """URL from parts by one of the six templates; ``index`` is 1-based (1..6)."""
     t, s, e, v = (_c(x) for x in (t, s, e, v))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..operators import catalog as C
 from ..sources.tables import CATALOG_AS_OF, Tables
 from .registry import register
@@ -127,15 +128,12 @@ def q_resolve_stale_fallback(spark, d):
     return C.resolve_stale_fallback(t.route_requests, t.cache_snapshot, CATALOG_AS_OF)
 
 
-# Keys changed in the months before the catalog as-of time are re-resolved.
-CHANGED_SINCE = "2001-01-01 00:00:00"
-
-
 def _changed_keys(t: Tables):
-    return t.route_table.filter(F.col("updated_at") >= F.lit(CHANGED_SINCE).cast("timestamp"))
+    """The routes that the change log names."""
+    return t.change_log.select(*X.ROUTE_COLS).distinct()
 
 
-@register("warm_join", f"""WITH k AS (SELECT DISTINCT {ROUTE_SQL} FROM route_table WHERE updated_at >= TIMESTAMP '{CHANGED_SINCE}'),
+@register("warm_join", f"""WITH k AS (SELECT DISTINCT {ROUTE_SQL} FROM change_log),
 act AS (SELECT {ROUTE_SQL}, url FROM route_table WHERE is_active)
 SELECT {KEY_SQL.replace("tenant", "k.tenant").replace("service", "k.service").replace("env", "k.env").replace("version", "k.version")} AS route_key,
        a.url, a.url IS NULL AS is_negative,
@@ -147,7 +145,7 @@ def q_warm_join(spark, d):
 
 
 @register("invalidate_cache", f"""SELECT c.* FROM cache_snapshot c
- WHERE c.route_key NOT IN (SELECT {KEY_SQL} FROM route_table WHERE updated_at >= TIMESTAMP '{CHANGED_SINCE}')""")
+ WHERE c.route_key NOT IN (SELECT {KEY_SQL} FROM change_log)""")
 def q_invalidate_cache(spark, d):
     t = Tables(spark, d)
     return C.invalidate_cache(t.cache_snapshot, _changed_keys(t))

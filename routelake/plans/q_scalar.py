@@ -132,11 +132,12 @@ def q_event_from_json(spark, d):
 
 
 @register("default_fields", """SELECT event_id, coalesce(nullif(action, ''), 'unknown') AS action_or_unknown,
-       'route_changed' AS event_type, CAST(0 AS BIGINT) AS metadata_size FROM event_rows""")
+       CASE WHEN event_seq % 2 = 0 THEN 'custom' ELSE 'route_changed' END AS event_type,
+       CAST(CASE WHEN event_seq % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS metadata_size FROM event_rows""")
 def q_default_fields(spark, d):
     """A missing event_type becomes 'route_changed' (metadata {}); display fields 'unknown'."""
-    r = (rows(spark, d).withColumn("event_type", F.lit(None).cast("string"))
-         .withColumn("metadata", F.lit(None).cast("map<string,string>")))
+    r = (rows(spark, d).withColumn("event_type", F.when(F.col("event_seq") % 2 == 0, F.lit("custom")))
+         .withColumn("metadata", F.when(F.col("event_seq") % 3 == 0, F.create_map(F.lit("k"), F.lit("v")))))
     event_type, metadata = X.default_fields("event_type", "metadata")
     return r.select("event_id", X.display_or_unknown("action").alias("action_or_unknown"),
                     event_type.alias("event_type"), F.size(metadata).cast("long").alias("metadata_size"))
