@@ -5,13 +5,13 @@ dictionary, then one frame per record, compressed with it, so that a record can
 The dictionary is trained in the task that writes the archive, on its first records, up to
 ``SAMPLE_BYTES`` (those records are held back and compressed afterwards); a handful of records
 is too little to train on, and such an archive has no dictionary frame. Records stream through
-the task. An archive is written under a temporary name and renamed when complete, so a
+the task, which closes an archive at ``archive_bytes`` of payload. An archive is written under a temporary name and renamed when complete, so a
 repeated task replaces its own file and readers see whole archives only.
 
 Revisits. Of the records with equal payloads of ``REVISIT_BYTES`` or more, the one with the
 smallest page id is the response; the others are revisit records without payload that name it.
-Groups of equal payloads are found on digests alone; the payloads are shuffled once, by page,
-so a group of copies never meets in one task.
+Groups of equal payloads are found on digests alone; the payloads are shuffled once at most, by
+page, so a group of copies never meets in one task.
 
 Defined cases: null html is an empty payload; a null url gives no target URI; a null page id
 gives no id header and is read back as null; repeated rows of the response's own page are
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .util import python_ready, scratch_path, slices, written
 
 REVISIT_BYTES = 100
-#: Payload bytes of an archive, about.
+#: Payload bytes after which a task closes an archive and begins another.
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -53,26 +53,28 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         payload.alias("payload"), digest.alias("digest"), key.alias("key"))
     narrow = rows.select("page_id", "digest", "key", F.octet_length("payload").cast("long").alias("n"))
-    total = narrow.agg(F.sum("n")).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
     groups = (narrow.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest")
               .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
               .filter((F.col("copies") > 1) & F.col("refers_to").isNotNull()).drop("copies"))
     revisits = (narrow.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
                 .select("key", "refers_to").distinct())
-    # one shuffle of the payloads; the join keeps its partitions, which become the archives
-    records = (rows.repartition(archives, "key").join(revisits, "key", "left")
+    # payloads are shuffled once at most, by page; where few pages are revisits, AQE sends those instead
+    records = (rows.join(revisits, "key", "left")
                .select("page_id", "url", "payload", "digest", "refers_to"))
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        out = _Archive(path, TaskContext.get().partitionId(), date)
+        task, done = TaskContext.get().partitionId(), []
+        out = _Archive(path, f"{task:06d}-{0:04d}", date)
         try:
             for part in slices(batches):
                 for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                    if out.payload_bytes >= archive_bytes:
+                        done += out.close()
+                        out = _Archive(path, f"{task:06d}-{len(done):04d}", date)
                     out.add(*row)
-            done = out.close()
+            done += out.close()
         except BaseException:
             out.drop()
             raise
@@ -84,14 +86,15 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
 class _Archive:
     """One archive being written; nothing is created before the first record."""
 
-    def __init__(self, folder: str, number: int, date: str):
+    def __init__(self, folder: str, number: str, date: str):
         self.folder, self.number, self.date = folder, number, date
         self.held: list[bytes] = []
-        self.held_bytes = self.records = 0
+        self.held_bytes = self.records = self.payload_bytes = 0
         self.out = self.compressor = None
 
     def add(self, page_id, url, payload, digest, refers_to):
         self.records += 1
+        self.payload_bytes += len(payload)
         block = record(page_id, url, payload, digest, refers_to, self.date)
         if self.out is not None:
             self.out.write(self.compressor.compress(block))
@@ -106,8 +109,8 @@ class _Archive:
         from pyarrow import fs
         self.fs, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
         self.fs.create_dir(root, recursive=True)
-        self.path = f"{root}/part-{self.number:06d}.warc.zst"
-        self.temporary = f"{root}/.part-{self.number:06d}-{uuid.uuid4().hex}"
+        self.path = f"{root}/part-{self.number}.warc.zst"
+        self.temporary = f"{root}/.part-{self.number}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         try:
             dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, self.held_bytes // 8), self.held, level=LEVEL)
@@ -164,7 +167,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
     ], http + (payload if refers_to is None else b""))
 
 
-def info(date: str, number: int) -> bytes:
+def info(date: str, number: str) -> bytes:
     return _block([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", number)), ("WARC-Date", date),
                    ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
