@@ -57,6 +57,9 @@ MAX_DEPTH = 6
 #: Load (shingles of all sets, and MEMBER_LOAD for each set) that one task compares at once.
 NODE_SHINGLES = 1 << 21
 MEMBER_LOAD = 256
+#: Cells of the filter that is sent to the texts before they are shuffled: its proven size bound. With as
+#: many members of nodes it lets most texts pass, which costs their shuffle, never a result.
+CELLS = 1 << 20
 MEMO_WORDS = 400_000
 
 _U = np.uint64
@@ -301,8 +304,8 @@ def _compare(nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         import pyarrow as pa
         memo = WordHashes()
         for part in slices(batches):
-            found = [shingle_set(t, memo, words).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
+            found = [shingle_set(t, memo, words).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["rep", "nodes", "shingles"])
 
     def run(batches):
         import pyarrow as pa
@@ -323,13 +326,21 @@ def _compare(nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
                 out = []
         yield _pairs(pa, out + links(ids, found))
 
-    involved = nodes.select("rep").distinct()
-    full = (rows.join(involved, F.col("doc_id") == F.col("rep")).select("rep", "text")
-            .mapInArrow(sets, "rep long, shingles binary"))
-    return (nodes.join(full, "rep").select("node", "rep", "shingles")
+    # a document's nodes (a few per tree) travel with its text, so sets are shuffled once, to their nodes
+    involved = nodes.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+    # at most CELLS numbers: texts whose cell holds no member of a node stay where they are
+    cells = involved.select(_cell("rep").alias("cell")).distinct()
+    near = rows.withColumn("cell", _cell("doc_id")).join(F.broadcast(cells), "cell", "left_semi")
+    full = (near.join(involved, F.col("doc_id") == F.col("rep")).select("rep", "nodes", "text")
+            .mapInArrow(sets, "rep long, nodes array<long>, shingles binary"))
+    return (full.select(F.explode("nodes").alias("node"), "rep", "shingles")
             .repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long").distinct())
 
 
+def _cell(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(CELLS).cast("long")).cast("int")
+
+
 def _pairs(pa, out):
     a = np.array(out, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a[:, 0], a[:, 1])), pa.array(np.maximum(a[:, 0], a[:, 1]))], names=["a", "b"])
