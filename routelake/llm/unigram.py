@@ -35,10 +35,11 @@ SCALE = 1 << 20
 #: In log scores, as in the published unigram model.
 UNKNOWN_PENALTY = 10.0
 #: Chunks, and their bytes, whose ids a worker remembers before it starts afresh.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 250_000
 MEMO_CHUNK_BYTES = 64
 #: Stands for a marker that is part of a text: no valid UTF-8 byte, so no piece has it.
 OWN_MARKER = b"\xff"
+_NEVER = -1 << 62
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, text string"
 
@@ -112,34 +113,44 @@ class Unigram:
         self.split_at_marker = not any(re.search(f"[^{MARKER}]{MARKER}", p) for p, s in zip(pieces, self.scores, strict=True) if s is not None)
         self.trie = DoubleArray(usable)
         self.unknown = min((s for s in self.scores if s is not None), default=0) - round(UNKNOWN_PENALTY * SCALE)
-        self.of_byte = {i: b for b, i in enumerate(byte_ids)}
         self.raw = [p.encode().replace(MARKER.encode(), b" ") for p in pieces]
+        for b, i in enumerate(byte_ids):
+            self.raw[i] = bytes([b])
 
     def best(self, chunk: bytes) -> list[int]:
-        """Ids of the best segmentation of marked bytes (Viterbi over character boundaries)."""
+        """Ids of the best segmentation of a chunk (Viterbi over character boundaries); its spaces are markers."""
+        chunk = chunk.replace(b" ", MARKER.encode())
         n = len(chunk)
-        top: list[int | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        top, back, by = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         top[0] = 0
-        scores, prefixes = self.scores, self.trie.prefixes
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         at = 0
         while at < n:
             lead = chunk[at]
-            width = 1 if lead < 0x80 or lead == 0xFF else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            after_one = at + (1 if lead < 0x80 or lead == 0xFF else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             here, single = top[at], False
-            for end, piece in prefixes(chunk, at):
-                score = here + scores[piece]
-                if top[end] is None or score > top[end]:
-                    top[end], back[end] = score, (at, piece)
-                single |= end == at + width
+            state, end = 0, at
+            while end < n:                 # every piece that begins here, shortest first (as trie.prefixes)
+                after = base[state] + chunk[end] + 1
+                if check[after] != state:
+                    break
+                state = after
+                end += 1
+                piece = value[state]
+                if piece >= 0:
+                    score = here + scores[piece]
+                    if score > top[end]:
+                        top[end], back[end], by[end] = score, at, piece
+                    if end == after_one:
+                        single = True
             if not single:
-                score, end = here + self.unknown, at + width
-                if top[end] is None or score > top[end]:
-                    top[end], back[end] = score, (at, -1)
-            at += width
+                score = here + self.unknown
+                if score > top[after_one]:
+                    top[after_one], back[after_one], by[after_one] = score, at, -1
+            at = after_one
         out: list[int] = []
         while n:
-            at, piece = back[n]
+            at, piece = back[n], by[n]
             if piece >= 0:
                 out.append(piece)
             else:
@@ -151,21 +162,13 @@ class Unigram:
 
     def chunks(self, text: str) -> list[bytes]:
         data = (b" " + text.encode()).replace(MARKER.encode(), OWN_MARKER)
-        found = re.findall(rb" +[^ \n]*|\n+[^ \n]*|[^ \n]+", data) if self.split_at_marker else [data]
-        return [c.replace(b" ", MARKER.encode()) for c in found]
+        return re.findall(rb" +[^ \n]*|\n+[^ \n]*|[^ \n]+", data) if self.split_at_marker else [data]
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.best(c)] if text else []
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is None:
-                out += self.raw[i]
-            else:
-                out.append(b)
-        return out.decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def read_model(model: bytes) -> Unigram:
@@ -186,25 +189,33 @@ def read_model(model: bytes) -> Unigram:
     return Unigram(pieces, scores, byte_ids)
 
 
-@lru_cache(maxsize=2)
-def _model(content: bytes) -> Unigram:
-    return read_model(content)
-
-
 class _Memo(dict):
+    """Ids of chunks seen by this worker, in two generations: when the younger one is full it
+    becomes the older one, and a chunk that is met again moves to the younger one."""
+
     def __init__(self, unigram: Unigram):
         super().__init__()
         self.unigram = unigram
+        self.older: dict[bytes, list[int]] = {}
 
     def __missing__(self, chunk: bytes) -> list[int]:
-        ids = self.unigram.best(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.unigram.best(chunk)
         if len(chunk) <= MEMO_CHUNK_BYTES:
             if len(self) >= MEMO_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
 
+@lru_cache(maxsize=2)
+def _model(content: bytes) -> _Memo:
+    """The model and what this worker remembers, kept from task to task."""
+    return _Memo(read_model(content))
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids."""
     spark = docs.sparkSession
@@ -213,8 +224,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
 
     def run(batches):
         import pyarrow as pa
-        unigram = _model(content.value)
-        get = _Memo(unigram).__getitem__
+        memo = _model(content.value)
+        unigram, get = memo.unigram, memo.__getitem__
         for part in slices(batches):
             out = []
             for text in part.column(1).to_pylist():
@@ -238,7 +249,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
 
     def run(batches):
         import pyarrow as pa
-        unigram = _model(content.value)
+        unigram = _model(content.value).unigram
         for part in slices(batches):
             text = [None if ids is None else unigram.decode(ids) for ids in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
@@ -255,7 +266,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
 
     def run(batches):
         import pyarrow as pa
-        unigram = _model(content.value)
+        unigram = _model(content.value).unigram
         for part in slices(batches):
             text = [None if ids is None else unigram.decode(ids) for ids in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
