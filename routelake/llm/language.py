@@ -15,7 +15,13 @@ smallest hash of (id, text) among a cut by hash; that sample is the documented b
 Prediction uses the text alone.
 
 Score: probability of the family (softmax of its margins) times the smallest logistic margin
-of the language against the others of its family; in 0 to 1.
+of the language against the others of its family; in 0 to 1. It only ranks the learned languages.
+
+Evidence: whether a text is in a learned language at all, whatever their number. Every language has
+the log-likelihood ratio of its grams against even chance; the upper bound of a text's mean ratio
+(``BOUND`` standard errors by its distinct grams, so a short text is given the doubt) is divided by
+the median of the language's own training rows, each scored without its fold. The best language counts.
+A language with one distinct training text has no such median; a text then only has to beat chance.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; a label that is
 null is never learned; with one learned language every other text gets it; with none, every
@@ -39,8 +45,11 @@ SAMPLE_ROWS = 500
 #: Training: passes over the sample, cost of a margin violation, scale of margins in scores.
 PASSES, COST, SHARPNESS = 12, 4.0, 4.0
 UNKNOWN = "und"
-#: Below this score a text is in none of the learned languages, for ``keep_identified``.
-LEAST_SCORE = 0.25
+#: Below this evidence a text is in none of the learned languages, for ``keep_identified``.
+LEAST_EVIDENCE = 0.65
+#: Standard errors of a text's evidence, share of even chance in a language's gram frequencies,
+#: folds of its training rows, and the least that counts as its median.
+BOUND, CHANCE, FOLDS, LEAST_TYPICAL = 2.0, 0.1, 5, 0.05
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -105,6 +114,9 @@ class Hierarchy:
                 for b in f[i + 1:]:
                     rows = (label == a) | (label == b)
                     self.pairs[a, b] = svm(x[rows], np.where(label[rows] == a, 1.0, -1.0))
+        own = [own_grams(x[label == v, :-1]) for v in self.languages]
+        self.ratios = np.array([o[0] for o in own], np.float32).reshape(len(own), BUCKETS)
+        self.typical, self.spread = np.array([o[1] for o in own]), np.array([o[2] for o in own])
 
     def _families(self, x: np.ndarray, label: np.ndarray) -> list[list[str]]:
         if len(self.languages) < 3:
@@ -147,6 +159,29 @@ class Hierarchy:
             score[rows] *= least[np.arange(len(rows)), best]
         return list(out), score
 
+    def evidence(self, x: np.ndarray) -> np.ndarray:
+        mean = (x * x) @ self.ratios.T
+        error = self.spread / np.sqrt((x > 0).sum(axis=1, keepdims=True))
+        return ((mean + BOUND * error) / self.typical).max(axis=1)
+
+
+def own_grams(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Log ratios of a language's grams to even chance; median over its texts and spread over their grams of those
+    ratios, for every text learned from the other folds. Equal texts are in one fold."""
+    def ratios(rows):
+        return np.log((1 - CHANCE) * BUCKETS * rows.mean(axis=0) + CHANCE)
+
+    share = x * x
+    seen: dict[bytes, int] = {}
+    fold = np.array([seen.setdefault(v.tobytes(), len(seen)) for v in x]) % FOLDS
+    mean, square = np.zeros(len(x)), np.zeros(len(x))
+    if len(seen) < 2:
+        return ratios(share), LEAST_TYPICAL, 0.0
+    for k in range(min(FOLDS, len(seen))):
+        r = ratios(share[fold != k])
+        mean[fold == k], square[fold == k] = share[fold == k] @ r, share[fold == k] @ (r * r)
+    return ratios(share), max(LEAST_TYPICAL, float(np.median(mean))), float(np.sqrt(np.maximum(square - mean * mean, 0).mean()))
+
 
 def held_out(id_col: Column) -> Column:
     """Rows that training leaves out: crc32 of the id as text, modulo 4, is 2; null ids count as the empty text."""
@@ -182,14 +217,15 @@ def train(docs: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_
     return Hierarchy(x, [lang for lang, _, _ in got])
 
 
-def identify(docs: DataFrame, model: Hierarchy, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and lang_pred, score, row by row."""
+def identify(docs: DataFrame, model: Hierarchy, keep: list[Column], text_col: str = "text", evidence: bool = False) -> DataFrame:
+    """The columns ``keep`` and lang_pred, score, on demand evidence, row by row."""
     spark: SparkSession = docs.sparkSession
     python_ready(spark)
     sent = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text_to_identify"))
     at = len(rows.columns) - 1
-    schema = T.StructType([*rows.schema.fields[:at], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:at], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           *([T.StructField("evidence", T.DoubleType())] if evidence else [])])
 
     def run(batches):
         import pyarrow as pa
@@ -197,12 +233,15 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[Column], text_col: st
         for part in slices(batches):
             vectors = [features(t) for t in part.column(at).to_pylist()]
             some = [i for i, v in enumerate(vectors) if v is not None] if model.languages else []
-            lang, score = np.full(len(vectors), UNKNOWN, object), np.zeros(len(vectors))
+            lang, score, proof = np.full(len(vectors), UNKNOWN, object), np.zeros(len(vectors)), np.zeros(len(vectors))
             if some:
-                found, score[some] = model.predict(np.array([vectors[i] for i in some]))
+                x = np.array([vectors[i] for i in some])
+                found, score[some] = model.predict(x)
                 lang[some] = found
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*part.schema.names[:at], "lang_pred", "score"])
+                if evidence:
+                    proof[some] = model.evidence(x)
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                                              *([pa.array(proof, pa.float64())] if evidence else [])], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -214,9 +253,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out")])
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
     """The rows, with all their columns, whose text is in one of the languages learned from them: not ``und``, and
-    a score of ``least`` or more."""
+    evidence of ``least`` or more."""
     model = train(docs, ~held_out(F.col("doc_id")))
-    found = identify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")])
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    found = identify(docs, model, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")], evidence=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= least)).select("row.*")

@@ -48,6 +48,29 @@ def test_stage_keeps_rows_as_they_are(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(24) if i % 4 < 2]
 
 
+def test_unlearned_languages_go_and_short_texts_stay(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect()
+    rng = random.Random(4)
+    gone = ["这是一个关于城市历史的长篇文章 我们今天讨论 数据处理 的方法 和结果", "это длинный текст на русском языке который рассказывает о погоде и городах",
+            "tämä on pitkä suomenkielinen teksti joka kertoo säästä ja kaupungista jossa olemme asuneet monta vuotta",
+            " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))]
+    short = [" ".join(r.text.split()[:n]) for r in rows for n in (1, 3, 8)]
+    short = [t for t in short if sum(c.isalpha() for c in t) > len(t) / 2]
+    assert len(short) > 2000
+    learned = [r.text for r in rows]
+    for languages in (("en", "de", "fr", "es"), ("en", "de", "fr"), ("en",)):
+        langs = [r.lang if r.lang in languages else None for r in rows]
+        texts = learned + short + gone
+        kept = {r.doc_id for r in L.keep_identified(documents(spark, texts, langs=langs + [None] * (len(texts) - len(langs)))).collect()}
+        stay = [i for i, v in enumerate(langs) if v]
+        go = [i for i, v in enumerate(langs) if not v]
+        assert sum(i in kept for i in stay) >= 0.995 * len(stay)
+        assert sum(i in kept for i in go) <= 0.05 * len(go)
+        assert not kept & set(range(len(learned) + len(short), len(texts)))
+        if len(languages) == 4:
+            assert sum(len(learned) <= i for i in kept) >= 0.99 * len(short)
+
+
 def test_three_languages_vote():
     rng = np.random.RandomState(0)
     x = np.abs(rng.randn(90, L.BUCKETS)).astype(np.float32) * 0.01
