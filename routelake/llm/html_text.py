@@ -8,8 +8,8 @@ as a whole, dropped as a whole, or split, at a cost, into its own text and its c
 labelling with the highest likelihood wins, so a kept node never stands under a dropped one.
 
 Training rows are made from a sample of at most ``SAMPLE_PAGES`` pages (the documented bound;
-those with the smallest hash). Pages that mark their article (``article``, ``main``) label
-their own nodes. Each is used as it is and in variants that carry the same article in other
+those with the smallest hash among the distinct pages that mark an article with text). Pages that
+mark their article (``article``, ``main``) label their own nodes. Each is used as it is and in variants that carry the same article in other
 containers, with further parts around and inside it (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments), made from the sample's own words, whose labels are known.
 
@@ -19,12 +19,13 @@ and nothing else is dropped.
 
 Defined cases: null or empty html gives an empty text; a page without any article text gives
 an empty text; broken markup is read as far as possible, open elements end with the page;
-without a page to learn from, all text outside of scripts and styles is kept; an empty table
+without a page to learn from (none marks an article), all text outside of scripts and styles is kept; an empty table
 gives an empty result; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import random
@@ -382,10 +383,17 @@ def _shares(page: Page, kept: list[bool]) -> tuple[list[int], list[int]]:
     return size, good
 
 
+def marked(source: str) -> tuple[Page, list[bool]] | None:
+    """The page and its labels, if it marks an article that has text."""
+    page = parse(source)
+    y = labels(page)
+    return (page, y) if y and _blocks(page, y) else None
+
+
 def learn(sources: list[str], variants: int = VARIANTS) -> BoostedTrees | None:
     """Trees from the pages that mark their article."""
     rng = random.Random(11)
-    pages = [(p, y) for p in map(parse, sources) if (y := labels(p)) and _blocks(p, y)]
+    pages = [found for s in sources if (found := marked(s))]
     if not pages:
         return None
     said = [text for p, y in pages for _, text in _blocks(p, y)]
@@ -394,9 +402,9 @@ def learn(sources: list[str], variants: int = VARIANTS) -> BoostedTrees | None:
         cases.append((page, y))
         for _ in range(variants):
             source, mark = variant(page, y, said, rng)
-            marked = [mark in (m[3] or "") for m in TOKEN.finditer(source) if m[2] and m[2].lower() not in INLINE | VOID | RAW | {"html"}]
+            known = [mark in (m[3] or "") for m in TOKEN.finditer(source) if m[2] and m[2].lower() not in INLINE | VOID | RAW | {"html"}]
             made = parse(source)
-            cases.append((made, [False, *marked]))
+            cases.append((made, [False, *known]))
     x, y, weight = [], [], []
     for page, kept in cases:
         size, good = _shares(page, kept)
@@ -424,9 +432,27 @@ def extract_all(sources: list[str | None], model: BoostedTrees | None) -> list[s
     return out
 
 
-def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees | None:
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(html_col)).alias("key"), F.col(html_col).alias("html"))
-    keys = rows.select("key").distinct().orderBy("key").limit(sample_pages)
+def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, html_col: str = "html") -> BoostedTrees | None:
+    """Learns from the marked pages with the smallest hashes of their html; copies of a page count once."""
+    python_ready(pages.sparkSession)
+    rows = pages.select(F.xxhash64(F.col(html_col)).alias("key"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(?:article|main)"))
+
+    def smallest(batches):
+        """Keys of a partition's sample; a page is parsed only if its key could be among them."""
+        import pyarrow as pa
+        heap, seen = [], set()                          # heap: negative keys, the largest key first
+        for part in slices(batches, 128):
+            for key, source in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if key in seen or len(heap) == sample_pages and key > -heap[0] or not marked(source.as_py()):
+                    continue
+                seen.add(key)
+                if len(heap) < sample_pages:
+                    heapq.heappush(heap, -key)
+                else:
+                    seen.discard(-heapq.heappushpop(heap, -key))
+        yield pa.RecordBatch.from_arrays([pa.array([-k for k in heap], pa.int64())], names=["key"])
+
+    keys = rows.mapInArrow(smallest, "key long").distinct().orderBy("key").limit(sample_pages)
     sample = rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html")).orderBy("key").collect()
     return learn([r.html for r in sample])
 

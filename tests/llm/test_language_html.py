@@ -149,6 +149,24 @@ def test_other_templates():
         assert gone not in text
 
 
+def test_rare_marked_pages_are_found(spark):
+    rows = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()]
+    plain = [f"<html><body><div>menu {i}</div><p>words {i}</p><!-- <article> --></body></html>" for i in range(3000)]
+    copies = ["<article><p>the same words, again.</p></article>"] * 1500
+    table = [(i, h) for i, h in enumerate(plain + copies + rows)]
+    pages = spark.createDataFrame(table, "page_id long, html string").repartition(3)
+    seen, learn = [], H.learn
+    H.learn = lambda sources: seen.extend(sources)
+    try:
+        H.train(pages)
+        H.train(pages, 20)
+    finally:
+        H.learn = learn
+    assert sorted(seen[:-20]) == sorted({*copies, *rows})
+    assert len(set(seen[-20:])) == 20 and set(seen[-20:]) <= {*copies, *rows}
+    assert H.train(spark.createDataFrame(table[:3000], "page_id long, html string")) is None
+
+
 def test_text_rules():
     page = H.parse("<p>a<b>b</b> c&nbsp;&lt;d<br>e<p>f\n  g<script>x</script><!-- y --><ul><li>h<li>i</ul>j &notit; <style>z")
     assert H.gather(page, None) == "ab c <d e f g h i j ¬it;"
