@@ -14,11 +14,14 @@ containers, with further parts around and inside it (menus, headers, footers, si
 adverts, forms, reader comments), made from the sample's own words, whose labels are known.
 
 Text: character references decoded, white space inside a block one space, blocks joined by one
-space in page order. Inline elements do not end a block; ``br`` does. The whole page is read
-and nothing else is dropped.
+space in page order. Inline elements, formulas among them, do not end a block; ``br`` does. Scripts,
+styles and the other elements that HTML reads as raw text (``RAW``) are skipped; drawings, objects,
+players, templates and ``noscript`` are nodes like others. The whole page is read and nothing else is
+dropped.
 
 Defined cases: null or empty html gives an empty text; a page without any article text gives
-an empty text; broken markup is read as far as possible, open elements end with the page;
+an empty text; broken markup is read as far as possible, open elements end with the page (an open script or
+style takes the rest of it, as in HTML; other raw elements without an end tag are only a start tag);
 without a page to learn from (none marks an article), all text outside of scripts and styles is kept; an empty table
 gives an empty result; repeated rows give repeated results; other columns are ignored.
 """
@@ -46,9 +49,13 @@ SPLIT_COST = 1.0
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Element names of HTML by their role here.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes noscript template svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+TO_THE_END = frozenset("script style".split())          # raw to the end of the page without an end tag
+FOREIGN = frozenset("svg math".split())                 # in these, a start tag with a slash is a whole element
+EMBEDDED = FOREIGN | frozenset("object canvas audio video template noscript".split())
 ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ALIKE = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 NOT_IN_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -93,6 +100,7 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("html", 0)]      # open elements: name, block node that they belong to
     links = at = 0
+    unclosed: set[str] = set()                        # raw elements that have no end tag from here on
 
     def text(piece: str):
         if piece and stack[-1][0] != "head":
@@ -125,13 +133,20 @@ def parse(source: str) -> Page:
         name, attributes = name.lower(), m[3]
         if name in RAW:
             if not attributes.endswith("/"):
-                done = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(source, at)
-                at = done.end() if done else len(source)
+                done = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(source, at) if name not in unclosed else None
+                if done:
+                    at = done.end()
+                elif name in TO_THE_END:
+                    at = len(source)
+                else:
+                    unclosed.add(name)
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 page.pieces.append(None)
             continue
+        if attributes.endswith("/") and (name in EMBEDDED or any(n in FOREIGN for n, _ in stack)):
+            continue
         if name == "html":
             continue
         if name in INLINE:

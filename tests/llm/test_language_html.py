@@ -173,6 +173,22 @@ def test_text_rules():
     assert H.gather(H.parse("<a href='x>y'>t</a><div"), None) == "t<div"
 
 
+def test_embedded_elements_are_read():
+    for name in ("svg", "math", "object", "canvas", "audio", "video", "template", "noscript"):
+        assert H.gather(H.parse(f"<p>a</p><{name} id=x><p>b</p></{name}><p>c"), None) == "a b c"
+        assert H.gather(H.parse(f"<article><p>a</p><{name}><p>b</p></article><p>c"), None) == "a b c"
+        assert H.gather(H.parse(f"<p>a</p><{name}/><p>b"), None) == "a b"
+    assert H.gather(H.parse("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds"), None) == "so x=1 holds"
+    assert len(H.parse("<svg><path d='M0'/><circle r='1'/></svg><p>a").tag) == 3
+    for name in ("textarea", "title", "iframe", "noembed", "noframes"):
+        assert H.gather(H.parse(f"<p>a</p><{name}>b</{name}><p>c</p><{name}><p>d"), None) == "a c d"
+    body = "".join(f"<p>Sentence {i}, with <math><mi>x</mi><mo>=</mo><mn>{i}</mn></math> and more words, ends here.</p>" for i in range(6))
+    for name in ("canvas", "object", "video", "svg"):
+        page = f"<html><body><nav><a href=1>Home</a> <a href=2>News</a></nav><article><h1>Title here</h1><{name} class=x>{body}</article><footer>Copyright 2020</footer></body></html>"
+        text = H.extract(page, model())
+        assert all(f"Sentence {i}, with x={i} and more" in text for i in range(6)) and "Home" not in text
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<p>" * 3000 + "deep"), (None, "u", "no markup"), (5, "u", "<article><p>" + "x, y. " * 200_000), (5, "u", "</p></div>")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
