@@ -30,9 +30,10 @@ Word rule: A-Z lower-cased, words are runs of ``[^\\x20\\x09-\\x0D]+``; a docume
 than ``WORDS`` words has its whole sequence as one shingle. Shingles are 64-bit hashes.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and kept;
-repeated rows fall into one class; rows with a null id are not linked by that id: they follow
-the class of their text, and are kept only where no row of it has an id; an empty table gives
-an empty result; other columns are ignored.
+repeated rows fall into one class; rows with a null id are compared like others, but not linked by
+that id: they follow the class of their text, and are kept only where no row of its component has
+an id, and there only the rows of one class (by ``keep_representatives`` one row of it), with a null
+component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import python_ready, slices, written
 
@@ -162,15 +164,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                     node_shingles: int = NODE_SHINGLES, max_depth: int = MAX_DEPTH,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return (_linked(docs, percent, words, recall, node_shingles, max_depth, id_col, text_col)
+            .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+#: A document's set: its size and its 128-bit fingerprint.
+SAME = ["n_shingles", "set_a", "set_b"]
+
+
+def _linked(docs: DataFrame, percent: int, words: int = WORDS, recall: float = RECALL, node_shingles: int = NODE_SHINGLES,
+            max_depth: int = MAX_DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with the columns SAME."""
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     first = BRANCH * trees_for(recall, percent)
     prints = written(_fingerprints(rows, words, first + POOL), "fingerprints")
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = (prints.filter("n_shingles > 0").groupBy(*same)
-               .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")))
-    reps = written(classes.filter("rep is not null").select("rep", "n_shingles", "tokens"), "classes")
+    classes = (prints.filter("n_shingles > 0").groupBy(*SAME)
+               .agg(F.min("doc_id").alias("label"), F.first("tokens").alias("tokens")))
+    nameless = not prints.filter("n_shingles > 0 and doc_id is null").isEmpty()
+    number = _number(classes) if nameless else F.col("label")
+    classes = classes.withColumn("rep", number)
+    reps = written(classes.select("rep", "n_shingles", "tokens"), "classes")
+    if nameless:
+        rows = rows.filter("doc_id is not null").unionByName(_texts(rows, classes, words))
 
     start = reps.select("rep", "n_shingles", F.posexplode(F.slice("tokens", 1, first)).alias("at", "token"))
     level = start.select(F.xxhash64("at", "token").alias("node"), "rep", "n_shingles")
@@ -193,11 +210,57 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     links = written(_compare(nodes, rows, words, percent), "links")
     roots = components(links)
 
-    final = (classes.select(*same, "rep").join(roots, F.col("rep") == F.col("member"), "left")
-             .select(*same, F.coalesce("root", "rep").alias("component")))
-    out = prints.select("doc_id", *same).join(final, same, "left")
+    final = (classes.select(*SAME, "rep", "label").join(roots, F.col("rep") == F.col("member"), "left")
+             .withColumn("root", F.coalesce("root", "rep")))
+    if nameless:      # numbers are no ids: a component is named by its smallest id, if it has one
+        final = final.join(final.groupBy("root").agg(F.min("label").alias("component")), "root")
+        final = final.select(*SAME, "component", (F.col("component").isNotNull() | (F.col("rep") == F.col("root"))).alias("leads"))
+    else:
+        final = final.select(*SAME, F.col("root").alias("component"), F.lit(True).alias("leads"))
+    out = prints.select("doc_id", *SAME).join(final, SAME, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *SAME, component.alias("component_id"),
+                      (F.col("doc_id").eqNullSafe(component) & F.coalesce("leads", F.lit(True))).alias("kept"))
+
+
+def _number(classes: DataFrame) -> Column:
+    """A class's number: its smallest id; without one, a hash that is no other class's number."""
+    salt = 0
+    while True:
+        free = F.xxhash64(F.lit(salt), *SAME)
+        used = classes.select("label").filter("label is not null").distinct()
+        used = used.unionByName(classes.filter("label is null").select(free.alias("label")))
+        if used.groupBy("label").count().filter("count > 1").isEmpty():
+            return F.coalesce(F.col("label"), free)
+        salt += 1
+
+
+def _texts(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text): the number and one text of every class without an id."""
+    first = _with_set(rows.filter("doc_id is null").select("text"), 0, words).groupBy(*SAME).agg(F.first("text").alias("text"))
+    numbers = classes.filter("label is null").select(*SAME, F.col("rep").alias("doc_id"))
+    return written(first.join(numbers, SAME).select("doc_id", "text"), "texts")
+
+
+def _with_set(rows: DataFrame, at: int, words: int = WORDS) -> DataFrame:
+    """The rows and SAME of the text in column ``at``."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in SAME)])
+
+    def run(batches):
+        import pyarrow as pa
+        memo = WordHashes()
+        for part in slices(batches):
+            found = [set_print(shingle_set(t, memo, words)) for t in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], names=schema.names)
+    return rows.mapInArrow(run, schema)
+
+
+def set_print(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and fingerprint of a set."""
+    if not len(s):
+        return 0, 0, 0
+    a, b = np.array([np.bitwise_xor.reduce(s), mix(s + _STEP).sum(dtype=_U)], _U).view(np.int64).tolist()
+    return len(s), a, b
 
 
 def _fingerprints(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
@@ -208,13 +271,12 @@ def _fingerprints(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
             sizes, a, b, tokens = [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(text, memo, words)
-                sizes.append(len(s))
-                a.append(np.bitwise_xor.reduce(s) if len(s) else _U(0))
-                b.append(mix(s + _STEP).sum(dtype=_U) if len(s) else _U(0))
+                for column, value in zip((sizes, a, b), set_print(s), strict=True):
+                    column.append(value)
                 tokens.append(minwise(s, seed).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(a, _U).view(np.int64)),
-                 pa.array(np.array(b, _U).view(np.int64)), pa.array(tokens, pa.list_(pa.int64()))],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()),
+                 pa.array(b, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "tokens"])
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
 
@@ -368,9 +430,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are kept, one of each group, with all their columns."""
-    def key(id_):
-        return F.coalesce(id_.cast("string"), F.lit("-"))
-
-    stay = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(key(F.col("doc_id")).alias("stays"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key(F.col(id_col)).alias("stays"))
-    return rows.join(stay, "stays", "left_semi").select("row.*")
+    found = _linked(docs, percent, id_col=id_col, text_col=text_col).filter("kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("stays"),
+                       F.col(text_col).cast("binary").alias("text"))
+    out = rows.select("row", "stays").join(found.select(F.col("doc_id").alias("stays")), "stays", "left_semi").select("row")
+    nameless = rows.filter("stays is null")
+    if not nameless.isEmpty():
+        nameless = _with_set(nameless.select("row", "text"), 1)
+        lead = found.filter("doc_id is null and n_shingles > 0").select(*SAME).distinct()
+        one = nameless.filter("n_shingles > 0").groupBy(*SAME).agg(F.first("row").alias("row")).join(lead, SAME, "left_semi")
+        out = out.unionByName(nameless.filter("n_shingles = 0").select("row")).unionByName(one.select("row"))
+    return out.select("row.*")

@@ -100,3 +100,17 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.member: r.root for r in N.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 150: 100, 200: 100}
+
+
+def test_rows_without_id_are_compared(spark):
+    rng = random.Random(3)
+    one, two, three = (" ".join(f"w{rng.randrange(4000)}" for _ in range(100)) for _ in range(3))
+    texts = [one, one + " more", two + " more", two, two, two + " more words", three, "", None]
+    docs = documents(spark, texts, ids=[None, 7, None, None, None, None, None, None, None])
+    got = {(r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs).collect()}
+    assert {g for g in got if g[1] == 7} == {(96, 7, False), (97, 7, True)}
+    assert sum(g[2] for g in got if g[1] is None and g[0] > 0) == 2          # a class of two, and three
+    kept = sorted(r.text or "" for r in N.keep_representatives(docs).collect())
+    assert len(kept) == 5 and kept[:2] == ["", ""]
+    assert sorted(k.split()[0] for k in kept[2:]) == sorted(t.split()[0] for t in (one, two, three))
+    assert one + " more" in kept and three in kept
