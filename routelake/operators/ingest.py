@@ -3,10 +3,11 @@ trace across sources, and the outage range join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from . import scan
 
 # Exposition line and log line formats of the reference.
 EXPO_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(.*)\})?\s+(\S+)(\s+(-?[0-9]+))?\s*$"
@@ -107,15 +108,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def trace_by_correlation(parts: dict) -> DataFrame:
     """One timeline per correlation id over several sources. ``parts``: source name ->
     DataFrame(correlation_id, ts, detail). ``step`` numbers the rows of an id in time order;
-    rows at one instant by source, then detail. An id belongs to one request, so one window
-    over the ids is the only shuffle."""
+    rows at one instant by source, then detail. An id that many requests share is numbered by
+    chunks of time, so no task sorts all its rows."""
     u = None
     for name, df in parts.items():
         d = df.select("correlation_id", "ts", F.lit(name).alias("source"), F.col("detail").cast("string"))
         u = d if u is None else u.unionByName(d)
     u = u.filter(F.col("correlation_id").isNotNull())
-    w = Window.partitionBy("correlation_id").orderBy("ts", "source", "detail")
-    return u.withColumn("step", F.row_number().over(w).cast("long"))
+    u = u.withColumn("_ts", F.coalesce("ts", F.lit("0001-01-01 00:00:00").cast("timestamp"))).withColumn("_tb", F.struct("source", "detail"))
+    u = scan.running_sum(u, ["correlation_id"], "_ts", "_tb", F.lit(1), "step")
+    return u.select("correlation_id", "ts", "source", "detail", F.col("step").cast("long").alias("step"))
 
 
 def outage_changes(changes: DataFrame, outages: DataFrame, ts: str = "occurred_at",

@@ -385,3 +385,17 @@ def test_audit_arguments_are_checked(spark):
         with pytest.raises(ValueError):
             bad()
     assert A.filter_recent(a, "2024-01-02", days=0).count() == 1
+
+
+def test_trace_of_a_hot_id_is_numbered_by_chunks(spark):
+    from routelake.operators import ingest
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot"] * 4 + ["a", "b", None]), rnd.choice([ts(rnd.randint(0, 20000))] * 9 + [None]), f"d{k}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "correlation_id string, ts timestamp, detail string")
+    got = ingest.trace_by_correlation({"x": df.filter("detail < 'd5'"), "y": df.filter("detail >= 'd5'")})
+    want = (df.filter("correlation_id is not null").withColumn("source", F.when(F.col("detail") < "d5", "x").otherwise("y"))
+            .withColumn("step", F.row_number().over(Window.partitionBy("correlation_id").orderBy("ts", "source", "detail")).cast("long")))
+    columns = ["correlation_id", "ts", "source", "detail", "step"]
+    assert got.columns == columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(columns).collect()))
+    assert "row_number()" not in got._jdf.queryExecution().toString()      # no window sorts an id's rows
