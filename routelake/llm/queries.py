@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language, near_dedup, packing, sharding, token_count, topk, unigram, warc
+from . import (exact_dedup, html_text, language, lexical, multi_index, near_dedup, packing, sharding, token_count, topk, unigram,
+               variants, warc)
 from .util import normalised, table
 
 
@@ -118,6 +119,48 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL
+  SELECT DISTINCT 'q', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT side, id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term
+  FROM t WHERE text IS NOT NULL
+), d AS (
+  SELECT id, term, count(*) AS tf FROM w WHERE side = 'd' GROUP BY 1, 2
+), n AS (
+  SELECT id, sum(tf)::BIGINT AS n FROM d GROUP BY 1
+), c AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n
+), f AS (
+  SELECT term, count(*)::BIGINT AS df FROM d GROUP BY 1
+), q AS (
+  SELECT id AS item_id, term, count(*)::BIGINT AS times FROM w WHERE side = 'q' GROUP BY 1, 2
+), s AS (
+  SELECT q.item_id, d.id AS doc_id, sum(q.times * floor(1000 * ln((2 * c.docs + 2)::DOUBLE / (2 * f.df + 1)::DOUBLE))::BIGINT
+           * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (100 - 75 + (75 * n.n * c.docs) // c.terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN d USING (term) JOIN n ON n.id = d.id CROSS JOIN c
+  GROUP BY 1, 2
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.count_words(table(spark, sf_dir, "documents"), drop_every=31))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_topk": op2_topk,
@@ -129,6 +172,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_nearest": op13_nearest,
 }
 
 SQL = {
@@ -136,4 +182,5 @@ SQL = {
     "op4_warc": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
