@@ -40,9 +40,8 @@ def failure_window(calls: DataFrame, limits: DataFrame, window_seconds: int = 60
         calls = calls.withColumn("is_failure", failure_predicate)
     d = calls.withColumn("_tb", F.col("call_id"))
     fail = F.when(F.col("is_failure"), 1).otherwise(0)
-    d = scan.trailing_sums(d, k, "ts", "_tb", window_seconds,
-                           {"failures_in_window": fail, "calls_in_window": F.lit(1)}, include_lower=False)
-    d = scan.running_sum(d, k, "ts", "_tb", F.lit(1), "lifetime_calls")
+    d = scan.trailing_sums(d, k, "ts", "_tb", window_seconds, {"failures_in_window": fail, "calls_in_window": F.lit(1)},
+                           include_lower=False, lifetime={"lifetime_calls": F.lit(1)})
     d = d.join(limits.select("dependency", "failure_threshold", "min_calls"), "dependency", "left")
     return d.select(
         "instance", "dependency", "call_id", "ts", "is_failure",
@@ -89,17 +88,51 @@ def concurrency_peaks(profile: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("over_limit"), 1).otherwise(0)).cast("long").alias("over_limit_events"))
 
 
-def resilience_report(fw: DataFrame, rb: DataFrame, cp: DataFrame, as_of) -> DataFrame:
-    """One row per (instance, component) at ``as_of``: the newest reading of each analysis."""
-    at = F.lit(as_of).cast("timestamp")
+def resilience_report(calls: DataFrame, retries: DataFrame, spans: DataFrame, budgets: DataFrame, bulkheads: DataFrame, as_of,
+                      window_seconds: int = 60, failure_predicate=None) -> DataFrame:
+    """One row per (instance, component): its reading at the newest of its rows up to ``as_of``.
 
-    def latest(df, name_col, kind, value_cols):
-        g = (df.filter(F.col("ts") <= at).groupBy("instance", F.col(name_col).alias("name"))
-             .agg(F.max(F.struct("ts", *value_cols)).alias("l")))
-        return g.select("instance", F.lit(kind).alias("kind"), "name", F.col("l.ts").alias("ts"),
-                        *[F.col(f"l.{c}").cast("double").alias(a) for c, a in
-                          zip(value_cols, ["reading", "rate_pct"])])
-    a = latest(fw, "dependency", "circuit_breaker", ["failures_in_window", "failure_rate"])
-    b = latest(rb, "budget", "retry_budget", ["retries_in_window", "budget_used_pct"])
-    c = latest(cp, "class", "bulkhead", ["in_flight", "utilisation_pct"])
-    return a.unionByName(b).unionByName(c)
+    The readings equal the newest rows of ``failure_window``, ``retry_budget_usage`` and
+    ``concurrency_profile`` but need no window: one aggregate finds the newest time of each key, a
+    second one sums up what counts at that time. Both read rows up to ``as_of`` only."""
+    at = F.lit(as_of).cast("timestamp")
+    width = int(window_seconds) * 1_000_000
+
+    def newest(df, ts="ts"):
+        """Rows up to ``as_of`` with their key's newest time ``_t``; as many keys as there are components."""
+        df = df.filter(F.col(ts) <= at)
+        return df, df.groupBy("instance", "name").agg(F.max(ts).alias("_t"))
+
+    def with_newest(df, last):
+        last = last.withColumnsRenamed({"instance": "_i", "name": "_n"})
+        return df.join(last, F.col("instance").eqNullSafe(F.col("_i")) & F.col("name").eqNullSafe(F.col("_n"))).drop("_i", "_n")
+
+    def row(df, kind, reading, rate):
+        return df.select("instance", F.lit(kind).alias("kind"), "name", F.col("_t").alias("ts"),
+                         reading.cast("double").alias("reading"), rate.cast("double").alias("rate_pct"))
+    age = F.unix_micros("_t") - F.unix_micros("ts")
+    key = ["instance", "name", "_t"]
+
+    failed = F.col("is_failure") if failure_predicate is None else failure_predicate
+    c, last = newest(calls.withColumnRenamed("dependency", "name"))
+    c = with_newest(c, last).groupBy(*key).agg(
+        F.sum(F.when(failed & (age < width), 1).otherwise(0)).alias("f"), F.count(F.lit(1)).alias("n"))
+    breaker = row(c, "circuit_breaker", F.col("f"), F.col("f") / F.col("n") * 100)
+
+    r, last = newest(retries.withColumnRenamed("budget", "name"))
+    r = (with_newest(r, last).filter(age <= width).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+         .join(budgets.select(F.col("budget").alias("name"), "max_retries"), "name", "left"))
+    budget = row(r, "retry_budget", F.col("n"), F.col("n") / F.col("max_retries") * 100)
+
+    moves = (spans.select("instance", F.col("class").alias("name"), F.col("start_ts").alias("ts"), F.lit(1).alias("delta"))
+             .unionByName(spans.select("instance", F.col("class").alias("name"), F.col("end_ts").alias("ts"), F.lit(-1).alias("delta"))))
+    m, last = newest(moves)
+    now = age == 0
+    m = with_newest(m, last).groupBy(*key).agg(
+        F.sum(F.when(now, 0).otherwise(F.col("delta"))).alias("base"), F.sum(F.when(now & (F.col("delta") < 0), 1).otherwise(0)).alias("ends"),
+        F.sum(F.when(now & (F.col("delta") > 0), 1).otherwise(0)).alias("starts"))
+    # at one instant ends come before starts: the largest count is after the first end or after the last start
+    most = F.greatest(F.when(F.col("ends") > 0, F.col("base") - 1), F.when(F.col("starts") > 0, F.col("base") - F.col("ends") + F.col("starts")))
+    m = m.withColumn("n", most).join(bulkheads.select(F.col("class").alias("name"), "max_concurrent"), "name", "left")
+    bulkhead = row(m, "bulkhead", F.col("n"), F.col("n") / F.col("max_concurrent") * 100)
+    return breaker.unionByName(budget).unionByName(bulkhead)

@@ -6,16 +6,17 @@ chunks, works per (key, chunk) in parallel, and stitches the chunks together wit
 per-(key, chunk) table whose size is (#keys x #chunks), independent of the row count.
 
 * ``lag_within``      previous row's values per key (order: ts, tie-break)
-* ``running_sum``     inclusive running sum per key (rows frame, exact with ties)
+* ``running_sum(s)``  inclusive running sums per key (rows frame, exact with ties)
 * ``asof_last``       newest right-side value at or before each left row's time
-* ``trailing_sums``   sums over a trailing time range (bucket + halo)
-* ``halo_window``     any window function over a trailing range (bucket + halo)
+* ``trailing_sums``   whole-number sums over a trailing time range: every row leaves again after the width
+* ``two_blocks``      anything over a trailing range: a prefix of this block and a suffix of the one before
 * ``top_n_per_group`` newest n per group (map-side group limit, salted above the limit)
 
 ``chunk_seconds`` bounds the work of one task: it holds the rows of one key in that time. It
 is a plain parameter; nothing is measured and no plan depends on the size of the data, so
-results never depend on it. Range frames use one method at every size: a task holds two frame
-widths of one key.
+results never depend on it. No primitive uses a sliding frame, which Spark sums up anew for every
+row: all frames begin at their partition's first row, so the work is linear in the rows of a key,
+also where all of them fall into one instant.
 """
 
 from __future__ import annotations
@@ -48,53 +49,67 @@ def lag_within(df: DataFrame, keys, ts: str, tiebreak: str, cols, prefix: str =
     last = d.groupBy(*keys, "_b").agg(F.max(F.struct(*fields)).alias("_l"))
     w2 = Window.partitionBy(*keys).orderBy("_b")
     last = last.select(*keys, "_b", F.lag("_l").over(w2).alias("_pl"))
-    d = d.join(last, keys + ["_b"], "left")
+    d = _stitched(d, last, keys)
     for i, c in enumerate(cols):
         d = d.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_pl._c{i}")).otherwise(F.col(prefix + c)))
     return d.drop("_b", "_rn", "_pl")
 
 
+def _stitched(d: DataFrame, chunks: DataFrame, keys) -> DataFrame:
+    """``d`` with the columns of its (key, chunk) row of ``chunks``; null keys are keys too."""
+    c = chunks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])], *[x for x in chunks.columns if x not in [*keys, "_b"]])
+    on = None
+    for i, k in enumerate([*keys, "_b"]):
+        same = d[k].eqNullSafe(c[f"_k{i}"])
+        on = same if on is None else on & same
+    return d.join(c, on, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def running_sums(df: DataFrame, keys, at: Column, order, values: dict, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """For each ``name: value``: the sum of ``value`` over all rows of the key up to and including
+    this one, in the order of ``order`` (columns, the first of them ``at`` in microseconds)."""
+    keys, names = list(keys), list(values)
+    d = df.withColumn("_b", F.floor(at / F.lit(int(chunk_seconds) * 1_000_000)).cast("long"))
+    d = d.withColumns({f"_v_{n}": v for n, v in values.items()})
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(w) for n in names})
+    totals = d.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_b", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in names])
+    d = _stitched(d, carried, keys)
+    d = d.withColumns({n: F.col(f"_s_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in names})
+    return d.drop("_b", *[f"{x}{n}" for x in ("_v_", "_s_", "_o_") for n in names])
+
+
 def running_sum(df: DataFrame, keys, ts: str, tiebreak: str, value: Column, out: str,
                 chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """``out`` = sum of ``value`` over all rows of the key up to and including this one."""
-    keys = list(keys)
-    d = df.withColumn("_b", chunk_id(ts, chunk_seconds)).withColumn("_v", value)
-    w = (Window.partitionBy(*keys, "_b").orderBy(ts, tiebreak)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_loc", F.sum("_v").over(w))
-    tot = d.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    w2 = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_b", F.coalesce(F.sum("_t").over(w2), F.lit(0)).alias("_off"))
-    d = d.join(off, keys + ["_b"], "left")
-    return d.withColumn(out, F.col("_loc") + F.col("_off")).drop("_b", "_v", "_loc", "_off")
+    """One running sum in (ts, tiebreak) order (see ``running_sums``)."""
+    return running_sums(df, keys, _micros(ts), [ts, tiebreak], {out: value}, chunk_seconds)
 
 
 def trailing_sums(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, values: dict,
-                  include_lower: bool) -> DataFrame:
+                  include_lower: bool, lifetime: dict | None = None, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """For each ``name: value`` in ``values``: the sum of ``value`` over earlier-or-same rows
     of the key whose ts lies in ``(t - width, t]`` (``include_lower=False``) or
-    ``[t - width, t]`` (True). Rows with the same ts that come later in tie-break order are
-    not counted, so the sum is what a one-at-a-time recorder sees.
-
-    Every row is also copied into the next bucket of width ``width``, so a bucket holds
-    everything its rows can see, and the range frame runs per (key, bucket)."""
-    keys = list(keys)
-    W = int(width_seconds) * 1_000_000
-    base = df.withColumn("_us", _micros(ts))
-    for i, v in enumerate(values.values()):
-        base = base.withColumn(f"_v{i}", v)
-    b = F.floor(F.col("_us") / F.lit(W)).cast("long")
-    tgt = base.withColumn("_b", b).withColumn("_tgt", F.lit(True))
-    halo = base.withColumn("_b", b + 1).withColumn("_tgt", F.lit(False))
-    u = tgt.unionByName(halo)
-    lo = -W if include_lower else -W + 1
-    wr = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(lo, 0)
-    wp = (Window.partitionBy(*keys, "_b", "_us").orderBy(tiebreak)
-          .rowsBetween(1, Window.unboundedFollowing))
-    for i, name in enumerate(values):
-        u = u.withColumn(name, F.sum(f"_v{i}").over(wr) - F.coalesce(F.sum(f"_v{i}").over(wp), F.lit(0)))
-    res = u.filter("_tgt")
-    return res.drop("_us", "_b", "_tgt", *[f"_v{i}" for i in range(len(values))])
+    ``[t - width, t]`` (True); for those of ``lifetime``: over all of them. Rows with the same ts
+    that come later in tie-break order are not counted, so the sum is what a one-at-a-time
+    recorder sees.
+
+    Every row enters at its time and leaves, with its value negated, when the range has passed it: one
+    running sum over twice the rows. Values must be whole numbers (or others whose sums are exact)."""
+    lifetime = lifetime or {}
+    gone_after = int(width_seconds) * 1_000_000 + (1 if include_lower else 0)
+    every = {**values, **lifetime}
+    rows = df.withColumns({"_at": _micros(ts), "_side": F.lit(1), **{f"_in_{n}": v for n, v in every.items()}})
+    out_cols = {"_at": F.col("_at") + F.lit(gone_after), "_side": F.lit(0)}
+    out_cols |= {f"_in_{n}": -F.col(f"_in_{n}") for n in values} | {f"_in_{n}": F.lit(0).cast(rows.schema[f"_in_{n}"].dataType) for n in lifetime}
+    kept = set(keys) | {tiebreak}
+    leaving = rows.select(*[F.col(c) if c in kept else F.lit(None).cast(rows.schema[c].dataType).alias(c)
+                            for c in rows.columns if c not in out_cols], *[c.alias(n) for n, c in out_cols.items()])
+    # what leaves at an instant does so before that instant's rows enter
+    d = running_sums(rows.unionByName(leaving), keys, F.col("_at"), ["_at", "_side", tiebreak],
+                     {n: F.col(f"_in_{n}") for n in every}, chunk_seconds)
+    return d.filter("_side = 1").drop("_at", "_side", *[f"_in_{n}" for n in every])
 
 
 def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: int, value: Column,
@@ -103,6 +118,36 @@ def trailing_count(df: DataFrame, keys, ts: str, tiebreak: str, width_seconds: i
     return trailing_sums(df, keys, ts, tiebreak, width_seconds, {out: value}, include_lower)
 
 
+def two_blocks(df: DataFrame, keys, ts: str, width_seconds: int, here, ahead) -> DataFrame:
+    """Trailing ranges ``(t - width, t]`` without a sliding frame, for series with one row per instant.
+
+    Time is cut into blocks of the width, so a range is a prefix of its own block and a suffix of the
+    block before. ``here(up)`` gives {name: column} for the prefix: ``up`` is the window over the
+    row's own block in time order; its columns are added. ``ahead(down)`` gives {name: column} for
+    suffixes: ``down`` is the window over a block in reverse order, so a column at a row covers the
+    row and all later ones of its block. They are added as struct ``suffix``: their values at the first row inside the
+    range that lies in the block before, null if the range does not reach into it.
+
+    Nothing is subtracted, so sums of doubles keep their precision however long the series is. A
+    task holds one block of one key, in linear time."""
+    keys = list(keys)
+    width = int(width_seconds) * 1_000_000
+    d = df.withColumns({"_us": _micros(ts)}).withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
+    block = Window.partitionBy(*keys, "_b")
+    d = d.withColumns(here(block.orderBy("_us")))
+    d = d.withColumn("_mine", F.struct(*[c.alias(n) for n, c in ahead(block.orderBy(F.col("_us").desc())).items()]))
+    none = F.lit(None).cast(d.schema["_mine"].dataType)
+    rows = d.withColumns({"_side": F.lit(0), "_at": F.col("_us")})
+    # a row of the block before, where it leaves the range: it counts for the rows before that instant
+    before = d.select(*[F.col(c) if c in [*keys, "_mine"] else F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns if c != "_b"],
+                      (F.col("_b") + 1).alias("_b"), F.lit(1).alias("_side"), (F.col("_us") + F.lit(width)).alias("_at"))
+    u = rows.withColumn("_given", none).unionByName(before.withColumnRenamed("_mine", "_given").withColumn("_mine", none))
+    later = (Window.partitionBy(*keys, "_b").orderBy(F.col("_at").desc(), "_side")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("suffix", F.last("_given", ignorenulls=True).over(later)).filter("_side = 0")
+    return u.drop("_us", "_b", "_mine", "_side", "_at", "_given")
+
+
 def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 64,
                     salt_col: str | None = None) -> DataFrame:
     """Newest-n style top-k per group without sending a hot group to one task.
@@ -125,24 +170,6 @@ def top_n_per_group(df: DataFrame, keys, order_cols, n: int, salt_buckets: int =
     return d.drop("_salt", "_r1")
 
 
-def halo_window(df: DataFrame, keys, ts: str, width_seconds: int, build, include_lower: bool = False) -> DataFrame:
-    """Generic trailing range frame ``(t - width, t]`` per key via bucket + halo.
-
-    ``build(w)`` gets the range WindowSpec (ordered by ``_us``, the ts in microseconds) and
-    returns {name: window column}; those columns are kept on the original rows only."""
-    keys = list(keys)
-    W = int(width_seconds) * 1_000_000
-    base = df.withColumn("_us", _micros(ts))
-    b = F.floor(F.col("_us") / F.lit(W)).cast("long")
-    u = (base.withColumn("_b", b).withColumn("_tgt", F.lit(True))
-         .unionByName(base.withColumn("_b", b + 1).withColumn("_tgt", F.lit(False))))
-    lo = -W if include_lower else -W + 1
-    w = Window.partitionBy(*keys, "_b").orderBy("_us").rangeBetween(lo, 0)
-    for name, col in build(w).items():
-        u = u.withColumn(name, col)
-    return u.filter("_tgt").drop("_us", "_b", "_tgt")
-
-
 def asof_last(left: DataFrame, right: DataFrame, keys, ts: str, value: str, out: str,
               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """As-of join: for every left row, ``value`` (any type; a struct carries several fields)

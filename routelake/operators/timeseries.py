@@ -34,14 +34,23 @@ def counter_deltas(samples: DataFrame, series=SERIES) -> DataFrame:
 
 
 def counter_increase(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
-    """increase(m[range]) at each instant: the deltas between samples inside the range."""
+    """increase(m[range]) at each instant: the deltas between samples inside the range, that is
+    all deltas in it but the first sample's."""
     d = counter_deltas(samples, series)
+    zero = F.lit(0.0)
 
-    def build(w):
-        return {"increase": F.coalesce(F.sum("delta").over(w), F.lit(0.0))
-                - F.coalesce(F.first("delta").over(w), F.lit(0.0))}
-    return scan.halo_window(d, list(series), "ts", range_seconds, build).select(
-        "ts", *series, "value", "increase")
+    def here(up):
+        so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {"_all": F.sum("delta").over(so_far), "_after": F.sum("_later").over(so_far)}
+
+    def ahead(down):
+        return {"after": F.sum("delta").over(down.rowsBetween(Window.unboundedPreceding, -1))}
+    # the delta of a block's first sample reaches back before the block
+    width = F.lit(int(range_seconds) * 1_000_000)
+    same_block = F.floor(F.unix_micros("prev_ts") / width) == F.floor(F.unix_micros("ts") / width)
+    d = scan.two_blocks(d.withColumn("_later", F.when(same_block, F.col("delta"))), list(series), "ts", range_seconds, here, ahead)
+    inside = F.when(F.col("suffix").isNotNull(), F.coalesce("suffix.after", zero) + F.coalesce("_all", zero)).otherwise(F.coalesce("_after", zero))
+    return d.select("ts", *series, "value", inside.alias("increase"))
 
 
 def counter_rate(samples: DataFrame, range_seconds: int = 300, series=SERIES) -> DataFrame:
@@ -72,14 +81,22 @@ def counter_compare(samples: DataFrame, offset_seconds: int = 3600, series=SERIE
 
 def avg_over_time(samples: DataFrame, range_seconds: int = 3600, series=SERIES) -> DataFrame:
     """Mean of the series' samples in (t - range, t]."""
-    return scan.halo_window(one_per_instant(samples, series), list(series), "ts", range_seconds,
-                            lambda w: {"avg_over_time": F.sum("value").over(w) / F.count("value").over(w)})
+    def sums(w):
+        f = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {"_sum": F.sum("value").over(f), "_n": F.count("value").over(f)}
+    d = scan.two_blocks(one_per_instant(samples, series), list(series), "ts", range_seconds, sums, sums)
+    total = F.coalesce("_sum", F.lit(0.0)) + F.coalesce("suffix._sum", F.lit(0.0))
+    n = F.col("_n") + F.coalesce("suffix._n", F.lit(0))
+    return d.withColumn("avg_over_time", F.when(n > 0, total / n)).drop("_sum", "_n", "suffix")
 
 
 def gauge_delta(samples: DataFrame, range_seconds: int = 3600, series=("instance", "metric")) -> DataFrame:
     """delta(): newest minus oldest sample in (t - range, t]."""
-    return scan.halo_window(one_per_instant(samples, series), list(series), "ts", range_seconds,
-                            lambda w: {"delta": F.last("value").over(w) - F.first("value").over(w)})
+    d = scan.two_blocks(one_per_instant(samples, series), list(series), "ts", range_seconds,
+                        lambda up: {"_first": F.first("value").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))},
+                        lambda down: {"value": F.col("value")})
+    oldest = F.when(F.col("suffix").isNotNull(), F.col("suffix.value")).otherwise(F.col("_first"))
+    return d.withColumn("delta", F.col("value") - oldest).drop("_first", "suffix")
 
 
 def window_start(ts: str, step_seconds: int):

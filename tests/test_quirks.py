@@ -265,11 +265,16 @@ def test_chunked_asof_halo_and_trailing_match_plain_windows(spark):
     ref = u.withColumn("before", F.last("rv", ignorenulls=True).over(w)).filter("side = 1")
     j = got.select("id", "before").join(ref.select("id", F.col("before").alias("ref")), "id")
     assert j.filter(~F.col("before").eqNullSafe(F.col("ref"))).count() == 0
-    # trailing sums (t - 900 s, t] and a halo window avg vs plain range frames
+    # trailing sums (t - 900 s, t] and a mean from two blocks vs plain range frames
     wr = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-900 * 1_000_000 + 1, 0)
     ref2 = df.select("id", F.sum("v").over(wr).alias("s_ref"), F.avg("v").over(wr).alias("a_ref"))
     ts_ = scan.trailing_sums(df, ["key"], "ts", "id", 900, {"s": F.col("v")}, include_lower=False)
-    hw = scan.halo_window(df, ["key"], "ts", 900, lambda w_: {"a": F.avg("v").over(w_)})
+
+    def sums(w_):
+        f = w_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {"_s": F.sum("v").over(f), "_n": F.count("v").over(f)}
+    hw = scan.two_blocks(df, ["key"], "ts", 900, sums, sums).withColumn(
+        "a", (F.col("_s") + F.coalesce("suffix._s", F.lit(0.0))) / (F.col("_n") + F.coalesce("suffix._n", F.lit(0))))
     j2 = ref2.join(ts_.select("id", "s"), "id").join(hw.select("id", "a"), "id")
     assert j2.filter((F.col("s") != F.col("s_ref")) | (F.abs(F.col("a") - F.col("a_ref")) > 1e-9)).count() == 0
 
