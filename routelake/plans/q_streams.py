@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..functions import expr as X
 from ..operators import audit as A
 from ..session import scratch_path
@@ -95,16 +94,15 @@ def _cache_run(spark, d, invalidate: bool, warm: bool):
     t = Tables(spark, d)
     src = envelope_files(spark, t)
     cache, ck = scratch_path(spark, "cache"), scratch_path(spark, "ckpt-cache")
-    store = H.CacheStore(spark, cache)
     # starting snapshot: the catalog's cache plus stale entries for every route the stream
     # changes (all of them must be invalidated / refilled)
     stale = (t.event_rows.select(X.route_cache_key().alias("route_key")).distinct()
              .select("route_key", F.lit(STALE_URL).alias("url"), F.lit(False).alias("is_negative"),
                      F.lit("2100-01-01 00:00:00").cast("timestamp").alias("expires_at")))
-    store.commit(t.cache_snapshot.unionByName(stale), -1)
+    H.start_cache(t.cache_snapshot.unionByName(stale), cache)
     cat = stream_catalog(t)
     S.run(S.cache_query(S.read_route_stream(spark, src), cache, lambda s: cat, ck, invalidate=invalidate, warm=warm))
-    return store.current()
+    return H.read_cache(spark, cache)
 
 
 @register("stream_cache_invalidation", "SELECT * FROM cache_snapshot")
@@ -158,9 +156,9 @@ def q_stream_event_counters(spark, d):
     t = Tables(spark, d)
     src = envelope_files(spark, t)
     out, ck = scratch_path(spark, "counters"), scratch_path(spark, "ckpt-counters")
-    agg = S.event_counters(S.read_route_stream(spark, src)).select(F.col("w.start").alias("window_start"), "action", "count")
-    S.run(S.upsert_sink_query(agg, out, ck))
-    return S.read_upserts(spark, out, ["window_start", "action"])
+    keys = ["window_start", "action"]
+    S.run(S.counter_query(S.read_route_stream(spark, src), S.event_counters, keys, out, ck))
+    return S.read_counters(spark, out, keys, "window_start timestamp, action string, count long")
 
 
 @register("stream_request_metrics", """SELECT date_trunc('minute', ts) AS window_start, endpoint, count(*) AS requests,
@@ -172,12 +170,11 @@ def q_stream_request_metrics(spark, d):
     t.request_log.write.parquet(path)
     stream = spark.readStream.schema(t.request_log.schema).parquet(path)
     out, ck = scratch_path(spark, "req-metrics"), scratch_path(spark, "ckpt-req")
-    agg = S.request_metrics(stream)
-    S.run(S.upsert_sink_query(agg, out, ck))
-    r = S.read_upserts(spark, out, ["w", "endpoint"])
+    keys = ["window_start", "endpoint"]
+    S.run(S.counter_query(stream, S.request_metrics, keys, out, ck))
+    r = S.read_counters(spark, out, keys, S.request_metrics(t.request_log).schema)
     i25, i1 = [list(S.M.DEFAULT_BUCKETS).index(b) for b in (0.25, 1.0)]
-    return r.select(F.col("w.start").alias("window_start"), "endpoint", "requests",
-                    F.col(f"le_{i25}").alias("le_0_25"), F.col(f"le_{i1}").alias("le_1"))
+    return r.select("window_start", "endpoint", "requests", F.col(f"le_{i25}").alias("le_0_25"), F.col(f"le_{i1}").alias("le_1"))
 
 
 @register("stream_group_isolation", """SELECT 'audit_log' AS consumer, count(*) AS processed FROM event_rows
@@ -210,7 +207,7 @@ def q_peek_events(spark, d):
     """First 5 records from the beginning (batch read of the topic), fields with defaults."""
     t = Tables(spark, d)
     src = envelope_files(spark, t)
-    e = spark.read.schema(schemas.ENVELOPE).parquet(src).orderBy("partition", "offset").limit(5)
+    e = S.peek(spark, 5, path=src)
     def field(f):
         return F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("unknown")).alias(f)
     return e.select(F.col("partition").cast("long").alias("partition"), "offset", field("event_id"), field("action"),

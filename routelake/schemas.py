@@ -37,7 +37,12 @@ CACHE = T.StructType([
     T.StructField("expires_at", T.TimestampType()),
 ])
 
-CACHE_BUCKETED = T.StructType(CACHE.fields + [T.StructField("bucket", T.IntegerType())])
+#: A change of the cache: a new entry, or (``deleted``) none any more.
+CACHE_CHANGE = T.StructType(CACHE.fields + [T.StructField("deleted", T.BooleanType())])
+
+#: Newest event of a route, by (partition, offset).
+KEY_STATE = T.StructType([*ROUTE.fields, T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()),
+                          T.StructField("action", S), T.StructField("url", S), T.StructField("event_id", S)])
 
 L, TS, B = T.LongType(), T.TimestampType(), T.BooleanType()
 TENANTS = T.StructType([T.StructField("id", L), T.StructField("name", S)])

@@ -1,8 +1,9 @@
 """Micro-batch handlers for the change stream (used by ``foreachBatch`` and by batch jobs).
 
 Every handler is idempotent, so a replayed micro-batch (after a failure, before the
-checkpoint commit) leaves the sink unchanged: audit appends anti-join on ``event_id``;
-cache snapshots are written to a folder named by the batch id and overwritten on replay.
+checkpoint commit) leaves the sink unchanged: audit appends look up ``event_id``; changes of the
+cache, of key states and of counters are written under the batch id and overwritten on replay
+(``folds``).
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from ..functions import expr as X
 from ..operators import audit as A
 from ..operators import catalog as C
 from ..sources import lake
+from . import folds, ids
 
 REQUIRED = ["action", *X.ROUTE_COLS]
-#: Folders of the table of stored event ids.
-ID_BUCKETS = 64
 
 
 def parse_envelope(df: DataFrame) -> DataFrame:
@@ -60,83 +60,73 @@ def to_audit_rows(events: DataFrame) -> DataFrame:
     return A.shape_audit_doc(d, processed_at=F.col("timestamp"))
 
 
-def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str) -> DataFrame:
+def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str, batch_id: int | None = None,
+                 compact_every: int | None = folds.BATCHES) -> DataFrame:
     """Append rows whose event_id is not stored yet, whatever their date; of copies inside the
-    batch the first processed one counts. Late events are kept (no watermark, Q22).
-
-    Stored ids are kept in a narrow table beside the audit, ``<path>-ids``, in folders by a hash
-    of the id; a batch reads the folders of its own ids. The ids are written after the rows: a
-    batch that fails in between finds its rows again in the date folders it touches (a replay
-    has the same dates), so it stores no row twice. Rows without id must be rejected before
-    (``parse_envelope`` does)."""
+    batch the first processed one counts. Late events are kept (no watermark, Q22). Returns the new rows.
+
+    Stored ids are kept beside the audit, in ``<path>-ids`` (``ids``): a batch reads the folders that
+    its own ids fall into, so its cost does not follow the history. Its ids are written before its
+    rows and confirmed after them. Only after a failure in between are the stored rows looked at: those
+    of the dates of the ids in question (a replay has the same dates). ``batch_id``: that of the stream, else the
+    next number. One writer at a time. Rows without id must be rejected before (``parse_envelope`` does)."""
+    stored_ids = f"{path.rstrip('/')}-ids"
+    if batch_id is None:
+        batch_id = ids.next_batch(spark, stored_ids)
+    elif ids.is_done(spark, stored_ids, batch_id):
+        return audit_rows.limit(0)
     cols = [c for c in audit_rows.columns if c != "event_id"]
     rows = (audit_rows.filter(X.all_present("event_id")).groupBy("event_id")
             .agg(F.min_by(F.struct(*cols), F.struct("processed_at", "occurred_at", "action")).alias("m")).select("event_id", "m.*"))
-    rows = rows.select(*audit_rows.columns).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(ID_BUCKETS)).cast("int"))
-    rows = lake.cut_lineage(spark, rows, "audit-batch")
-    ids, new = rows.select("event_id", "bucket"), rows
-    if lake.path_exists(spark, f"{path.rstrip('/')}-ids"):
-        known = (spark.read.schema("event_id string, bucket int").parquet(f"{path.rstrip('/')}-ids")
-                 .join(rows.select("bucket").distinct(), "bucket", "left_semi"))
-        ids = ids.join(known, ["bucket", "event_id"], "left_anti")
-        new = new.join(known, ["bucket", "event_id"], "left_anti")
-    if lake.path_exists(spark, path):
-        near = lake.read_audit(spark, path).join(rows.select("event_date").distinct(), "event_date", "left_semi")
-        new = new.join(near.select("event_id"), "event_id", "left_anti")
-    new = new.select(*audit_rows.columns)
-    new.write.mode("append").partitionBy("event_date").parquet(path)
-    ids.write.mode("append").partitionBy("bucket").parquet(f"{path.rstrip('/')}-ids")
-    return new
-
-
-class CacheStore:
-    """Cache snapshot as a table hash-bucketed on ``route_key`` (``<path>/bucket=<b>``).
-
-    A micro-batch reads only the buckets its changed keys fall into (partition pruning),
-    computes their new content, stages it in the shared folder and swaps just those
-    buckets in with dynamic partition overwrite. A batch that changes more keys than there are
-    buckets rewrites the whole cache, so ``buckets`` should exceed the keys of a usual batch; a
-    reader may see a swap half done. Every written bucket carries one marker row (route_key null) so a
-    bucket emptied by invalidation is still replaced. Replays recompute the same buckets
-    from the same inputs (invalidate / warm are idempotent)."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), int(buckets)
-
-    def bucket_of(self, key) -> F.Column:
-        k = F.col(key) if isinstance(key, str) else key
-        return F.pmod(F.xxhash64(k), F.lit(self.buckets)).cast("int")
-
-    def _table(self) -> DataFrame | None:
-        if not lake.path_exists(self.spark, self.path):
-            return None
-        return self.spark.read.schema(schemas.CACHE_BUCKETED).parquet(self.path)
-
-    def current(self) -> DataFrame:
-        t = self._table()
-        if t is None:
-            return self.spark.createDataFrame([], schemas.CACHE)
-        return t.filter(F.col("route_key").isNotNull()).drop("bucket")
-
-    def read_buckets(self, buckets: DataFrame) -> DataFrame:
-        """Entries of the given buckets only (``buckets``: one int column ``bucket``)."""
-        t = self._table()
-        if t is None:
-            return self.spark.createDataFrame([], schemas.CACHE)
-        return (t.join(buckets, "bucket", "left_semi")
-                .filter(F.col("route_key").isNotNull()).drop("bucket"))
-
-    def replace_buckets(self, rows: DataFrame, buckets: DataFrame, batch_id: int) -> None:
-        marker = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CACHE.fields], "bucket")
-        out = rows.withColumn("bucket", self.bucket_of("route_key")).unionByName(marker)
-        staged = lake.cut_lineage(self.spark, out, f"cache-stage-{int(batch_id)}")  # never read and overwrite one path
-        (staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(self.path))
-
-    def commit(self, df: DataFrame, batch_id: int) -> None:
-        """Write a whole snapshot (the starting state)."""
-        all_buckets = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket"))
-        self.replace_buckets(df, all_buckets, batch_id)
+    rows = lake.cut_lineage(spark, rows.select(*audit_rows.columns), "audit-batch")
+    started, done = f"{stored_ids}/started", f"{stored_ids}/done"
+    failed = ids.unsure(spark, stored_ids)
+    again = None                                        # what an earlier attempt at this batch has stored
+    if not failed.isEmpty():
+        stored = failed.select("batch", "event_id")
+        if lake.path_exists(spark, path):
+            near = lake.read_audit(spark, path).join(failed.select("event_date").distinct(), "event_date", "left_semi")
+            stored = stored.join(near.select("event_id"), "event_id", "left_semi")
+        else:
+            stored = stored.limit(0)
+        stored = lake.cut_lineage(spark, stored, "audit-stored")
+        for b in [r[0] for r in failed.select("batch").distinct().collect()]:    # batch numbers
+            if b != batch_id:
+                folds.append(stored.filter(F.col("batch") == b).select("event_id"), done, b)
+        again = stored.filter(F.col("batch") == batch_id)
+    new = rows.join(ids.known(spark, stored_ids, rows), "event_id", "left_anti")
+    folds.append(new.select("event_id", "event_date"), started, batch_id)
+    missing = new if again is None else new.join(again, "event_id", "left_anti")
+    missing = missing.select(*audit_rows.columns)
+    missing.write.mode("append").partitionBy("event_date").parquet(path)
+    folds.append(spark.read.schema(ids.STARTED).parquet(folds.batch_folder(started, batch_id)).select("event_id"), done, batch_id)
+    if folds.due(batch_id, compact_every):
+        ids.compact(spark, stored_ids, batch_id)
+    return missing
+
+
+# ------------------------------------------------------------------ cache
+def start_cache(cache: DataFrame, path: str) -> None:
+    """The first snapshot of a cache that a stream keeps up to date."""
+    folds.start(cache.select(*schemas.CACHE.fieldNames()).withColumn("deleted", F.lit(False)), path)
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    return folds.last_per_key(rows, ["route_key"]).filter(~F.col("deleted"))
+
+
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """The cache's entries, or those of ``keys`` (route_key): the newest change of a key counts."""
+    rows = folds.read(spark, path, schemas.CACHE_CHANGE)
+    if keys is not None:
+        rows = rows.join(keys, "route_key", "left_semi")
+    return _live(rows).select(*schemas.CACHE.fieldNames())
+
+
+def compact_cache(spark: SparkSession, path: str, upto: int) -> None:
+    """Folds the changes up to a batch into a snapshot, clustered by key; removed entries go."""
+    folds.compact(spark, path, schemas.CACHE_CHANGE, lambda rows: _live(rows).drop("batch").select(*schemas.CACHE_CHANGE.fieldNames())
+                  .repartitionByRange("route_key").sortWithinPartitions("route_key"), upto)
 
 
 def changed_keys(valid: DataFrame) -> DataFrame:
@@ -147,20 +137,30 @@ def invalidate(cache: DataFrame, valid: DataFrame) -> DataFrame:
     return C.invalidate_cache(cache, changed_keys(valid))
 
 
-def warm(cache: DataFrame, valid: DataFrame, routes: DataFrame, only_missing: bool = False) -> DataFrame:
-    """Re-resolve every changed key against the catalog; the entry's clock is the key's
-    newest event time in the batch (repeatable), TTL 60 s / 10 s (Q20). ``only_missing``
-    keeps a still-valid cached entry as it is, as the reference's read path does."""
+def removed(valid: DataFrame) -> DataFrame:
+    """Change rows that take every changed key out of the cache."""
+    keys = changed_keys(valid).select(X.route_cache_key().alias("route_key")).distinct()
+    return keys.select("route_key", *[F.lit(None).cast(schemas.CACHE[c].dataType).alias(c) for c in schemas.CACHE.fieldNames()[1:]],
+                       F.lit(True).alias("deleted"))
+
+
+def refilled(valid: DataFrame, routes: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Every changed key resolved again against the catalog; the entry's clock is the key's
+    newest event time in the batch (repeatable), TTL 60 s / 10 s (Q20). ``live``: entries that stay
+    as they are while they are valid, as on the reference's read path."""
     k = changed_keys(valid).groupBy(*X.ROUTE_COLS).agg(F.max("timestamp").alias("as_of"))
-    if only_missing:
-        live = cache.select("route_key", "expires_at")
-        k = (k.withColumn("route_key", X.route_cache_key()).join(live, "route_key", "left")
+    if live is not None:
+        k = (k.withColumn("route_key", X.route_cache_key()).join(live.select("route_key", "expires_at"), "route_key", "left")
              .filter(F.col("expires_at").isNull() | (F.col("expires_at") <= F.col("as_of")))
              .drop("route_key", "expires_at"))
-    act = C.active_routes(routes)
-    j = k.join(act, list(X.ROUTE_COLS), "left")
+    j = k.join(C.active_routes(routes), list(X.ROUTE_COLS), "left")
     found = F.col("url").isNotNull()
-    rows = j.select(X.route_cache_key().alias("route_key"), "url", (~found).alias("is_negative"),
+    return j.select(X.route_cache_key().alias("route_key"), "url", (~found).alias("is_negative"),
                     F.when(found, X.ts_plus_seconds(F.col("as_of"), X.POSITIVE_TTL_SECONDS))
                     .otherwise(X.ts_plus_seconds(F.col("as_of"), X.NEGATIVE_TTL_SECONDS)).alias("expires_at"))
+
+
+def warm(cache: DataFrame, valid: DataFrame, routes: DataFrame, only_missing: bool = False) -> DataFrame:
+    """The whole cache with every changed key refilled (see ``refilled``)."""
+    rows = refilled(valid, routes, cache if only_missing else None)
     return cache.join(rows.select("route_key"), "route_key", "left_anti").unionByName(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from routelake import schemas
 from routelake.session import scratch_path
 from routelake.sources import lake
+from routelake.streaming import folds, ids
 from routelake.streaming import handlers as H
 from routelake.streaming import streams as S
 
@@ -55,29 +56,36 @@ def test_audit_stream_exactly_once_across_restarts(spark):
 
 def test_cache_invalidate_then_warm(spark):
     src, cache_path, ck = (scratch_path(spark, n) for n in ("src", "cache", "ck"))
-    store = H.CacheStore(spark, cache_path)
     start = spark.createDataFrame(
         [("route:t:s:e:v1", "http://stale", False, T0 + dt.timedelta(days=1)),
          ("route:t:s:e:v9", "http://other", False, T0 + dt.timedelta(days=1))], schemas.CACHE)
-    store.commit(start, -1)
+    H.start_cache(start, cache_path)
     write_batch(spark, src, [env_row("1", "created", 0, 0, 1), env_row("2", "deactivated", 30, 0, 2, route=("t", "s", "e", "v2"))])
     routes = spark.createDataFrame([("t", "s", "e", "v1", "http://fresh", True), ("t", "s", "e", "v2", "http://x", False)],
                                    "tenant string, service string, env string, version string, url string, is_active boolean")
     S.run(S.cache_query(S.read_route_stream(spark, src), cache_path, lambda s: routes, ck))
-    got = {r.route_key: (r.url, r.is_negative, r.expires_at) for r in store.current().collect()}
+    got = {r.route_key: (r.url, r.is_negative, r.expires_at) for r in H.read_cache(spark, cache_path).collect()}
     assert got["route:t:s:e:v9"][0] == "http://other"                       # untouched
     assert got["route:t:s:e:v1"] == ("http://fresh", False, T0 + dt.timedelta(seconds=61))
     assert got["route:t:s:e:v2"] == (None, True, T0 + dt.timedelta(seconds=41))  # negative, 10 s TTL
 
 
+def _files(df):
+    """The files that rows come from (those of pruned folders are listed, but not read)."""
+    return {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+COUNTS = "window_start timestamp, action string, count long"
+
+
 def test_event_counters_match_batch(spark):
     src, out, ck = (scratch_path(spark, n) for n in ("src", "cnt", "ck"))
     rows = [env_row(str(i), ["created", "activated"][i % 2], i * 17, i % 2, i) for i in range(40)]
     write_batch(spark, src, rows[:25])
     write_batch(spark, src, rows[25:])
-    agg = S.event_counters(S.read_route_stream(spark, src, max_files_per_trigger=1))
-    S.run(S.upsert_sink_query(agg.select(F.col("w.start").alias("ws"), "action", "count"), out, ck))
-    got = {(r.ws, r.action): r["count"] for r in S.read_upserts(spark, out, ["ws", "action"]).collect()}
+    keys = ["window_start", "action"]
+    S.run(S.counter_query(S.read_route_stream(spark, src, max_files_per_trigger=1), S.event_counters, keys, out, ck))
+    got = {(r.window_start, r.action): r["count"] for r in S.read_counters(spark, out, keys, COUNTS).collect()}
     want = {}
     for i in range(40):
         t = T0 + dt.timedelta(seconds=i * 17)
@@ -86,26 +94,150 @@ def test_event_counters_match_batch(spark):
     assert got == want
 
 
-def test_cache_batch_rewrites_only_touched_buckets(spark):
-    import glob
-    import os
-    src, cache_path, ck = (scratch_path(spark, n) for n in ("src", "cache", "ck"))
-    store = H.CacheStore(spark, cache_path, buckets=16)
-    keys = [f"route:t:s:e:v{i}" for i in range(200)]
-    store.commit(spark.createDataFrame([(k, "http://x", False, T0) for k in keys], schemas.CACHE), -1)
+def test_late_requests_count_and_replays_count_once(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("req", "cnt", "ck"))
+    schema = "ts timestamp, endpoint string, elapsed_ms double"
+    keys = ["window_start", "endpoint"]
+    partial = S.request_metrics(spark.createDataFrame([], schema)).schema
+    total = {}
+    for i, minutes in enumerate((0, 10, -180, 0, -181, 10)):                  # three hours late among them
+        ts = T0 + dt.timedelta(minutes=minutes)
+        batch = spark.createDataFrame([(ts, "r", 5.0), (ts, "r", 700.0)], schema)
+        batch.coalesce(1).write.mode("append").parquet(src)
+        S.run(S.counter_query(spark.readStream.schema(schema).parquet(src), S.request_metrics, keys, out, ck, compact_every=2))
+        folds.append(S.request_metrics(batch), out, i)                         # the same micro-batch again
+        total[ts] = total.get(ts, 0) + 2
+        got = {r.window_start: r for r in S.read_counters(spark, out, keys, partial).collect()}
+        assert {t: r.requests for t, r in got.items()} == total
+    le = list(S.M.DEFAULT_BUCKETS).index(0.25)
+    assert all(r[f"le_{le}"] * 2 == r.requests for r in got.values())
 
-    def snapshot():
-        return {d: sorted(os.listdir(d)) for d in glob.glob(f"{cache_path}/bucket=*")}
-    before = snapshot()
-    write_batch(spark, src, [env_row("1", "created", 0, 0, 1, route=("t", "s", "e", "v7"))])
+
+def test_cache_batch_appends_its_keys_and_compaction_shows_one_version(spark):
+    cache_path = scratch_path(spark, "cache")
+    keys = [f"route:t:s:e:v{i}" for i in range(200)]
+    H.start_cache(spark.createDataFrame([(k, "http://x", False, T0) for k in keys], schemas.CACHE), cache_path)
     routes = spark.createDataFrame([("t", "s", "e", "v7", "http://new", True)],
                                    "tenant string, service string, env string, version string, url string, is_active boolean")
-    S.run(S.cache_query(S.read_route_stream(spark, src), cache_path, lambda s: routes, ck))
-    after = snapshot()
-    changed = [d for d in before if before[d] != after.get(d)]
-    assert len(changed) == 1
-    cur = {r.route_key: r.url for r in store.current().collect()}
-    assert len(cur) == 200 and cur["route:t:s:e:v7"] == "http://new" and cur["route:t:s:e:v8"] == "http://x"
+    refill = S.cache_batch_handler(cache_path, lambda s: routes, compact_every=None)
+    remove = S.cache_batch_handler(cache_path, lambda s: routes, warm=False, compact_every=None)
+    rows = [env_row("1", "created", 0, 0, 1, route=("t", "s", "e", "v7")), env_row("2", "created", 9, 0, 2, route=("t", "s", "e", "v7"))]
+    for batch_id, handle, some in ((0, refill, rows), (1, remove, [env_row("3", "deactivated", 20, 0, 3, route=("t", "s", "e", "v8"))])):
+        batch = spark.createDataFrame(some, schemas.ENVELOPE)
+        handle(batch, batch_id)
+        handle(batch, batch_id)                                                # replayed
+        assert spark.read.parquet(folds.batch_folder(cache_path, batch_id)).count() == 1
+
+    def content(df):
+        return {r.route_key: r.url for r in df.collect()}
+    want = {k: "http://x" for k in keys if k != "route:t:s:e:v8"} | {"route:t:s:e:v7": "http://new"}
+    reader = H.read_cache(spark, cache_path)                                   # planned before the compaction, run after it
+    H.compact_cache(spark, cache_path, 1)
+    assert content(reader) == want and content(H.read_cache(spark, cache_path)) == want
+    folded = f"{cache_path}/{folds.newest(spark, cache_path).base}/"
+    assert all(folded in f for f in _files(folds.read(spark, cache_path, schemas.CACHE_CHANGE)))
+    remove(spark.createDataFrame([env_row("3", "deactivated", 20, 0, 3, route=("t", "s", "e", "v9"))], schemas.ENVELOPE), 1)
+    assert content(H.read_cache(spark, cache_path)) == want                    # a batch that is folded already adds nothing
+    refill(spark.createDataFrame([env_row("4", "created", 50, 0, 4, route=("t", "s", "e", "v8"))], schemas.ENVELOPE), 2)
+    assert content(H.read_cache(spark, cache_path)) == want | {"route:t:s:e:v8": None}
+    some = spark.createDataFrame([("route:t:s:e:v8",), ("route:t:s:e:v3",)], "route_key string")
+    assert content(H.read_cache(spark, cache_path, some)) == {"route:t:s:e:v8": None, "route:t:s:e:v3": "http://x"}
+
+
+def test_unpublished_compaction_is_not_seen(spark):
+    path = scratch_path(spark, "fold")
+    for b in range(3):
+        folds.append(spark.createDataFrame([("a", b), ("b", 1)], "k string, n long"), path, b)
+
+    def fold(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+    folds.write_base(spark.createDataFrame([("a", 99)], "k string, n long"), path)   # an attempt that died before it was published
+    assert sorted(map(tuple, fold(folds.read(spark, path, "k string, n long")).collect())) == [("a", 3), ("b", 3)]
+    folds.compact(spark, path, "k string, n long", fold, 1)
+    assert sorted(map(tuple, folds.read(spark, path, "k string, n long").collect())) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 2), ("b", 2, 1)]
+
+
+def test_key_state_files_do_not_grow_with_batches(spark):
+    src, state, ck = (scratch_path(spark, n) for n in ("src", "state", "ck"))
+    for i in range(9):
+        write_batch(spark, src, [env_row(str(i), "created", i, 0, 10 - i if i == 8 else 10 + i, route=("t", "s", "e", f"v{i % 2}"))])
+    S.run(S.key_order_query(S.read_route_stream(spark, src, max_files_per_trigger=1), state, ck, compact_every=3))
+    got = {r.version: r.event_id for r in S.read_key_state(spark, state).collect()}
+    assert got == {"v0": "6", "v1": "7"}                                       # event 8 has an older offset
+    assert len(_files(folds.read(spark, state, schemas.KEY_STATE))) == 1       # all batches are folded
+
+
+def _bytes(df):
+    import os
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in _files(df))
+
+
+def test_id_lookup_does_not_grow_with_the_history(spark):
+    wanted = spark.createDataFrame([("id-3",), ("id-77",), ("new",)], "event_id string")
+    read = []
+    for history in (4_000, 40_000):
+        path = scratch_path(spark, "ids")
+        for b, (lo, hi) in enumerate(((0, history // 2), (history // 2, history))):
+            folds.append(spark.range(lo, hi).select(F.concat(F.lit("id-"), F.col("id").cast("string")).alias("event_id")), f"{path}/done", b)
+            ids.compact(spark, path, b, ids_per_folder=250)
+        found = ids.known(spark, path, wanted)
+        assert sorted(r[0] for r in found.join(wanted, "event_id", "left_semi").collect()) == ["id-3", "id-77"]
+        assert spark.read.parquet(f"{path}/done/{folds.newest(spark, f'{path}/done').base}").filter("event_id IS NOT NULL").count() == history
+        read.append(_bytes(found))
+    assert read[1] < 2 * read[0]
+
+
+def test_audit_append_after_failures(spark, monkeypatch):
+    """Attempts that die after their rows, or before them, leave every id stored exactly once."""
+    path = scratch_path(spark, "audit")
+
+    def rows(*eids, day=0):
+        batch = spark.createDataFrame([env_row(e, "created", day * 86400, 0, 1) for e in eids], schemas.ENVELOPE)
+        return H.to_audit_rows(H.split_valid(H.parse_envelope(batch))[0])
+
+    def stored():
+        return sorted(r.event_id for r in lake.read_audit(spark, path).collect())
+    H.append_audit(spark, rows("1", "2"), path, 0)
+    keep, lost = folds.append, {1, 2}
+
+    def lossy(df, p, b):
+        if p.endswith("/done") and b in lost:
+            lost.discard(b)
+            raise OSError("lost")
+        keep(df, p, b)
+    monkeypatch.setattr(folds, "append", lossy)
+    for call in ((rows("3", "2"), path, 1), (rows("4"), path)):                # a batch of a stream, and a single call
+        try:
+            H.append_audit(spark, *call)
+        except OSError:
+            pass
+    assert not lost
+    assert stored() == ["1", "2", "3", "4"]
+    H.append_audit(spark, rows("3", "2"), path, 1)                             # the replay
+    assert stored() == ["1", "2", "3", "4"]
+    H.append_audit(spark, rows("4", "3", "5", day=30), path, 3, compact_every=4)   # known ids with another date; then folded
+    H.append_audit(spark, rows("1", "4", "5", "6", day=60), path, 4)
+    assert stored() == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_published_offsets_follow_the_events(spark):
+    topic = scratch_path(spark, "topic")
+    sent = [env_row(f"{i:03}", "created", (i * 37) % 100, 0, 0, route=("t", "s", "e", f"v{i % 5}"))[:2] for i in range(100)]
+    for part in (sent[:60], sent[60:], sent[:0]):
+        S.publish_route_events(spark.createDataFrame(part, "key string, value string").repartition(7), path=topic, partitions=3)
+    rows = spark.read.schema(schemas.ENVELOPE).parquet(topic).collect()
+    assert len(rows) == 100
+    for p in {r.partition for r in rows}:
+        offsets = sorted(r.offset for r in rows if r.partition == p)
+        assert offsets == list(range(len(offsets)))                             # gapless
+    first = {v for _, v in sent[:60]}
+    for key in {k for k, _ in sent}:
+        mine = sorted((r for r in rows if r.key == key), key=lambda r: r.offset)
+        assert len({r.partition for r in mine}) == 1
+        for call in (True, False):
+            times = [json.loads(r.value)["occurred_at"] for r in mine if (r.value in first) == call]
+            assert times == sorted(times)
+    assert [r.offset for r in S.peek(spark, 3, path=topic).collect()] == [0, 1, 2]
 
 
 def test_audit_batch_replay_is_idempotent(spark):
