@@ -12,9 +12,11 @@ instead of log probabilities get Zipf scores, -log(rank + 1), from the rank orde
 
 A marker that stands in a text itself is encoded as bytes, so decode(encode(text)) is the text
 for every text. Since no piece holds a marker after another character (checked when the file
-is read), the search runs per chunk between such places, and a worker remembers chunks.
+is read), the search runs per chunk between such places, and a worker remembers chunks. The
+chunks of a batch of texts that it does not know are searched together: the walk through the
+trie and the update of the best scores take one position of all chunks at a time.
 
-Defined cases: null text has null ids and decodes to null; the empty text has no ids; an empty
+Defined cases: rows with a null or repeated id are encoded like others; null text has null ids and decodes to null; the empty text has no ids; an empty
 table gives an empty result; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -24,6 +26,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,11 @@ UNKNOWN_PENALTY = 10.0
 #: Chunks, and their bytes, whose ids a worker remembers before it starts afresh.
 MEMO_CHUNKS = 250_000
 MEMO_CHUNK_BYTES = 64
+#: Chunks of up to so many bytes are searched together, from this number on (else one by one).
+WIDTHS = (12, 24, 48, 96)
+TOGETHER = 400
+#: Most chunks searched together (bounds the arrays).
+MOST_TOGETHER = 20_000
 #: Stands for a marker that is part of a text: no valid UTF-8 byte, so no piece has it.
 OWN_MARKER = b"\xff"
 _NEVER = -1 << 62
@@ -116,6 +124,9 @@ class Unigram:
         self.raw = [p.encode().replace(MARKER.encode(), b" ") for p in pieces]
         for b, i in enumerate(byte_ids):
             self.raw[i] = bytes([b])
+        self._arrays = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
+        self._scores = np.array([_NEVER if x is None else x for x in self.scores], np.int64)
+        self._byte_ids = np.array(byte_ids, np.int32)
 
     def best(self, chunk: bytes) -> list[int]:
         """Ids of the best segmentation of a chunk (Viterbi over character boundaries); its spaces are markers."""
@@ -160,6 +171,79 @@ class Unigram:
         out.reverse()
         return out
 
+    def best_of_all(self, chunks: list[bytes]) -> list[bytes]:
+        """``best`` of every chunk, as 32-bit ids in bytes."""
+        out: list = [None] * len(chunks)
+        data = [c.replace(b" ", MARKER.encode()) for c in chunks]
+        by_width: dict[int, list[int]] = {}
+        for i, c in enumerate(data):
+            width = 0 if OWN_MARKER in c else next((w for w in WIDTHS if len(c) <= w), 0)
+            by_width.setdefault(width, []).append(i)
+        for width, some in by_width.items():
+            for at in range(0, len(some), MOST_TOGETHER):
+                part = some[at:at + MOST_TOGETHER]
+                if width and len(part) >= TOGETHER:
+                    found = self._together([data[i] for i in part], width)
+                else:
+                    found = [np.array(self.best(chunks[i]), np.int32).tobytes() for i in part]
+                for i, ids in zip(part, found, strict=True):
+                    out[i] = ids
+        return out
+
+    def _together(self, chunks: list[bytes], width: int) -> list[bytes]:
+        """The Viterbi search of ``best`` over the columns of a matrix; markers are in place, no chunk holds one of its own."""
+        (base, check, value), scores, count = self._arrays, self._scores, len(chunks)
+        text = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in chunks), np.uint8).reshape(count, width).T.copy()
+        n = np.fromiter(map(len, chunks), np.int64, count)
+        top = np.full((width + 1, count), _NEVER, np.int64)
+        back, by = np.zeros((width + 1, count), np.int64), np.full((width + 1, count), -1, np.int32)
+        top[0] = 0
+
+        def offer(end, who, score, start, piece):
+            better = score > top[end, who]
+            end, who = (end if np.isscalar(end) else end[better]), who[better]
+            top[end, who], back[end, who] = score[better], start
+            by[end, who] = piece if np.isscalar(piece) else piece[better]
+
+        for at in range(width):
+            begun = np.flatnonzero((top[at] > _NEVER) & (n > at))
+            if not len(begun):
+                continue
+            lead = text[at, begun]
+            size = 1 + (lead >= 0xC0) + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+            here, single = top[at, begun], np.zeros(len(begun), bool)
+            who, slot, state, end = begun, np.arange(len(begun)), np.zeros(len(begun), np.int64), at
+            while len(who):
+                after = base[state] + text[end, who].astype(np.int64) + 1
+                ok = check[after] == state
+                who, slot, state = who[ok], slot[ok], after[ok]
+                end += 1
+                piece = value[state]
+                hit = piece >= 0
+                if hit.any():
+                    offer(end, who[hit], here[slot[hit]] + scores[piece[hit]], at, piece[hit])
+                    single[slot[hit & (size[slot] == end - at)]] = True
+                on = n[who] > end
+                who, slot, state = who[on], slot[on], state[on]
+            lone = ~single
+            if lone.any():
+                offer(at + size[lone], begun[lone], here[lone] + self.unknown, at, -1)
+        # ids stand at the place where their piece (or byte) ends, so they are in order
+        ids = np.full((count, width + 1), -1, np.int32)
+        who, end = np.flatnonzero(n), n[n > 0]
+        while len(who):
+            piece, start = by[end, who], back[end, who]
+            known = piece >= 0
+            ids[who[known], end[known]] = piece[known]
+            w, s, e = who[~known], start[~known], end[~known]
+            for k in range(4):
+                inside = s + k < e
+                ids[w[inside], s[inside] + k + 1] = self._byte_ids[text[s[inside] + k, w[inside]]]
+            who, end = who[start > 0], start[start > 0]
+        taken = ids >= 0
+        data, ends = ids[taken].tobytes(), (np.cumsum(taken.sum(axis=1)) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def chunks(self, text: str) -> list[bytes]:
         data = (b" " + text.encode()).replace(MARKER.encode(), OWN_MARKER)
         return re.findall(rb" +[^ \n]*|\n+[^ \n]*|[^ \n]+", data) if self.split_at_marker else [data]
@@ -189,25 +273,45 @@ def read_model(model: bytes) -> Unigram:
     return Unigram(pieces, scores, byte_ids)
 
 
-class _Memo(dict):
+class _Memo:
     """Ids of chunks seen by this worker, in two generations: when the younger one is full it
     becomes the older one, and a chunk that is met again moves to the younger one."""
 
     def __init__(self, unigram: Unigram):
-        super().__init__()
         self.unigram = unigram
-        self.older: dict[bytes, list[int]] = {}
+        self.younger: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids_of(self, texts: list) -> list:
+        """Per text its ids as 32-bit numbers in bytes; None for None."""
+        split = [self.unigram.chunks(t) if t else [] for t in texts]
+        known = self.younger
+        wanted = set().union(*split) - known.keys()
+        older = self.older
+        met = {c: older[c] for c in wanted if c in older}
+        known.update(met)
+        new = [c for c in wanted if c not in met]
+        long = {}
+        for c, ids in zip(new, self.unigram.best_of_all(new), strict=True):
+            if len(c) <= MEMO_CHUNK_BYTES:
+                known[c] = ids
+            else:
+                long[c] = ids
+        get = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
+        out = [None if t is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        if len(known) > MEMO_CHUNKS:
+            self.older, self.younger = known, {}
+        return out
+
 
-    def __missing__(self, chunk: bytes) -> list[int]:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.unigram.best(chunk)
-        if len(chunk) <= MEMO_CHUNK_BYTES:
-            if len(self) >= MEMO_CHUNKS:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+def _lists(ids: list):
+    """An Arrow list array of the ids in bytes; None is null."""
+    import pyarrow as pa
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([0 if x is None else len(x) // 4 for x in ids], out=ends[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(x for x in ids if x))])
+    nulls = pa.array([x is None for x in ids], pa.bool_()) if None in ids else None
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=nulls)
 
 
 @lru_cache(maxsize=2)
@@ -225,18 +329,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     def run(batches):
         import pyarrow as pa
         memo = _model(content.value)
-        unigram, get = memo.unigram, memo.__getitem__
         for part in slices(batches):
-            out = []
-            for text in part.column(1).to_pylist():
-                if text is None:
-                    out.append(None)
-                    continue
-                ids: list[int] = []
-                for found in map(get, unigram.chunks(text) if text else ()):
-                    ids += found
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(memo.ids_of(part.column(1).to_pylist()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 
@@ -261,14 +355,15 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
     """Encoding and decoding in one pass: doc_id, ids, and the text decoded from the ids."""
     spark = docs.sparkSession
     python_ready(spark)
-    coded = encode(docs, vocabulary, id_col, text_col)
     content = spark.sparkContext.broadcast(read_file(vocabulary))
 
     def run(batches):
         import pyarrow as pa
-        unigram = _model(content.value).unigram
+        memo = _model(content.value)
         for part in slices(batches):
-            text = [None if ids is None else unigram.decode(ids) for ids in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
+            ids = memo.ids_of(part.column(1).to_pylist())
+            text = [None if x is None else memo.unigram.decode(memoryview(x).cast("i")) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
-    return coded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
