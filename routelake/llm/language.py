@@ -11,7 +11,9 @@ another one stays alone. All machines are L2-regularised squared-hinge machines,
 dual coordinate descent on the driver.
 
 Training rows: at most ``SAMPLE_ROWS`` labelled rows of every language, those with the
-smallest hash of (id, text) among a cut by hash; that sample is the documented bound of what reaches the driver.
+smallest hash of (id, text), of at most ``MAX_LANGUAGES`` languages, the most frequent labels (ties:
+the smaller label); that sample is the documented bound of what reaches the driver. Every task
+forwards so many hashes of a language at most, so no language's rows meet anywhere.
 Prediction uses the text alone.
 
 Score: probability of the family (softmax of its margins) times the smallest logistic margin
@@ -42,6 +44,7 @@ from .util import python_ready, slices
 
 BUCKETS = 4096
 SAMPLE_ROWS = 500
+MAX_LANGUAGES = 256
 #: Training: passes over the sample, cost of a margin violation, scale of margins in scores.
 PASSES, COST, SHARPNESS = 12, 4.0, 4.0
 UNKNOWN = "und"
@@ -195,13 +198,25 @@ def train(docs: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_
     use = F.lit(True) if use is None else use
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    labels = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    learned = [r["lang"] for r in labels]
+
+    def smallest(batches):
+        import pyarrow as pa
+        kept: dict[str, set] = {}
+        for part in batches:
+            for lang, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                mine = kept.setdefault(lang, set())
+                mine.add(key)
+                if len(mine) >= 2 * sample_rows:
+                    kept[lang] = set(sorted(mine)[:sample_rows])
+        out = [(lang, key) for lang, mine in kept.items() for key in sorted(mine)[:sample_rows]]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["lang", "key"])
+
     best = Window.partitionBy("lang").orderBy("key")
-    # keys are hashes, so about four times the sample passes a cut by their number, however many rows there are
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    low = F.pmod("key", F.lit(1 << 40)) < F.lit(float(1 << 42) * sample_rows) / F.col("n")
-    keys = (rows.select("lang", "key").join(sizes, "lang").filter(low).select("lang", "key").distinct().withColumn("place", F.row_number().over(best))
-            .filter(F.col("place") <= sample_rows).select("lang", "key"))
-    # languages * sample_rows keys at most
+    keys = (rows.filter(F.col("lang").isin(learned)).select("lang", "key").mapInArrow(smallest, "lang string, key long").distinct()
+            .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= sample_rows).select("lang", "key"))
+    # MAX_LANGUAGES * sample_rows keys at most
     sample = rows.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def run(batches):
