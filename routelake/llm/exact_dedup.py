@@ -37,19 +37,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 normalise=normalised) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("body"))
+    sizes = docs.select(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    return _sorted_runs(rows, rows.select("doc_id", "body"), F.col("body"), sizes, hot_bytes).select(*RESULT)
+
+
+#: Columns of ``exact_dedup``.
+RESULT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+def _sorted_runs(rows: DataFrame, carried: DataFrame, body: Column, sizes: DataFrame, hot_bytes: int) -> DataFrame:
+    """The result columns beside those of ``carried``, which go through the one range shuffle. ``rows``: (doc_id, body) of
+    every row; ``body``: the normalised text from the carried columns."""
     rows = rows.withColumn("print", F.xxhash64("body"))
-    limit = _hot_limit(docs.select(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n")), hot_bytes)
+    limit = _hot_limit(sizes, hot_bytes)
     hot = (rows.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("body") + F.lit(16).cast("long")).alias("bytes"))
            .filter((F.col("copies") > 1) & (F.col("bytes") > limit))
            .select("print", F.ceil(F.col("bytes") / F.lit(limit)).cast("int").alias("runs")))
-    salted = (rows.join(F.broadcast(hot), "print", "left")
+    salted = (carried.withColumn("print", F.xxhash64(body)).withColumn("lead", F.substring(body, 1, LEADING))
+              .join(F.broadcast(hot), "print", "left")
               .withColumn("salt", F.when(F.col("runs") > 1, F.pmod(F.xxhash64("doc_id"), F.col("runs").cast("long"))).otherwise(F.lit(0).cast("long")).cast("int"))
-              .withColumn("lead", F.substring("body", 1, LEADING))
               .drop("runs"))
-    ranged = salted.repartitionByRange("lead", "print", "salt")
-    run = Window.partitionBy("lead", "print", "salt", "body")
+    ranged = salted.repartitionByRange("lead", "print", "salt").withColumn("_body", body)
+    run = Window.partitionBy("lead", "print", "salt", "_body")
     runs = ranged.select(
-        "doc_id", F.sha2("body", 256).alias("text_sha256"),
+        *carried.columns, F.sha2("_body", 256).alias("text_sha256"),
         F.min("doc_id").over(run).alias("run_keep"), F.count(F.lit(1)).over(run).alias("run_size"),
         F.row_number().over(run.orderBy(F.col("doc_id").asc_nulls_last())).alias("place"))
     whole = (rows.join(F.broadcast(hot), "print", "left_semi")
@@ -58,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = runs.join(F.broadcast(whole), "text_sha256", "left")
     is_hot = F.col("hot_size").isNotNull()
     keep: Column = F.when(is_hot, F.col("hot_keep")).otherwise(F.col("run_keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("hot_size", "run_size").alias("group_size"),
+    return out.select(*carried.columns, keep.alias("keep_id"), F.coalesce("hot_size", "run_size").alias("group_size"),
                       ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep)).alias("kept"),
                       "text_sha256")
 
@@ -68,12 +79,12 @@ def _hot_limit(sizes: DataFrame, hot_bytes: int) -> int:
     return max(hot_bytes, total // MAX_HOT)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows with equal id and text, one."""
-    def key(id_, digest):
-        return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("-")), digest)
-
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("stays"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)).alias("stays"))
-    return rows.join(stay, "stays", "left_semi").dropDuplicates(["stays"]).select("row.*")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """The rows that stay, with all their columns; of rows with equal id and text, one. The rows go through the range
+    shuffle as they are (their text once) and stay or go where they are compared."""
+    text = normalised(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body"))
+    carried = docs.select(F.col(id_col).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    sizes = docs.select(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    found = _sorted_runs(rows, carried, normalised(F.col("row").getField(text_col)), sizes, hot_bytes)
+    return found.filter("kept").select("row.*")
