@@ -4,10 +4,12 @@ Documents are sets of word shingles. Each carries minwise tokens: for every coor
 shingle with the smallest hash. A tree starts with all documents and branches a node by a few
 chosen coordinates: documents that share the chosen token go to the same child, so a pair of
 similarity s stays together with probability s per coordinate. Nodes whose sets are small in
-sum are compared exhaustively on the full sets; larger ones branch again. Independent trees
-repeat the join until a pair at the threshold is missed with probability below
-``1 - RECALL`` (``0.15 ** 8`` at 85 percent: the pair is lost only if all first branches
-separate it; deeper nodes branch ``BRANCH`` ways, which adds less than that).
+sum are compared exhaustively on the full sets; larger ones branch again, by ``DEEP_BRANCH`` of a
+pool of ``POOL`` coordinates. Independent trees repeat the join until a pair at the threshold is
+missed with probability below ``1 - RECALL``: it is lost only if in every tree all first branches
+separate it (``0.15 ** 8`` at 85 percent), or deeper ones do. ``missed`` sums this up over all numbers
+of pool coordinates that a pair can agree in; through all ``MAX_DEPTH`` levels it is 3.8e-7 at 85 and
+6.7e-7 at 80 percent.
 
 Steps, all narrow but for the texts of documents that share a node with another:
 
@@ -16,8 +18,10 @@ Steps, all narrow but for the texts of documents that share a node with another:
    groups of copies, however large, enter the join as one row;
 3. branching on (node, document) rows; nodes with the same members are compared once. A node
    that still is too large after ``MAX_DEPTH`` levels (thousands of near-copies of one text) is
-   cut into blocks and compared block by block, so no task holds more than two blocks and no
-   pair is left out;
+   cut into blocks. Each block is first compared with itself and ``PIVOTS`` members of the node, which
+   connects most of a family at a cost in proportion to its members. Only members outside of the
+   node's largest component then meet all blocks, so no task holds more than two blocks and no pair
+   that could still add a link is left out;
 4. members of a node that agree with no other member in enough minwise tokens leave it: a pair at
    the threshold has fewer agreements with probability below ``1 - RECALL`` (``agreements``). Most
    nodes that only share a passage end here, before any set is built;
@@ -30,7 +34,8 @@ Word rule: A-Z lower-cased, words are runs of ``[^\\x20\\x09-\\x0D]+``; a docume
 than ``WORDS`` words has its whole sequence as one shingle. Shingles are 64-bit hashes.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and kept;
-repeated rows fall into one class; rows with a null id are compared like others, but not linked by
+repeated rows fall into one class; rows that share an id and differ in text are rows of their own in the search, and the
+id joins their classes: all rows of one id that is its component's smallest are kept; rows with a null id are compared like others, but not linked by
 that id: they follow the class of their text, and are kept only where no row of its component has
 an id, and there only the rows of one class (by ``keep_representatives`` one row of it), with a null
 component; an empty table gives an empty result; other columns are ignored.
@@ -41,7 +46,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +57,12 @@ PERCENT = 85
 RECALL = 1 - 1e-6
 #: Coordinates by which a node branches.
 BRANCH = 2
-DEEP_BRANCH = 3
+DEEP_BRANCH = 4
 #: Coordinates from which nodes below the first level choose.
-POOL = 16
+POOL = 24
 MAX_DEPTH = 6
+#: Members of a node that all its blocks are compared with first.
+PIVOTS = 8
 #: Load (shingles of all sets, and MEMBER_LOAD for each set) that one task compares at once.
 NODE_SHINGLES = 1 << 21
 MEMBER_LOAD = 256
@@ -118,6 +125,17 @@ def trees_for(recall: float, percent: int, branch: int = BRANCH) -> int:
     return max(1, math.ceil(math.log(1 - recall) / (branch * math.log(1 - percent / 100)) - 1e-9))
 
 
+def missed(percent: int, first: int, depth: int, pool: int = POOL, deep: int = DEEP_BRANCH) -> float:
+    """Probability that a pair at the threshold meets in no node: ``first`` branches of the first level, each followed by
+    ``depth`` levels in which a node takes ``deep`` coordinates of the pool by its hash."""
+    s, out = percent / 100, 0.0
+    for agree in range(pool + 1):
+        share = math.comb(pool, agree) * s ** agree * (1 - s) ** (pool - agree)
+        apart = math.comb(pool - agree, deep) / math.comb(pool, deep)
+        out += share * (1 - s * (1 - apart) ** depth) ** first
+    return out
+
+
 def link_node(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links (100 * intersection >= percent * union) among the documents of a node."""
     m = len(ids)
@@ -191,7 +209,8 @@ def _linked(docs: DataFrame, percent: int, words: int = WORDS, recall: float = R
 
     start = reps.select("rep", "n_shingles", F.posexplode(F.slice("tokens", 1, first)).alias("at", "token"))
     level = start.select(F.xxhash64("at", "token").alias("node"), "rep", "n_shingles")
-    small = []
+    small, early = [], []
+    least = agreements(recall, percent, first + POOL)
     for depth in range(max_depth + 1):
         members = written(_distinct_nodes(level), "nodes")
         small.append(members.filter(F.col("weight") <= node_shingles).select("node", "rep"))
@@ -199,15 +218,17 @@ def _linked(docs: DataFrame, percent: int, words: int = WORDS, recall: float = R
         if large.isEmpty():
             break
         if depth == max_depth:
-            small.append(_blocks(large, node_shingles))
+            close = _similar(_blocks(large, node_shingles), reps, least)
+            early.append(written(_compare(_again(close), rows, words, percent), "links"))
+            small.append(_between(large, components(early[0]), node_shingles))
             break
         level = _branch(large, reps, first)
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionByName(more)
-    nodes = _similar(nodes, reps, agreements(recall, percent, first + POOL))
-    nodes = written(_distinct_nodes(nodes.withColumn("n_shingles", F.lit(0))).select("node", "rep"), "similar")
-    links = written(_compare(nodes, rows, words, percent), "links")
+    links = written(_compare(_again(_similar(nodes, reps, least)), rows, words, percent), "links")
+    for more in early:
+        links = links.unionByName(more)
     roots = components(links)
 
     final = (classes.select(*SAME, "rep", "label").join(roots, F.col("rep") == F.col("member"), "left")
@@ -290,21 +311,51 @@ def _distinct_nodes(level: DataFrame) -> DataFrame:
     return level.join(nodes, "node").select("node", "rep", "n_shingles", "weight")
 
 
+def _again(nodes: DataFrame) -> DataFrame:
+    """Nodes from which members have left: of those with equal members, one."""
+    return written(_distinct_nodes(nodes.withColumn("n_shingles", F.lit(0))).select("node", "rep"), "similar")
+
+
 def _branch(large: DataFrame, reps: DataFrame, first: int) -> DataFrame:
     """Children of large nodes: by DEEP_BRANCH coordinates that the node's hash chooses from the pool."""
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(DEEP_BRANCH - 1)),
-                         lambda j: F.pmod(F.xxhash64("node") + j * 5, F.lit(POOL).cast("long")).cast("int") + first)
-    rows = large.select("node", "rep", F.explode(F.array_distinct(chosen)).alias("at"))
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(POOL - 1)), lambda j: F.struct(F.xxhash64("node", j).alias("by"), (j + first).alias("at"))))
+    rows = large.select("node", "rep", F.explode(F.transform(F.slice(drawn, 1, DEEP_BRANCH), lambda d: d.getField("at"))).alias("at"))
     return (rows.join(reps, "rep")
             .select(F.xxhash64("node", "at", F.element_at("tokens", F.col("at") + 1)).alias("node"), "rep", "n_shingles"))
 
 
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("rep"), n)
+
+
 def _blocks(large: DataFrame, node_shingles: int) -> DataFrame:
-    """Large nodes as pairs of blocks of about half the limit each, so that every pair of members meets."""
+    """(node, rep) of blocks of about half the limit, each with the node's pivots: the members with the smallest hashes."""
     n = F.ceil(F.col("weight") * 2 / F.lit(node_shingles)).cast("long")
-    rows = large.select("node", "rep", n.alias("n"), F.pmod(F.xxhash64("rep"), n).alias("block"))
-    pairs = rows.select("node", "rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    return pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
+    rows = large.select("node", "rep", n.alias("n"))
+    own = rows.select(F.xxhash64("node", _block(F.col("n"))).alias("node"), "rep")
+    place = Window.partitionBy("node").orderBy(F.xxhash64("node", "rep"), "rep")
+    pivots = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= PIVOTS)
+    everywhere = pivots.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    return own.unionByName(everywhere.select(F.xxhash64("node", "block").alias("node"), "rep")).distinct()
+
+
+def _between(large: DataFrame, roots: DataFrame, node_shingles: int) -> DataFrame:
+    """(node, rep) of pairs of blocks in which every member outside of its node's largest component meets every other
+    member. Members of one component need no further links."""
+    named = large.join(roots, F.col("rep") == F.col("member"), "left").withColumn("root", F.coalesce("root", "rep"))
+    load = F.col("n_shingles") + F.lit(MEMBER_LOAD)
+    parts = named.groupBy("node", "root").agg(F.sum(load).alias("load"), F.max("weight").alias("weight"))
+    most = parts.groupBy("node").agg(F.max(F.struct("load", "root")).alias("most"), F.max("weight").alias("weight"))
+    blocks = most.filter("weight > most.load").select(
+        "node", F.col("most.root").alias("main"), F.ceil(F.col("weight") * 2 / F.lit(node_shingles)).cast("long").alias("n"),
+        F.ceil((F.col("weight") - F.col("most.load")) * 2 / F.lit(node_shingles)).cast("long").alias("n_out"))
+    rows = named.select("node", "rep", "root").join(blocks, "node")
+
+    def numbers(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    whole = rows.select("node", "rep", _block(F.col("n")).alias("a"), numbers(F.col("n_out")).alias("b"))
+    outside = rows.filter(F.col("root") != F.col("main")).select("node", "rep", numbers(F.col("n")).alias("a"), _block(F.col("n_out")).alias("b"))
+    return whole.unionByName(outside).select(F.xxhash64("node", "a", "b").alias("node"), "rep").distinct()
 
 
 def agreements(recall: float, percent: int, tokens: int) -> int:

@@ -114,3 +114,45 @@ def test_rows_without_id_are_compared(spark):
     assert len(kept) == 5 and kept[:2] == ["", ""]
     assert sorted(k.split()[0] for k in kept[2:]) == sorted(t.split()[0] for t in (one, two, three))
     assert one + " more" in kept and three in kept
+
+
+def test_deep_branches_keep_the_recall():
+    for percent in (85, 80):
+        first = N.BRANCH * N.trees_for(N.RECALL, percent)
+        assert abs(N.missed(percent, first, 0) - (1 - percent / 100) ** first) < 1e-12
+        assert N.missed(percent, first, N.MAX_DEPTH) < 1 - N.RECALL
+
+
+def test_large_nodes_meet_pivots_first_and_only_the_rest_by_blocks(spark):
+    """Rows grow with the members, not with their square, and every pair that could add a link meets."""
+    size, load = 20, 20 + N.MEMBER_LOAD
+
+    def large(n):
+        return spark.createDataFrame([(1, i, size, n * load) for i in range(n)], "node long, rep long, n_shingles long, weight long")
+
+    def meetings(df):
+        nodes = {}
+        for r in df.collect():
+            nodes.setdefault(r.node, []).append(r.rep)
+        return nodes
+    limit = 40 * load                                                # blocks of about 20 members
+    counts = []
+    for n in (200, 800):
+        first = meetings(N._blocks(large(n), limit))
+        assert set(itertools.chain(*first.values())) == set(range(n))
+        assert len(set.intersection(*map(set, first.values()))) == N.PIVOTS
+        one = spark.createDataFrame([(i, 0) for i in range(1, n)], "member long, root long")
+        assert N._between(large(n), one, limit).count() == 0         # one family: nothing is left
+        roots = spark.createDataFrame([(i, 0) for i in range(1, n - 10)], "member long, root long")
+        rest = meetings(N._between(large(n), roots, limit))
+        met = {frozenset(p) for members in rest.values() for p in itertools.combinations(members, 2)}
+        assert all(frozenset((a, b)) in met for a in range(n - 10, n) for b in range(n) if a != b)
+        assert all(len(m) == len(set(m)) <= 60 for m in rest.values())
+        counts.append(sum(map(len, first.values())) + sum(map(len, rest.values())))
+    assert counts[1] < 5 * counts[0]
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    got = N.near_duplicates(documents(spark, [a, b, b, a], ids=[5, 5, 7, 9])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
