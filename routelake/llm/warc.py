@@ -2,11 +2,15 @@
 
 Writing. Each archive is one Zstandard file: a skippable frame (magic 0x184D2A5D) with the
 dictionary, then one frame per record, compressed with it, so that a record can be read alone.
-The dictionary is trained in the task that writes the archive, on its first records, up to
-``SAMPLE_BYTES`` (those records are held back and compressed afterwards); a handful of records
-is too little to train on, and such an archive has no dictionary frame. Records stream through
-the task, which closes an archive at ``archive_bytes`` of payload. An archive is written under a temporary name and renamed when complete, so a
-repeated task replaces its own file and readers see whole archives only.
+The dictionary is built in the task that writes the archive, on its first records, up to
+``SAMPLE_BYTES`` (those records are held back and compressed afterwards): trained, or where a
+handful of records is too little to train on, their last bytes as they are. Records stream through
+the task, which closes an archive at ``archive_bytes`` of payload. An archive is written under a
+temporary name and renamed when complete. Every attempt at a task uses names of its own, and only
+those of the attempt that Spark commits come into the manifest, by which archives are read back
+(``read_listed``): what a lost or speculative attempt leaves behind is never read.
+
+File systems are those of pyarrow; Hadoop's names of the same stores are translated (``SCHEMES``).
 
 Revisits. Of the records with equal payloads of ``REVISIT_BYTES`` or more, the one with the
 smallest page id is the response; the others are revisit records without payload that name it.
@@ -35,6 +39,10 @@ ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Most partitions that read a manifest's archives.
+MOST_READERS = 1 << 16
+#: Schemes of Hadoop's file systems and pyarrow's names of the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs", "gcs": "gs"}
 #: Fixed values of the format: frame magic, revisit profile, record id namespace of the archives' page ids.
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,6 +50,18 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
+def store_uri(folder: str) -> str:
+    """The URI by which pyarrow knows a folder or file."""
+    scheme, mark, rest = folder.partition("://")
+    return SCHEMES.get(scheme, scheme) + mark + rest if mark else folder
+
+
+def file_system(folder: str):
+    """(pyarrow file system, path in it) of a folder's or file's URI or path."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(store_uri(folder)) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES,
                    id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives into folder ``path``; returns one row per archive: path, records, bytes."""
@@ -65,14 +85,15 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        task, done = TaskContext.get().partitionId(), []
-        out = _Archive(path, f"{task:06d}-{0:04d}", date)
+        context, done = TaskContext.get(), []
+        task = f"{context.partitionId():06d}-{context.taskAttemptId()}"
+        out = _Archive(path, f"{task}-{0:04d}", date)
         try:
             for part in slices(batches):
                 for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
                     if out.payload_bytes >= archive_bytes:
                         done += out.close()
-                        out = _Archive(path, f"{task:06d}-{len(done):04d}", date)
+                        out = _Archive(path, f"{task}-{len(done):04d}", date)
                     out.add(*row)
             done += out.close()
         except BaseException:
@@ -106,19 +127,17 @@ class _Archive:
 
     def _begin(self):
         import zstandard
-        from pyarrow import fs
-        self.fs, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        self.fs, root = file_system(self.folder)
         self.fs.create_dir(root, recursive=True)
-        self.path = f"{root}/part-{self.number}.warc.zst"
+        self.path, self.name = f"{root}/part-{self.number}.warc.zst", f"{self.folder.rstrip('/')}/part-{self.number}.warc.zst"
         self.temporary = f"{root}/.part-{self.number}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
         try:
             dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, self.held_bytes // 8), self.held, level=LEVEL)
         except zstandard.ZstdError:
-            dictionary = None
-        if dictionary is not None:
-            raw = dictionary.as_bytes()
-            self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+            dictionary = zstandard.ZstdCompressionDict(b"".join(self.held)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = dictionary.as_bytes()
+        self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         self.out.write(self.compressor.compress(info(self.date, self.number)))
         for block in self.held:
@@ -133,7 +152,7 @@ class _Archive:
         size = self.out.tell()
         self.out.close()
         self.fs.move(self.temporary, self.path)
-        return [{"path": self.path, "records": self.records, "bytes": size}]
+        return [{"path": self.name, "records": self.records, "bytes": size}]
 
     def drop(self):
         if self.out is not None:
@@ -197,10 +216,10 @@ def read_records(archive: bytes):
         yield headers, content
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row per response or revisit record of the archives in ``path``; sizes and digests of responses are
-    computed from the payload read, and checked against the header. ``payloads`` adds a binary column."""
-    python_ready(spark)
+def _records(archives: DataFrame, load, payloads: bool) -> DataFrame:
+    """One row per response or revisit record of the archives (one column, from which ``load`` gives an archive's bytes);
+    sizes and digests of responses are computed from the payload read, and checked against the header."""
+    python_ready(archives.sparkSession)
     schema = RECORDS + (", payload binary" if payloads else "")
 
     def run(batches):
@@ -216,7 +235,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         names = [c.split()[0] for c in schema.split(", ")]
         for part in slices(batches, 1):
             out = {n: [] for n in names}
-            for headers, content in read_records(part.column(0)[0].as_py()):
+            for headers, content in read_records(load(part.column(0)[0].as_py())):
                 kind = headers["warc-type"]
                 if kind not in ("response", "revisit"):
                     continue
@@ -234,15 +253,30 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     out = {n: [] for n in names}
             yield batch()
 
+    return archives.mapInArrow(run, schema)
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """The records of all archives in folder ``path``, whoever wrote them. ``payloads`` adds a binary column."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return _records(files.select("content"), lambda archive: archive, payloads)
+
+
+def read_listed(manifest: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of the archives that a manifest of ``write_archives`` names, and of no other."""
+    def load(name: str) -> bytes:
+        store, path = file_system(name)
+        with store.open_input_stream(path, compression=None) as f:
+            return f.read()
+
+    # few archives a partition: a row here stands for up to ARCHIVE_BYTES of payload
+    return _records(manifest.select("path").repartition(min(MOST_READERS, max(1, manifest.count()))), load, payloads)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes archives of the pages into the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
-    manifest = write_archives(pages, path)
+    manifest = write_archives(pages, scratch_path(spark, "warc"))
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORDS)
-    return read_archives(spark, path)
+    return read_listed(manifest)
