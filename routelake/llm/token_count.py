@@ -12,7 +12,7 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``. A word that has no greedy segmen
 unknown token. Words of any length are segmented; nothing is cut off.
 
 Defined cases: null and empty text have no words and no tokens; an empty table gives an empty
-result; repeated rows give repeated results; other columns are ignored.
+result; repeated rows and rows with a null id give their own results; other columns are ignored.
 """
 
 from __future__ import annotations

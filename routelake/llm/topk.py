@@ -1,19 +1,24 @@
 """Exact top-k by inner product: ball trees per shard, searched by branch and bound.
 
-Vectors are integers, floor(256 * x) of every component, so scores are exact. Candidates are
-dealt to shards by a hash of their id, about ``shard_rows`` each; the task of a shard builds a
-ball tree over it. For a query q and a ball with centre c and radius r no score exceeds
-q.c + |q| r. Nodes are taken in the order of this bound, and the search of a query ends when
-the best bound left is below the query's current k-th score (equal bounds are still searched:
-ties go to the smaller id).
+Vectors are integers, floor(256 * x) of every component, so scores are exact. For a query q and a
+ball with centre c and radius r no score exceeds q.c + |q| r; this bound rules out shards, and
+nodes of the tree of a shard.
 
-The k-th score is shared between shards: in a first round every query is searched in one shard
-only, and the k-th score found there is where its search of all other shards starts, so these
-return only what can still enter the result.
+Shards. The top of one ball tree is built on a bounded sample; its leaves are cells, at most
+``MAX_CELLS``, and every vector belongs to the cell whose centre is nearest. The radius of a cell is
+the largest distance of its vectors. A cell with more than ``shard_rows`` vectors is cut into pieces
+by a hash. The task of a shard builds a ball tree over it. Nodes are taken in the order of their
+bound, and the search of a query ends when the best bound left is below the query's current k-th
+score (equal bounds are still searched: ties go to the smaller id).
 
-Scale. Query vectors are sent to every shard in blocks, never candidates to every query; a
-task streams the blocks past the one tree that it holds. Rows of a result are at most k per
-query and shard before the last aggregate.
+The k-th score is shared between shards: in a first round every query is searched in its own shard
+only. The k-th score found there decides which cells it is sent to, and is where its search
+begins in them, so these return only what can still enter the result.
+
+Scale. Query vectors are sent to the shards that their bound reaches, in blocks, never candidates
+to every query; a task streams the blocks past the one tree that it holds. Rows of a result are at
+most k per query and shard before the last aggregate. Centres and radii of the cells are all that is
+broadcast. On vectors without any clusters no bound rules a cell out, and every query reaches every shard.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component, and rows
 without id, take no part; vectors meet only vectors of the same dimension; a candidate with the
@@ -25,6 +30,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +42,9 @@ K = 5
 SCALE = 256
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
+#: Cells of a dimension's space, and components of the sample that they are built on.
+MAX_CELLS = 1024
+SAMPLE_VALUES = 1 << 21
 #: Query vectors in a block.
 BLOCK_ROWS = 256
 FOUND = "query_id long, vec_id long, score long"
@@ -127,17 +136,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
     spark = vectors.sparkSession
     python_ready(spark)
     rows = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "v"])
-    # every (dimension) has its own shards; their number follows its number of rows
-    shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("shards"))
-    dealt = written(rows.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards").cast("long")).cast("int")), "vectors")
-    queries = (dealt.withColumnRenamed("vec_id", id_col).filter(is_query)
-               .select(F.col(id_col).alias("vec_id"), "v", "dim", "shards", "shard"))
+    centres = _cell_centres(rows, shard_rows, scale)
+    located = written(_located(rows, centres, scale), "vectors")
+    cells = located.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("pieces"), F.max("far").alias("radius"))
+    # every (dimension, cell) has its own shards; their number follows its number of rows
+    piece = F.pmod(F.xxhash64("vec_id"), F.col("pieces").cast("long"))
+    dealt = located.join(cells.drop("radius"), ["dim", "cell"]).withColumn("shard", _shard(F.col("cell"), piece))
+    queries = (dealt.withColumnRenamed("vec_id", id_col).filter(is_query).select(F.col(id_col).alias("vec_id"), "v", "dim", "shard"))
     first = written(_search(dealt, queries.withColumn("least", F.lit(None).cast("double")), k, scale), "seeds")
     # a query without k results so far has no k-th score to share
     kth = (first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
            .select("vec_id", F.when(F.col("n") >= k, F.col("least").cast("double")).alias("least")))
-    spread = (queries.join(kth, "vec_id", "left").withColumnRenamed("shard", "home")
-              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter("shard <> home").drop("home"))
+    radii: dict[int, dict[int, float]] = {}
+    for r in cells.filter(F.col("dim").isin(list(centres))).select("dim", "cell", "radius").collect() if centres else ():
+        radii.setdefault(r["dim"], {})[r["cell"]] = r["radius"]     # at most MAX_CELLS numbers for each of these dimensions
+    reached = _reached(queries.join(kth, "vec_id", "left").withColumnRenamed("shard", "home"), centres, radii, scale)
+    spread = (reached.join(cells.drop("radius"), ["dim", "cell"])
+              .withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: _shard(F.col("cell"), p.cast("long")))))
+              .filter("shard <> home").drop("home"))
     rest = _search(dealt, spread, k, scale)
     # a query id with several vectors: each score counts for the id
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -145,6 +161,79 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SH
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _shard(cell: Column, piece: Column) -> Column:
+    return cell.cast("long") * F.lit(1 << 32) + piece
+
+
+def _rows_of(part, at: int) -> list[np.ndarray]:
+    """A list column of an Arrow batch as arrays."""
+    values = part.column(at)
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+    ends = ends - ends[0]
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _cell_centres(rows: DataFrame, shard_rows: int, scale: int) -> dict[int, np.ndarray]:
+    """Centres of the cells of every dimension that needs more than one shard, from a sample taken by a hash."""
+    out, cut = {}, 1 << 30
+    for dim, n in rows.groupBy("dim").count().filter(F.col("count") > shard_rows).collect():
+        leaves = min(MAX_CELLS, math.ceil(n / shard_rows))
+        size = max(leaves, SAMPLE_VALUES // dim)
+        some = rows.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("v", F.lit(3)), F.lit(cut)) < F.lit(math.ceil(cut * min(1.0, size / n)))))
+        x = np.floor(scale * np.array([r[0] for r in some.select("v").collect()], float).reshape(-1, dim))
+        if len(x):
+            tree = BallTree(np.arange(len(x)), x, leaf_rows=math.ceil(len(x) / leaves))
+            out[dim] = np.array([c for c, below in zip(tree.centres, tree.children, strict=True) if below is None])
+    return out
+
+
+def _located(rows: DataFrame, centres: dict[int, np.ndarray], scale: int) -> DataFrame:
+    """The rows with their cell and their distance from its centre (one cell where there are no centres)."""
+    def run(batches):
+        import pyarrow as pa
+        for part in batches:
+            vectors, dims = _rows_of(part, 1), part.column(2).to_numpy()
+            cell, far = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            for dim in set(dims.tolist()) & centres.keys():
+                mine = np.flatnonzero(dims == dim)
+                c = centres[dim]
+                for at in range(0, len(mine), 512):
+                    some = mine[at:at + 512]
+                    x = np.floor(scale * np.stack([vectors[i] for i in some]))
+                    cell[some] = ((c ** 2).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
+                    far[some] = np.sqrt(((x - c[cell[some]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(far)], names=["vec_id", "v", "dim", "cell", "far"])
+
+    return rows.select("vec_id", "v", "dim").mapInArrow(run, "vec_id long, v array<double>, dim int, cell int, far double")
+
+
+def _reached(queries: DataFrame, centres: dict[int, np.ndarray], radii: dict[int, dict[int, float]], scale: int) -> DataFrame:
+    """The queries (vec_id, v, dim, home, least) once for every cell in which a score of at least ``least`` is possible."""
+    def run(batches):
+        import pyarrow as pa
+        for part in batches:
+            vectors, dims, least = _rows_of(part, 1), part.column(2).to_pylist(), part.column(4).to_pylist()
+            row, cell = [], []
+            for i, (v, dim) in enumerate(zip(vectors, dims, strict=True)):
+                if dim not in centres:
+                    row.append(i)
+                    cell.append(0)
+                    continue
+                q, c = np.floor(scale * v), centres[dim]
+                length = np.sqrt((q ** 2).sum())
+                radius = np.array([radii[dim].get(j, 0.0) for j in range(len(c))])
+                bound = c @ q + length * radius
+                bound += 1e-9 * (1 + np.abs(bound) + length * np.sqrt((c ** 2).sum(axis=1)))
+                some = np.arange(len(c)) if least[i] is None else np.flatnonzero(~(bound < least[i]))
+                row += [i] * len(some)
+                cell += some.tolist()
+            taken = part.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())], names=["vec_id", "v", "dim", "home", "least", "cell"])
+
+    return (queries.select("vec_id", "v", "dim", "home", "least")
+            .mapInArrow(run, "vec_id long, v array<double>, dim int, home long, least double, cell int"))
+
+
 def _search(candidates: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
     """Searches each query in the shard that it names; candidates come first in every shard, then the queries in blocks."""
     side = candidates.select("dim", "shard", F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("double").alias("least"))
@@ -168,10 +257,7 @@ def _search(candidates: DataFrame, queries: DataFrame, k: int, scale: int) -> Da
 
         shard, tree, points, block = None, None, [], []
         for part in batches:
-            values = part.column(4)
-            flat, ends = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy()
-            ends = ends - ends[0]
-            columns = [part.column(i).to_pylist() for i in (0, 1, 2, 3)] + [[flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], part.column(5).to_pylist()]
+            columns = [part.column(i).to_pylist() for i in (0, 1, 2, 3)] + [_rows_of(part, 4), part.column(5).to_pylist()]
             for row in zip(*columns, strict=True):
                 if row[:2] != shard:
                     yield batch(answers(tree, block))

@@ -39,6 +39,23 @@ def test_stages_on_small_documents(spark):
     assert sum(r.n for r in last) == sum(len(texts[i].split()) for i in want)
 
 
+def test_null_ids_and_repeated_rows_through_all_stages(spark):
+    rng = random.Random(4)
+    words = "the of and that with from this have which their".split()
+    texts = [" ".join(rng.choice(words) for _ in range(40)) + f" end{k}" for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += [(0, texts[0]), (0, texts[0]), (None, texts[1]), (None, texts[2]), (None, "quite another text without an id " * 4), (None, "quite another text without an id " * 4), (41, None)]
+    docs = documents(spark, [t for _, t in rows], langs=["en"] * len(rows), ids=[i for i, _ in rows])
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, None)
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len({t for _, t in kept}) == len(kept)
+    by_text = dict((t, i) for i, t in kept)
+    assert by_text[texts[1]] == 1 and by_text[texts[2]] == 2 and by_text["quite another text without an id " * 4] is None
+    last = P.STAGES[-1][1](spark, docs, None).collect()
+    assert sum(r.n for r in last) == sum(len(t.split()) for _, t in kept)
+
+
 def test_pipeline_runs_on_an_empty_table(spark):
     docs = documents(spark, [])
     for _, stage in P.STAGES:
@@ -49,6 +66,6 @@ def test_pipeline_runs_on_an_empty_table(spark):
 def test_every_query_is_registered():
     import __spark_entry__ as E
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and {"op2_topk", "op4_warc", "op7_exact_dedup"} <= set(E.oracle_sql())

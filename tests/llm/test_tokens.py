@@ -110,3 +110,21 @@ def test_round_trip_of_odd_rows(spark):
     ids = {r.doc_id: r.ids for r in coded.collect()}
     assert ids[0] is None and ids[1] == []
     assert U.round_trip(documents(spark, [])).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    docs = documents(spark, ["one two", "one two", "x", None], ids=[None, None, 3, 3])
+    counted = T.count_tokens(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in counted) == [("3", 0), ("3", 1), ("None", 2), ("None", 2)]
+    coded = U.round_trip(docs).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in coded) == [("3", ""), ("3", "x"), ("None", "one two"), ("None", "one two")]
+
+
+def test_chunks_searched_together_have_the_ids_of_single_ones():
+    rng = random.Random(11)
+    u = U.read_model(T.read_file(T.VOCABULARY))
+    letters = "abcdefghiäöß日🙂\x00 \t.,;'0123456789"
+    chunks = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 11, 20, 40, 90, 300]))).encode() for _ in range(4 * U.TOGETHER)]
+    chunks += [b" ", b"\n", U.OWN_MARKER, b"a" + U.OWN_MARKER + b"b", b"\x00", b"q" * 5000]
+    import numpy as np
+    assert [np.frombuffer(x, np.int32).tolist() for x in u.best_of_all(chunks)] == [u.best(c) for c in chunks]
