@@ -83,26 +83,41 @@ def get_or_create_environment(environments: DataFrame, services: DataFrame, tena
     return get_or_create(environments, w, ["service_id", "name"])
 
 
-def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
-    """INSERT ... ON CONFLICT (environment_id, version) DO UPDATE as a new snapshot.
+def _touched(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per changed key: ``c`` (its last change by seq), ``first`` (its first seq) and ``old_id`` (null for a new key)."""
+    last = changes.groupBy(*EP_KEY).agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c"), F.min("seq").alias("first"))
+    return last.join(endpoints.select(*EP_KEY, F.col("id").alias("old_id")), EP_KEY, "left")
 
-    ``changes``: environment_id, version, url, is_active, updated_at, seq. Repeated keys in
-    the change set: the highest ``seq`` wins. Existing rows keep id and created_at. One left
-    join gives kept and updated rows; only rows that are new are numbered."""
-    last = (changes.groupBy(*EP_KEY)
-            .agg(F.max(F.struct("seq", "url", "is_active", "updated_at")).alias("c")))
-    old = endpoints.select(*EP_COLS)
+
+def _written_over(endpoints: DataFrame, touched: DataFrame, max_id: int) -> DataFrame:
+    """The snapshot with the touched keys' changes: one left join for the rows that are there, new ones are numbered."""
     hit = F.col("c").isNotNull()
-    kept = old.join(last, EP_KEY, "left").select(
+    kept = endpoints.select(*EP_COLS).join(touched.filter("old_id IS NOT NULL").select(*EP_KEY, "c"), EP_KEY, "left").select(
         "id", *EP_KEY, *[F.when(hit, F.col(f"c.{c}")).otherwise(F.col(c)).alias(c) for c in ("url", "is_active")], "created_at",
         F.when(hit, F.col("c.updated_at")).otherwise(F.col("updated_at")).alias("updated_at"))
-    ins = last.join(old.select(*EP_KEY), EP_KEY, "left_anti").select(*EP_KEY, "c.url", "c.is_active", "c.updated_at")
-    max_id = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    ins = touched.filter("old_id IS NULL").select(*EP_KEY, "c.url", "c.is_active", "c.updated_at")
     ins = dense_index(ins, EP_KEY).select((max_id + F.col("idx") + 1).alias("id"), *EP_KEY, "url", "is_active",
                                           F.col("updated_at").alias("created_at"), "updated_at")
     return kept.unionByName(ins)
 
 
+def _max_ids(*tables: DataFrame) -> list[int]:
+    """The largest id of every table (0 if there is none), in one job."""
+    each = [t.agg(F.max("id").cast("long").alias("id")).select(F.lit(i).alias("i"), "id") for i, t in enumerate(tables)]
+    found = {r["i"]: r["id"] or 0 for r in reduce(lambda a, b: a.unionByName(b), each).collect()}
+    return [found[i] for i in range(len(tables))]
+
+
+def upsert_endpoint(endpoints: DataFrame, changes: DataFrame) -> DataFrame:
+    """INSERT ... ON CONFLICT (environment_id, version) DO UPDATE as a new snapshot.
+
+    ``changes``: environment_id, version, url, is_active, updated_at, seq. Repeated keys in
+    the change set: the highest ``seq`` wins. Existing rows keep id and created_at."""
+    from ..sources.lake import cut_lineage
+    touched = cut_lineage(endpoints.sparkSession, _touched(endpoints, changes), "touched")
+    return _written_over(endpoints, touched, _max_ids(endpoints)[0])
+
+
 def validate_route_writes(df: DataFrame, need_url: bool):
     """Split a write batch into (valid, rejects) on the reference's falsy checks (Q1)."""
     ok = X.all_present(*ROUTE)
@@ -128,40 +143,88 @@ def _ids_for(batch: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(names, ROUTE[:3], "left_semi")
 
 
-def _event_rows(df: DataFrame, action_col, as_of) -> DataFrame:
-    """Change events of applied writes; ids repeatable from (seq, action)."""
+def _event_rows(df: DataFrame, action_col, as_of, *more) -> DataFrame:
+    """Change events of applied writes, with further columns ``more``; ids repeatable from (seq, action)."""
     seed = F.concat_ws("|", F.col("seq").cast("string"), action_col)
     return df.select(
         X.new_event_id(seed).alias("event_id"),
         F.lit(X.DEFAULT_EVENT_TYPE).alias("event_type"),
         action_col.alias("action"), *ROUTE, "url",
-        F.lit(as_of).cast("timestamp").alias("occurred_at"), "seq")
+        F.lit(as_of).cast("timestamp").alias("occurred_at"), "seq", *more)
+
+
+def number_names(named: DataFrame, tenants_to: int, services_to: int, environments_to: int) -> DataFrame:
+    """Ids of three levels of names in one pass.
+
+    ``named``: distinct (tenant, service, env) with the ids that exist (tenant_id, service_id, environment_id,
+    else null); the numbers are the largest ids so far. Returns the rows with all ids, and new_tenant,
+    new_service, new_environment on one row for each new name. New ids go by (parent id, name), as if the
+    levels were filled one after the other.
+
+    All three orders are one: existing parents come by their ids, new ones after them by their names. So the
+    rows are range-partitioned, sorted and written once; a name is new where it differs from the row
+    before, and its number is the count of new names up to it: counted within each partition, plus those of
+    the partitions before (a table of one row per partition)."""
+    from ..sources.lake import cut_lineage
+    spark = named.sparkSession
+    end = F.lit((1 << 63) - 1)
+    order = [F.coalesce("service_id", end), F.coalesce("tenant_id", end), F.col("tenant"), F.col("service"), F.col("env")]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(spark, named.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()), "names")
+    name = F.struct("tenant", "service")
+    ends = placed.groupBy("_pid").agg(F.max_by(name, "_mono").alias("_last"))
+    ends = ends.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_end"))
+    within = Window.partitionBy("_pid").orderBy("_mono")
+    d = placed.join(ends, "_pid").withColumn("_prev", F.coalesce(F.lag(name).over(within), "_end"))
+    d = d.withColumns({
+        "new_tenant": F.col("tenant_id").isNull() & ~F.col("tenant").eqNullSafe(F.col("_prev.tenant")),
+        "new_service": F.col("service_id").isNull() & ~name.eqNullSafe(F.col("_prev")),
+        "new_environment": F.col("environment_id").isNull()})
+    flags = ["new_tenant", "new_service", "new_environment"]
+    sums = d.groupBy("_pid").agg(*[F.sum(F.col(f).cast("long")).alias(f"_{f}") for f in flags])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_pid", *[F.coalesce(F.sum(f"_{f}").over(before), F.lit(0)).alias(f"_{f}") for f in flags])
+    d = d.join(sums, "_pid")
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ids = {"tenant_id": ("new_tenant", tenants_to), "service_id": ("new_service", services_to), "environment_id": ("new_environment", environments_to)}
+    return d.select("tenant", "service", "env", *flags, *[
+        F.coalesce(c, F.lit(top) + F.col(f"_{f}") + F.sum(F.col(f).cast("long")).over(so_far)).alias(c) for c, (f, top) in ids.items()])
 
 
 def catalog_create_routes(tenants, services, environments, endpoints, requests: DataFrame, as_of):
-    """create_route over a batch: validate -> 3x get-or-create -> upsert (always active,
-    Q11) -> events. Returns a dict of DataFrames."""
+    """create_route over a batch: validate -> ids of all three name levels -> upsert (always active,
+    Q11) -> events. Returns a dict of DataFrames.
+
+    The name tables and the endpoints are joined once each to what the batch names (written, and small beside
+    them) and asked once for their largest ids; the snapshots that are returned are their rows plus the new ones."""
     from ..sources.lake import cut_lineage
     spark = requests.sparkSession
     valid, rejects = validate_route_writes(requests, need_url=True)
-    # the batch and each name table are written once to the shared folder: the next step
-    # reads them (and sizes its joins from them) instead of recomputing the whole chain
     valid = cut_lineage(spark, valid, "create-batch")
-    t2 = cut_lineage(spark, get_or_create_tenant(tenants, valid), "tenants")
-    s2 = cut_lineage(spark, get_or_create_service(services, t2, valid), "services")
-    e2 = cut_lineage(spark, get_or_create_environment(environments, s2, t2, valid), "environments")
-    ids = _ids_for(valid, _route_ids(t2, s2, e2).select("environment_id", *ROUTE[:3]))
-    v = valid.join(ids, ROUTE[:3])
-    # an update when the key existed before the batch or an earlier create of the batch made it
-    existed = endpoints.select(*EP_KEY, F.lit(True).alias("_existed"))
-    first = v.groupBy(*EP_KEY).agg(F.min("seq").alias("_first"))
-    v = (v.join(existed, EP_KEY, "left").join(first, EP_KEY)
-         .withColumn("was_update", F.coalesce("_existed", F.lit(False)) | (F.col("seq") > F.col("_first")))
-         .drop("_existed", "_first"))
+    t = tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant"))
+    s = services.select(F.col("id").alias("service_id"), "tenant_id", F.col("name").alias("service"))
+    e = environments.select(F.col("id").alias("environment_id"), "service_id", F.col("name").alias("env"))
+    named = (valid.select(*ROUTE[:3]).distinct().join(t, "tenant", "left").join(s, ["tenant_id", "service"], "left")
+             .join(e, ["service_id", "env"], "left"))
+    *tops, last_endpoint = _max_ids(tenants, services, environments, endpoints)
+    names = cut_lineage(spark, number_names(cut_lineage(spark, named, "named"), *tops), "ids")
+
+    def with_new(table, level: str, *parent):
+        new = names.filter(f"new_{level}").select(F.col(f"{level}_id").alias("id"), *parent, F.col("env" if level == "environment" else level).alias("name"))
+        return table.select("id", *parent, "name").unionByName(new)
+    t2, s2 = with_new(tenants, "tenant"), with_new(services, "service", "tenant_id")
+    e2 = with_new(environments, "environment", "service_id")
+
     ts = F.lit(as_of).cast("timestamp")
+    v = valid.join(names.select(*ROUTE[:3], "environment_id"), ROUTE[:3])
     changes = v.select(*EP_KEY, "url", F.lit(True).alias("is_active"), ts.alias("updated_at"), "seq")
-    ep2 = upsert_endpoint(endpoints, changes)
-    events = _event_rows(v, F.lit("created"), as_of).join(v.select("seq", "was_update"), "seq")
+    touched = cut_lineage(spark, _touched(endpoints, changes), "touched")
+    ep2 = _written_over(endpoints, touched, last_endpoint)
+    # an update when the key existed before the batch or an earlier create of the batch made it
+    v = v.join(touched.select(*EP_KEY, "first", "old_id"), EP_KEY)
+    was = F.col("old_id").isNotNull() | (F.col("seq") > F.col("first"))
+    events = _event_rows(v, F.lit("created"), as_of, was.alias("was_update"))
     return {"tenants": t2, "services": s2, "environments": e2, "endpoints": ep2,
             "events": events, "rejects": rejects}
 
@@ -210,29 +273,29 @@ def apply_change_log(routes: DataFrame, change_log: DataFrame, as_of):
     others, no_name = validate_route_writes(change_log.filter(known & (F.col("op") != "create")), need_url=False)
     cl = cl.unionByName(others)
     bad = no_url.unionByName(no_name).unionByName(change_log.filter(~known).withColumn("reject_reason", F.lit("unknown_op")))
-    # only the routes that the batch touches
-    keys = cl.select(*ROUTE).distinct()
-    cur = (routes.select(*ROUTE, F.col("url").alias("cur_url"), F.col("is_active").alias("cur_active"))
-           .join(keys, ROUTE, "left_semi"))
-    first_create = (cl.filter(F.col("op") == "create").groupBy(*ROUTE)
-                    .agg(F.min("seq").alias("first_create")))
-    tagged = (cl.join(first_create, ROUTE, "left")
-              .join(cur.select(*ROUTE, F.lit(True).alias("existed")), ROUTE, "left"))
-    applied_c = F.coalesce(F.col("existed"), F.lit(False)) | (F.col("seq") >= F.col("first_create"))
-    tagged = tagged.withColumn("applied", F.coalesce(applied_c, F.lit(False)))
-    applied = tagged.filter("applied")
-    rejects = (tagged.filter(~F.col("applied")).select(*change_log.columns)
-               .withColumn("reject_reason", F.lit("not_found")).unionByName(bad))
-    per_key = applied.groupBy(*ROUTE).agg(
+    # one aggregate per key, joined once to the route table
+    per_key = cl.groupBy(*ROUTE).agg(
         F.max(F.struct("seq", "op")).alias("last"),
         F.max(F.when(F.col("op") == "create", F.struct("seq", "url"))).alias("last_create"),
-        F.count(F.lit(1)).alias("n_ops"))
-    state = per_key.join(cur, ROUTE, "left").select(
+        F.min(F.when(F.col("op") == "create", F.col("seq"))).alias("first_create"),
+        F.count(F.lit(1)).alias("n"))
+    cur = per_key.join(routes.select(*ROUTE, F.col("url").alias("cur_url"), F.lit(True).alias("existed")), ROUTE, "left")
+    cur = cut_lineage(change_log.sparkSession, cur, "touched-routes")
+    # a new route has nothing to change before its first create
+    tagged = cl.join(cur.select(*ROUTE, "first_create", "existed"), ROUTE)
+    applied_c = F.coalesce(F.col("existed"), F.lit(False)) | F.coalesce(F.col("seq") >= F.col("first_create"), F.lit(False))
+    applied, early = tagged.filter(applied_c), tagged.filter(~applied_c)
+    rejects = early.select(*change_log.columns).withColumn("reject_reason", F.lit("not_found")).unionByName(bad)
+    fresh = cur.filter("existed IS NULL").select(*ROUTE, "first_create")
+    too_early = (cl.join(fresh, ROUTE).filter(~F.coalesce(F.col("seq") >= F.col("first_create"), F.lit(False)))
+                 .groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("early")))
+    # where any op applies, the last one does: no op comes after the last and before the first create
+    state = cur.filter("existed IS NOT NULL OR first_create IS NOT NULL").join(too_early, ROUTE, "left").select(
         *ROUTE,
         F.coalesce(F.col("last_create.url"), F.col("cur_url")).alias("url"),
         (F.col("last.op") != "deactivate").alias("is_active"),
         F.col("cur_url").isNull().alias("is_new"),
-        F.col("n_ops"),
+        (F.col("n") - F.coalesce("early", F.lit(0))).alias("n_ops"),
         F.lit(as_of).cast("timestamp").alias("updated_at"))
     action = F.coalesce(*[F.when(F.col("op") == k, F.lit(v)) for k, v in OP_ACTION.items()])
     ev = applied.withColumn("url", F.when(F.col("op") == "create", F.col("url")))
