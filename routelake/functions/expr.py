@@ -138,6 +138,7 @@ def route_url_template(index, t="tenant", s="service", e="env", v="version") ->
     """URL from parts by one of the six templates; ``index`` is 1-based (1..6)."""
     t, s, e, v = (_c(x) for x in (t, s, e, v))
     L = F.lit
+    # The reference's six URL templates.
     templates = F.array(
         F.concat(L("https://"), s, L("."), t, L(".example.com/"), v),
         F.concat(L("https://"), s, L("-"), e, L("."), t, L(".example.com/"), v),

@@ -219,7 +219,8 @@ def history_page(audit: DataFrame, tenant, service, env, version, limit: int = 1
 
 
 def history_top_n_per_route(audit: DataFrame, n: int = 10) -> DataFrame:
-    """Newest n changes of every route at once (salted two-pass top-k)."""
+    """Newest n changes of every route at once (``scan.top_n_per_group``: every input partition forwards n rows of a
+    route at most; above the session's group-limit threshold by a salted first pass)."""
     flat = audit.select("*", *[F.col(f"route.{c}").alias(c) for c in X.ROUTE_COLS])
     top = scan.top_n_per_group(flat, list(X.ROUTE_COLS), newest(), n, salt_col="event_id")
     return top.select(*X.ROUTE_COLS, "rank", "event_id", "action", "url", "occurred_at")
@@ -242,7 +243,8 @@ def changes_per_day(audit: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ state over time
 def audit_previous_value(audit: DataFrame, chunk_seconds: int = scan.DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Fill previous_url / previous_state from the route's previous change when the
-    publisher left them empty (Q8). Chunked lag: a hot route is spread over its days."""
+    publisher left them empty (Q8). Chunked lag: a hot route is spread over its quarters of an hour
+    (``chunk_seconds``)."""
     flat = audit.select("*", *[F.col(f"route.{c}").alias(f"_{c}") for c in X.ROUTE_COLS])
     keys = [f"_{c}" for c in X.ROUTE_COLS]
     state = F.when(F.col("action") == "deactivated", F.lit("inactive")).otherwise(F.lit("active"))

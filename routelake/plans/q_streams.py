@@ -15,10 +15,10 @@ from .q_audit import AUDIT_COLS, flat
 from .registry import register
 
 
-def envelope_files(spark, t: Tables) -> str:
+def envelope_files(spark, t: Tables, value=None) -> str:
     """The change stream as files with the five envelope columns, one file per partition."""
     path = scratch_path(spark, "route-events")
-    t.stream_values.repartition(4, "partition").sortWithinPartitions("offset").write.parquet(path)
+    t.stream_values.withColumn("value", F.col("value") if value is None else value).repartition(4, "partition").sortWithinPartitions("offset").write.parquet(path)
     return path
 
 
@@ -29,9 +29,9 @@ STREAM_AUDIT_SQL = """SELECT event_id, 'route_changed' AS event_type, action, te
 STREAM_AUDIT_COLS = [c for c in AUDIT_COLS if c != "processed_at"]
 
 
-def _audit_run(spark, d, restart: bool = False):
+def _audit_run(spark, d, restart: bool = False, value=None):
     t = Tables(spark, d)
-    src = envelope_files(spark, t)
+    src = envelope_files(spark, t, value)
     audit, rej, ck = (scratch_path(spark, n) for n in ("audit", "rejects", "ckpt-audit"))
     S.run(S.audit_log_query(S.read_route_stream(spark, src), audit, rej, ck))
     if restart:  # same checkpoint: resumes after the committed offsets, adds nothing
@@ -141,11 +141,14 @@ def q_stream_key_order(spark, d):
     return S.read_key_state(spark, state)
 
 
-@register("stream_correlation", """SELECT event_id, correlation_id FROM event_rows WHERE action IS NOT NULL""")
+@register("stream_correlation", """SELECT event_id, CASE WHEN event_seq % 3 = 0 THEN 'req-' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 16)
+            ELSE correlation_id END AS correlation_id
+  FROM event_rows WHERE action IS NOT NULL""")
 def q_stream_correlation(spark, d):
-    """The id travels from the event to the audit row; a missing id would be generated."""
+    """The id travels from the event to the audit row; every third record comes without one, and its id is generated."""
     from ..sources import lake
-    audit, _ = _audit_run(spark, d)
+    lost = F.regexp_replace("value", '"correlation_id":"[^"]*"', '"correlation_id":""')
+    audit, _ = _audit_run(spark, d, value=F.when(F.col("offset") % 3 == 0, lost).otherwise(F.col("value")))
     a = lake.read_audit(spark, audit)
     return a.select("event_id", X.default_correlation_id(F.col("correlation_id"), F.col("event_id")).alias("correlation_id"))
 
