@@ -479,6 +479,26 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def with_cluster(docs: DataFrame, out: str = "cluster", words: int = WORDS, text_col: str = "text") -> DataFrame:
+    """The other columns and, in place of the text, its minwise shingle: two documents have the same one with the
+    probability that is their similarity (always, if their sets are equal). Null where there are no words. A bucket of
+    similar documents for consumers that only want them apart, at the cost of one pass."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    kept = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("binary").alias(text_col))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+        memo, seed = WordHashes(), seeds(1)
+        for part in slices(batches):
+            sets = [shingle_set(t, memo, words) for t in part.column(len(kept)).to_pylist()]
+            found = [int(minwise(s, seed).view(np.int64)[0]) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.int64())], names=schema.names)
+    return rows.mapInArrow(run, schema)
+
+
 def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are kept, one of each group, with all their columns."""
     found = _linked(docs, percent, id_col=id_col, text_col=text_col).filter("kept")

@@ -7,6 +7,7 @@ from helpers import documents
 from test_near import brute
 
 import corpus_pipeline as P
+from routelake.llm import near_dedup as N
 
 
 def test_stages_on_small_documents(spark):
@@ -39,6 +40,31 @@ def test_stages_on_small_documents(spark):
     assert sum(r.n for r in last) == sum(len(texts[i].split()) for i in want)
 
 
+def test_similar_documents_share_no_bin(spark):
+    """Documents of half a common text, too different for the near-duplicate stage, from different sources."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(300)]
+    texts = [" ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(80)]) for _ in range(40)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(380)) for _ in range(40)]
+    docs = documents(spark, texts, sources=[f"s{k}" for k in range(80)])
+    assert P.STAGES[2][1](spark, docs, None).count() == 80
+    clusters = {r.doc_id: r.similar for r in N.with_cluster(docs.select("doc_id", "text"), "similar").collect()}
+    alike = [i for i in range(40) if clusters[i] == max(clusters.values(), key=list(clusters.values()).count)]
+    assert len(alike) >= 15                                              # similarity about two thirds
+    bins = {}
+    for r in P.STAGES[-1][1](spark, docs, None).collect():
+        bins.setdefault((r.shard, r.bin), []).append(r.doc_id)
+    for members in bins.values():
+        named = [clusters[i] for i in members]
+        assert len(named) == len(set(named))
+    assert any(len(m) > 1 for m in bins.values())
+
+
+def test_cluster_of_odd_texts(spark):
+    got = [r.cluster for r in N.with_cluster(documents(spark, [None, "", " ", "A b", "a  B", "a b c"]).orderBy("doc_id")).collect()]
+    assert got[:3] == [None] * 3 and got[3] == got[4] != got[5]
+
+
 def test_null_ids_and_repeated_rows_through_all_stages(spark):
     rng = random.Random(4)
     words = "the of and that with from this have which their".split()
