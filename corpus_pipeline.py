@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelake.llm import exact_dedup, language, near_dedup, packing
-from routelake.llm.util import normalised, written
+from routelake.llm.util import written
 
 #: Similarity, in percent, from which two documents are near duplicates.
 NEAR_PERCENT = 80
@@ -31,8 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's words in bins of training sequences."""
-    return packing.best_fit(docs, packing.word_count("text"), source=F.col("source"), cluster=F.xxhash64(normalised(F.col("text"))))
+    """Every document's words in bins of training sequences. Duplicates are gone by now; documents that are similar
+    below the limit of the stage before are kept apart: those with the same minwise shingle share no bin."""
+    rows = docs.select("doc_id", "source", packing.word_count("text").alias("words"), "text")
+    rows = near_dedup.with_cluster(rows, "similar")
+    return packing.best_fit(rows, F.col("words"), source=F.col("source"), cluster=F.col("similar"))
 
 
 STAGES = [
