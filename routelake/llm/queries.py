@@ -157,6 +157,42 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.count_words(table(spark, sf_dir, "documents"), drop_every=31))
 
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step
+), t AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), r AS (
+  SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM t WHERE length(run) >= 7 GROUP BY 1, 2
+), b AS (
+  SELECT run, n, list_transform(range(strlen(d || ':' || run)), lambda i: ('0x' || hex(d || ':' || run)[2 * i + 1:2 * i + 2])::BIGINT) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, step[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, crc
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || right(run, length(run) - 1 - h % length(run)) ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+), x AS (
+  SELECT word, n, i, left(word, i) || right(word, length(word) - 1 - i) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM v) u
+), p AS (
+  SELECT DISTINCT x.word AS a, v.word AS b FROM x JOIN v ON x.rest = v.word UNION
+  SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word UNION
+  SELECT x.word, y.word FROM x JOIN x y ON x.i = y.i AND x.rest = y.rest AND length(x.word) = length(y.word) AND x.word <> y.word
+), f AS (
+  SELECT a AS word, count(*) AS n_near, min({'o': -v.n, 'w': b}) AS best FROM p JOIN v ON v.word = b GROUP BY 1
+), g AS (
+  SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN -f.best.o >= 10 * v.n THEN f.best.w END AS form,
+         CASE WHEN -f.best.o >= 10 * v.n THEN -f.best.o END AS form_n FROM v LEFT JOIN f USING (word)
+), chain(word, root) AS (
+  SELECT word, word FROM g UNION ALL SELECT c.word, g.form FROM chain c JOIN g ON g.word = c.root WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, c.root, g.n, g.n_near, g.form_n
+FROM g JOIN chain c ON c.word = g.word JOIN g e ON e.word = c.root AND e.form IS NULL
+"""
+
+
 def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -183,4 +219,5 @@ SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }

@@ -146,6 +146,9 @@ def test_op12_matches_brute_force(spark, sf_dir):
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert by_word(got.collect()) == by_word(want)
     assert any(r[1] for r in want) and any(r[4] for r in want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert by_word(con.execute(Q.OP12_SQL).fetchall()) == by_word(want)
 
 
 @pytest.mark.parametrize("shard_words", [20_000, 40, 3])
