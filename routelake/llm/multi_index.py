@@ -291,13 +291,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
                    .withColumnRenamed(id_col, "vec_id"), "vectors")
     # one row per distinct vector, named by its smallest id
     classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("size"), F.max("asks").alias("asks")), "classes")
-    largest = F.array_max(F.transform("v", F.abs))
-    length = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
-    facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("length"), F.max(F.size("v")).alias("dim"),
+    facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest"), F.max(F.size("v")).alias("dim"),
                         F.count(F.when(F.col("asks"), 1)).alias("asking")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, dim = facts["n"], facts["dim"]
+    # in units of the largest component, so squares neither overflow nor vanish
+    unit = F.lit(facts["largest"])
+    length = facts["largest"] * math.sqrt(classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit)))).first()[0])
 
     def sample(df: DataFrame, size: int, of: int) -> np.ndarray:
         """About ``size`` rows, by a hash of the vector."""
@@ -306,7 +307,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
         return np.array([r[0] for r in some.select("v").collect()], float).reshape(-1, dim)
 
     few = sample(classes, max(CALIBRATION, SAMPLE_VALUES // dim), n)
-    codes = Codes(few if len(few) else np.ones((1, dim)), facts["length"])
+    codes = Codes(few if len(few) else np.ones((1, dim)), length)
 
     def encode(batches):
         import pyarrow as pa
