@@ -11,9 +11,10 @@ another one stays alone. All machines are L2-regularised squared-hinge machines,
 dual coordinate descent on the driver.
 
 Training rows: at most ``SAMPLE_ROWS`` labelled rows of every language, those with the
-smallest hash of (id, text), of at most ``MAX_LANGUAGES`` languages, the most frequent labels (ties:
-the smaller label); that sample is the documented bound of what reaches the driver. Every task
-forwards so many hashes of a language at most, so no language's rows meet anywhere.
+smallest hash of (id, text) among a cut by hash, of at most ``MAX_LANGUAGES`` languages, the most
+frequent labels (ties: the smaller label); that sample is the documented bound of what reaches the
+driver. Labels are counted first, so the cut lets about ``CUT`` times the sample of a language
+pass, however many rows it has, and only those are ranked.
 Prediction uses the text alone.
 
 Score: probability of the family (softmax of its margins) times the smallest logistic margin
@@ -33,6 +34,7 @@ empty result. ``identify`` ignores other columns, ``keep_identified`` returns th
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +47,7 @@ from .util import python_ready, slices
 BUCKETS = 4096
 SAMPLE_ROWS = 500
 MAX_LANGUAGES = 256
+CUT = 4
 #: Training: passes over the sample, cost of a margin violation, scale of margins in scores.
 PASSES, COST, SHARPNESS = 12, 4.0, 4.0
 UNKNOWN = "und"
@@ -199,7 +202,12 @@ def train(docs: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_
     rows = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     labels = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    learned = [r["lang"] for r in labels]
+    if not labels:
+        return Hierarchy(np.empty((0, BUCKETS), np.float32), [])
+    # hashes below a language's limit; at most MAX_LANGUAGES of them
+    cells = 1 << 40
+    limits = F.create_map(*[F.lit(x) for r in labels for x in (r["lang"], math.ceil(cells * min(1.0, CUT * sample_rows / r["count"])))])
+    cut = rows.filter(F.pmod("key", F.lit(cells)) < F.element_at(limits, F.col("lang")))
 
     def smallest(batches):
         import pyarrow as pa
@@ -214,10 +222,10 @@ def train(docs: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["lang", "key"])
 
     best = Window.partitionBy("lang").orderBy("key")
-    keys = (rows.filter(F.col("lang").isin(learned)).select("lang", "key").mapInArrow(smallest, "lang string, key long").distinct()
+    keys = (cut.select("lang", "key").mapInArrow(smallest, "lang string, key long").distinct()
             .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= sample_rows).select("lang", "key"))
     # MAX_LANGUAGES * sample_rows keys at most
-    sample = rows.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    sample = cut.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa

@@ -88,15 +88,16 @@ def pack_shard(rows: list[tuple], capacity: int) -> list[tuple]:
 
 
 def best_fit(docs: DataFrame, length: Column, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id",
-             source: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """One row per piece of a document: doc_id, length, shard, bin, piece, start (in the document), offset (in the bin), n."""
+             source: Column | None = None, cluster: Column | None = None, n_docs: int | None = None) -> DataFrame:
+    """One row per piece of a document: doc_id, length, shard, bin, piece, start (in the document), offset (in the bin), n.
+    ``n_docs``: the number of rows, where it is known more cheaply than by counting ``docs``."""
     spark = docs.sparkSession
     python_ready(spark)
     none = F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"),
                        (none if source is None else source).cast("string").alias("source"),
                        (none if cluster is None else cluster).cast("string").alias("cluster"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard_rows))
     # rows without an id, or repeated ones, are spread by their other columns
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "cluster"), F.lit(shards).cast("long")).cast("int"))
 
