@@ -35,7 +35,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     below the limit of the stage before are kept apart: those with the same minwise shingle share no bin."""
     rows = docs.select("doc_id", "source", packing.word_count("text").alias("words"), "text")
     rows = near_dedup.with_cluster(rows, "similar")
-    return packing.best_fit(rows, F.col("words"), source=F.col("source"), cluster=F.col("similar"))
+    return packing.best_fit(rows, F.col("words"), source=F.col("source"), cluster=F.col("similar"), n_docs=docs.count())
 
 
 STAGES = [
