@@ -6,13 +6,16 @@ compaction folds them into a new version and publishes it with one row of the ``
 a reader sees the version before or after, never a mixture, since no folded version is changed
 once it is published.
 
-Layout: ``changes/gen=<batch div BATCHES>/batch=<id>``, ``base-<unique>``, ``versions``. Batch ids
-are consecutive from 0 (as those of a stream), so a reader lists the generations after the folded
-batches only, however long the stream has run.
+Layout: ``changes/gen=<batch div BATCHES>/batch=<number>``, ``base-<unique>``, ``versions``, ``writers``.
+Batch numbers are the table's own and consecutive from 0, so a reader lists the generations after the
+folded batches only, however long the stream has run. A stream counts its batches from 0 for every
+checkpoint; ``number_of`` gives the table's number for them, so a query that begins again with a new
+checkpoint, or after a batch job, writes new batches instead of replaying those of another writer.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -26,6 +29,8 @@ from ..sources.lake import path_exists
 #: Batches in a generation, and between two compactions unless a query says otherwise.
 BATCHES = 64
 VERSIONS = "version long, base string, upto long, folders int, rows long"
+#: From table number ``number`` on, the batches are those of ``writer`` from its batch ``first`` on, up to the next span.
+WRITERS = "span long, number long, writer string, first long"
 
 
 class Version(NamedTuple):
@@ -52,6 +57,45 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/changes/gen={batch_id // BATCHES}/batch={batch_id}"
 
 
+def next_number(spark: SparkSession, path: str, upto: int) -> int:
+    """The number after all batches in ``path`` and after ``upto``."""
+    seen, at = upto, max(0, upto + 1) // BATCHES * BATCHES
+    while path_exists(spark, f"{path}/changes/gen={at // BATCHES}"):
+        seen = max([seen, *[b for b in range(at, at + BATCHES) if path_exists(spark, batch_folder(path, b))]])
+        at += BATCHES
+    return seen + 1
+
+
+def number_of(spark: SparkSession, path: str, writer: str, batch_id: int, free: Callable[[], int] | None = None, alone: bool = False) -> int:
+    """The table's number of the batch ``batch_id`` of ``writer``: the one it had before if this is a replay, else the
+    next one. ``free`` gives the next number (default: after all batches of ``path``). ``alone``: the table takes the batches of
+    one writer only, another one is refused. One writer at a time."""
+    spans = sorted(map(tuple, spark.read.schema(WRITERS).parquet(f"{path}/writers").collect())) if path_exists(spark, f"{path}/writers") else []
+    for (_, start, who, first), end in zip(spans, [s[1] for s in spans[1:]] + [math.inf] * bool(spans), strict=True):
+        if who == writer and start <= start + batch_id - first < end:
+            return start + batch_id - first
+    if alone and any(who != writer for _, _, who, _ in spans):
+        raise ValueError(f"{path} holds the counts of another checkpoint, whose rows would count twice: give the query a folder of its own")
+    start = free() if free else next_number(spark, path, newest(spark, path).upto)
+    spark.createDataFrame([(len(spans), start, writer, batch_id)], WRITERS).coalesce(1).write.mode("append").parquet(f"{path}/writers")
+    return start
+
+
+class Checkpoint:
+    """The writer that a stream's checkpoint stands for: its id lasts as long as the checkpoint."""
+
+    def __init__(self, path: str):
+        self.path, self._id = path, None
+
+    def writer(self, spark: SparkSession) -> str:
+        if self._id is None:
+            self._id = spark.read.schema("id string").json(f"{self.path}/metadata").first()["id"]
+        return self._id
+
+    def number_of(self, spark: SparkSession, path: str, batch_id: int, **kw) -> int:
+        return number_of(spark, path, self.writer(spark), batch_id, **kw)
+
+
 def append(df: DataFrame, path: str, batch_id: int) -> None:
     """The batch's rows. A replay overwrites them; one of a batch that is folded already has nothing to add."""
     if batch_id > newest(df.sparkSession, path).upto:

@@ -8,6 +8,7 @@ cache, of key states and of counters are written under the batch id and overwrit
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,11 @@ def to_audit_rows(events: DataFrame) -> DataFrame:
     return A.shape_audit_doc(d, processed_at=F.col("timestamp"))
 
 
+def ids_of(audit_path: str) -> str:
+    """Where the ids of a stored audit are kept."""
+    return f"{audit_path.rstrip('/')}-ids"
+
+
 def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str, batch_id: int | None = None,
                  compact_every: int | None = folds.BATCHES) -> DataFrame:
     """Append rows whose event_id is not stored yet, whatever their date; of copies inside the
@@ -68,11 +74,11 @@ def append_audit(spark: SparkSession, audit_rows: DataFrame, path: str, batch_id
     Stored ids are kept beside the audit, in ``<path>-ids`` (``ids``): a batch reads the folders that
     its own ids fall into, so its cost does not follow the history. Its ids are written before its
     rows and confirmed after them. Only after a failure in between are the stored rows looked at: those
-    of the dates of the ids in question (a replay has the same dates). ``batch_id``: that of the stream, else the
-    next number. One writer at a time. Rows without id must be rejected before (``parse_envelope`` does)."""
-    stored_ids = f"{path.rstrip('/')}-ids"
+    of the dates of the ids in question (a replay has the same dates). ``batch_id``: the table's number of a batch
+    (``ids.number_of`` gives it for that of a stream); without it the rows are a batch of a writer of its own. One writer at a time. Rows without id must be rejected before (``parse_envelope`` does)."""
+    stored_ids = ids_of(path)
     if batch_id is None:
-        batch_id = ids.next_batch(spark, stored_ids)
+        batch_id = ids.number_of(spark, stored_ids, uuid.uuid4().hex)
     elif ids.is_done(spark, stored_ids, batch_id):
         return audit_rows.limit(0)
     cols = [c for c in audit_rows.columns if c != "event_id"]

@@ -27,14 +27,9 @@ def folder_of(folders: int) -> F.Column:
     return F.pmod(F.xxhash64("event_id"), F.lit(folders)).cast("int")
 
 
-def next_batch(spark: SparkSession, path: str) -> int:
-    """The number of a call that is no batch of a stream: one after all that were started."""
-    upto = folds.newest(spark, f"{path}/done").upto
-    seen, at = upto, max(0, upto + 1) // folds.BATCHES * folds.BATCHES
-    while path_exists(spark, f"{path}/started/changes/gen={at // folds.BATCHES}"):
-        seen = max([seen, *[b for b in range(at, at + folds.BATCHES) if path_exists(spark, folds.batch_folder(f"{path}/started", b))]])
-        at += folds.BATCHES
-    return seen + 1
+def number_of(spark: SparkSession, path: str, writer: str, batch_id: int = 0) -> int:
+    """The number of a writer's batch in these tables (see ``folds.number_of``)."""
+    return folds.number_of(spark, path, writer, batch_id, lambda: folds.next_number(spark, f"{path}/started", folds.newest(spark, f"{path}/done").upto))
 
 
 def known(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

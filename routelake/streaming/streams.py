@@ -17,7 +17,7 @@ from ..functions import expr as X
 from ..operators import metrics as M
 from ..operators.dml import dense_index
 from ..sources.lake import cut_lineage
-from . import folds
+from . import folds, ids
 from . import handlers as H
 
 TOPIC = "route-events"
@@ -69,10 +69,16 @@ def run(q) -> None:
 
 
 # ------------------------------------------------------------------ consumers (foreachBatch)
-def audit_batch_handler(audit_path: str, rejects_path: str, compact_every: int | None = folds.BATCHES):
-    """The audit consumer's micro-batch function (idempotent: safe to replay)."""
+# A handler with a checkpoint takes the batch ids of its stream; without one they are the table's own numbers.
+def audit_batch_handler(audit_path: str, rejects_path: str, compact_every: int | None = folds.BATCHES, checkpoint: str | None = None):
+    """The audit consumer's micro-batch function (idempotent: safe to replay). A stream that begins again with a new
+    checkpoint adds the events that are not stored yet; records that it rejects again are written again, with the same (partition, offset)."""
+    origin = folds.Checkpoint(checkpoint) if checkpoint else None
+
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        if origin:
+            batch_id = ids.number_of(spark, H.ids_of(audit_path), origin.writer(spark), batch_id)
         parsed = H.parse_envelope(batch).persist()  # read by both writes below
         try:
             valid, rejects = H.split_valid(parsed)
@@ -88,15 +94,19 @@ def audit_batch_handler(audit_path: str, rejects_path: str, compact_every: int |
 
 def audit_log_query(stream: DataFrame, audit_path: str, rejects_path: str, checkpoint: str, compact_every: int | None = folds.BATCHES, **kw):
     """Write each change once to the audit table; rejects (malformed / missing fields) kept."""
-    return _start(stream, audit_batch_handler(audit_path, rejects_path, compact_every), checkpoint, **kw)
+    return _start(stream, audit_batch_handler(audit_path, rejects_path, compact_every, checkpoint), checkpoint, **kw)
 
 
 def cache_batch_handler(cache_path: str, routes_fn, invalidate: bool = True, warm: bool = True, only_missing: bool = False,
-                        compact_every: int | None = folds.BATCHES):
+                        compact_every: int | None = folds.BATCHES, checkpoint: str | None = None):
     """Invalidation and/or warming: a batch appends one change row per changed key. Where both are
     asked for, the refilled entry is the key's change: removing comes first, refilling last (Q20b)."""
+    origin = folds.Checkpoint(checkpoint) if checkpoint else None
+
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        if origin:
+            batch_id = origin.number_of(spark, cache_path, batch_id)
         valid, _ = H.split_valid(H.parse_envelope(batch))
         if warm:
             live = None
@@ -115,7 +125,7 @@ def cache_batch_handler(cache_path: str, routes_fn, invalidate: bool = True, war
 def cache_query(stream: DataFrame, cache_path: str, routes_fn, checkpoint: str, invalidate: bool = True,
                 warm: bool = True, only_missing: bool = False, compact_every: int | None = folds.BATCHES, **kw):
     """The cache consumers as a stream; ``handlers.read_cache`` reads the cache."""
-    return _start(stream, cache_batch_handler(cache_path, routes_fn, invalidate, warm, only_missing, compact_every), checkpoint, **kw)
+    return _start(stream, cache_batch_handler(cache_path, routes_fn, invalidate, warm, only_missing, compact_every, checkpoint), checkpoint, **kw)
 
 
 def _newest_event(rows: DataFrame) -> DataFrame:
@@ -124,7 +134,10 @@ def _newest_event(rows: DataFrame) -> DataFrame:
 
 def key_order_query(stream: DataFrame, state_path: str, checkpoint: str, compact_every: int | None = folds.BATCHES, **kw):
     """Latest state per route: a batch appends the newest event by (partition, offset) of its keys."""
+    origin = folds.Checkpoint(checkpoint)
+
     def handle(batch: DataFrame, batch_id: int):
+        batch_id = origin.number_of(batch.sparkSession, state_path, batch_id)
         valid, _ = H.split_valid(H.parse_envelope(batch))
         folds.append(_newest_event(valid.select(*schemas.KEY_STATE.fieldNames())).select(*schemas.KEY_STATE.fieldNames()), state_path, batch_id)
         if folds.due(batch_id, compact_every):
@@ -164,8 +177,12 @@ def _added(rows: DataFrame, keys) -> DataFrame:
 
 def counter_query(stream: DataFrame, count, keys, path: str, checkpoint: str, compact_every: int | None = folds.BATCHES, **kw):
     """Running counters without a watermark: every batch appends its own partial counts (``count(batch)``),
-    readers add them up, so a row counts however late it comes, and a replayed batch counts once."""
+    readers add them up, so a row counts however late it comes, and a replayed batch counts once. A table belongs to one
+    checkpoint: a query with another one, which would read the same rows again, fails."""
+    origin = folds.Checkpoint(checkpoint)
+
     def handle(batch: DataFrame, batch_id: int):
+        batch_id = origin.number_of(batch.sparkSession, path, batch_id, alone=True)
         partial = count(batch)
         folds.append(partial, path, batch_id)
         if folds.due(batch_id, compact_every):

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from routelake import schemas
@@ -282,3 +284,67 @@ def test_published_events_are_consumed_in_order(spark):
     assert [json.loads(r.value)["action"] for r in rows] == ["created", "deactivated"] and len({r.partition for r in rows}) == 1
     S.run(S.audit_log_query(S.read_route_stream(spark, topic), audit, rej, ck))
     assert sorted(r.event_id for r in lake.read_audit(spark, audit).collect()) == ["0", "1"]
+
+
+def test_streams_that_begin_again_lose_nothing(spark):
+    """A batch job, a stream, the stream with a new checkpoint, a job in between and the first checkpoint again."""
+    src, audit, rej, ck, ck2, cache_path, state = (scratch_path(spark, n) for n in ("src", "audit", "rej", "ck", "ck2", "cache", "state"))
+    routes = spark.createDataFrame([("t", "s", "e", "v1", "http://fresh", True)],
+                                   "tenant string, service string, env string, version string, url string, is_active boolean")
+
+    def job(*eids):
+        batch = spark.createDataFrame([env_row(e, "created", 0, 7, i) for i, e in enumerate(eids)], schemas.ENVELOPE)
+        H.append_audit(spark, H.to_audit_rows(H.split_valid(H.parse_envelope(batch))[0]), audit)
+
+    def stream(checkpoint):
+        S.run(S.audit_log_query(S.read_route_stream(spark, src), audit, rej, checkpoint, compact_every=2))
+
+    def stored():
+        return sorted(r.event_id for r in lake.read_audit(spark, audit).collect())
+
+    job("h1", "h2")
+    write_batch(spark, src, [env_row("1", "created", 0, 0, 1), env_row("h2", "created", 0, 0, 2)])
+    stream(ck)
+    assert stored() == ["1", "h1", "h2"]                      # the stream's batch 0 is not the job's
+    write_batch(spark, src, [env_row("2", "created", 9, 0, 3)])
+    stream(ck2)                                               # from the beginning, as batch 0 again
+    assert stored() == ["1", "2", "h1", "h2"]
+    job("h3")
+    write_batch(spark, src, [env_row("3", "created", 19, 0, 4)])
+    stream(ck2)
+    stream(ck)
+    assert stored() == ["1", "2", "3", "h1", "h2", "h3"]
+
+    # the newest change of a key is the one written last, whichever checkpoint wrote it
+    ck, ck2 = scratch_path(spark, "ck"), scratch_path(spark, "ck2")
+    S.run(S.cache_query(S.read_route_stream(spark, src), cache_path, lambda s: routes, ck, warm=False))
+    assert H.read_cache(spark, cache_path).isEmpty()
+    S.run(S.cache_query(S.read_route_stream(spark, src), cache_path, lambda s: routes, ck2, compact_every=1))
+    assert [r.url for r in H.read_cache(spark, cache_path).collect()] == ["http://fresh"]
+
+
+def test_counters_refuse_another_checkpoint(spark):
+    src, out, ck, ck2 = (scratch_path(spark, n) for n in ("src", "out", "ck", "ck2"))
+    keys = ["window_start", "action"]
+    write_batch(spark, src, [env_row("1", "created", 0, 0, 1)])
+    S.run(S.counter_query(S.read_route_stream(spark, src), S.event_counters, keys, out, ck))
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        S.run(S.counter_query(S.read_route_stream(spark, src), S.event_counters, keys, out, ck2))
+    write_batch(spark, src, [env_row("2", "created", 1, 0, 2)])
+    S.run(S.counter_query(S.read_route_stream(spark, src), S.event_counters, keys, out, ck))
+    assert [r["count"] for r in S.read_counters(spark, out, keys, COUNTS).collect()] == [2]
+
+
+def test_batch_numbers_of_writers(spark):
+    path = scratch_path(spark, "numbers")
+
+    def write(writer, batch_id):
+        n = folds.number_of(spark, path, writer, batch_id)
+        folds.append(spark.createDataFrame([(writer, n)], "k string, n long"), path, n)
+        return n
+
+    assert [write("a", 0), write("a", 1), write("a", 1)] == [0, 1, 1]
+    assert folds.number_of(spark, path, "b", 0) == 2          # and dies before it writes
+    assert [write("c", 0), write("a", 1), write("a", 2), write("b", 0)] == [2, 1, 3, 4]
+    assert [write("a", 2), write("a", 3), write("c", 0)] == [3, 5, 2]
+    assert folds.read(spark, path, "k string, n long").count() == 6
