@@ -16,9 +16,9 @@ Steps:
 
 1. queries travel to the tasks in blocks of about ``BLOCK_TERMS`` terms and ``BLOCK_QUERIES`` queries at
    most, each a broadcast of that size;
-2. a first pass over the texts counts N, L, and df of the block's terms only, so nothing of the
-   vocabulary is shuffled or kept;
-3. in a second pass a task folds a batch of documents into sketches, multiplies them with the
+2. a pass over the texts counts N, L, and df of the terms of several blocks, ``COUNT_TERMS`` at most
+   (more only where one block has more), so nothing of the vocabulary is shuffled or kept;
+3. in a pass per block a task folds a batch of documents into sketches, multiplies them with the
    block's weights (one matrix product gives all bounds of batch and block), and takes every
    query's documents in the order of falling bounds. They are rescored exactly until the bound is
    below the query's k-th score so far, which goes on from batch to batch;
@@ -54,6 +54,8 @@ BATCH_DOCS = 256
 #: Terms, and queries, that are broadcast together.
 BLOCK_TERMS = 50_000
 BLOCK_QUERIES = 1024
+#: Terms whose document frequencies are counted in one pass over the texts.
+COUNT_TERMS = 500_000
 #: Bytes of a text that are split into terms at once.
 PIECE = 1 << 20
 
@@ -229,7 +231,7 @@ def _search_block(docs: DataFrame, rows, n_docs: int, n_terms: int, k: int, cell
     return docs.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS, block_terms: int = BLOCK_TERMS,
+def search(docs: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS, block_terms: int = BLOCK_TERMS, count_terms: int = COUNT_TERMS,
            doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Each query's k best documents with a score above 0: item_id, rank (from 1), doc_id, score."""
     spark = docs.sparkSession
@@ -240,17 +242,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, cells: int = CELLS,
     blocks = max(1, math.ceil(size["terms"] / block_terms), math.ceil(size["items"] / BLOCK_QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     texts, results = _texts(docs, doc_id, text_col), []
-    n_docs = n_terms = 0
-    for b in range(blocks):
-        rows = asked.filter(F.col("block") == b).select("item_id", "term", "n").collect()
-        counts = {r["term"]: r for r in corpus_counts(docs, [bytes(r["term"]) for r in rows], doc_id, text_col).collect()}
-        n_docs, n_terms = (counts[None]["n_docs"], counts[None]["n_terms"]) if None in counts else (0, 0)
-        df = {bytes(t): r["n_docs"] for t, r in counts.items() if t is not None}
-        if not n_docs or not df:
+    together = max(1, count_terms // block_terms)          # blocks whose terms are counted in one pass
+    for start in range(0, blocks, together):
+        group = asked.filter(F.col("block").between(start, start + together - 1))
+        terms = [bytes(r["term"]) for r in group.select("term").distinct().collect()]
+        counts = written(corpus_counts(docs, terms, doc_id, text_col).withColumnRenamed("n_docs", "df"), f"counts-{start}")
+        whole = counts.filter("term IS NULL").first()
+        if not whole or not whole["df"]:
             continue
+        n_docs, n_terms = whole["df"], whole["n_terms"]
         # terms that no document holds add nothing
-        weighted = [(r["item_id"], t, r["n"], weight(n_docs, df[t])) for r in rows if (t := bytes(r["term"])) in df]
-        results.append(written(_search_block(texts, weighted, n_docs, n_terms, k, cells), f"found-{b}"))
+        known = group.join(counts.select("term", "df"), "term")
+        for b in range(start, min(start + together, blocks)):
+            rows = known.filter(F.col("block") == b).select("item_id", "term", "n", "df").collect()
+            weighted = [(r["item_id"], bytes(r["term"]), r["n"], weight(n_docs, r["df"])) for r in rows]
+            if weighted:
+                results.append(written(_search_block(texts, weighted, n_docs, n_terms, k, cells), f"found-{b}"))
     out = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for r in results:
         out = out.unionByName(r)

@@ -49,14 +49,14 @@ def items_table(spark, items):
     return spark.createDataFrame([(*r, 3, "x") for r in items], "item_id long, text string, rank int, term string").repartition(2)
 
 
-@pytest.mark.parametrize("cells, block_terms", [(2048, 50_000), (7, 9)])
-def test_search_matches_brute_force(spark, cells, block_terms):
+@pytest.mark.parametrize("cells, block_terms, count_terms", [(2048, 50_000, 500_000), (7, 9, 40), (7, 9, 1)])
+def test_search_matches_brute_force(spark, cells, block_terms, count_terms):
     rng = random.Random(3)
     vocab = [f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(400)] + ["Straße", "ÑANDÚ", "A1", "İ", "日本"]
     texts = [" ".join(rng.choices(vocab, k=rng.randrange(1, 60))) for _ in range(300)] + ODD + ["same text w1"] * 40
     ids = [*range(len(texts) - 1), None]
     items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(1, 20)))) for i in range(25)] + [(90, "nowhere"), (91, None), (92, ""), (93, "same same text"), (94, "q" * 50_000)]
-    got = L.search(documents(spark, texts, ids=ids), items_table(spark, [*items, (93, "same same text"), (None, "w1")]), cells=cells, block_terms=block_terms)
+    got = L.search(documents(spark, texts, ids=ids), items_table(spark, [*items, (93, "same same text"), (None, "w1")]), cells=cells, block_terms=block_terms, count_terms=count_terms)
     assert sorted(map(tuple, got.collect())) == sorted(brute_search(list(zip(ids, texts)), items))
 
 
