@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -15,10 +17,18 @@ from .q_audit import AUDIT_COLS, flat
 from .registry import register
 
 
+#: Records of one envelope file: what one task sorts and writes, however long the topic is.
+ROWS_PER_FILE = 250_000
+
+
 def envelope_files(spark, t: Tables, value=None) -> str:
-    """The change stream as files with the five envelope columns, one file per partition."""
+    """The change stream as files with the five envelope columns, in ranges of (partition, offset) and sorted by them.
+    The narrow ``events`` rows are shuffled and sorted; keys and JSON values are built from the sorted rows."""
     path = scratch_path(spark, "route-events")
-    t.stream_values.withColumn("value", F.col("value") if value is None else value).repartition(4, "partition").sortWithinPartitions("offset").write.parquet(path)
+    files = max(4, math.ceil(t.events.count() / ROWS_PER_FILE))
+    order = t.topic_order()
+    events = t.events.repartitionByRange(files, *order, "ts", "user_id").sortWithinPartitions(*order)
+    t.envelopes(events).withColumn("value", F.col("value") if value is None else value).write.parquet(path)
     return path
 
 

@@ -175,7 +175,9 @@ class Tables:
     @cached_property
     def event_rows(self) -> DataFrame:
         """Flat change events (one per events row) with the raw action mapping."""
-        e = self.events
+        return self.change_events(self.events)
+
+    def change_events(self, e: DataFrame) -> DataFrame:
         eid = F.col("event_id").cast("string")
         return e.select(
             eid.alias("event_id"),
@@ -214,10 +216,18 @@ class Tables:
             F.to_date("occurred_at").alias("event_date"),
         )
 
+    @staticmethod
+    def topic_order():
+        """Partition and offset of an ``events`` row in the change stream."""
+        return F.pmod(F.col("user_id"), F.lit(4)).cast("int"), F.col("event_id")
+
     @cached_property
     def stream_values(self) -> DataFrame:
         """Envelope of the change stream: key, JSON value, partition, offset, timestamp."""
-        r = self.event_rows
+        return self.envelopes(self.events)
+
+    def envelopes(self, events: DataFrame) -> DataFrame:
+        r = self.change_events(events)
         value = F.to_json(F.struct(
             F.col("event_id"), F.lit(X.DEFAULT_EVENT_TYPE).alias("event_type"), F.col("action"),
             "tenant", "service", "env", "version", "url",
