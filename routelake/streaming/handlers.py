@@ -22,6 +22,14 @@ from ..sources import lake
 from . import folds, ids
 
 REQUIRED = ["action", *X.ROUTE_COLS]
+#: Tasks that ``spread`` makes of one.
+PIECES = 8
+
+
+def spread(batch: DataFrame) -> DataFrame:
+    """A batch of envelope rows in smaller tasks, for aggregates that sort the rows of a task: a split of the source
+    may hold millions. By record, not by id or route, so a frequent one is spread as well."""
+    return batch.repartition(PIECES * max(1, batch.rdd.getNumPartitions()), "partition", "offset", "timestamp")
 
 
 def parse_envelope(df: DataFrame) -> DataFrame:

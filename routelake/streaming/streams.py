@@ -79,13 +79,13 @@ def audit_batch_handler(audit_path: str, rejects_path: str, compact_every: int |
         spark = batch.sparkSession
         if origin:
             batch_id = ids.number_of(spark, H.ids_of(audit_path), origin.writer(spark), batch_id)
-        parsed = H.parse_envelope(batch).persist()  # read by both writes below
+        parsed = H.parse_envelope(H.spread(batch)).persist()  # read by both writes below
         try:
             valid, rejects = H.split_valid(parsed)
             # per batch id, overwritten on replay: a re-run batch leaves no duplicate rejects
             rejects.select("key", "value", "partition", "offset", "timestamp", "reject_reason") \
                 .write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-            rows = H.to_audit_rows(H.first_per_event_id(valid))
+            rows = H.to_audit_rows(H.first_per_event_id(valid.drop("key", "value")))
             H.append_audit(spark, rows, audit_path, batch_id, compact_every)
         finally:
             parsed.unpersist()
@@ -138,7 +138,7 @@ def key_order_query(stream: DataFrame, state_path: str, checkpoint: str, compact
 
     def handle(batch: DataFrame, batch_id: int):
         batch_id = origin.number_of(batch.sparkSession, state_path, batch_id)
-        valid, _ = H.split_valid(H.parse_envelope(batch))
+        valid, _ = H.split_valid(H.parse_envelope(H.spread(batch)))
         folds.append(_newest_event(valid.select(*schemas.KEY_STATE.fieldNames())).select(*schemas.KEY_STATE.fieldNames()), state_path, batch_id)
         if folds.due(batch_id, compact_every):
             folds.compact(batch.sparkSession, state_path, schemas.KEY_STATE,
